@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash, substring_dedup
+from . import bpe, mixing, secrets, simhash, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +19,41 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_table(spark, sf_dir, "documents")).drop("taken_by_pass")
+
+
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Digests of the ids and of the decoded bytes of every text, by the public byte-level vocabulary."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = F.col("ids")
+    return bpe.encode(docs, path, public_tokenizers.PATTERN).select(
+        "doc_id",
+        F.size(ids).cast("long").alias("n_tokens"),
+        F.sha2(bpe.ids_as_bytes(ids), 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(ids, path), 256).alias("decoded_sha256"),
+    )
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind, *_ in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(secrets.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op8_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_bpe, op7_secrets, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": mixing.ORACLE}
