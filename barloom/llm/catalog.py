@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, secrets, simhash, substring_dedup
+from . import bpe, chat, code_search, mixing, multi_index, secrets, simhash, substring_dedup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +21,39 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents")).drop("taken_by_pass")
 
 
+def chat_digests(formatted: DataFrame) -> DataFrame:
+    """Turns and loss text of each formatted conversation, read back from the output alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {k: [] for k in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")}
+            for conv, text, loss in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss")), strict=True):
+                turns = chat.parse(text)
+                learnt = "".join(chat.unescape(text[s["start"] : s["stop"]]) for s in loss)
+                digest = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+                for k, v in zip(rows, (conv, len(turns), digest, len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text)), strict=True):
+                    rows[k].append(v)
+            kinds = {"turns_sha256": pa.string(), "loss_sha256": pa.string()}
+            yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([(k, kinds.get(k, pa.int64())) for k in rows]))
+
+    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], table.schema)
+    return chat_digests(chat.formatted(table.unionByName(more)))
+
+
 def token_digests(docs: DataFrame) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every text, by the public byte-level vocabulary."""
     import public_tokenizers
@@ -41,9 +72,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
+    return toxicity.scored(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secret_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind, *_ in secrets.KINDS]
+    counts = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] == kind), False)).cast("long").alias(f"n_{kind}") for kind, *_ in secrets.KINDS]
     return found.select("doc_id", *counts, F.sha2(secrets.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
 
 
@@ -51,9 +89,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op9_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_search.nearest_signs(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op5_bpe, op7_secrets, op8_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_multi_index, op3_mixing, op4_chat, op5_bpe, op6_toxicity, op7_secrets, op8_simhash, op9_code_search, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op9_code_search": code_search.ORACLE, "op10_url_filter": url_filter.ORACLE}
