@@ -1,139 +1,18 @@
-"""Named queries over the given tables, each with its SQL twin where SQL can express it."""
+"""All named queries of the bar library, and their SQL twins."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..functions.win import presented, spread_rows
-from ..operators import calendar, candles, mean_reversion, rolling
-from ..sources.bars import event_bars, line_bars
-from . import sql
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        _QUERIES[f.__name__] = f
-        if oracle:
-            _ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread_rows(event_bars(spark, sf_dir))
-
-
-@query(sql.staged() + sql.show(["open", "high", "low", "close"]))
-def bars_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(event_bars(spark, sf_dir), ["open", "high", "low", "close"])
-
-
-_LINE = """SELECT CAST(l_suppkey AS VARCHAR) AS symbol, (epoch_us(l_shipdate) // 86400000000) * 86400 AS ts,
-  arg_min(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)) AS open,
-  max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
-  arg_max(l_extendedprice / l_quantity, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity)) AS close FROM lineitem GROUP BY ALL"""
-
-
-@query(sql.staged(base=_LINE) + sql.show(["open", "high", "low", "close"]))
-def bars_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(line_bars(spark, sf_dir), ["open", "high", "low", "close"])
-
-
-@query(sql.staged(sql.SHAPE, sql.SHAPE2) + sql.show(candles.SHAPE))
-def candle_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(candles.candle_shape(hourly(spark, sf_dir)), candles.SHAPE)
-
-
-@query(sql.staged(sql.PATTERNS, sql.PRICE_ACTION) + sql.show(list(sql.PRICE_ACTION), candles.PATTERNS))
-def candle_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(candles.price_action(candles.candle_patterns(hourly(spark, sf_dir))), [*sql.PRICE_ACTION, *candles.PATTERNS])
-
-
-def _split(names: list[str], ints: tuple = ("is_new", "break", "minute", "hour", "iso_week", "slot")) -> tuple[list[str], list[str]]:
-    whole = [n for n in names if n.startswith(ints) or n.endswith("_break")]
-    whole = [n for n in whole if not n.endswith(("_sin", "_cos"))]
-    return [n for n in names if n not in whole], whole
-
-
-@query(sql.staged(*sql.calendar(480)) + sql.show(*_split(calendar.window_columns(480))))
-def calendar_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(calendar.window_features(hourly(spark, sf_dir), 480), calendar.window_columns(480))
-
-
-@query(sql.staged(*sql.calendar(480, causal=True)) + sql.show(*_split(calendar.window_columns(480))))
-def calendar_windows_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(calendar.window_features(hourly(spark, sf_dir), 480, causal=True), calendar.window_columns(480))
-
-
-@query(sql.staged(*sql.session()) + sql.show(*_split(calendar.SESSION)))
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(calendar.session_stats(hourly(spark, sf_dir)), calendar.SESSION)
-
-
-@query(sql.staged(*sql.CLOCK) + sql.show(*_split(calendar.CLOCK)))
-def clock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(calendar.time_features(event_bars(spark, sf_dir)), calendar.CLOCK)
-
-
-def with_technicals(df: DataFrame) -> DataFrame:
-    return rolling.technicals(rolling.basic(candles.candle_shape(rolling.true_range(rolling.returns(df)))))
-
-
-@query(sql.staged(sql.RETURNS | sql.TR | sql.SHAPE, sql.BASIC, *sql.TECHNICALS) + sql.show([*rolling.BASIC, *rolling.TECHNICALS, "ret", "log_return", "tr"]))
-def rolling_technicals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(with_technicals(hourly(spark, sf_dir)), [*rolling.BASIC, *rolling.TECHNICALS, "ret", "log_return", "tr"])
-
-
-_STUDIES = ["momentum_5", "trend_strength_10", "vi_plus", "vi_minus", "vi_diff", "cci_20", "kaufman_er_10", "kaufman_er_20", "wavelet_energy", "fft_energy", "boll_z_raw"]
-
-
-@query(sql.staged(sql.RETURNS | sql.TR, *sql.STUDIES) + sql.show(_STUDIES))
-def rolling_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = rolling.true_range(rolling.returns(hourly(spark, sf_dir)))
-    df = rolling.cci(rolling.vortex(rolling.trend_strength(rolling.momentum(df))))
-    df = rolling.energies(rolling.efficiency(rolling.efficiency(df, 10), 20)).withColumn("boll_z_raw", rolling.bollinger_z(eps=None))
-    return presented(df, _STUDIES)
-
-
-@query(sql.staged(sql.RETURNS, *sql.RISK) + sql.show(rolling.RISK))
-def rolling_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(rolling.risk(rolling.returns(hourly(spark, sf_dir))), rolling.RISK)
-
-
-@query(sql.staged(*sql.HURST) + sql.show(["hurst_20"]))
-def hurst_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(rolling.hurst_lagstd(hourly(spark, sf_dir)), ["hurst_20"])
-
-
-_OU = ["close_pos", "mu", "theta", "sigma", "z"]
-
-
-def ou_frame(df: DataFrame) -> DataFrame:
-    return mean_reversion.ou_signal(mean_reversion.ou_fit(rolling.price_position(df)))
-
-
-@query(sql.staged(*sql.OU) + sql.show(_OU, ["signal", "trade"]))
-def ou_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(ou_frame(hourly(spark, sf_dir)), [*_OU, "signal", "trade"])
-
-
-@query(sql.staged(*sql.OU) + sql.show(["z"], ["signal", "trade"], "abs(trade) = 2"))
-def ou_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(mean_reversion.signal_flips(ou_frame(hourly(spark, sf_dir))), ["z", "signal", "trade"])
+from . import feature_queries, model_queries, signal_queries  # noqa: F401 - they register their queries
+from .registry import ORACLES, QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(ORACLES)

@@ -193,3 +193,25 @@ OU = [
     {"signal": f"{flag('z < -1.5')} - {flag('z > 1.5')}"},
     {"trade": f"signal - {lag('signal')}"},
 ]
+
+
+def studies_of(x: str, n: int) -> list[dict[str, str]]:
+    return [
+        {
+            "z_close": f"({x} - {full('avg', x, n)}) / ({full('stddev_samp', x, n)} + 1e-9)",
+            "place": f"round_even(({x} - {full('min', 'low', n)}) / ({full('max', 'high', n)} - {full('min', 'low', n)} + 1e-9), 4)",
+        }
+    ]
+
+
+def ewm(table: str, x: str, d: float, adjust: bool) -> str:
+    """An exponentially weighted mean as a scalar subquery over all rows up to the current one (``t``)."""
+    if adjust:
+        value = f"sum(pow({d!r}, t.idx - u.idx) * u.{x}) / sum(CASE WHEN u.{x} IS NOT NULL THEN pow({d!r}, t.idx - u.idx) END)"
+    else:
+        value = f"sum(pow({d!r}, t.idx - u.idx) * u.{x} * CASE WHEN u.idx = 0 THEN 1.0 ELSE {1 - d!r} END)"
+    return f"(SELECT {value} FROM {table} u WHERE u.symbol = t.symbol AND u.idx <= t.idx)"
+
+
+NUMBERED = {"idx": f"row_number() {O} - 1", "n": f"count(*) {ALL}"}
+WRET = {"w_ret": f"coalesce((close - {lag('close')}) / ({lag('close')} + 1e-10), 0.0)"}

@@ -37,16 +37,17 @@ def affine_scan(df: DataFrame, columns: dict[str, tuple[str, float]], index: str
     if level >= _LEVELS:
         raise ValueError("the span is too long for the scan's levels")
     size = min(block_rows(d) for _, d in columns.values() if d >= _NOTHING)
-    rows = df.withColumns({"_block": F.floor(F.col(index) / size), "_at": (F.col(index) % size).cast("double")})
-    run = Window.partitionBy(KEY, "_block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    local = {f"_l_{n}": F.sum(F.col(x) * F.pow(F.lit(d), -F.col("_at"))).over(run) * F.pow(F.lit(d), F.col("_at")) if d >= _NOTHING else F.col(x) for n, (x, d) in columns.items()}
+    block, at = f"_block{level}", f"_at{level}"
+    rows = df.withColumns({block: F.floor(F.col(index) / size), at: (F.col(index) % size).cast("double")})
+    run = Window.partitionBy(KEY, block).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    local = {f"_l_{n}": F.sum(F.col(x) * F.pow(F.lit(d), -F.col(at))).over(run) * F.pow(F.lit(d), F.col(at)) if d >= _NOTHING else F.col(x) for n, (x, d) in columns.items()}
     rows = rows.withColumns(local)
-    lasts = rows.groupBy(KEY, "_block").agg(*[F.max_by(f"_l_{n}", index).alias(f"_x_{n}") for n in columns])
-    carried = affine_scan(lasts, {f"_c_{n}": (f"_x_{n}", d**size) for n, (_, d) in columns.items()}, "_block", level + 1)
-    carried = carried.select(KEY, (F.col("_block") + 1).alias("_block"), *[f"_c_{n}" for n in columns])
-    joined = rows.join(carried, [KEY, "_block"], "left")
-    out = {n: F.col(f"_l_{n}") + F.pow(F.lit(d), F.col("_at") + 1) * F.coalesce(f"_c_{n}", F.lit(0.0)) for n, (_, d) in columns.items()}
-    return joined.withColumns(out).drop("_block", "_at", *local, *[f"_c_{n}" for n in columns])
+    lasts = rows.groupBy(KEY, block).agg(*[F.max_by(f"_l_{n}", index).alias(f"_x_{n}") for n in columns])
+    carried = affine_scan(lasts, {f"_c_{n}": (f"_x_{n}", d**size) for n, (_, d) in columns.items()}, block, level + 1)
+    carried = carried.select(KEY, (F.col(block) + 1).alias(block), *[f"_c_{n}" for n in columns])
+    joined = rows.join(carried, [KEY, block], "left")
+    out = {n: F.col(f"_l_{n}") + F.pow(F.lit(d), F.col(at) + 1) * F.coalesce(f"_c_{n}", F.lit(0.0)) for n, (_, d) in columns.items()}
+    return joined.withColumns(out).drop(block, at, *local, *[f"_c_{n}" for n in columns])
 
 
 def decay_of(alpha: float | None = None, span: float | None = None) -> float:
