@@ -24,18 +24,15 @@ _EWM = (
 e2 AS (SELECT *, m1 - {sql.ewm('e1', 'm1', _D9, False)} AS macd_hist, m2 - {sql.ewm('e1', 'm2', _D9, True)} AS macd_adjusted FROM e1 t)
 SELECT symbol, ts, round(CASE WHEN idx >= 14 THEN 100 - 100 / (1 + eu / (ed + 1e-6)) ELSE 50 END, 6) + 0.0 AS rsi_ewm, round(macd_hist, 6) + 0.0 AS macd_hist,
   round(macd_adjusted, 6) + 0.0 AS macd_adjusted, round(atr_ewm, 6) + 0.0 AS atr_ewm, round(atr_adjusted, 6) + 0.0 AS atr_adjusted,
-  round(pow(0.95, n - 1 - idx) / sum(pow(0.95, n - 1 - idx)) OVER (PARTITION BY symbol), 9) + 0.0 AS decay_weight FROM e2"""
+  round(pow(0.95, n - 1 - idx) / sum(pow(0.95, n - 1 - idx)) OVER (PARTITION BY symbol), 6) + 0.0 AS decay_weight FROM e2"""
 )
 
 
 @query(_EWM)
 def ewm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = number_rows(rolling.true_range(rolling.returns(hourly(spark, sf_dir))))
-    df = scan.atr_ewm(scan.atr_ewm(scan.rsi_ewm(df)), adjust=True, name="atr_adjusted")
-    df = scan.macd_hist(scan.macd_hist(df), adjust=True, name="macd_adjusted")
-    out = presented(scan.time_decay_weights(df), ["rsi_ewm", "macd_hist", "macd_adjusted", "atr_ewm", "atr_adjusted"])
-    decay = scan.time_decay_weights(df).select(KEY, F.unix_seconds(TIME).alias(TIME), (F.round("decay_weight", 9) + F.lit(0.0)).alias("decay_weight"))
-    return out.join(decay, [KEY, TIME])
+    df = scan.momentum_study(number_rows(rolling.true_range(rolling.returns(hourly(spark, sf_dir)))))
+    df = scan.time_decay_weights(df)
+    return presented(df, ["rsi_ewm", "macd_hist", "macd_adjusted", "atr_ewm", "atr_adjusted", "decay_weight"], 6)
 
 
 # --- targets

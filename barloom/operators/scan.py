@@ -1,9 +1,10 @@
 """Exponentially weighted means by a blocked affine scan.
 
 ``n[t] = d * n[t-1] + x[t]`` over rows numbered per symbol. Inside a block of
-``B`` rows the recursion is a running sum scaled by powers of ``d``; the last
-values of the blocks form a series with decay ``d ** B`` that is scanned the same
-way; the carry is joined back on the block. No task holds a whole symbol.
+``B`` rows the recursion is a running sum scaled by powers of ``d``. A block's
+carry is the decayed sum of the last values of the blocks before it, of which
+only those count whose weight ``d ** (B * j)`` a double can still see; it is
+joined back on the block. No task holds a whole symbol.
 """
 
 from __future__ import annotations
@@ -16,38 +17,40 @@ from pyspark.sql import functions as F
 from ..functions.numbering import number_rows
 from ..functions.win import KEY
 
-#: Below this decay a value two blocks back has no weight in double precision.
+#: Weights below this do not change a sum of doubles.
 _NOTHING = 1e-18
-_LEVELS = 4
+#: Blocks back that a carry may need at most.
+_MOST_BLOCKS = 4096
 
 
 def block_rows(d: float) -> int:
     """Rows of a block, so that ``d ** -B`` stays a finite double."""
-    return max(1, min(512, int(600 / -math.log(d)))) if 0 < d < 1 else 1
+    return max(1, min(512, int(600 / -math.log(d))))
 
 
-def affine_scan(df: DataFrame, columns: dict[str, tuple[str, float]], index: str = "idx", level: int = 0) -> DataFrame:
-    """Adds ``name`` for each ``name: (x, d)``: the decayed running sum of ``x``, which must not be NULL.
+def affine_scan(df: DataFrame, columns: dict[str, tuple[str, float]], index: str = "idx") -> DataFrame:
+    """Adds ``name`` for each ``name: (x, d)``: the decayed running sum of ``x``, which must not be NULL; ``0 < d < 1``.
 
-    ``index`` numbers the rows of a symbol from 0 without gaps.
+    ``index`` numbers the rows of a symbol from 0 without gaps. All columns of
+    one call share the blocks, the aggregation and the join.
     """
-    if all(d < _NOTHING for _, d in columns.values()):
-        before = Window.partitionBy(KEY).orderBy(index)
-        return df.withColumns({n: F.col(x) + d * F.coalesce(F.lag(x).over(before), F.lit(0.0)) for n, (x, d) in columns.items()})
-    if level >= _LEVELS:
-        raise ValueError("the span is too long for the scan's levels")
-    size = min(block_rows(d) for _, d in columns.values() if d >= _NOTHING)
-    block, at = f"_block{level}", f"_at{level}"
-    rows = df.withColumns({block: F.floor(F.col(index) / size), at: (F.col(index) % size).cast("double")})
-    run = Window.partitionBy(KEY, block).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    local = {f"_l_{n}": F.sum(F.col(x) * F.pow(F.lit(d), -F.col(at))).over(run) * F.pow(F.lit(d), F.col(at)) if d >= _NOTHING else F.col(x) for n, (x, d) in columns.items()}
-    rows = rows.withColumns(local)
-    lasts = rows.groupBy(KEY, block).agg(*[F.max_by(f"_l_{n}", index).alias(f"_x_{n}") for n in columns])
-    carried = affine_scan(lasts, {f"_c_{n}": (f"_x_{n}", d**size) for n, (_, d) in columns.items()}, block, level + 1)
-    carried = carried.select(KEY, (F.col(block) + 1).alias(block), *[f"_c_{n}" for n in columns])
-    joined = rows.join(carried, [KEY, block], "left")
-    out = {n: F.col(f"_l_{n}") + F.pow(F.lit(d), F.col(at) + 1) * F.coalesce(f"_c_{n}", F.lit(0.0)) for n, (_, d) in columns.items()}
-    return joined.withColumns(out).drop(block, at, *local, *[f"_c_{n}" for n in columns])
+    size = min(block_rows(d) for _, d in columns.values())
+    reach = {n: math.ceil(math.log(_NOTHING) / (size * math.log(d))) for n, (_, d) in columns.items()}
+    if max(reach.values()) > _MOST_BLOCKS:
+        raise ValueError("the span is too long for a carry over blocks")
+    rows = df.withColumns({"_block": F.floor(F.col(index) / size), "_at": (F.col(index) % size).cast("double")})
+    run = Window.partitionBy(KEY, "_block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_l_{n}": F.sum(F.col(x) * F.pow(F.lit(d), -F.col("_at"))).over(run) * F.pow(F.lit(d), F.col("_at")) for n, (x, d) in columns.items()})
+    lasts = rows.groupBy(KEY, "_block").agg(*[F.max_by(f"_l_{n}", index).alias(f"_x_{n}") for n in columns])
+
+    def carry(n: str, d: float):
+        back = F.collect_list(f"_x_{n}").over(Window.partitionBy(KEY).orderBy("_block").rowsBetween(-(reach[n] - 1), 0))
+        return F.aggregate(back, F.lit(0.0), lambda acc, x: acc * (d**size) + x)
+
+    carried = lasts.select(KEY, (F.col("_block") + 1).alias("_block"), *[carry(n, d).alias(f"_c_{n}") for n, (_, d) in columns.items()])
+    out = {n: F.col(f"_l_{n}") + F.pow(F.lit(d), F.col("_at") + 1) * F.coalesce(f"_c_{n}", F.lit(0.0)) for n, (_, d) in columns.items()}
+    joined = rows.join(carried, [KEY, "_block"], "left").withColumns(out)
+    return joined.drop("_block", "_at", *[f"_l_{n}" for n in columns], *[f"_c_{n}" for n in columns])
 
 
 def decay_of(alpha: float | None = None, span: float | None = None) -> float:
@@ -86,24 +89,23 @@ def ewm_means(df: DataFrame, means: dict[str, dict]) -> DataFrame:
     return affine_scan(df.withColumns(new), scans).withColumns(final).drop(*extra)
 
 
-def rsi_ewm(df: DataFrame, n: int = 14) -> DataFrame:
-    """``rsi_ewm``: exponentially weighted up and down moves, 50 until known; needs ``delta``."""
+def momentum_study(df: DataFrame, n: int = 14, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    """``rsi_ewm``, ``macd_hist``, ``macd_adjusted``, ``atr_ewm`` and ``atr_adjusted`` in two scans; needs ``delta`` and ``tr``.
+
+    RSI takes adjusted means of up and down moves and is 50 until ``n`` moves
+    are known. The histogram and the range come with and without adjustment.
+    """
     up = F.when(F.col("delta").isNotNull(), F.greatest("delta", F.lit(0.0)))
     down = F.when(F.col("delta").isNotNull(), F.greatest(-F.col("delta"), F.lit(0.0)))
-    df = ewm_means(df.withColumns({"_u": up, "_dn": down}), {k: {"x": x, "alpha": 1 / n, "min_periods": n} for k, x in (("_eu", "_u"), ("_ed", "_dn"))})
+    first = {k: {"x": x, "alpha": 1 / n, "min_periods": n} for k, x in (("_eu", "_u"), ("_ed", "_dn"))}
+    first |= {"atr_ewm": {"x": "tr", "alpha": 1 / n, "adjust": False}, "atr_adjusted": {"x": "tr", "alpha": 1 / n}}
+    first |= {f"_{k}{int(a)}": {"x": "close", "span": span, "adjust": a} for k, span in (("f", fast), ("s", slow)) for a in (False, True)}
+    df = ewm_means(df.withColumns({"_u": up, "_dn": down}), first)
+    df = df.withColumns({f"_m{a}": F.col(f"_f{a}") - F.col(f"_s{a}") for a in (0, 1)})
+    df = ewm_means(df, {f"_g{a}": {"x": f"_m{a}", "span": signal, "adjust": bool(a)} for a in (0, 1)})
     rsi = 100 - 100 / (1 + F.col("_eu") / (F.col("_ed") + 1e-6))
-    return df.withColumn("rsi_ewm", F.coalesce(rsi, F.lit(50.0))).drop("_u", "_dn", "_eu", "_ed")
-
-
-def macd_hist(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, adjust: bool = False, name: str = "macd_hist") -> DataFrame:
-    df = ewm_means(df, {"_f": {"x": "close", "span": fast, "adjust": adjust}, "_s": {"x": "close", "span": slow, "adjust": adjust}})
-    df = df.withColumn("_m", F.col("_f") - F.col("_s"))
-    df = ewm_means(df, {"_g": {"x": "_m", "span": signal, "adjust": adjust}})
-    return df.withColumn(name, F.col("_m") - F.col("_g")).drop("_f", "_s", "_m", "_g")
-
-
-def atr_ewm(df: DataFrame, n: int = 14, adjust: bool = False, name: str = "atr_ewm") -> DataFrame:
-    return ewm_means(df, {name: {"x": "tr", "alpha": 1 / n, "adjust": adjust}})
+    df = df.withColumns({"rsi_ewm": F.coalesce(rsi, F.lit(50.0)), "macd_hist": F.col("_m0") - F.col("_g0"), "macd_adjusted": F.col("_m1") - F.col("_g1")})
+    return df.drop("_u", "_dn", "_eu", "_ed", *[f"_{k}{a}" for k in "fsmg" for a in (0, 1)])
 
 
 def time_decay_weights(df: DataFrame, decay: float = 0.95) -> DataFrame:
