@@ -51,6 +51,15 @@ def div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def correlation(a: Column, b: Column, over: WindowSpec | None = None) -> Column:
+    """Pearson correlation of the pairs without NULLs; NULL where a side does not vary."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    wide = lambda c: c.over(over) if over is not None else c
+    sx, sy = wide(F.stddev_pop(x)), wide(F.stddev_pop(y))
+    return F.when((sx > 1e-12) & (sy > 1e-12), F.try_divide(wide(F.covar_pop(x, y)), sx * sy))
+
+
 def flag(cond: Column) -> Column:
     """1 or 0; unknown counts as 0."""
     return F.coalesce(cond, F.lit(False)).cast("int")

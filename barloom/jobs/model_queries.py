@@ -1 +1,117 @@
-"""Model queries."""
+"""Queries that fit models or need whole windows; checked by properties, as SQL has no form for them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.numbering import number_rows
+from ..functions.win import KEY, TIME, presented
+from ..operators import draws, hmm, models, regimes, rolling, spectral, targets
+from ..operators.calendar import CLOCK, SESSION, session_stats, time_features, window_columns, window_features
+from ..operators.candles import PATTERNS, SHAPE, candle_patterns
+from ..sources.bars import event_bars
+from .feature_queries import hourly, with_technicals
+from .registry import query
+
+_HMM = ["log_return", "vi_diff", "z_close_20"]
+_MIXED = ["return_60", "return_480", "roll_vol_60", "body_vs_range", "wick_polarity", "z_close_20", "rsi_14", "pos_in_roll"]
+
+
+@query()
+def dominant_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presented(spectral.dominant_frequency(hourly(spark, sf_dir)), ["fft_dominant_freq"])
+
+
+@query()
+def hurst_rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return presented(spectral.hurst_rs(hourly(spark, sf_dir)), ["hurst_rs"])
+
+
+_THEIL = """WITH bars AS (SELECT event_type AS symbol, (epoch_us(ts) // 3600000000) * 3600 AS ts, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY ALL),
+p AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM bars)
+SELECT a.symbol, round(median((b.close - a.close) / (a.n - b.n)), 6) + 0.0 AS slope FROM p a JOIN p b ON a.symbol = b.symbol AND a.n > b.n AND a.n <= 200 GROUP BY a.symbol"""
+
+
+@query(_THEIL)
+def robust_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.theil_sen(event_bars(spark, sf_dir)).select(KEY, (F.round("slope", 6) + F.lit(0.0)).alias("slope"))
+
+
+def all_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Calendar, candle, technical, clock and advanced features; every one comes with its name."""
+    df = window_features(window_features(with_technicals(df), 60), 480)
+    df = rolling.hurst_lagstd(rolling.energies(rolling.risk(rolling.efficiency(rolling.efficiency(df, 10), 20))))
+    df = time_features(session_stats(candle_patterns(df)))
+    names = [*window_columns(60), *window_columns(480), *SHAPE, *rolling.BASIC, *rolling.TECHNICALS, *CLOCK, "kaufman_er_10", "kaufman_er_20", *rolling.RISK, "wavelet_energy", "fft_energy", "hurst_20", *SESSION, *PATTERNS]
+    return df, names
+
+
+@query()
+def forecast_and_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features, a forest's forecast of the next close, mixture regimes, their readings, and signals."""
+    df, names = all_features(hourly(spark, sf_dir))
+    df = targets.fill_policy(targets.next_close(targets.require_min_rows(targets.chrono_split(df), 100)), names).persist()
+    forecast, _ = models.rf_forecast(df, names, "close_next", trees=20, depth=6)
+    mixed = models.gmm_regimes(df, _MIXED, "return_60")
+    readings = regimes.profile(mixed, "regime")
+    signals = models.regime_signal(mixed, readings).select(KEY, TIME, "regime", "regime_signal", "signal_confidence", "simple_signal")
+    return presented(forecast.select(KEY, TIME, "close", "close_next", "forecast").join(signals, [KEY, TIME]), ["close", "close_next", "forecast", "regime", "regime_signal", "signal_confidence", "simple_signal"])
+
+
+@query()
+def projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = window_features(window_features(with_technicals(hourly(spark, sf_dir)), 60), 480)
+    return presented(models.pca_project(df, _MIXED), ["pc1", "pc2"], 4)
+
+
+def _hmm_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = rolling.vortex(rolling.true_range(rolling.returns(hourly(spark, sf_dir)))).withColumn("z_close_20", rolling.zscore("close"))
+    df = targets.forward_return(df, 3).withColumn("part", F.floor(F.unix_seconds(TIME) / (10 * 86_400)))
+    return models.standardise(df, _HMM)
+
+
+@query()
+def hmm_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One model over all sequences; each symbol's sides by mean forward return, and its latest signal."""
+    df = _hmm_input(spark, sf_dir)
+    decoded = hmm.decode(df, hmm.fit(df, _HMM, iterations=8), _HMM)
+    joined = targets.align(decoded, df, ["fwd"])
+    sides = regimes.best_worst(regimes.state_returns(joined, "state"), "state")
+    return hmm.posterior_signal(decoded, sides)
+
+
+@query()
+def best_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Momentum and trend look-backs and a volatility feature, searched over sets of shared columns."""
+    df = rolling.true_range(rolling.returns(hourly(spark, sf_dir)))
+    for k in (3, 5, 8):
+        df = rolling.momentum(df, k)
+    for n in (5, 10):
+        df = rolling.trend_strength(df, n)
+    df = targets.forward_return(rolling.vortex(df), 3)
+    sets = [(m, t) for m in (3, 5, 8) for t in (5, 10)]
+    grid = spark.createDataFrame([(i, [f"momentum_{m}", f"trend_strength_{t}", "vi_diff"]) for i, (m, t) in enumerate(sets)], "config int, columns array<string>")
+    return models.config_search(df, grid).select(KEY, "config", F.array_join("columns", ",").alias("columns"), "score")
+
+
+@query()
+def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = number_rows(_hmm_input(spark, sf_dir))
+    counts = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    return presented(models.walk_forward(df.join(counts, KEY), _HMM, stride=50, most=400), ["prediction", "label"])
+
+
+@query()
+def direction_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = targets.forward_return(rolling.returns(hourly(spark, sf_dir)), 1).fillna(0.0, ["ret"]).withColumn("direction", targets.direction_label())
+    seq = targets.to_sequences(df, ["ret", "log_return"], "direction", 12)
+    return presented(models.direction_classifier(targets.random_split(seq)), ["label", "prediction", "p_up"])
+
+
+@query()
+def draw_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emission probabilities of a hidden model over drawn numbers, grouped by ten."""
+    rows = draws.line_draws(spark, sf_dir).select(F.col("series").cast("string").alias(KEY), F.lit(0).cast("long").alias("part"), F.xxhash64("order").alias(TIME), F.floor(F.col("n1") / 10).cast("int").alias("x"))
+    model = hmm.fit_categorical(rows, "x", 6, k=2, iterations=3)
+    return spark.createDataFrame([(k, s, float(p)) for k, row in enumerate(model.emit) for s, p in enumerate(row)], "state int, number_group int, p double")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.win import col, div, full, lag, last_rows
+from ..functions.win import col, correlation, div, full, lag, last_rows
 
 EPS = 1e-9
 
@@ -116,14 +116,13 @@ def risk(df: DataFrame, n: int = 20) -> DataFrame:
     kurt = (F.when(moves, full(F.kurtosis, "ret", n)) * (n + 1) + 6) * ((n - 1) / ((n - 2) * (n - 3)))
     w = last_rows(10)
     both = F.count(F.when(F.col("_before").isNotNull(), F.col("ret"))).over(w) == 10
-    vary = (F.stddev_pop("ret").over(w) > 1e-12) & (F.stddev_pop("_before").over(w) > 1e-12)
     return df.withColumns(
         {
             "rolling_sharpe": mean / (sd + EPS) * math.sqrt(252),
             "rolling_sortino": mean / (full(F.stddev_samp, "_loss", n) + EPS) * math.sqrt(252),
             "rolling_skew": skew,
             "rolling_kurtosis": kurt,
-            "regime_instability": 1 - F.abs(F.when(both & vary, F.corr("ret", "_before").over(w))),
+            "regime_instability": 1 - F.abs(F.when(both, correlation(F.col("ret"), F.col("_before"), w))),
         }
     ).drop("_loss", "_before")
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import number_rows
-from ..functions.win import KEY, TIME, lag, ordered
+from ..functions.win import KEY, TIME, correlation, lag, ordered
 
 TINY = 1e-10
 
@@ -36,11 +36,10 @@ def series_stats(df: DataFrame) -> DataFrame:
     """
     known = df.where("idx > 0")
     pair = df.withColumns({"_prev": lag("close"), "_pa": F.when(F.col("idx") > 1, F.abs(lag("w_ret")))})
-    moves = lambda a, b: (F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12)
     base = pair.groupBy(KEY).agg(
         F.max("n").alias("n"),
-        F.coalesce(F.when(moves(F.when(F.col("_prev").isNotNull(), F.col("close")), F.col("_prev")), F.corr("close", "_prev")), F.lit(0.0)).alias("autocorr"),
-        F.coalesce(F.when(moves(F.when(F.col("_pa").isNotNull(), F.abs("w_ret")), F.col("_pa")), F.corr(F.abs("w_ret"), F.col("_pa"))), F.lit(0.0)).alias("vol_cluster"),
+        F.coalesce(correlation(F.col("close"), F.col("_prev")), F.lit(0.0)).alias("autocorr"),
+        F.coalesce(correlation(F.abs("w_ret"), F.col("_pa")), F.lit(0.0)).alias("vol_cluster"),
     )
     median = known.groupBy(KEY).agg(F.median("w_ret").alias("_med"))
     mad = known.join(median, KEY).groupBy(KEY).agg((F.median(F.abs(F.col("w_ret") - F.col("_med"))) / 0.6745).alias("robust"))
