@@ -35,7 +35,7 @@ SENTENCE_THRESHOLD = 0.5
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
-_CACHE = 400_000
+_CACHE = 150_000
 
 
 def features(word: str) -> list[str]:
