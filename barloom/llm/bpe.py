@@ -1,12 +1,12 @@
-"""Byte-level BPE: ranked merges folded by higher-order functions over the distinct pieces of each block.
-
-A block is a stretch of documents inside one scan task. Its texts are cut into
-pieces by the tokenizer's pattern; each distinct piece is encoded once, by a
-fold over its bytes that joins the adjacent pair of lowest rank until none is
-ranked, with the ranks as one literal in the plan. Documents keep the numbers
-of their pieces, so their ids are gathered back without a join or a shuffle:
-the work stays where the text was read, whatever the vocabulary or the skew.
-Decoding looks each id's bytes up in a second literal and concatenates them.
+"""Byte-level BPE: ranked merges folded by higher-order functions over the distinct pieces of each task.
+
+Inside each scan task texts are cut into pieces by the tokenizer's pattern, and
+each distinct piece is encoded once, by a fold over its bytes that joins the
+adjacent pair of lowest rank until none is ranked, with the ranks as one literal
+in the plan. Documents keep the numbers of their pieces, so their ids are
+gathered back without a join or a shuffle: the work stays where the text was
+read, whatever the vocabulary or the skew. Decoding concatenates the binary
+pieces of the ids.
 """
 
 from __future__ import annotations
@@ -15,17 +15,23 @@ import base64
 import heapq
 import json
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
+from .stages import partitions
 from .words import row_chunks
 
-#: Text bytes of a block.
-BLOCK_BYTES = 24 << 20
+#: Documents sampled for the pieces every task knows from the start, and how many pieces these are at most.
+KNOWN_DOCS, KNOWN_PIECES = 10_000, 100_000
+#: Pieces a task numbers before it starts again.
+MOST_PIECES = 700_000
 #: Longer pieces are merged with a heap, where the fold would take time with the square of their length.
 LONG_PIECE = 192
 #: The rank map is a literal array of this many small maps, as a lookup in a Spark map scans its keys.
@@ -60,35 +66,40 @@ def encode_piece(piece: Column, table: Column) -> Column:
     """Ids of one piece, given as lower-case hex.
 
     The state has the starts of the current tokens (in bytes, with the end as
-    the last entry) and the rank of each adjacent pair joined; every step joins
-    the leftmost pair of lowest rank and looks up the two pairs beside it.
+    the last entry), the rank of each adjacent pair joined, and the place of the
+    lowest rank; every step joins the leftmost pair of lowest rank and looks up
+    the two pairs beside it.
     """
     n = (F.length(piece) / 2).cast("int")
     cut = lambda a, b: F.substr(piece, a * 2 + 1, (b - a) * 2)
-    starts = F.sequence(F.lit(0), n)
-    none = F.lit(None).cast("int")
-    pair = lambda s, i: _rank(table, cut(F.get(s, i), F.get(s, i + 2)))
-    first = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: _rank(table, cut(i, i + 2)))).otherwise(F.array().cast("array<int>"))
+    nothing = F.array().cast("array<int>")
+    first = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: _rank(table, cut(i, i + 2)))).otherwise(nothing)
+
+    def located(s: Column, r: Column) -> Column:
+        # a one-element array binds the new state, so that it is not evaluated again for the place
+        one = F.transform(F.array(F.struct(s.alias("s"), r.alias("r"))), lambda x: F.struct(x["s"].alias("s"), x["r"].alias("r"), F.array_position(x["r"], F.array_min(x["r"])).cast("int").alias("at")))
+        return F.get(one, F.lit(0))
 
     def step(acc: Column, _: Column) -> Column:
-        low = F.array_min(acc["r"])
-        at = (F.array_position(acc["r"], low) - 1).cast("int")
-        # the token that starts at position at + 1 ends; so does the pair at + 1 (or at, when it is the last)
-        s = F.filter(acc["s"], lambda _x, i: i != at + 1)
-        left = F.filter(acc["r"], lambda _x, i: i != at)
-        return F.when(low.isNull(), acc).otherwise(_rejoin(s, left, at))
-
-    def _rejoin(s: Column, left: Column, at: Column) -> Column:
-        state = F.transform(F.array(F.struct(s.alias("s"), left.alias("r"), at.alias("at"))), lambda x: F.struct(x["s"].alias("s"), F.transform(x["r"], lambda old, i: F.when((i == x["at"]) | (i == x["at"] - 1), pair(x["s"], i)).otherwise(old)).alias("r")))
-        return F.get(state, F.lit(0))
-
-    start = F.struct(starts.alias("s"), first.alias("r"))
-    steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+        s, r, at = acc["s"], acc["r"], acc["at"]
+        rest = F.size(r)
+        before = F.when(at > 1, F.array(_rank(table, cut(F.get(s, at - 2), F.get(s, at + 1))))).otherwise(nothing)
+        after = F.when(at < rest, F.array(_rank(table, cut(F.get(s, at - 1), F.get(s, at + 2))))).otherwise(nothing)
+        starts = F.concat(F.slice(s, F.lit(1), at), F.slice(s, at + 2, F.size(s)))
+        ranks = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, rest))
+        return F.when(at.isNull(), acc).otherwise(located(starts, ranks))
+
+    steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(nothing)
     ids = lambda acc: F.transform(
         F.sequence(F.lit(0), F.size(acc["s"]) - 2), lambda i: _rank(table, cut(F.get(acc["s"], i), F.get(acc["s"], i + 1)))
     )
     whole = _rank(table, piece)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.aggregate(steps, start, step, ids))
+    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.aggregate(steps, located(F.sequence(F.lit(0), n), first), step, ids))
+
+
+def with_ranks(table: Column, use) -> Column:
+    """``use(ranks)`` with the rank literal bound to a variable, so that the plan holds it once."""
+    return F.get(F.transform(F.array(table), use), F.lit(0))
 
 
 def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -115,102 +126,162 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
-    """One row for each block: document ids, how many pieces each has, piece numbers, and the distinct pieces."""
+def known_pieces(docs: DataFrame, pattern: str, table: Column, sample: int = KNOWN_DOCS, most: int = KNOWN_PIECES) -> tuple[list[str], list[list[int]]]:
+    """The commonest pieces of a bounded sample of documents, with their ids.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Only a cache that spares tasks from encoding common pieces again: pieces
+    outside it are encoded where they occur, so it changes no result. At most
+    ``most`` pieces.
+    """
+    total = docs.count()
+    if total > sample:
+        docs = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find = regex.compile(pattern_of(pattern)).findall
-        ids, counts, codes, numbers, size = [], [], [], {}, 0
+        find, seen = regex.compile(pattern_of(pattern)).findall, Counter()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                seen.update(find(text or ""))
+        some = {p: n for p, n in seen.items() if len(p) <= LONG_PIECE // 4}
+        yield pa.RecordBatch.from_arrays([pa.array(some.keys(), pa.string()), pa.array(some.values(), pa.int64())], names=["piece", "n"])
 
-        def flush() -> pa.RecordBatch:
-            pieces = [p.encode() for p in numbers]
-            short = [p.hex() if len(p) <= LONG_PIECE else "" for p in pieces]
-            far = [None if len(p) <= LONG_PIECE else p for p in pieces]
-            cols = [
-                pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())), pa.array([np.concatenate(codes).tobytes()], pa.binary()),
-                pa.array([short], pa.list_(pa.string())), pa.array([far], pa.list_(pa.binary())),
-            ]
-            return pa.RecordBatch.from_arrays(cols, names=["ids", "counts", "codes", "short", "far"])
+    counts = docs.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    top = counts.where("n > 1").orderBy(F.desc("n"), "piece").limit(most).select("piece")
+    top = top.repartition(partitions(docs.sparkSession))
+    as_hex = F.lower(F.hex(F.encode("piece", "UTF-8")))
+    rows = top.select("piece", with_ranks(table, lambda t: encode_piece(as_hex, t)).alias("ids")).toArrow()
+    return rows.column("piece").to_pylist(), rows.column("ids").to_pylist()
 
+
+def _blocks(docs: DataFrame, pattern: str, known) -> DataFrame:
+    """Rows of a few documents each: ids, how many pieces each has, piece numbers, and the pieces new to the task.
+
+    Known pieces have the first numbers; a task numbers its other pieces as they
+    come, ``base`` being the first number of a row's new ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find = regex.compile(pattern_of(pattern)).findall
+        numbers = dict(zip(known.value[0], range(len(known.value[0])), strict=True))
         for rows in row_chunks(batches):
-            for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
+            base = len(numbers)
+            counts, codes, number = [], [], numbers.setdefault
+            for text in rows.column("text").to_pylist():
                 found = find(text) if text else []
-                code = np.fromiter((numbers.setdefault(p, len(numbers)) for p in found), dtype=np.int32, count=len(found))
-                ids.append(doc)
+                code = np.fromiter((number(p, len(numbers)) for p in found), dtype=np.int32, count=len(found))
                 counts.append(len(found))
                 codes.append(code)
-                size += len(text or "")
-                if size >= BLOCK_BYTES:
-                    yield flush()
-                    ids, counts, codes, numbers, size = [], [], [], {}, 0
-        if ids:
-            yield flush()
+            new = [p.encode() for p in islice(reversed(numbers), len(numbers) - base)][::-1]
+            short = [p.hex() if len(p) <= LONG_PIECE else "" for p in new]
+            far = [None if len(p) <= LONG_PIECE else p for p in new]
+            cols = [
+                pa.array([base], pa.int32()), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())),
+                pa.array([np.concatenate(codes).tobytes()], pa.binary()), pa.array([short], pa.list_(pa.string())), pa.array([far], pa.list_(pa.binary())),
+            ]
+            yield pa.RecordBatch.from_arrays(cols, names=["base", "ids", "counts", "codes", "short", "far"])
+            if len(numbers) > MOST_PIECES:  # bounded memory: the task forgets its pieces and starts again
+                numbers = dict(zip(known.value[0], range(len(known.value[0])), strict=True))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "base int, ids array<long>, counts array<int>, codes binary, short array<string>, far array<binary>")
+
+
+class _Ids:
+    """Ids of numbered pieces in one growing array."""
+
+    def __init__(self, ids: list[list[int]]) -> None:
+        self.flat = np.array([i for x in ids for i in x], dtype=np.int32)
+        self.length = np.array([len(x) for x in ids], dtype=np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.pieces, self.used = len(ids), len(self.flat)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "ids array<long>, counts array<int>, codes binary, short array<string>, far array<binary>")
+    def add(self, flat: np.ndarray, length: np.ndarray) -> None:
+        self.flat, self.length, self.start = (_room(a, n) for a, n in ((self.flat, self.used + len(flat)), (self.length, self.pieces + len(length)), (self.start, self.pieces + len(length))))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.length[self.pieces : self.pieces + len(length)] = length
+        self.start[self.pieces : self.pieces + len(length)] = self.used + np.cumsum(length) - length
+        self.pieces, self.used = self.pieces + len(length), self.used + len(flat)
 
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row, and where each piece's ids end."""
+        n = self.length[codes]
+        edge = np.cumsum(n)
+        at = np.repeat(self.start[codes] - (edge - n), n) + np.arange(int(edge[-1]) if len(edge) else 0)
+        return self.flat[at], edge
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if len(a) >= n else np.concatenate([a, np.zeros(max(n - len(a), len(a)), dtype=a.dtype)])
+
+
+def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False) -> DataFrame:
     """``(doc_id, ids)`` for every row of ``docs(doc_id, text)``: the ids of the whole text, ``array<int>``.
 
+    ``packed`` gives them as binary instead, little-endian unsigned 32-bit.
+
     ``path`` names the vocabulary file and ``pattern`` the tokenizer's pattern,
     whose matches are encoded separately and without special tokens. Null and
     empty texts have no ids; a null doc_id stays null; rows are independent, so
     repeats give repeats; extra columns are ignored.
     """
     ranks = load_ranks(path)
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # one vocabulary, of a fixed size
+    context = docs.sparkSession.sparkContext
+    table = rank_literal(ranks)
+    known = context.broadcast(known_pieces(docs, pattern, table))  # at most KNOWN_PIECES
+    shared = context.broadcast(ranks)  # one vocabulary, of a fixed size
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = _Ids(known.value[1])
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
+                base = row.column("base")[0].as_py()
+                if base != ids_of.pieces:
+                    if base != len(known.value[1]):
+                        raise RuntimeError("pieces came out of order")
+                    ids_of = _Ids(known.value[1])
                 tokens = row.column("tokens").flatten()
                 length = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
                 flat = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-                starts = np.cumsum(length) - length
                 far = {k: np.array(merge_long(p, shared.value), dtype=np.int32) for k, p in enumerate(row.column("far").flatten().to_pylist()) if p is not None}
                 if far:
+                    starts = np.cumsum(length) - length
                     parts = [far[k] if k in far else flat[starts[k] : starts[k] + length[k]] for k in range(len(length))]
-                    length = np.array([len(p) for p in parts], dtype=np.int64)
-                    flat, starts = np.concatenate(parts), np.cumsum(length) - length
+                    flat, length = np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
+                ids_of.add(flat, length)
                 codes = np.frombuffer(row.column("codes")[0].as_py(), dtype=np.int32)
-                ids, counts = row.column("ids").flatten(), row.column("counts").flatten().to_numpy()
-                done = 0
-                step = max(1, len(ids) * (1 << 20) // max(len(codes), 1))
-                for lo in range(0, len(ids), step):
-                    mine = counts[lo : lo + step]
-                    code = codes[done : done + int(mine.sum())]
-                    done += len(code)
-                    n = length[code]
-                    at = np.repeat(starts[code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                    edge = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(mine)))]
-                    lists = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat[at], pa.int32()))
-                    yield pa.RecordBatch.from_arrays([ids.slice(lo, step), lists], names=["doc_id", "ids"])
-
-    # the literal is one foldable expression, so the plan holds the ready table once
-    table = rank_literal(ranks)
-    pieces = _blocks(docs, pattern)
-    encoded = pieces.select("ids", "counts", "codes", "far", F.transform("short", lambda p: F.when(p == "", F.array().cast("array<int>")).otherwise(encode_piece(p, table))).alias("tokens"))
-    return encoded.mapInArrow(gather, "doc_id long, ids array<int>")
-
-
-def decoded(ids: Column, path: str) -> Column:
-    """The bytes of an ``array<int>`` of ids: binary pieces from a literal array, concatenated."""
-    by_id = {rank: token.hex() for token, rank in load_ranks(path).items()}
-    pieces = F.from_json(F.lit(json.dumps([by_id.get(i, "") for i in range(max(by_id, default=-1) + 1)], separators=(",", ":"))), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
-
+                out, edge = ids_of.of(codes)
+                counts = row.column("counts").flatten().to_numpy()
+                ends = np.concatenate(([0], edge))[np.concatenate(([0], np.cumsum(counts)))]
+                if packed:
+                    raw = out.astype("<u4").tobytes()
+                    lists = pa.array([raw[4 * x : 4 * y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))
+                yield pa.RecordBatch.from_arrays([row.column("ids").flatten(), lists], names=["doc_id", "ids"])
+
+    tokens = with_ranks(table, lambda t: F.transform("short", lambda p: F.when(p == "", F.array().cast("array<int>")).otherwise(encode_piece(p, t))))
+    encoded = _blocks(docs, pattern, known).select("base", "ids", "counts", "codes", "far", tokens.alias("tokens"))
+    return encoded.mapInArrow(gather, f"doc_id long, ids {'binary' if packed else 'array<int>'}")
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``encoded`` with ``bytes``: the binary pieces of ``ids`` (an array, or packed), concatenated."""
+    by_id = {rank: token for token, rank in load_ranks(path).items()}
+    shared = encoded.sparkSession.sparkContext.broadcast([by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)])
 
-def ids_as_bytes(ids: Column) -> Column:
-    """Ids as little-endian unsigned 32-bit integers."""
-    return F.unhex(F.array_join(F.transform(ids, _little_endian), ""))
-
-
-def _little_endian(i: Column) -> Column:
-    swapped = (
-        F.shiftleft(i.bitwiseAND(F.lit(0xFF)), 24).bitwiseOR(F.shiftleft(i.bitwiseAND(F.lit(0xFF00)), 8))
-        .bitwiseOR(F.shiftrightunsigned(i, 8).bitwiseAND(F.lit(0xFF00))).bitwiseOR(F.shiftrightunsigned(i, 24))
-    )
-    return F.lpad(F.hex(swapped.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = shared.value.__getitem__
+        for batch in batches:
+            column = batch.column("ids")
+            if pa.types.is_binary(column.type):
+                lists = ([] if x is None else np.frombuffer(x, dtype="<u4").tolist() for x in column.to_pylist())
+            else:
+                lists = (x or [] for x in column.to_pylist())
+            texts = [b"".join(map(piece, ids)) for ids in lists]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "bytes"])
+
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("bytes", BinaryType())]))

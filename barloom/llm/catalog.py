@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, code_search, mixing, multi_index, secrets, simhash, substring_dedup, toxicity, url_filter
+from .stages import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,13 +60,9 @@ def token_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = F.col("ids")
-    return bpe.encode(docs, path, public_tokenizers.PATTERN).select(
-        "doc_id",
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(bpe.ids_as_bytes(ids), 256).alias("ids_sha256"),
-        F.sha2(bpe.decoded(ids, path), 256).alias("decoded_sha256"),
-    )
+    out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, packed=True), path)
+    count = (F.octet_length("ids") / 4).cast("long")
+    return out.select("doc_id", count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,11 @@ import random
 import numpy as np
 import public_tokenizers
 import tiktoken
-from barloom.llm import bpe, catalog
-from pyspark.sql import functions as F
+from barloom.llm import bpe, catalog, words
 
 from .corpus import awkward, frame
 
+known = bpe.known_pieces
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
 
@@ -25,11 +25,11 @@ def texts():
 def test_ids_equal_the_library_and_decode_back(spark):
     rows = list(enumerate(texts()))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    out = {r.doc_id: r for r in bpe.encode(df, PATH, public_tokenizers.PATTERN).withColumn("back", bpe.decoded(F.col("ids"), PATH)).collect()}
+    out = {r.doc_id: r for r in bpe.decode(bpe.encode(df, PATH, public_tokenizers.PATTERN), PATH).collect()}
     assert len(out) == len(rows)
     for i, t in rows:
         assert out[i].ids == LIBRARY.encode_ordinary(t or ""), t
-        assert bytes(out[i].back) == (t or "").encode()
+        assert bytes(out[i].bytes) == (t or "").encode()
 
 
 def test_heap_merges_equal_the_library():
@@ -40,8 +40,11 @@ def test_heap_merges_equal_the_library():
         assert bpe.merge_long(word.encode(), ranks) == LIBRARY.encode_ordinary(word)
 
 
-def test_small_blocks_and_digests(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 500)
+def test_forgetful_tasks_and_digests(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "MOST_PIECES", 30)
+    monkeypatch.setattr(bpe, "KNOWN_PIECES", 10)
+    monkeypatch.setattr(bpe, "known_pieces", lambda d, p, t: known(d, p, t, 5, 10))
+    monkeypatch.setattr(bpe, "row_chunks", lambda batches: words.row_chunks(batches, limit=300))
     rows = awkward()
     text = {d: t or "" for d, t, *_ in rows}
     for r in catalog.token_digests(frame(spark, rows)).collect():
