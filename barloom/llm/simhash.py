@@ -35,14 +35,14 @@ HOT_CELL = 50_000
 _LOW_BITS = np.uint64(0x5555555555555555)
 
 
-def _fold(block: WordBlock, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of the texts of a block, and their shingle counts."""
+def _fold(block: WordBlock, size: int, distinct: bool = False) -> np.ndarray:
+    """Fingerprints of the texts of a block; ``distinct`` counts each shingle of a text once."""
     words = np.diff(block.first)
     shingles = np.where(words == 0, 0, np.maximum(words - size + 1, 1))
     total = int(shingles.sum())
     prints = np.zeros(len(words), dtype=np.uint64)
     if not total:
-        return prints, shingles
+        return prints
     owner = np.repeat(np.arange(len(words)), shingles)
     offset = np.arange(total) - np.repeat(np.cumsum(shingles) - shingles, shingles)
     head = block.first[:-1][owner] + offset
@@ -51,16 +51,23 @@ def _fold(block: WordBlock, size: int) -> tuple[np.ndarray, np.ndarray]:
     hashes = np.fromiter(
         (digest(data[a:b], SEED) for a, b in zip(block.start[head].tolist(), block.end[tail].tolist(), strict=True)), dtype=np.uint64, count=total
     )
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(total, 8), axis=1, bitorder="little")
+    if distinct:
+        order = np.lexsort((hashes, owner))
+        hashes, owner = hashes[order], owner[order]
+        new = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))
+        hashes, shingles = hashes[new], np.bincount(owner[new], minlength=len(words))
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     full = np.flatnonzero(shingles)
     counts = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[full], axis=0, dtype=np.int32)
     majority = counts * 2 > shingles[full][:, None]
     prints[full] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
-    return prints, shingles
+    return prints
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``(doc_id, fp)``: the SimHash of each text's word shingles as a signed long.
+def fingerprints(docs: DataFrame, size: int = SHINGLE, distinct: bool = False, second: int = 0) -> DataFrame:
+    """``(doc_id, fp, alt)``: the SimHash of each text's word shingles as a signed long.
+
+    ``alt`` is another one over shingles of ``second`` words, or 0.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; shingles keep
     their repeats; a text with fewer words is one shingle, and a null or empty
@@ -69,10 +76,12 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in row_chunks(batches):
-            prints, _ = _fold(WordBlock([t.lower() for t in as_bytes(rows.column("text"))]), size)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            block = WordBlock([t.lower() for t in as_bytes(rows.column("text"))])
+            fp = _fold(block, size, distinct)
+            alt = _fold(block, second) if second else np.zeros_like(fp)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(alt.view(np.int64))], names=["doc_id", "fp", "alt"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, alt long")
 
 
 def embedding(fp: str = "fp") -> F.Column:
@@ -112,7 +121,7 @@ def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     return hit[np.bitwise_count(a[hit] ^ b[hit]) <= radius]
 
 
-def _grow(fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _grow(fp: np.ndarray, alt: np.ndarray, node: np.ndarray, radius: int, confirm: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """A star of edges for each component of one large cell; a row leaves the comparison once it has joined."""
     left, right = [], []
     rest = np.arange(len(fp))
@@ -121,6 +130,8 @@ def _grow(fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[list[np.ndarra
         while queue and len(rest):
             at = queue.pop()
             hit = np.bitwise_count(fp[rest] ^ fp[at]) <= radius
+            if confirm < 64:
+                hit[hit] = np.bitwise_count(alt[rest[hit]] ^ alt[at]) <= confirm
             if hit.any():
                 got, rest = rest[hit], rest[~hit]
                 members.append(got)
@@ -132,10 +143,11 @@ def _grow(fp: np.ndarray, node: np.ndarray, radius: int) -> tuple[list[np.ndarra
     return left, right
 
 
-def links(cells: DataFrame, radius: int = RADIUS) -> DataFrame:
+def links(cells: DataFrame, radius: int = RADIUS, confirm: int = 64) -> DataFrame:
     """``(u, v)`` edges that connect exactly what Hamming distance ``<= radius`` connects.
 
-    ``cells(cell, part, fp, node)``: rows of one (cell, part) are compared. Small
+    A link also needs the second fingerprints within ``confirm`` bits.
+    ``cells(cell, part, fp, alt, node)``: rows of one (cell, part) are compared. Small
     cells give every link; of a large cell each component gives one star, so the
     edges stay in proportion to the rows.
     """
@@ -144,7 +156,7 @@ def links(cells: DataFrame, radius: int = RADIUS) -> DataFrame:
         held = None
         for batch in batches:
             table = pa.table(batch) if not isinstance(batch, pa.Table) else batch
-            now = [table.column(c).to_numpy() for c in ("cell", "part", "fp", "node")]
+            now = [table.column(c).to_numpy() for c in ("cell", "part", "fp", "alt", "node")]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             change = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0))
             if len(change):  # the last cell may go on in the next batch
@@ -155,13 +167,13 @@ def links(cells: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield from compare(held)
 
     def compare(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cell, part, fp, node = cols
-        fp = np.ascontiguousarray(fp).view(np.uint64)
+        cell, part, fp, alt, node = cols
+        fp, alt = (np.ascontiguousarray(x).view(np.uint64) for x in (fp, alt))
         starts = np.concatenate(([0], np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0)) + 1))
         sizes = np.diff(np.append(starts, len(cell)))
         left, right = [], []
         for s, n in zip(starts[sizes > SMALL_CELL].tolist(), sizes[sizes > SMALL_CELL].tolist(), strict=True):
-            a, b = _grow(fp[s : s + n], node[s : s + n], radius)
+            a, b = _grow(fp[s : s + n], alt[s : s + n], node[s : s + n], radius, confirm)
             left += a
             right += b
         ends = np.repeat(starts + sizes, sizes)
@@ -169,6 +181,7 @@ def links(cells: DataFrame, radius: int = RADIUS) -> DataFrame:
         step = 1
         while len(small := small[small + step < ends[small]]):
             hit = small[_near(fp[small], fp[small + step], radius)]
+            hit = hit[np.bitwise_count(alt[hit] ^ alt[hit + step]) <= confirm]
             left.append(node[hit])
             right.append(node[hit + step])
             step += 1
@@ -186,34 +199,48 @@ def grid_cells(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = (
         distinct.withColumn("at", F.explode(masks))
         .withColumn("cell", F.xxhash64(F.col("at.pair"), embedding().bitwiseAND(F.col("at.mask"))))
-        .select("cell", "fp", "node")
+        .select("cell", "fp", "alt", "node")
     )
     hot = rows.groupBy("cell").count().where(F.col("count") > HOT_CELL)
     blocks = F.ceil(F.col("count") / HOT_CELL).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("fp", "alt"), blocks).cast("int")
     pair = lambda i: F.least(i, own) * F.lit(1 << 20) + F.greatest(i, own)
     parts = F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), pair))
-    return rows.join(hot, "cell", "left").select("cell", F.explode(parts).alias("part"), "fp", "node")
+    return rows.join(hot, "cell", "left").select("cell", F.explode(parts).alias("part"), "fp", "alt", "node")
 
 
-def near_duplicate_classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, distinct: bool = False, confirm: tuple[int, int] = (0, 64)) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs(doc_id, text)``.
 
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is
-    the smallest doc_id reachable, itself included. Equal fingerprints are
-    merged first, so groups of copies cost one row. Extra columns are ignored;
-    an empty table gives an empty result; rows with a null doc_id form no
-    class of their own and get the class of their fingerprint.
+    the smallest doc_id reachable, itself included. With ``confirm`` a link also
+    needs the fingerprints of shingles of that many words within that many bits.
+    Equal fingerprints are merged first, so groups of copies cost one row. Extra
+    columns are ignored; an empty table gives an empty result; rows with a null
+    doc_id form no class of their own and get the class of their fingerprint.
     """
-    prints = written(fingerprints(docs, size), "simhash")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    prints = written(fingerprints(docs, size, distinct, confirm[0]), "simhash")
+    groups = prints.groupBy("fp", "alt").agg(F.min("doc_id").alias("node"))
     n = partitions(docs.sparkSession)
-    cells = grid_cells(distinct.where("node is not null"), radius).repartition(n, "cell", "part").sortWithinPartitions("cell", "part")
-    component = connected_components(links(cells, radius))
-    classes = distinct.join(component, "node").select("fp", "component")
-    # the class table holds linked fingerprints only; other rows are their own class
-    alone = distinct.select("fp", "node")
-    classes = alone.join(classes, "fp", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, "fp", "left").select(
+    cells = grid_cells(groups.where("node is not null"), radius).repartition(n, "cell", "part").sortWithinPartitions("cell", "part")
+    component = connected_components(links(cells, radius, confirm[1]))
+    # the component table holds linked fingerprints only; others are their own class
+    classes = groups.join(component, "node", "left").select("fp", "alt", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(classes, ["fp", "alt"], "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+#: Near copies: most five-word shingles shared (similarity 0.8 and more), after a few edits.
+COPY_WORDS, COPY_RADIUS, COPY_CONFIRM = 2, 9, (5, 14)
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """Classes of documents that share about 0.8 or more of their five-word shingles.
+
+    A few edits move a five-word fingerprint by up to 13 bits, too far for the
+    grid. They move the fingerprint of distinct two-word shingles by about 9 at most,
+    so that one is searched, and the five-word fingerprint (14 bits at most; texts
+    without a relation differ in about 32) confirms.
+    """
+    return near_duplicate_classes(docs, COPY_WORDS, COPY_RADIUS, True, COPY_CONFIRM)

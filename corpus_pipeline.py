@@ -10,18 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import catalog, mixing, secrets, simhash, toxicity
-from barloom.llm.stages import written
+from barloom.llm.stages import small_batches, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the toxicity threshold, by a model of the labelled rows among ``docs``."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = toxicity.fit(docs, small_batches(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash class."""
-    later = simhash.near_duplicate_classes(docs).where("doc_id <> component_id").select("doc_id")
+    """The document with the smallest id of each class of near copies (five-word shingles, similarity 0.8 and more)."""
+    small_batches(spark)
+    later = simhash.near_copies(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -37,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every text of the mix."""
+    small_batches(spark)
     return catalog.token_digests(docs)
 
 

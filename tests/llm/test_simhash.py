@@ -52,7 +52,7 @@ def test_cells_lose_no_link(spark):
     prints += [centre ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(a)]
     prints = sorted(set(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    table = spark.createDataFrame(list(zip(signed, range(len(prints)), strict=True)), "fp long, node long")
+    table = spark.createDataFrame([(p, 0, i) for i, p in enumerate(signed)], "fp long, alt long, node long")
     cells = simhash.grid_cells(table).repartition(4, "cell", "part").sortWithinPartitions("cell", "part")
     got = {r.node: r.component for r in connected_components(simhash.links(cells)).collect()}
     parent = list(range(len(prints)))
@@ -79,3 +79,29 @@ def test_blocks_of_a_hot_cell_meet(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert simhash.near_duplicate_classes(frame(spark, [])).collect() == []
+
+
+def test_near_copies_by_five_word_shingles(spark):
+    """Edited copies join their original, whatever the edit; unrelated texts and null ids stay as they are."""
+    import random
+
+    r = random.Random(8)
+    vocab = ["".join(r.choice("abcdefghijklmno") for _ in range(r.randint(2, 9))) for _ in range(4000)]
+    common = vocab[:40]
+    rows, owner, doc = [], {}, 0
+    for _ in range(60):
+        words = [r.choice(common) if r.random() < 0.4 else r.choice(vocab) for _ in range(r.randint(120, 400))]
+        first = doc
+        for copy in range(4):
+            w = list(words)
+            for _ in range(0 if copy == 0 else max(1, len(w) // 60)):
+                w[r.randrange(len(w))] = r.choice(vocab)
+            rows.append((doc, " ".join(w), "en", "s", 0, 0, ""))
+            owner[doc] = first
+            doc += 1
+    rows.append((None, None, None, None, None, None, None))
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    found = sum(got[d] == owner[d] for d in owner)
+    assert found >= 0.97 * len(owner)
+    assert all(owner[d] == owner[c] for d, c in got.items() if d is not None)
