@@ -29,7 +29,7 @@ from .stages import partitions
 from .words import row_chunks
 
 #: Documents sampled for the pieces every task knows from the start, and how many pieces these are at most.
-KNOWN_DOCS, KNOWN_PIECES = 10_000, 100_000
+KNOWN_DOCS, KNOWN_PIECES = 20_000, 250_000
 #: Pieces a task numbers before it starts again.
 MOST_PIECES = 700_000
 #: Longer pieces are merged with a heap, where the fold would take time with the square of their length.
@@ -67,7 +67,7 @@ def encode_piece(piece: Column, table: Column) -> Column:
 
     The state has the starts of the current tokens (in bytes, with the end as
     the last entry), the rank of each adjacent pair joined, and the place of the
-    lowest rank; every step joins the leftmost pair of lowest rank and looks up
+    lowest rank (from 0, with its neighbours); every step joins the leftmost pair of lowest rank and looks up
     the two pairs beside it.
     """
     n = (F.length(piece) / 2).cast("int")
@@ -76,17 +76,17 @@ def encode_piece(piece: Column, table: Column) -> Column:
     first = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: _rank(table, cut(i, i + 2)))).otherwise(nothing)
 
     def located(s: Column, r: Column) -> Column:
-        # a one-element array binds the new state, so that it is not evaluated again for the place
-        one = F.transform(F.array(F.struct(s.alias("s"), r.alias("r"))), lambda x: F.struct(x["s"].alias("s"), x["r"].alias("r"), F.array_position(x["r"], F.array_min(x["r"])).cast("int").alias("at")))
-        return F.get(one, F.lit(0))
+        # one-element arrays bind the new state and the place of its lowest rank, so that neither is evaluated again
+        one = F.transform(F.array(F.struct(s.alias("s"), r.alias("r"))), lambda x: F.struct(x["s"].alias("s"), x["r"].alias("r"), F.array_position(x["r"], F.array_min(x["r"])).cast("int").alias("next")))
+        two = F.transform(one, lambda x: F.struct(x["s"].alias("s"), x["r"].alias("r"), x["next"].alias("next"), (x["next"] - 1).alias("at"), (x["next"] - 2).alias("prev")))
+        return F.get(two, F.lit(0))
 
     def step(acc: Column, _: Column) -> Column:
         s, r, at = acc["s"], acc["r"], acc["at"]
-        rest = F.size(r)
-        before = F.when(at > 1, F.array(_rank(table, cut(F.get(s, at - 2), F.get(s, at + 1))))).otherwise(nothing)
-        after = F.when(at < rest, F.array(_rank(table, cut(F.get(s, at - 1), F.get(s, at + 2))))).otherwise(nothing)
-        starts = F.concat(F.slice(s, F.lit(1), at), F.slice(s, at + 2, F.size(s)))
-        ranks = F.concat(F.slice(r, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(r, at + 2, rest))
+        starts = F.filter(s, lambda _x, i: i != acc["next"])
+        left = F.filter(r, lambda _x, i: i != at)
+        # the pairs at this place and the one before it have the joined token on a side
+        ranks = F.transform(left, lambda old, i: F.when((i == at) | (i == acc["prev"]), _rank(table, cut(F.get(s, i), F.get(s, i + 3)))).otherwise(old))
         return F.when(at.isNull(), acc).otherwise(located(starts, ranks))
 
     steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(nothing)
@@ -126,8 +126,8 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
-def known_pieces(docs: DataFrame, pattern: str, table: Column, sample: int = KNOWN_DOCS, most: int = KNOWN_PIECES) -> tuple[list[str], list[list[int]]]:
-    """The commonest pieces of a bounded sample of documents, with their ids.
+def known_pieces(docs: DataFrame, pattern: str, table: Column, sample: int = KNOWN_DOCS, most: int = KNOWN_PIECES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The commonest pieces of a bounded sample of documents, their ids in a row, and how many each has.
 
     Only a cache that spares tasks from encoding common pieces again: pieces
     outside it are encoded where they occur, so it changes no result. At most
@@ -152,7 +152,8 @@ def known_pieces(docs: DataFrame, pattern: str, table: Column, sample: int = KNO
     top = top.repartition(partitions(docs.sparkSession))
     as_hex = F.lower(F.hex(F.encode("piece", "UTF-8")))
     rows = top.select("piece", with_ranks(table, lambda t: encode_piece(as_hex, t)).alias("ids")).toArrow()
-    return rows.column("piece").to_pylist(), rows.column("ids").to_pylist()
+    ids = rows.column("ids").combine_chunks()
+    return rows.column("piece").to_pylist(), ids.flatten().to_numpy().astype(np.int32), np.diff(ids.offsets.to_numpy()).astype(np.int64)
 
 
 def _blocks(docs: DataFrame, pattern: str, known) -> DataFrame:
@@ -166,7 +167,7 @@ def _blocks(docs: DataFrame, pattern: str, known) -> DataFrame:
         import regex
 
         find = regex.compile(pattern_of(pattern)).findall
-        numbers = dict(zip(known.value[0], range(len(known.value[0])), strict=True))
+        numbers = dict(zip(known.value, range(len(known.value)), strict=True))
         for rows in row_chunks(batches):
             base = len(numbers)
             counts, codes, number = [], [], numbers.setdefault
@@ -184,7 +185,7 @@ def _blocks(docs: DataFrame, pattern: str, known) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["base", "ids", "counts", "codes", "short", "far"])
             if len(numbers) > MOST_PIECES:  # bounded memory: the task forgets its pieces and starts again
-                numbers = dict(zip(known.value[0], range(len(known.value[0])), strict=True))
+                numbers = dict(zip(known.value, range(len(known.value)), strict=True))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "base int, ids array<long>, counts array<int>, codes binary, short array<string>, far array<binary>")
 
@@ -192,11 +193,10 @@ def _blocks(docs: DataFrame, pattern: str, known) -> DataFrame:
 class _Ids:
     """Ids of numbered pieces in one growing array."""
 
-    def __init__(self, ids: list[list[int]]) -> None:
-        self.flat = np.array([i for x in ids for i in x], dtype=np.int32)
-        self.length = np.array([len(x) for x in ids], dtype=np.int64)
-        self.start = np.cumsum(self.length) - self.length
-        self.pieces, self.used = len(ids), len(self.flat)
+    def __init__(self, flat: np.ndarray, length: np.ndarray) -> None:
+        self.flat, self.length = flat, length
+        self.start = np.cumsum(length) - length
+        self.pieces, self.used = len(length), len(flat)
 
     def add(self, flat: np.ndarray, length: np.ndarray) -> None:
         self.flat, self.length, self.start = (_room(a, n) for a, n in ((self.flat, self.used + len(flat)), (self.length, self.pieces + len(length)), (self.start, self.pieces + len(length))))
@@ -217,10 +217,11 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
     return a if len(a) >= n else np.concatenate([a, np.zeros(max(n - len(a), len(a)), dtype=a.dtype)])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decoded: bool = False) -> DataFrame:
     """``(doc_id, ids)`` for every row of ``docs(doc_id, text)``: the ids of the whole text, ``array<int>``.
 
-    ``packed`` gives them as binary instead, little-endian unsigned 32-bit.
+    ``packed`` gives them as binary instead, little-endian unsigned 32-bit;
+    ``decoded`` adds ``bytes``, what :func:`decode` makes of the ids.
 
     ``path`` names the vocabulary file and ``pattern`` the tokenizer's pattern,
     whose matches are encoded separately and without special tokens. Null and
@@ -230,19 +231,21 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False) -> Da
     ranks = load_ranks(path)
     context = docs.sparkSession.sparkContext
     table = rank_literal(ranks)
-    known = context.broadcast(known_pieces(docs, pattern, table))  # at most KNOWN_PIECES
+    names, flat, length = known_pieces(docs, pattern, table)
+    known, known_ids = context.broadcast(names), context.broadcast((flat, length))  # at most KNOWN_PIECES
     shared = context.broadcast(ranks)  # one vocabulary, of a fixed size
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = _Ids(known.value[1])
+        token_of = {rank: token for token, rank in shared.value.items()}
+        ids_of = _Ids(*known_ids.value)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 base = row.column("base")[0].as_py()
                 if base != ids_of.pieces:
-                    if base != len(known.value[1]):
+                    if base != len(known_ids.value[1]):
                         raise RuntimeError("pieces came out of order")
-                    ids_of = _Ids(known.value[1])
+                    ids_of = _Ids(*known_ids.value)
                 tokens = row.column("tokens").flatten()
                 length = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
                 flat = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
@@ -261,27 +264,31 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False) -> Da
                     lists = pa.array([raw[4 * x : 4 * y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())
                 else:
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))
-                yield pa.RecordBatch.from_arrays([row.column("ids").flatten(), lists], names=["doc_id", "ids"])
+                cols = [row.column("ids").flatten(), lists]
+                if decoded:
+                    cols.append(_joined(lists, token_of.__getitem__))
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "bytes"][: len(cols)])
 
     tokens = with_ranks(table, lambda t: F.transform("short", lambda p: F.when(p == "", F.array().cast("array<int>")).otherwise(encode_piece(p, t))))
     encoded = _blocks(docs, pattern, known).select("base", "ids", "counts", "codes", "far", tokens.alias("tokens"))
-    return encoded.mapInArrow(gather, f"doc_id long, ids {'binary' if packed else 'array<int>'}")
+    return encoded.mapInArrow(gather, f"doc_id long, ids {'binary' if packed else 'array<int>'}{', bytes binary' if decoded else ''}")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``bytes``: the binary pieces of ``ids`` (an array, or packed), concatenated."""
-    by_id = {rank: token for token, rank in load_ranks(path).items()}
-    shared = encoded.sparkSession.sparkContext.broadcast([by_id.get(i, b"") for i in range(max(by_id, default=-1) + 1)])
+    shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(path).items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shared.value.__getitem__
         for batch in batches:
-            column = batch.column("ids")
-            if pa.types.is_binary(column.type):
-                lists = ([] if x is None else np.frombuffer(x, dtype="<u4").tolist() for x in column.to_pylist())
-            else:
-                lists = (x or [] for x in column.to_pylist())
-            texts = [b"".join(map(piece, ids)) for ids in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "bytes"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _joined(batch.column("ids"), shared.value.__getitem__)], names=[*batch.schema.names, "bytes"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("bytes", BinaryType())]))
+
+
+def _joined(ids: pa.Array, token_of) -> pa.Array:
+    """The tokens of each row of ids, concatenated."""
+    if pa.types.is_binary(ids.type):
+        lists = ([] if x is None else np.frombuffer(x, dtype="<u4").tolist() for x in ids.to_pylist())
+    else:
+        lists = (x or [] for x in ids.to_pylist())
+    return pa.array([b"".join(map(token_of, x)) for x in lists], pa.binary())

@@ -60,7 +60,7 @@ def token_digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, packed=True), path)
+    out = bpe.encode(docs, path, public_tokenizers.PATTERN, packed=True, decoded=True)
     count = (F.octet_length("ids") / 4).cast("long")
     return out.select("doc_id", count.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
