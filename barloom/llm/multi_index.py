@@ -4,6 +4,10 @@ Both halves of a vector are quantised with codebooks of their own; a pair of
 centroids is a cell. A query walks pairs in order of summed distance with a
 heap until the cells hold enough vectors, and the entries of those cells are
 ranked by the exact distance.
+
+Entries are dealt to blocks by cell. A query goes to each block that holds some
+of its cells and brings back its best entries there, so no row is made for a
+pair of query and candidate.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stages import partitions, written
@@ -24,10 +28,12 @@ K = 10
 #: Vectors the codebooks are fitted on at most, the first by hash.
 SAMPLE = 20_000
 #: Distinct vectors for each pair of centroids, and the bounds of a codebook's size.
-PER_CELL, LEAST_CODES, MOST_CODES = 16, 4, 512
-#: Distinct vectors a query looks at, or all if there are fewer.
-CANDIDATES = 3_000
-ROUNDS = 12
+PER_CELL, LEAST_CODES, MOST_CODES = 1, 4, 512
+#: Distinct vectors a query looks at: this many, or this share of all if that is more.
+CANDIDATES, SHARE = 3_000, 0.4
+ROUNDS = 8
+#: Distinct vectors of a block, on average.
+BLOCK_ROWS = 20_000
 
 
 def codebook(points: np.ndarray, size: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -74,15 +80,72 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two ``array<double>``."""
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+def _best_of(vectors: np.ndarray, nodes: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the ``k`` nearest rows, ties to the smaller node."""
+    gap = vectors - query
+    d = np.sqrt((gap * gap).sum(axis=1))
+    near = np.arange(len(d)) if len(d) <= k else np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+    near = near[np.lexsort((nodes[near], d[near]))][:k]
+    return near, d[near]
+
 
+def ranked(index: DataFrame, probes: DataFrame, blocks: int, k: int) -> DataFrame:
+    """``(query, score, ids, node)``: the ``k`` best entries of each block for each query that probes it.
 
-def nearest(embeddings: DataFrame, every: int = 100, k: int = K, candidates: int = CANDIDATES) -> DataFrame:
+    ``index(cell, v, ids, node)`` and ``probes(query, cells)``. A task reads the
+    entries of its block first and then streams the queries past them.
+    """
+    entries = index.select((F.col("cell") % blocks).cast("int").alias("block"), F.lit(0).alias("kind"), "cell", "v", "ids", "node", F.array().cast("array<long>").alias("cells"))
+    at = probes.select("query", F.explode("cells").alias("cell")).withColumn("block", (F.col("cell") % blocks).cast("int"))
+    asks = at.groupBy("query", "block").agg(F.collect_list("cell").alias("cells"))
+    none = F.lit(None)
+    asks = asks.select("block", F.lit(1).alias("kind"), none.cast("long").alias("cell"), F.col("query").alias("v"), none.cast("array<long>").alias("ids"), none.cast("long").alias("node"), "cells")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ready = None, [], None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            block, kind = table.column("block").to_numpy(), table.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(block)], strict=True):
+                part = table.slice(lo, hi - lo).combine_chunks()
+                if block[lo] != now:
+                    now, held, ready = block[lo], [], None
+                if kind[lo] == 0:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if ready is None:
+                    whole = pa.concat_tables(held).combine_chunks()
+                    order = np.argsort(whole.column("cell").to_numpy(), kind="stable")
+                    ids = whole.column("ids").combine_chunks().take(pa.array(order))
+                    cell, first = np.unique(whole.column("cell").to_numpy()[order], return_index=True)
+                    ready = (_matrix(whole.column("v").combine_chunks())[order], whole.column("node").to_numpy()[order], ids, dict(zip(cell.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(order)], strict=True), strict=True)))
+                vectors, nodes, ids, places = ready
+                queries, lists = _matrix(part.column("v").combine_chunks()), part.column("cells").to_pylist()
+                at, score, owner = [], [], []
+                for i, cells in enumerate(lists):
+                    rows = np.concatenate([np.arange(*places[c]) for c in cells if c in places] or [np.zeros(0, dtype=int)])
+                    if len(rows):
+                        near, d = _best_of(vectors[rows], nodes[rows], queries[i], k)
+                        at.append(rows[near])
+                        score.append(d)
+                        owner.append(np.full(len(near), i))
+                if at:
+                    spots = np.concatenate(at)
+                    cols = [part.column("v").combine_chunks().take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(score)), ids.take(pa.array(spots)), pa.array(nodes[spots])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["query", "score", "ids", "node"])
+
+    both = entries.unionByName(asks).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    return both.mapInArrow(run, "query array<double>, score double, ids array<long>, node long")
+
+
+def nearest(embeddings: DataFrame, every: int = 100, k: int = K, candidates: int = CANDIDATES, share: float = SHARE) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for the rows of ``embeddings(vec_id, embedding)`` whose id ``every`` divides.
 
-    Every other row is a candidate; ``score`` is the exact Euclidean distance,
+    Every other row is a candidate, of which each query looks at the nearest
+    cells' (``candidates``, or ``share`` of all); ``score`` is the exact Euclidean distance,
     ties go to the smaller id. Vectors that are null, zero, not finite, or of
     another length than most are left out. Equal vectors are one entry of the
     index, with the ``k + 1`` smallest ids, which loses no answer.
@@ -118,14 +181,16 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = K, candidates: int
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = asked.select("v").distinct()
 
+    enough = max(candidates, math.ceil(share * n))
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (squared(x, c) for x, c in zip(halves(batch.column("v")), shared.value, strict=True))
-            cells = [walk(a, b, counts.value, candidates) for a, b in zip(left, right, strict=True)]
+            cells = [walk(a, b, counts.value, enough) for a, b in zip(left, right, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(cells, pa.list_(pa.int64()))], names=["query", "cells"])
 
-    probes = queries.repartition(partitions(spark), "v").mapInArrow(probe, "query array<double>, cells array<long>").select("query", F.explode("cells").alias("cell"))
-    scored = probes.join(index, "cell").select("query", distance(F.col("query"), F.col("v")).alias("score"), "ids", "node")
+    probes = queries.repartition(partitions(spark), "v").mapInArrow(probe, "query array<double>, cells array<long>")
+    scored = ranked(index, probes, max(1, math.ceil(n / BLOCK_ROWS)), k + 1)
     order = Window.partitionBy("query").orderBy("score", "node")
     found = scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     return nearest_ids(found.select("query", "score", "ids"), asked.select(F.col("v").alias("query"), F.col("vec_id").alias("query_id")), k)

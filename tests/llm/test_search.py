@@ -48,11 +48,22 @@ def test_all_candidates_are_exact_and_few_keep_recall(spark):
     for q, near in want.items():
         assert [i for _, i in got[q]] == [i for _, i in near]
         assert np.allclose([s for s, _ in got[q]], [s for s, _ in near], rtol=1e-12)
-    some = {(r.query_id, r.vec_id) for r in multi_index.nearest(df, every=20, candidates=100).collect()}
+    some = {(r.query_id, r.vec_id) for r in multi_index.nearest(df, every=20, candidates=100, share=0.1).collect()}
     hits = sum((q, i) in some for q, near in want.items() for _, i in near)
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_default_share_keeps_recall_without_structure(spark):
+    """Random directions have no clusters to find; the default still looks at enough of them."""
+    r = np.random.default_rng(5)
+    m = r.normal(size=(6000, 32))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = {(x.query_id, x.vec_id) for x in multi_index.nearest(df, candidates=500).collect()}
+    want = [(q, int(i)) for q in range(0, 6000, 100) for i in np.argsort(np.where(np.arange(6000) == q, 9, ((m - m[q]) ** 2).sum(axis=1)))[:10]]
+    assert sum(p in got for p in want) >= 0.9 * len(want)
+
+
 def test_walk_goes_by_summed_distance():
     r = random.Random(1)
     left, right = np.array([r.random() for _ in range(5)]), np.array([r.random() for _ in range(6)])
