@@ -92,14 +92,12 @@ def _best_of(vectors: np.ndarray, nodes: np.ndarray, query: np.ndarray, k: int)
 def ranked(index: DataFrame, probes: DataFrame, blocks: int, k: int) -> DataFrame:
     """``(query, score, ids, node)``: the ``k`` best entries of each block for each query that probes it.
 
-    ``index(cell, v, ids, node)`` and ``probes(query, cells)``. A task reads the
+    ``index(cell, v, ids, node)`` and ``probes(block, query, cells)``. A task reads the
     entries of its block first and then streams the queries past them.
     """
     entries = index.select((F.col("cell") % blocks).cast("int").alias("block"), F.lit(0).alias("kind"), "cell", "v", "ids", "node", F.array().cast("array<long>").alias("cells"))
-    at = probes.select("query", F.explode("cells").alias("cell")).withColumn("block", (F.col("cell") % blocks).cast("int"))
-    asks = at.groupBy("query", "block").agg(F.collect_list("cell").alias("cells"))
     none = F.lit(None)
-    asks = asks.select("block", F.lit(1).alias("kind"), none.cast("long").alias("cell"), F.col("query").alias("v"), none.cast("array<long>").alias("ids"), none.cast("long").alias("node"), "cells")
+    asks = probes.select("block", F.lit(1).alias("kind"), none.cast("long").alias("cell"), F.col("query").alias("v"), none.cast("array<long>").alias("ids"), none.cast("long").alias("node"), "cells")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, ready = None, [], None
@@ -181,16 +179,20 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = K, candidates: int
     asked = rows.where(F.col("vec_id") % every == 0)
     queries = asked.select("v").distinct()
 
-    enough = max(candidates, math.ceil(share * n))
+    enough, blocks = max(candidates, math.ceil(share * n)), max(1, math.ceil(n / BLOCK_ROWS))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (squared(x, c) for x, c in zip(halves(batch.column("v")), shared.value, strict=True))
-            cells = [walk(a, b, counts.value, enough) for a, b in zip(left, right, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(cells, pa.list_(pa.int64()))], names=["query", "cells"])
-
-    probes = queries.repartition(partitions(spark), "v").mapInArrow(probe, "query array<double>, cells array<long>")
-    scored = ranked(index, probes, max(1, math.ceil(n / BLOCK_ROWS)), k + 1)
+            for i, (a, b) in enumerate(zip(left, right, strict=True)):
+                cells = np.array(walk(a, b, counts.value, enough), dtype=np.int64)
+                to = np.unique(cells % blocks)
+                lists = pa.array([cells[cells % blocks == t] for t in to], pa.list_(pa.int64()))
+                query = batch.column("v").take(pa.array(np.full(len(to), i)))
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), query, lists], names=["block", "query", "cells"])
+
+    probes = queries.repartition(partitions(spark), "v").mapInArrow(probe, "block int, query array<double>, cells array<long>")
+    scored = ranked(index, probes, blocks, k + 1)
     order = Window.partitionBy("query").orderBy("score", "node")
     found = scored.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     return nearest_ids(found.select("query", "score", "ids"), asked.select(F.col("v").alias("query"), F.col("vec_id").alias("query_id")), k)
