@@ -201,6 +201,11 @@ def grid_cells(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         .withColumn("cell", F.xxhash64(F.col("at.pair"), embedding().bitwiseAND(F.col("at.mask"))))
         .select("cell", "fp", "alt", "node")
     )
+    return _in_parts(rows)
+
+
+def _in_parts(rows: DataFrame) -> DataFrame:
+    """``rows(cell, fp, alt, node)`` with a ``part``: hot cells are cut into pairs of blocks."""
     hot = rows.groupBy("cell").count().where(F.col("count") > HOT_CELL)
     blocks = F.ceil(F.col("count") / HOT_CELL).cast("int")
     own = F.pmod(F.xxhash64("fp", "alt"), blocks).cast("int")
@@ -231,16 +236,184 @@ def near_duplicate_classes(docs: DataFrame, size: int = SHINGLE, radius: int = R
     )
 
 
-#: Near copies: most five-word shingles shared (similarity 0.8 and more), after a few edits.
-COPY_WORDS, COPY_RADIUS, COPY_CONFIRM = 2, 9, (5, 14)
+#: Near copies share at least 4 of 5 of all their distinct five-word shingles.
+COPY_WORDS = 5
+#: Candidates share a shingle of their prefixes and have both fingerprints within this many
+#: bits; at similarity 0.8 a fingerprint differs in about 9.7 of 64 (binomial; 3 in 10**6 exceed 24).
+COPY_RADIUS = 24
+#: Members of a large candidate group that all others are compared with first.
+HUBS = 8
+#: Most rows and shingles of a group compared whole, and of a block of a larger one.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A second hash of 64-bit hashes."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_sets(docs: DataFrame, size: int = COPY_WORDS) -> DataFrame:
+    """``(doc_id, fp, alt, digest, n, shingles)``: distinct shingle hashes in order, two fingerprints and a digest of them.
+
+    A text with fewer words is one shingle; a null or empty text has none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in row_chunks(batches):
+            block = WordBlock([t.lower() for t in as_bytes(rows.column("text"))])
+            words = np.diff(block.first)
+            count = np.where(words == 0, 0, np.maximum(words - size + 1, 1))
+            owner = np.repeat(np.arange(len(words)), count)
+            head = block.first[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            tail = np.minimum(head + size - 1, block.first[1:][owner] - 1)
+            data, digest = block.data, xxhash.xxh64_intdigest
+            spans = zip(block.start[head].tolist(), block.end[tail].tolist(), strict=True)
+            hashes = np.fromiter((digest(data[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(owner)).view(np.int64)
+            order = np.lexsort((hashes, owner))
+            hashes, owner = hashes[order], owner[order]
+            new = np.ones(len(owner), dtype=bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+            hashes, n = hashes[new], np.bincount(owner[new], minlength=len(words))
+            full, first = np.flatnonzero(n), (np.cumsum(n) - n)[n > 0]
+            prints, whole = np.zeros((2, len(n)), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
+            if len(full):
+                second = _mixed(hashes.view(np.uint64))
+                for k, h in enumerate((hashes.view(np.uint64), second)):
+                    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    majority = np.add.reduceat(bits, first, axis=0, dtype=np.int32) * 2 > n[full][:, None]
+                    prints[k, full] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
+                whole[full] = np.add.reduceat(_mixed(second), first)
+            ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+            longs = [pa.array(x.view(np.int64)) for x in (*prints, whole)]
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), *longs, pa.array(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(hashes))], names=["doc_id", "fp", "alt", "digest", "n", "shingles"]
+            )
+
+    schema = "doc_id long, fp long, alt long, digest long, n int, shingles array<long>"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def _alike(rows: list[np.ndarray], node: np.ndarray) -> tuple[list[int], list[int]]:
+    """A star of edges for each component that similarity 0.8 and more forms among some shingle sets."""
+    sizes = np.array([len(x) for x in rows])
+    values, codes = np.unique(np.concatenate(rows), return_inverse=True)
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(values), dtype=bool)
+    left, right = [], []
+    rest = np.arange(len(rows))
+    while len(rest) > 1:
+        members, queue, rest = [int(rest[0])], [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            mark[own[at]] = True
+            n = sizes[rest]
+            shared = np.add.reduceat(mark[np.concatenate([own[i] for i in rest])], np.cumsum(n) - n, dtype=np.int64)
+            mark[own[at]] = False
+            hit = 9 * shared >= 4 * (n + sizes[at])
+            members += rest[hit].tolist()
+            queue += rest[hit].tolist()
+            rest = rest[~hit]
+        ids = node[members]
+        left += ids[ids != ids.min()].tolist()
+        right += [int(ids.min())] * int((ids != ids.min()).sum())
+    return left, right
+
+
+def verified_links(blocks: DataFrame) -> DataFrame:
+    """``(u, v)`` edges that connect what similarity 0.8 connects within each (cell, part) of ``blocks(cell, part, node, shingles)``, which are sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, sets = None, [], []
+
+        def edges() -> Iterator[pa.RecordBatch]:
+            u, v = _alike(sets, np.array(nodes)) if len(nodes) > 1 else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            lists = batch.column("shingles")
+            flat, cuts = np.asarray(lists.flatten()), np.concatenate(([0], np.cumsum(np.asarray(lists.value_lengths()))))
+            keys = zip(batch.column("cell").to_pylist(), batch.column("part").to_pylist(), batch.column("node").to_pylist(), strict=True)
+            for i, (cell, part, node) in enumerate(keys):
+                if now != (cell, part):
+                    yield from edges()
+                    now, nodes, sets = (cell, part), [], []
+                nodes.append(node)
+                sets.append(flat[cuts[i] : cuts[i + 1]].copy())
+        yield from edges()
+
+    return blocks.mapInArrow(run, "u long, v long")
+
+
+def _copy_components(rows: DataFrame) -> DataFrame:
+    """``(node, component)`` by edges of exact similarity 0.8 and more within the groups of ``rows(cell, node, n, shingles)``.
+
+    A group's ``cell`` is its smallest node.
+
+    A small group is compared whole. In a larger one all members meet the first
+    ``HUBS``; where some are left apart, each of them meets all others, block by block.
+    """
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(partitions(df.sparkSession), "cell", "part").sortWithinPartitions("cell", "part")
+
+    total = rows.groupBy("cell").agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("long")).alias("words"))
+    many = written(total.where((F.col("rows") > BLOCK_ROWS) | (F.col("words") > BLOCK_SHINGLES)).select("cell"), "large")
+    small = verified_links(dealt(rows.join(many, "cell", "left_anti").select("cell", F.lit(0).alias("part"), "node", "shingles")))
+    if many.isEmpty():
+        return connected_components(small)
+    rows = rows.join(many, "cell", "left_semi")
+    first = F.slice(F.array_sort(F.collect_list("node")), 1, HUBS)
+    some = rows.groupBy("cell", F.pmod(F.col("node"), F.lit(64)).alias("p")).agg(first.alias("some"))
+    hubs = some.groupBy("cell").agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, HUBS).alias("hubs"))
+    hubs = hubs.select("cell", F.explode("hubs").alias("node")).join(rows.select("node", "n", "shingles"), "node")
+    hubs = hubs.select("cell", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("shingles").alias("hub_set"))
+    pairs = rows.join(hubs, "cell").where("node <> hub and 9 * least(n, hub_n) >= 4 * (n + hub_n)")
+    met = pairs.where("9 * size(array_intersect(shingles, hub_set)) >= 4 * (n + hub_n)").select(F.col("node").alias("u"), F.col("hub").alias("v"))
+    met = written(met.unionByName(small), "met")
+    one = connected_components(met)
+    large = rows.join(one, "node", "left").withColumn("apart", F.coalesce("component", "node") != F.col("cell"))
+    sums = large.groupBy("cell").agg(
+        F.count("*").alias("rows"), F.sum(F.col("n").cast("long")).alias("words"), F.sum(F.col("apart").cast("long")).alias("rows_a"), F.sum(F.when(F.col("apart"), F.col("n").cast("long")).otherwise(0)).alias("words_a")
+    )
+    blocks = lambda r, w: F.greatest(F.ceil(F.col(r) / BLOCK_ROWS), F.ceil(F.col(w) / BLOCK_SHINGLES)).cast("int")
+    sums = written(sums.where("rows_a > 0").select("cell", blocks("rows", "words").alias("many"), blocks("rows_a", "words_a").alias("few")), "apart")
+    if sums.isEmpty():
+        return one
+    large = large.drop("component").join(sums, "cell")
+    own = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    in_many = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda i: own("many") * F.col("few") + i)
+    in_few = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda j: j * F.col("few") + own("few"))
+    parts = F.when(F.col("apart"), F.array_union(in_many, in_few)).otherwise(in_many)
+    left = large.select("cell", F.explode(parts).alias("part"), "node", "shingles")
+    return connected_components(met.unionByName(verified_links(dealt(left))))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """Classes of documents that share about 0.8 or more of their five-word shingles.
+    """``(doc_id, fingerprint, component_id)``: classes joined by a similarity of 0.8 and more of distinct five-word shingles.
 
-    A few edits move a five-word fingerprint by up to 13 bits, too far for the
-    grid. They move the fingerprint of distinct two-word shingles by about 9 at most,
-    so that one is searched, and the five-word fingerprint (14 bits at most; texts
-    without a relation differ in about 32) confirms.
+    Two sets that alike share one of the first ``n - ceil(0.8 n) + 1`` of their
+    ordered shingles, whatever the edit; these prefixes and two fingerprints
+    propose, and only the exact similarity links. Equal sets are merged first.
+    ``component_id`` is the smallest doc_id of a class; rows with a null doc_id
+    get the class of their set.
     """
-    return near_duplicate_classes(docs, COPY_WORDS, COPY_RADIUS, True, COPY_CONFIRM)
+    same = ["digest", "n", "fp", "alt"]
+    prefix = F.slice("shingles", F.lit(1), F.col("n") - F.ceil(F.col("n") * 4 / F.lit(5)).cast("int") + 1)
+    prints = written(shingle_sets(docs).select("doc_id", *same, prefix.alias("prefix")).withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    groups = written(prints.where("doc_id is not null").groupBy(same).agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "sets")
+    # rows that repeat a set are few, so the prefixes need not move to leave them out
+    again = written(prints.select("row", *same).join(groups, same, "left").where("node is null or row <> node").select("row"), "again")
+    cells = prints.join(again, "row", "left_anti").select(F.explode("prefix").alias("cell"), "fp", "alt", F.col("row").alias("node"))
+    cells = _in_parts(cells).repartition(partitions(docs.sparkSession), "cell", "part").sortWithinPartitions("cell", "part")
+    candidates = connected_components(links(cells, COPY_RADIUS, COPY_RADIUS))
+    # only the texts of candidates are hashed again for their whole sets
+    known = written(groups.join(candidates, "node").select(F.col("first_id").alias("doc_id"), *same, "node", F.col("component").alias("cell")), "candidates")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    members = shingle_sets(texts).dropDuplicates(["doc_id", *same]).join(known, ["doc_id", *same]).select("cell", "node", "n", "shingles")
+    component = _copy_components(written(members, "members"))
+    named = groups.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    classes = named.join(smallest, "component").select(*same, "component_id")
+    return prints.select("doc_id", *same).join(classes, same, "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -105,3 +105,69 @@ def test_near_copies_by_five_word_shingles(spark):
     found = sum(got[d] == owner[d] for d in owner)
     assert found >= 0.97 * len(owner)
     assert all(owner[d] == owner[c] for d, c in got.items() if d is not None)
+
+
+def _copies(rows):
+    """Classes by exact similarity of distinct five-word shingles, pair by pair."""
+    sets = {}
+    for doc, text, *_ in rows:
+        w = text.split()
+        sets[doc] = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            x, y = sets[a], sets[b]
+            if a < b and (10 * len(x & y) >= 8 * len(x | y)):
+                i, j = sorted((root(a), root(b)))
+                parent[j] = i
+    return {d: root(d) for d in sets}
+
+
+def _edited(seed=11):
+    """Contiguous edits at similarities about 0.8 to 0.9, scattered edits at 0.6 to 0.85, and texts that share boilerplate."""
+    import random
+
+    r = random.Random(seed)
+    vocab = ["".join(r.choice("abcdefghijklmno") for _ in range(r.randint(2, 9))) for _ in range(4000)]
+    texts = []
+    for _ in range(30):
+        words = [r.choice(vocab) for _ in range(r.randint(100, 300))]
+        new = lambda n: [r.choice(vocab) for _ in range(n)]
+        n = len(words)
+        texts += [words, words + new(round(n * r.uniform(0.1, 0.24))), words[: round(n * r.uniform(0.81, 0.9))]]
+        k = round(n * r.uniform(0.05, 0.1))
+        texts.append(words[:20] + new(k) + words[20 + k :])
+        for _ in range(3):
+            w = list(words)
+            for i in r.sample(range(n), round(n * r.uniform(0.02, 0.05))):
+                w[i] = r.choice(vocab)
+            texts.append(w)
+    line = vocab[:30]
+    texts += [line + [r.choice(vocab) for _ in range(60)] for _ in range(80)] + [vocab[:3], vocab[:3], [], []]
+    r.shuffle(texts)
+    return [(i, " ".join(w), "en", "s", 0, 0, "") for i, w in enumerate(texts)]
+
+
+def test_near_copies_are_the_exact_similarity(spark):
+    rows = _edited()
+    want = _copies(rows)
+    want |= {i: min(j for j, t, *_ in rows if not t) for i, t, *_ in rows if not t}
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_groups_beyond_their_hubs(spark, monkeypatch):
+    """A chain whose far ends do not resemble each other, with few hubs, small blocks and parts."""
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 100]), "en", "s", 0, 0, "") for i in (5, 70, 3, *range(10, 60, 2))]
+    rows += [(i + 200, " ".join(words[9 * i : 9 * i + 100]), "en", "s", 0, 0, "") for i in range(20)]
+    for name, value in (("HUBS", 1), ("BLOCK_ROWS", 4), ("HOT_CELL", 5), ("SMALL_CELL", 2)):
+        monkeypatch.setattr(simhash, name, value)
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, rows)).collect()}
+    assert got == _copies(rows)
