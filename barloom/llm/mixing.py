@@ -32,6 +32,8 @@ GRID = 1024
 #: Rows a bucket of a source should hold at most, on average.
 BUCKET_ROWS = 100_000
 SEED = "mix-1:"
+#: Column with the key of a row of documents; doc_id may be null or repeated.
+ROW = "_mix_row"
 
 _GOLDEN = 0.6180339887498949
 
@@ -114,11 +116,15 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mos
     repeat a doc_id are separate documents; extra columns are ignored; an empty
     table gives an empty result.
     """
+    return _row_mixture(docs.withColumn(ROW, F.monotonically_increasing_id()), weights, share, most).drop("row")
+
+
+def _row_mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_PASSES) -> DataFrame:
+    """:func:`mixture` of rows that carry their own key in ``ROW``; the result has it as ``row``."""
     spark = docs.sparkSession
     sizes = written(
-        docs.select(F.col("doc_id").cast("long"), "source", words_in().alias("size"))
-        .withColumn("key", F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-        .withColumn("row", F.monotonically_increasing_id()),
+        docs.select(F.col("doc_id").cast("long"), "source", words_in().alias("size"), F.col(ROW).alias("row"))
+        .withColumn("key", F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))),
         "sizes",
     )
     rows, words = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -160,21 +166,24 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mos
     got = used.groupBy("row").agg(*by_pass)
     zero = [F.coalesce(f"pass{p}", F.lit(0)).cast("long") for p in range(most)]
     return at.join(got, "row", "left").select(
-        "doc_id", "size", "source_size", "target", sum(zero[1:], zero[0]).alias("taken"), F.array(*zero).alias("taken_by_pass")
+        "row", "doc_id", "size", "source_size", "target", sum(zero[1:], zero[0]).alias("taken"), F.array(*zero).alias("taken_by_pass")
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, once for each pass that takes words, with the words taken as text.
 
-    Columns stay; ``n_chars`` follows the text. doc_id must be unique. Documents
-    of sources above their target that no slot reaches do not appear.
+    Columns stay; ``n_chars`` follows the text. Rows are told apart by a key of
+    their own in a written table, so null and repeated doc_ids count as rows.
+    Documents of sources above their target that no slot reaches do not appear.
     """
-    mix = mixture(docs, **options).select("doc_id", "size", F.posexplode("taken_by_pass").alias("pass", "take")).where("take > 0")
+    columns = docs.columns
+    docs = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    mix = _row_mixture(docs, **options).select(F.col("row").alias(ROW), "size", F.posexplode("taken_by_pass").alias("pass", "take")).where("take > 0")
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col("take") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("take").cast("int")), " "))
-    joined = docs.join(mix, "doc_id").withColumn("text", text)
-    return joined.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    joined = docs.join(mix, ROW).withColumn("text", text)
+    return joined.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
 
 
 #: The query's rows in DuckDB SQL, with the same arithmetic.

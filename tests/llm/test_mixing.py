@@ -62,3 +62,18 @@ def test_one_source_without_words_and_empty_table(spark):
     rows = [(1, None, "en", "a", None, 0, ""), (2, " ", "en", "a", None, 0, "")]
     assert [(r.target, r.taken) for r in mixing.mixture(frame(spark, rows)).collect()] == [(0.0, 0), (0.0, 0)]
     assert mixing.mixture(frame(spark, [])).collect() == []
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    """Words taken by the mix come out as text, at most twice a row, whatever the ids."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(f"r{i}w{k}" for k in range(20 + i)), "en", f"s{i % 2}", None, 0, "") for i in range(60)]
+    df = frame(spark, rows)
+    want = sum(r.taken for r in mixing.mixture(df).collect())
+    got = {}
+    for r in mixing.mixed_documents(df).collect():
+        words = WORD.findall(r.text)
+        i = int(words[0][1:].split("w")[0])
+        assert r.doc_id == rows[i][0]
+        got[i] = got.get(i, 0) + len(words)
+    assert all(n <= 2 * (20 + i) for i, n in got.items())
+    assert {i % 3 for i in got} == {0, 1, 2} and sum(got.values()) == want
