@@ -1,39 +1,43 @@
-"""Byte-level BPE: ranked merges folded by higher-order functions over the distinct pieces of each task.
-
-Inside each scan task texts are cut into pieces by the tokenizer's pattern, and
-each distinct piece is encoded once, by a fold over its bytes that joins the
-adjacent pair of lowest rank until none is ranked, with the ranks as one literal
-in the plan. Documents keep the numbers of their pieces, so their ids are
-gathered back without a join or a shuffle: the work stays where the text was
-read, whatever the vocabulary or the skew. Decoding concatenates the binary
-pieces of the ids.
+"""Byte-level BPE: ranked merges folded by higher-order functions over the distinct pieces of a table.
+
+Texts are cut into pieces by the tokenizer's pattern, block by block; a block is
+some texts of one task, keeps the numbers of its pieces, and sends each of its
+distinct pieces once to the piece's bucket. A bucket holds every copy of its
+pieces, so each distinct piece of the table is encoded once, by a fold over its
+bytes that joins the adjacent pair of lowest rank until none is ranked, with the
+ranks as one literal in the plan. The ids go back to the blocks by block key,
+where texts take them by number. Decoding concatenates the binary pieces of the
+ids.
+
+The blocks are written before they are used, so every later step sees the same
+numbers whatever is recomputed or in which order rows come.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 import json
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .stages import partitions
+from .stages import partitions, written
 from .words import row_chunks
 
-#: Documents sampled for the pieces every task knows from the start, and how many pieces these are at most.
-KNOWN_DOCS, KNOWN_PIECES = 20_000, 250_000
-#: Pieces a task numbers before it starts again.
-MOST_PIECES = 700_000
-#: Longer pieces are merged with a heap, where the fold would take time with the square of their length.
-LONG_PIECE = 192
+#: Text bytes of a block; a longer text is a block of its own.
+BLOCK_BYTES = 32 << 20
+#: Longer pieces are cut where no token can cross, and all pairs of the lowest rank are joined in one step.
+LONG_PIECE = 64
+#: Pieces whose ids are gathered at a time.
+GATHER = 1 << 18
 #: The rank map is a literal array of this many small maps, as a lookup in a Spark map scans its keys.
 BUCKETS = 1 << 16
 
@@ -51,11 +55,13 @@ def pattern_of(pattern: str) -> str:
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
     """``array<map<string, int>>``: hex of a token to its rank, in the bucket of the hex string's crc32."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for token, rank in ranks.items():
-        key = token.hex()
-        buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+    place = sorted((zlib.crc32(key.encode()) % BUCKETS, key, rank) for key, rank in ((token.hex(), rank) for token, rank in ranks.items()))
+    parts, now = [], 0
+    for bucket, key, rank in place:
+        parts.append("{" * (not parts) + "},{" * (bucket - now) + "," * (bool(parts) and bucket == now) + f'"{key}":{rank}')
+        now = bucket
+    text = "[" + ("".join(parts) or "{") + "},{" * (BUCKETS - 1 - now) + "}]"
+    return F.from_json(F.lit(text), "array<map<string,int>>")
 
 
 def _rank(table: Column, key: Column) -> Column:
@@ -97,124 +103,196 @@ def encode_piece(piece: Column, table: Column) -> Column:
     return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.aggregate(steps, located(F.sequence(F.lit(0), n), first), step, ids))
 
 
+def encode_long(piece: Column, table: Column) -> Column:
+    """Ids of one long piece: as :func:`encode_piece`, with every pair of the lowest rank joined in one step.
+
+    Joining them together is the same as from left to right unless a joined
+    token forms a pair of still lower rank with a neighbour, whose turn would
+    come first; such a step joins the leftmost pair alone.
+    """
+    n = (F.length(piece) / 2).cast("int")
+    cut = lambda a, b: F.substr(piece, a * 2 + 1, (b - a) * 2)
+    first = F.transform(F.sequence(F.lit(0), n - 2), lambda i: _rank(table, cut(i, i + 2)))
+
+    def state(s: Column, r: Column) -> Column:
+        return F.struct(s.alias("s"), r.alias("r"), F.array_min(r).alias("low"))
+
+    def joined(s: Column, r: Column, flags: Column) -> Column:
+        on = lambda i: F.coalesce(F.get(flags, i) == "1", F.lit(False))
+        starts = F.filter(s, lambda _x, i: (i == 0) | ~on(i - 1))
+        left = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda p: ~on(p))
+        wide = lambda p: _rank(table, cut(F.get(s, p - on(p - 1).cast("int")), F.get(s, p + 2 + on(p + 1).cast("int"))))
+        return state(starts, F.transform(left, lambda p: F.when(on(p - 1) | on(p + 1), wide(p)).otherwise(F.get(r, p))))
+
+    def step(acc: Column, _: Column) -> Column:
+        # of neighbouring pairs that overlap every other one is joined, from the left
+        spelt = lambda x: F.array_join(F.transform(x["r"], lambda v: F.when(v == x["low"], "1").otherwise("0")), "")
+        flagged = F.transform(F.array(acc), lambda x: F.struct(x["s"].alias("s"), x["r"].alias("r"), x["low"].alias("low"), F.split(F.regexp_replace(spelt(x), "11", "10"), "").alias("f")))
+
+        def tried(x: Column) -> Column:
+            early = lambda i: (F.get(x["f"], i) == "1") & (F.get(x["f"], i + 2) == "1") & (_rank(table, cut(F.get(x["s"], i), F.get(x["s"], i + 3))) < x["low"])
+            clash = F.exists(F.sequence(F.lit(0), F.size(x["r"]) - 1), lambda i: F.coalesce(early(i), F.lit(False)))
+            return F.struct(*[x[k].alias(k) for k in ("s", "r", "low", "f")], joined(x["s"], x["r"], x["f"]).alias("all"), clash.alias("clash"))
+
+        def settled(x: Column) -> Column:
+            one = F.transform(x["r"], lambda _v, i: F.when(i == F.array_position(x["r"], x["low"]) - 1, "1").otherwise("0"))
+            return F.when(x["clash"] | F.coalesce(x["all"]["low"] < x["low"], F.lit(False)), joined(x["s"], x["r"], one)).otherwise(x["all"])
+
+        return F.when(acc["low"].isNull(), acc).otherwise(F.get(F.transform(F.transform(flagged, tried), settled), F.lit(0)))
+
+    ids = lambda acc: F.transform(
+        F.sequence(F.lit(0), F.size(acc["s"]) - 2), lambda i: _rank(table, cut(F.get(acc["s"], i), F.get(acc["s"], i + 1)))
+    )
+    return F.aggregate(F.sequence(F.lit(1), n - 1), state(F.sequence(F.lit(0), n), first), step, ids)
+
+
 def with_ranks(table: Column, use) -> Column:
     """``use(ranks)`` with the rank literal bound to a variable, so that the plan holds it once."""
     return F.get(F.transform(F.array(table), use), F.lit(0))
 
 
-def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a long piece in time n log n: a heap of pair ranks over a linked list of tokens."""
-    n = len(piece)
-    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
-    alive = [True] * n
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = after[i] if alive[i] else n
-        if j >= n or end[j] != stop:
-            continue
-        end[i], after[i], alive[j] = stop, after[j], False
-        if after[j] < n:
-            before[after[j]] = i
-            k = after[j]
-            if (r := ranks.get(piece[i : end[k]])) is not None:
-                heapq.heappush(heap, (r, i, end[k]))
-        h = before[i]
-        if h >= 0 and (r := ranks.get(piece[h:stop])) is not None:
-            heapq.heappush(heap, (r, h, stop))
-    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
-
-
-def known_pieces(docs: DataFrame, pattern: str, table: Column, sample: int = KNOWN_DOCS, most: int = KNOWN_PIECES) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The commonest pieces of a bounded sample of documents, their ids in a row, and how many each has.
-
-    Only a cache that spares tasks from encoding common pieces again: pieces
-    outside it are encoded where they occur, so it changes no result. At most
-    ``most`` pieces.
-    """
-    total = docs.count()
-    if total > sample:
-        docs = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * sample / total))
+def joins_of(ranks: dict[bytes, int]) -> np.ndarray:
+    """For each pair of bytes (the first times 256 plus the second) whether some token holds them side by side."""
+    held = np.zeros(1 << 16, dtype=bool)
+    for token in ranks:
+        x = np.frombuffer(token, dtype=np.uint8).astype(np.int64)
+        held[x[:-1] * 256 + x[1:]] = True
+    return held
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
 
-        find, seen = regex.compile(pattern_of(pattern)).findall, Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                seen.update(find(text or ""))
-        some = {p: n for p, n in seen.items() if len(p) <= LONG_PIECE // 4}
-        yield pa.RecordBatch.from_arrays([pa.array(some.keys(), pa.string()), pa.array(some.values(), pa.int64())], names=["piece", "n"])
+def segments(piece: bytes, held: np.ndarray) -> list[bytes]:
+    """A piece cut between bytes that no token holds side by side, which no merge can cross."""
+    x = np.frombuffer(piece, dtype=np.uint8).astype(np.int64)
+    cuts = np.flatnonzero(~held[x[:-1] * 256 + x[1:]]) + 1
+    return [piece[a:b] for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(piece)], strict=True)]
 
-    counts = docs.select("text").mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "piece").limit(most).select("piece")
-    top = top.repartition(partitions(docs.sparkSession))
-    as_hex = F.lower(F.hex(F.encode("piece", "UTF-8")))
-    rows = top.select("piece", with_ranks(table, lambda t: encode_piece(as_hex, t)).alias("ids")).toArrow()
-    ids = rows.column("ids").combine_chunks()
-    return rows.column("piece").to_pylist(), ids.flatten().to_numpy().astype(np.int32), np.diff(ids.offsets.to_numpy()).astype(np.int64)
 
+def _press(a: np.ndarray) -> bytes:
+    """Integers as byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
 
-def _blocks(docs: DataFrame, pattern: str, known) -> DataFrame:
-    """Rows of a few documents each: ids, how many pieces each has, piece numbers, and the pieces new to the task.
 
-    Known pieces have the first numbers; a task numbers its other pieces as they
-    come, ``base`` being the first number of a row's new ones.
-    """
+def _opened(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel()
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[start:start + length]`` of the places ``at`` in a row, and where each ends."""
+    n = length[at]
+    edge = np.cumsum(n, dtype=np.int64)
+    spots = np.repeat(start[at] - (edge - n), n) + np.arange(int(edge[-1]) if len(edge) else 0)
+    return flat[spots], edge
+
+
+class _Block:
+    """Texts of one task: the pieces of all, numbered as they come."""
+
+    def __init__(self) -> None:
+        self.ids, self.counts, self.codes, self.size = [], [], [], 0
+        self.numbers: defaultdict[str, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+
+    def add(self, doc_id, pieces: list[str], size: int) -> None:
+        self.ids.append(doc_id)
+        self.counts.append(len(pieces))
+        self.codes.append(np.fromiter(map(self.numbers.__getitem__, pieces), dtype=np.int32, count=len(pieces)))
+        self.size += size
+
+    def rows(self, key: int, buckets: int) -> Iterator[tuple]:
+        """One row with the texts' codes and one for each bucket with distinct pieces."""
+        codes = np.concatenate(self.codes)
+        often = np.argsort(-np.bincount(codes, minlength=len(self.numbers)), kind="stable").astype(np.int32)
+        code = np.empty_like(often)
+        code[often] = np.arange(len(often), dtype=np.int32)  # common pieces have small codes, which pack well
+        pieces = [p.encode() for p in self.numbers]
+        bucket = np.fromiter((zlib.crc32(p) % buckets for p in pieces), dtype=np.int64, count=len(pieces))
+        order = np.array(sorted(range(len(pieces)), key=lambda i: (bucket[i], pieces[i])), dtype=np.int64)
+        yield key, -1, 0, self.ids, self.counts, _press(code[codes]), _press(code[order])
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(order) else np.zeros(0, dtype=int)
+        coder = zstandard.ZstdCompressor(level=3)
+        for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
+            yield key, int(bucket[order[a]]), a, None, None, coder.compress(b"\xff".join(pieces[i] for i in order[a:b].tolist())), None
+
+
+_BLOCKS = {"block": pa.int64(), "bucket": pa.int32(), "first": pa.int32(), "ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()), "body": pa.binary(), "order": pa.binary()}
+
+
+def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
+    """Rows of :class:`_Block`: ``bucket`` -1 has the texts, others the distinct pieces of that bucket from the ``first`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find = regex.compile(pattern_of(pattern)).findall
-        numbers = dict(zip(known.value, range(len(known.value)), strict=True))
+        key, block = TaskContext.get().partitionId() << 32, _Block()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for row in block.rows(key, buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _BLOCKS.values(), strict=True)], names=list(_BLOCKS))
+
         for rows in row_chunks(batches):
-            base = len(numbers)
-            counts, codes, number = [], [], numbers.setdefault
-            for text in rows.column("text").to_pylist():
-                found = find(text) if text else []
-                code = np.fromiter((number(p, len(numbers)) for p in found), dtype=np.int32, count=len(found))
-                counts.append(len(found))
-                codes.append(code)
-            new = [p.encode() for p in islice(reversed(numbers), len(numbers) - base)][::-1]
-            short = [p.hex() if len(p) <= LONG_PIECE else "" for p in new]
-            far = [None if len(p) <= LONG_PIECE else p for p in new]
-            cols = [
-                pa.array([base], pa.int32()), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32())),
-                pa.array([np.concatenate(codes).tobytes()], pa.binary()), pa.array([short], pa.list_(pa.string())), pa.array([far], pa.list_(pa.binary())),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, names=["base", "ids", "counts", "codes", "short", "far"])
-            if len(numbers) > MOST_PIECES:  # bounded memory: the task forgets its pieces and starts again
-                numbers = dict(zip(known.value, range(len(known.value)), strict=True))
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "base int, ids array<long>, counts array<int>, codes binary, short array<string>, far array<binary>")
-
-
-class _Ids:
-    """Ids of numbered pieces in one growing array."""
-
-    def __init__(self, flat: np.ndarray, length: np.ndarray) -> None:
-        self.flat, self.length = flat, length
-        self.start = np.cumsum(length) - length
-        self.pieces, self.used = len(length), len(flat)
-
-    def add(self, flat: np.ndarray, length: np.ndarray) -> None:
-        self.flat, self.length, self.start = (_room(a, n) for a, n in ((self.flat, self.used + len(flat)), (self.length, self.pieces + len(length)), (self.start, self.pieces + len(length))))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.length[self.pieces : self.pieces + len(length)] = length
-        self.start[self.pieces : self.pieces + len(length)] = self.used + np.cumsum(length) - length
-        self.pieces, self.used = self.pieces + len(length), self.used + len(flat)
-
-    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces in a row, and where each piece's ids end."""
-        n = self.length[codes]
-        edge = np.cumsum(n)
-        at = np.repeat(self.start[codes] - (edge - n), n) + np.arange(int(edge[-1]) if len(edge) else 0)
-        return self.flat[at], edge
-
-
-def _room(a: np.ndarray, n: int) -> np.ndarray:
-    return a if len(a) >= n else np.concatenate([a, np.zeros(max(n - len(a), len(a)), dtype=a.dtype)])
+            for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
+                block.add(doc_id, find(text) if text else [], len(text or ""))
+                if block.size >= BLOCK_BYTES:
+                    yield from done()
+                    key, block = key + 1, _Block()
+        if block.ids:
+            yield from done()
+
+    schema = "block long, bucket int, first int, ids array<long>, counts array<int>, body binary, order binary"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def _asked(blocks: DataFrame, buckets: int, held: np.ndarray) -> DataFrame:
+    """One row for each bucket: its distinct pieces in hex, long ones in segments, and which of them each block asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        opener = zstandard.ZstdDecompressor()
+        block, first, refs = [], [], []
+        for batch in batches:
+            block += batch.column("block").to_pylist()
+            first += batch.column("first").to_pylist()
+            for body in batch.column("body").to_pylist():
+                pieces = opener.decompress(body).split(b"\xff")
+                refs.append(np.fromiter(map(numbers.__getitem__, pieces), dtype=np.int32, count=len(pieces)))
+        if not block:
+            return
+        cut = [[p] if len(p) <= LONG_PIECE else segments(p, held) for p in numbers]
+        cols = [
+            pa.array([[x.hex() for one in cut for x in one]], pa.list_(pa.string())), pa.array([_press(np.array([len(one) for one in cut]))], pa.binary()),
+            pa.array([block], pa.list_(pa.int64())), pa.array([first], pa.list_(pa.int32())), pa.array([[len(x) for x in refs]], pa.list_(pa.int32())), pa.array([_press(np.concatenate(refs))], pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays(cols, names=["segments", "parts", "block", "first", "counts", "refs"])
+
+    pieces = blocks.where("bucket >= 0").select("block", "bucket", "first", "body").repartitionById(buckets, "bucket")
+    return pieces.mapInArrow(run, "segments array<string>, parts binary, block array<long>, first array<int>, counts array<int>, refs binary")
+
+
+def _answered(encoded: DataFrame) -> DataFrame:
+    """``(block, first, body)``: how many ids each piece of a block's bucket has, and the ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                tokens = row.column("tokens").flatten()
+                flat = tokens.flatten().to_numpy(zero_copy_only=False)
+                edges = np.concatenate(([0], np.cumsum(np.diff(tokens.offsets.to_numpy()), dtype=np.int64)))
+                stop = np.cumsum(_opened(row.column("parts")[0].as_py()), dtype=np.int64)
+                start = edges[np.concatenate(([0], stop[:-1]))]
+                length = edges[stop] - start
+                refs = _opened(row.column("refs")[0].as_py())
+                ends = np.cumsum(row.column("counts").flatten().to_numpy())
+                bodies = []
+                for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    ids, _ = _gathered(flat, start, length, refs[a:b])
+                    bodies.append(_press(np.concatenate((np.array([b - a]), length[refs[a:b]], ids))))
+                yield pa.RecordBatch.from_arrays([row.column("block").flatten(), row.column("first").flatten(), pa.array(bodies, pa.binary())], names=["block", "first", "body"])
+
+    return encoded.mapInArrow(run, "block long, first int, body binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decoded: bool = False) -> DataFrame:
@@ -226,52 +304,59 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decod
     ``path`` names the vocabulary file and ``pattern`` the tokenizer's pattern,
     whose matches are encoded separately and without special tokens. Null and
     empty texts have no ids; a null doc_id stays null; rows are independent, so
-    repeats give repeats; extra columns are ignored.
+    repeats give repeats; extra columns are ignored; an empty table gives an
+    empty result.
     """
+    spark = docs.sparkSession
     ranks = load_ranks(path)
-    context = docs.sparkSession.sparkContext
+    # as many buckets as tasks read the texts, so a bucket holds about as many pieces as a task sends
+    buckets = max(partitions(spark), docs.rdd.getNumPartitions())
+    blocks = written(_blocks(docs, pattern, buckets), "blocks")
     table = rank_literal(ranks)
-    names, flat, length = known_pieces(docs, pattern, table)
-    known, known_ids = context.broadcast(names), context.broadcast((flat, length))  # at most KNOWN_PIECES
-    shared = context.broadcast(ranks)  # one vocabulary, of a fixed size
+    tokens = with_ranks(table, lambda t: F.transform("segments", lambda p: F.when(F.length(p) <= 2 * LONG_PIECE, encode_piece(p, t)).otherwise(encode_long(p, t))))
+    encoded = _asked(blocks, buckets, joins_of(ranks)).select(tokens.alias("tokens"), "parts", "block", "first", "counts", "refs")
+    answers = _answered(encoded).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("first", "body"))).alias("answers"))
+    texts = blocks.where("bucket < 0").select("block", "ids", "counts", "body", "order")
+    shared = spark.sparkContext.broadcast({rank: token for token, rank in ranks.items()} if decoded else {})  # one vocabulary, of a fixed size
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_of = {rank: token for token, rank in shared.value.items()}
-        ids_of = _Ids(*known_ids.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                base = row.column("base")[0].as_py()
-                if base != ids_of.pieces:
-                    if base != len(known_ids.value[1]):
-                        raise RuntimeError("pieces came out of order")
-                    ids_of = _Ids(*known_ids.value)
-                tokens = row.column("tokens").flatten()
-                length = np.diff(tokens.offsets.to_numpy()).astype(np.int64)
-                flat = tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-                far = {k: np.array(merge_long(p, shared.value), dtype=np.int32) for k, p in enumerate(row.column("far").flatten().to_pylist()) if p is not None}
-                if far:
-                    starts = np.cumsum(length) - length
-                    parts = [far[k] if k in far else flat[starts[k] : starts[k] + length[k]] for k in range(len(length))]
-                    flat, length = np.concatenate(parts), np.array([len(p) for p in parts], dtype=np.int64)
-                ids_of.add(flat, length)
-                codes = np.frombuffer(row.column("codes")[0].as_py(), dtype=np.int32)
-                out, edge = ids_of.of(codes)
-                counts = row.column("counts").flatten().to_numpy()
-                ends = np.concatenate(([0], edge))[np.concatenate(([0], np.cumsum(counts)))]
-                if packed:
-                    raw = out.astype("<u4").tobytes()
-                    lists = pa.array([raw[4 * x : 4 * y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())
-                else:
-                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))
-                cols = [row.column("ids").flatten(), lists]
-                if decoded:
-                    cols.append(_joined(lists, token_of.__getitem__))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "bytes"][: len(cols)])
-
-    tokens = with_ranks(table, lambda t: F.transform("short", lambda p: F.when(p == "", F.array().cast("array<int>")).otherwise(encode_piece(p, t))))
-    encoded = _blocks(docs, pattern, known).select("base", "ids", "counts", "codes", "far", tokens.alias("tokens"))
-    return encoded.mapInArrow(gather, f"doc_id long, ids {'binary' if packed else 'array<int>'}{', bytes binary' if decoded else ''}")
+                yield from _texts(row, packed, shared.value.__getitem__ if decoded else None)
+
+    schema = f"doc_id long, ids {'binary' if packed else 'array<int>'}{', bytes binary' if decoded else ''}"
+    return texts.join(answers, "block", "left").select("ids", "counts", "body", "order", "answers").mapInArrow(run, schema)
+
+
+def _texts(row: pa.RecordBatch, packed: bool, token_of) -> Iterator[pa.RecordBatch]:
+    """Ids of each text of a block."""
+    order = _opened(row.column("order")[0].as_py())
+    bodies = [_opened(x["body"]) for x in row.column("answers")[0].as_py() or []]
+    length, start = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
+    if bodies:
+        sizes = np.concatenate([x[1 : 1 + x[0]] for x in bodies]).astype(np.int64)
+        length[order], start[order] = sizes, np.cumsum(sizes) - sizes
+    flat = np.concatenate([x[1 + x[0] :] for x in bodies]) if bodies else np.zeros(0, dtype=np.int32)
+    codes = _opened(row.column("body")[0].as_py())
+    ids = row.column("ids").flatten()
+    stops = np.cumsum(row.column("counts").flatten().to_numpy(), dtype=np.int64)
+    lo = 0
+    while lo < len(ids):
+        begin = int(stops[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(stops, begin + GATHER, side="right")))
+        out, edge = _gathered(flat, start, length, codes[begin : int(stops[hi - 1])])
+        ends = np.concatenate(([0], edge))[np.concatenate(([0], stops[lo:hi] - begin))]
+        if packed:
+            raw = out.astype("<u4").tobytes()
+            lists = pa.array([raw[4 * x : 4 * y] for x, y in zip(ends, ends[1:], strict=False)], pa.binary())
+        else:
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))
+        cols = [ids.slice(lo, hi - lo), lists]
+        if token_of:
+            cols.append(_joined(lists, token_of))
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "bytes"][: len(cols)])
+        lo = hi
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

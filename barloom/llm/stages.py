@@ -43,10 +43,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> SparkSession:
-    """Hands texts to Python workers at most ``rows`` at a time, so that a batch stays a few megabytes."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> SparkSession:
+    """Hands texts to Python workers at most ``rows`` or about ``size`` at a time, so that a batch stays a few megabytes."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     if now <= 0 or now > rows:
         spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return spark

@@ -5,10 +5,10 @@ import numpy as np
 import public_tokenizers
 import tiktoken
 from barloom.llm import bpe, catalog, words
+from pyspark.sql import functions as F
 
 from .corpus import awkward, frame
 
-known = bpe.known_pieces
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
 
@@ -32,18 +32,43 @@ def test_ids_equal_the_library_and_decode_back(spark):
         assert bytes(out[i].bytes) == (t or "").encode()
 
 
-def test_heap_merges_equal_the_library():
-    ranks = bpe.load_ranks(PATH)
+def long_texts():
+    """Pieces far over the length from which all pairs of one rank are joined at once."""
     r = random.Random(4)
-    for n in (1, 2, 3, 50, 400):
-        word = "".join(r.choice("aabbcdee") for _ in range(n))
-        assert bpe.merge_long(word.encode(), ranks) == LIBRARY.encode_ordinary(word)
+    out = ["a" * 5000, "=" * 3001, "ab" * 2000, "-=" * 700, "aab" * 900, "é" * 800, "日本語" * 300, " " * 4000 + "x", "\n" * 999]
+    out += ["".join(r.choice(letters) for _ in range(n)) for letters in ("ab", "aabbcdee", "the ", "etaoin", "0123456789abcdef", "ĀāĂă") for n in (65, 200, 1200)]
+    return out + ["".join(r.choice(["the", "he", "er", "in", "th", "tion", "a", "s"]) for _ in range(n)) for n in (40, 400, 1500)]
+
+
+def test_long_pieces_equal_the_library(spark):
+    rows = list(enumerate(long_texts()))
+    for r in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATH, public_tokenizers.PATTERN).collect():
+        assert r.ids == LIBRARY.encode_ordinary(rows[r.doc_id][1]), rows[r.doc_id][1][:50]
+
+
+def test_every_join_in_one_step_equals_one_at_a_time(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice(["t", "h", "e", "th", "aa", "a", "an", "d", " the"]) for _ in range(r.randint(2, 30))) for _ in range(150)]
+    table = bpe.rank_literal(bpe.load_ranks(PATH))
+    rows = spark.createDataFrame([(w, w.encode().hex()) for w in words], "word string, hex string")
+    for w in rows.select("word", bpe.with_ranks(table, lambda t: bpe.encode_long(F.col("hex"), t)).alias("ids")).collect():
+        assert w.ids == LIBRARY._encode_single_piece(w.word.encode())
+
+
+def test_segments_are_never_crossed():
+    ranks = bpe.load_ranks(PATH)
+    held = bpe.joins_of(ranks)
+    r = random.Random(2)
+    for n in (2, 30, 300):
+        word = bytes(r.choice(b"qzxkj0129=-") for _ in range(n))
+        parts = bpe.segments(word, held)
+        assert b"".join(parts) == word
+        assert sum((LIBRARY._encode_single_piece(p) for p in parts), []) == LIBRARY._encode_single_piece(word)
 
 
-def test_forgetful_tasks_and_digests(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "MOST_PIECES", 30)
-    monkeypatch.setattr(bpe, "KNOWN_PIECES", 10)
-    monkeypatch.setattr(bpe, "known_pieces", lambda d, p, t: known(d, p, t, 5, 10))
+def test_digests_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(bpe, "GATHER", 40)
     monkeypatch.setattr(bpe, "row_chunks", lambda batches: words.row_chunks(batches, limit=300))
     rows = awkward()
     text = {d: t or "" for d, t, *_ in rows}
