@@ -5,7 +5,7 @@ some texts of one task, keeps the numbers of its pieces, and sends each of its
 distinct pieces once to the piece's bucket. A bucket holds every copy of its
 pieces, so each distinct piece of the table is encoded once, by a fold over its
 bytes that joins the adjacent pair of lowest rank until none is ranked, with the
-ranks as one literal in the plan. The ids go back to the blocks by block key,
+ranks as one literal in the plan. The ids go back to the blocks by their key,
 where texts take them by number. Decoding concatenates the binary pieces of the
 ids.
 
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .stages import partitions, written
+from .stages import bucketed, partitions
 from .words import row_chunks
 
 #: Text bytes of a block; a longer text is a block of its own.
@@ -199,7 +199,7 @@ class _Block:
         self.codes.append(np.fromiter(map(self.numbers.__getitem__, pieces), dtype=np.int32, count=len(pieces)))
         self.size += size
 
-    def rows(self, key: int, buckets: int) -> Iterator[tuple]:
+    def rows(self, buckets: int) -> Iterator[tuple]:
         """One row with the texts' codes and one for each bucket with distinct pieces."""
         codes = np.concatenate(self.codes)
         often = np.argsort(-np.bincount(codes, minlength=len(self.numbers)), kind="stable").astype(np.int32)
@@ -208,14 +208,14 @@ class _Block:
         pieces = [p.encode() for p in self.numbers]
         bucket = np.fromiter((zlib.crc32(p) % buckets for p in pieces), dtype=np.int64, count=len(pieces))
         order = np.array(sorted(range(len(pieces)), key=lambda i: (bucket[i], pieces[i])), dtype=np.int64)
-        yield key, -1, 0, self.ids, self.counts, _press(code[codes]), _press(code[order])
+        yield -1, 0, self.ids, self.counts, _press(code[codes]), _press(code[order])
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(order) else np.zeros(0, dtype=int)
         coder = zstandard.ZstdCompressor(level=3)
         for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False):
-            yield key, int(bucket[order[a]]), a, None, None, coder.compress(b"\xff".join(pieces[i] for i in order[a:b].tolist())), None
+            yield int(bucket[order[a]]), a, None, None, coder.compress(b"\xff".join(pieces[i] for i in order[a:b].tolist())), None
 
 
-_BLOCKS = {"block": pa.int64(), "bucket": pa.int32(), "first": pa.int32(), "ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()), "body": pa.binary(), "order": pa.binary()}
+_BLOCKS = {"task": pa.int32(), "block": pa.int32(), "bucket": pa.int32(), "first": pa.int32(), "ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()), "body": pa.binary(), "order": pa.binary()}
 
 
 def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
@@ -225,11 +225,11 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
         import regex
 
         find = regex.compile(pattern_of(pattern)).findall
-        key, block = TaskContext.get().partitionId() << 32, _Block()
+        task, key, block = TaskContext.get().partitionId(), 0, _Block()
 
         def done() -> Iterator[pa.RecordBatch]:
-            for row in block.rows(key, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _BLOCKS.values(), strict=True)], names=list(_BLOCKS))
+            for row in block.rows(buckets):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((task, key, *row), _BLOCKS.values(), strict=True)], names=list(_BLOCKS))
 
         for rows in row_chunks(batches):
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
@@ -240,7 +240,7 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
         if block.ids:
             yield from done()
 
-    schema = "block long, bucket int, first int, ids array<long>, counts array<int>, body binary, order binary"
+    schema = "task int, block int, bucket int, first int, ids array<long>, counts array<int>, body binary, order binary"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
@@ -251,8 +251,9 @@ def _asked(blocks: DataFrame, buckets: int, held: np.ndarray) -> DataFrame:
         numbers: defaultdict[bytes, int] = defaultdict()
         numbers.default_factory = numbers.__len__
         opener = zstandard.ZstdDecompressor()
-        block, first, refs = [], [], []
+        task, block, first, refs = [], [], [], []
         for batch in batches:
+            task += batch.column("task").to_pylist()
             block += batch.column("block").to_pylist()
             first += batch.column("first").to_pylist()
             for body in batch.column("body").to_pylist():
@@ -263,16 +264,16 @@ def _asked(blocks: DataFrame, buckets: int, held: np.ndarray) -> DataFrame:
         cut = [[p] if len(p) <= LONG_PIECE else segments(p, held) for p in numbers]
         cols = [
             pa.array([[x.hex() for one in cut for x in one]], pa.list_(pa.string())), pa.array([_press(np.array([len(one) for one in cut]))], pa.binary()),
-            pa.array([block], pa.list_(pa.int64())), pa.array([first], pa.list_(pa.int32())), pa.array([[len(x) for x in refs]], pa.list_(pa.int32())), pa.array([_press(np.concatenate(refs))], pa.binary()),
+            pa.array([task], pa.list_(pa.int32())), pa.array([block], pa.list_(pa.int32())), pa.array([first], pa.list_(pa.int32())), pa.array([[len(x) for x in refs]], pa.list_(pa.int32())), pa.array([_press(np.concatenate(refs))], pa.binary()),
         ]
-        yield pa.RecordBatch.from_arrays(cols, names=["segments", "parts", "block", "first", "counts", "refs"])
+        yield pa.RecordBatch.from_arrays(cols, names=["segments", "parts", "task", "block", "first", "counts", "refs"])
 
-    pieces = blocks.where("bucket >= 0").select("block", "bucket", "first", "body").repartitionById(buckets, "bucket")
-    return pieces.mapInArrow(run, "segments array<string>, parts binary, block array<long>, first array<int>, counts array<int>, refs binary")
+    pieces = blocks.where("bucket >= 0").select("task", "block", "bucket", "first", "body").repartitionById(buckets, "bucket")
+    return pieces.mapInArrow(run, "segments array<string>, parts binary, task array<int>, block array<int>, first array<int>, counts array<int>, refs binary")
 
 
 def _answered(encoded: DataFrame) -> DataFrame:
-    """``(block, first, body)``: how many ids each piece of a block's bucket has, and the ids."""
+    """``(task, block, first, body)``: how many ids each piece of a block's bucket has, and the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,9 +291,10 @@ def _answered(encoded: DataFrame) -> DataFrame:
                 for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                     ids, _ = _gathered(flat, start, length, refs[a:b])
                     bodies.append(_press(np.concatenate((np.array([b - a]), length[refs[a:b]], ids))))
-                yield pa.RecordBatch.from_arrays([row.column("block").flatten(), row.column("first").flatten(), pa.array(bodies, pa.binary())], names=["block", "first", "body"])
+                where = [row.column(c).flatten() for c in ("task", "block", "first")]
+                yield pa.RecordBatch.from_arrays([*where, pa.array(bodies, pa.binary())], names=["task", "block", "first", "body"])
 
-    return encoded.mapInArrow(run, "block long, first int, body binary")
+    return encoded.mapInArrow(run, "task int, block int, first int, body binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decoded: bool = False) -> DataFrame:
@@ -311,12 +313,13 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decod
     ranks = load_ranks(path)
     # as many buckets as tasks read the texts, so a bucket holds about as many pieces as a task sends
     buckets = max(partitions(spark), docs.rdd.getNumPartitions())
-    blocks = written(_blocks(docs, pattern, buckets), "blocks")
+    # in buckets by the task that read the texts: the answers go there, the texts do not move
+    blocks = bucketed(_blocks(docs, pattern, buckets), "blocks", "task", partitions(spark))
     table = rank_literal(ranks)
     tokens = with_ranks(table, lambda t: F.transform("segments", lambda p: F.when(F.length(p) <= 2 * LONG_PIECE, encode_piece(p, t)).otherwise(encode_long(p, t))))
-    encoded = _asked(blocks, buckets, joins_of(ranks)).select(tokens.alias("tokens"), "parts", "block", "first", "counts", "refs")
-    answers = _answered(encoded).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("first", "body"))).alias("answers"))
-    texts = blocks.where("bucket < 0").select("block", "ids", "counts", "body", "order")
+    encoded = _asked(blocks, buckets, joins_of(ranks)).select(tokens.alias("tokens"), "parts", "task", "block", "first", "counts", "refs")
+    answers = _answered(encoded).groupBy("task").agg(F.collect_list(F.struct("block", "first", "body")).alias("answers"))
+    texts = blocks.where("bucket < 0").select("task", "block", "ids", "counts", "body", "order")
     shared = spark.sparkContext.broadcast({rank: token for token, rank in ranks.items()} if decoded else {})  # one vocabulary, of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +329,8 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decod
                 yield from _texts(row, packed, shared.value.__getitem__ if decoded else None)
 
     schema = f"doc_id long, ids {'binary' if packed else 'array<int>'}{', bytes binary' if decoded else ''}"
-    return texts.join(answers, "block", "left").select("ids", "counts", "body", "order", "answers").mapInArrow(run, schema)
+    mine = F.array_sort(F.filter("answers", lambda a: a["block"] == F.col("block")))
+    return texts.join(answers, "task", "left").select("ids", "counts", "body", "order", mine.alias("answers")).mapInArrow(run, schema)
 
 
 def _texts(row: pa.RecordBatch, packed: bool, token_of) -> Iterator[pa.RecordBatch]:

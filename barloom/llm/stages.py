@@ -30,6 +30,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """:func:`written`, with the rows in ``buckets`` by a column, so that joins on it need not move them."""
+    spark = df.sparkSession
+    key = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{key}").saveAsTable(key)
+    table = spark.table(key)
+    spark.sql(f"DROP TABLE {key}")  # of the catalog: the files stay, and the table read holds their places
+    return table
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`written`."""
     spark = df.sparkSession
