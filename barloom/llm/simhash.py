@@ -102,34 +102,30 @@ def _cell_masks(radius: int) -> list[int]:
     return masks
 
 
-def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Manhattan distance of two packed embeddings, over sums of two-bit counts per byte."""
-    # counts of neighbouring segments are added, so each byte holds one count of eight bits
-    four = np.uint64(0x3333333333333333)
-    byte = np.uint64(0x0F0F0F0F0F0F0F0F)
-
-    def per_byte(x: np.ndarray) -> np.ndarray:
-        x = (x & four) + ((x >> np.uint64(2)) & four)
-        return ((x + (x >> np.uint64(4))) & byte).view(np.int8).reshape(-1, 8)
-
-    return np.abs(per_byte(a) - per_byte(b)).sum(axis=1)
+def _counts(fp: np.ndarray) -> np.ndarray:
+    """Bit counts of neighbouring segments added up, so each of eight bytes holds one count of eight bits."""
+    four, byte = np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+    x = fp - ((fp >> np.uint64(1)) & _LOW_BITS)
+    x = (x & four) + ((x >> np.uint64(2)) & four)
+    return ((x + (x >> np.uint64(4))) & byte).view(np.int8).reshape(-1, 8)
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which pairs are within ``radius`` bits: the bound first, the exact count on what is left."""
-    hit = np.flatnonzero(_manhattan(a - ((a >> np.uint64(1)) & _LOW_BITS), b - ((b >> np.uint64(1)) & _LOW_BITS)) <= radius)
+    """Which pairs are within ``radius`` bits: the Manhattan bound first, the exact count on what is left."""
+    hit = np.flatnonzero(np.abs(_counts(a) - _counts(b)).sum(axis=1) <= radius)
     return hit[np.bitwise_count(a[hit] ^ b[hit]) <= radius]
 
 
 def _grow(fp: np.ndarray, alt: np.ndarray, node: np.ndarray, radius: int, confirm: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """A star of edges for each component of one large cell; a row leaves the comparison once it has joined."""
     left, right = [], []
-    rest = np.arange(len(fp))
+    rest, counts = np.arange(len(fp)), _counts(fp)
     while len(rest) > 1:
         members, queue, rest = [rest[:1]], [int(rest[0])], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            hit = np.bitwise_count(fp[rest] ^ fp[at]) <= radius
+            hit = np.abs(counts[rest] - counts[at]).sum(axis=1) <= radius
+            hit[hit] = np.bitwise_count(fp[rest[hit]] ^ fp[at]) <= radius
             if confirm < 64:
                 hit[hit] = np.bitwise_count(alt[rest[hit]] ^ alt[at]) <= confirm
             if hit.any():
@@ -206,7 +202,8 @@ def grid_cells(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def _in_parts(rows: DataFrame) -> DataFrame:
     """``rows(cell, fp, alt, node)`` with a ``part``: hot cells are cut into pairs of blocks."""
-    hot = rows.groupBy("cell").count().where(F.col("count") > HOT_CELL)
+    # written first, as its size then is known: it is small, and rows need no shuffle to meet it
+    hot = written(rows.groupBy("cell").count().where(F.col("count") > HOT_CELL), "hot")
     blocks = F.ceil(F.col("count") / HOT_CELL).cast("int")
     own = F.pmod(F.xxhash64("fp", "alt"), blocks).cast("int")
     pair = lambda i: F.least(i, own) * F.lit(1 << 20) + F.greatest(i, own)
@@ -238,14 +235,19 @@ def near_duplicate_classes(docs: DataFrame, size: int = SHINGLE, radius: int = R
 
 #: Near copies share at least 4 of 5 of all their distinct five-word shingles.
 COPY_WORDS = 5
-#: Candidates share a shingle of their prefixes and have both fingerprints within this many
-#: bits; at similarity 0.8 a fingerprint differs in about 9.7 of 64 (binomial; 3 in 10**6 exceed 24).
+#: Bands of a set's least shingle hashes and hashes in a band: two sets at similarity 0.8 share
+#: none of them with a probability of (1 - 0.8**4)**20, 2 in 10**8 at 0.9 and 2 in 10**5 at 0.8.
+BANDS, BAND_HASHES = 20, 4
+#: Candidates have both fingerprints within this many bits; at similarity 0.8 a fingerprint
+#: differs in about 9.7 of 64 (binomial; 3 in 10**6 exceed 24).
 COPY_RADIUS = 24
 #: Members of a large candidate group that all others are compared with first.
 HUBS = 8
 #: Most rows and shingles of a group compared whole, and of a block of a larger one.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
 
+_SAME = ["digest", "n", "fp", "alt"]
+
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A second hash of 64-bit hashes."""
@@ -254,45 +256,71 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(docs: DataFrame, size: int = COPY_WORDS) -> DataFrame:
-    """``(doc_id, fp, alt, digest, n, shingles)``: distinct shingle hashes in order, two fingerprints and a digest of them.
-
-    A text with fewer words is one shingle; a null or empty text has none.
+def _shingle_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text in order, one text after the other, and how many each has."""
+    block = WordBlock([t.lower() for t in texts])
+    words = np.diff(block.first)
+    count = np.where(words == 0, 0, np.maximum(words - size + 1, 1))
+    owner = np.repeat(np.arange(len(words)), count)
+    head = block.first[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    tail = np.minimum(head + size - 1, block.first[1:][owner] - 1)
+    data, digest = block.data, xxhash.xxh64_intdigest
+    spans = zip(block.start[head].tolist(), block.end[tail].tolist(), strict=True)
+    hashes = np.fromiter((digest(data[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(owner))
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], np.bincount(owner[new], minlength=len(words))
+
+
+def _keys(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two fingerprints and a digest of each set; zeros for an empty one."""
+    full, first = np.flatnonzero(n), (np.cumsum(n) - n)[n > 0]
+    prints, whole = np.zeros((2, len(n)), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
+    if len(full):
+        second = _mixed(hashes)
+        for k, h in enumerate((hashes, second)):
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            majority = np.add.reduceat(bits, first, axis=0, dtype=np.int32) * 2 > n[full][:, None]
+            prints[k, full] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
+        whole[full] = np.add.reduceat(_mixed(second), first)
+    return prints[0], prints[1], whole
+
+
+def _bands(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Band keys of the sets that are not empty, one row of ``BANDS`` for each."""
+    first = (np.cumsum(n) - n)[n > 0]
+    rng = np.random.default_rng(SEED)
+    out = np.zeros((len(first), BANDS), dtype=np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(first), band, dtype=np.uint64)
+        for _ in range(BAND_HASHES):
+            odd, flip = (np.uint64(x) for x in rng.integers(0, 1 << 63, 2))
+            least = np.minimum.reduceat((hashes ^ flip) * (odd * np.uint64(2) + np.uint64(1)), first)
+            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
+        out[:, band] = key
+    return out
+
+
+def copy_prints(docs: DataFrame, size: int = COPY_WORDS) -> DataFrame:
+    """``(row, doc_id, fp, alt, digest, n, bands)``: two fingerprints, a digest, the size and the band keys of each set of distinct shingles.
+
+    A text with fewer words is one shingle; a null or empty text has none, and no bands.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in row_chunks(batches):
-            block = WordBlock([t.lower() for t in as_bytes(rows.column("text"))])
-            words = np.diff(block.first)
-            count = np.where(words == 0, 0, np.maximum(words - size + 1, 1))
-            owner = np.repeat(np.arange(len(words)), count)
-            head = block.first[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-            tail = np.minimum(head + size - 1, block.first[1:][owner] - 1)
-            data, digest = block.data, xxhash.xxh64_intdigest
-            spans = zip(block.start[head].tolist(), block.end[tail].tolist(), strict=True)
-            hashes = np.fromiter((digest(data[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(owner)).view(np.int64)
-            order = np.lexsort((hashes, owner))
-            hashes, owner = hashes[order], owner[order]
-            new = np.ones(len(owner), dtype=bool)
-            new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-            hashes, n = hashes[new], np.bincount(owner[new], minlength=len(words))
-            full, first = np.flatnonzero(n), (np.cumsum(n) - n)[n > 0]
-            prints, whole = np.zeros((2, len(n)), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
-            if len(full):
-                second = _mixed(hashes.view(np.uint64))
-                for k, h in enumerate((hashes.view(np.uint64), second)):
-                    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    majority = np.add.reduceat(bits, first, axis=0, dtype=np.int32) * 2 > n[full][:, None]
-                    prints[k, full] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
-                whole[full] = np.add.reduceat(_mixed(second), first)
-            ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
-            longs = [pa.array(x.view(np.int64)) for x in (*prints, whole)]
+            hashes, n = _shingle_hashes(as_bytes(rows.column("text")), size)
+            bands = _bands(hashes, n) if len(hashes) else np.zeros(0, dtype=np.uint64)
+            ends = pa.array(np.concatenate(([0], np.cumsum((n > 0) * BANDS))), pa.int32())
+            longs = [pa.array(x.view(np.int64)) for x in _keys(hashes, n)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), *longs, pa.array(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(hashes))], names=["doc_id", "fp", "alt", "digest", "n", "shingles"]
+                [rows.column("row"), rows.column("doc_id"), *longs, pa.array(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(bands.ravel().view(np.int64)))],
+                names=["row", "doc_id", "fp", "alt", "digest", "n", "bands"],
             )
 
-    schema = "doc_id long, fp long, alt long, digest long, n int, shingles array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, fp long, alt long, digest long, n int, bands array<long>")
 
 
 def _alike(rows: list[np.ndarray], node: np.ndarray) -> tuple[list[int], list[int]]:
@@ -321,14 +349,25 @@ def _alike(rows: list[np.ndarray], node: np.ndarray) -> tuple[list[int], list[in
     return left, right
 
 
-def verified_links(blocks: DataFrame) -> DataFrame:
-    """``(u, v)`` edges that connect what similarity 0.8 connects within each (cell, part) of ``blocks(cell, part, node, shingles)``, which are sorted."""
+def verified_links(docs: DataFrame, placed: DataFrame, size: int = COPY_WORDS) -> DataFrame:
+    """``(u, v)`` edges that connect what similarity 0.8 connects within each (cell, part).
+
+    ``placed(node, cell, parts)`` says where the set of the text in row ``node`` of
+    ``docs(row, text)`` goes. Only these texts are hashed again, and a set moves
+    once for each part.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in row_chunks(batches):
+            hashes, n = _shingle_hashes(as_bytes(rows.column("text")), size)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column("cell"), rows.column("parts"), rows.column("node"), lists], names=["cell", "parts", "node", "shingles"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, sets = None, [], []
+        now, nodes, held = None, [], []
 
         def edges() -> Iterator[pa.RecordBatch]:
-            u, v = _alike(sets, np.array(nodes)) if len(nodes) > 1 else ([], [])
+            u, v = _alike(held, np.array(nodes)) if len(nodes) > 1 else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for batch in batches:
@@ -338,82 +377,83 @@ def verified_links(blocks: DataFrame) -> DataFrame:
             for i, (cell, part, node) in enumerate(keys):
                 if now != (cell, part):
                     yield from edges()
-                    now, nodes, sets = (cell, part), [], []
+                    now, nodes, held = (cell, part), [], []
                 nodes.append(node)
-                sets.append(flat[cuts[i] : cuts[i + 1]].copy())
+                held.append(flat[cuts[i] : cuts[i + 1]].copy())
         yield from edges()
 
+    texts = docs.select(F.col("row").alias("node"), "text").join(placed.select("node", "cell", "parts"), "node")
+    rows = texts.mapInArrow(sets, "cell long, parts array<int>, node long, shingles array<long>").withColumn("part", F.explode("parts"))
+    blocks = rows.select("cell", "part", "node", "shingles").repartition(partitions(docs.sparkSession), "cell", "part").sortWithinPartitions("cell", "part")
     return blocks.mapInArrow(run, "u long, v long")
 
 
-def _copy_components(rows: DataFrame) -> DataFrame:
-    """``(node, component)`` by edges of exact similarity 0.8 and more within the groups of ``rows(cell, node, n, shingles)``.
-
-    A group's ``cell`` is its smallest node.
+def _copy_components(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``(node, component)`` by edges of exact similarity 0.8 and more within the groups of ``known(node, n, cell)``.
 
-    A small group is compared whole. In a larger one all members meet the first
-    ``HUBS``; where some are left apart, each of them meets all others, block by block.
+    A group's ``cell`` is its smallest node. A small group is compared whole. A
+    larger one is cut into blocks, and all blocks hold the group's first
+    ``HUBS``; where some are left apart from its first, each of them meets all
+    others, block by block.
     """
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(partitions(df.sparkSession), "cell", "part").sortWithinPartitions("cell", "part")
-
-    total = rows.groupBy("cell").agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("long")).alias("words"))
-    many = written(total.where((F.col("rows") > BLOCK_ROWS) | (F.col("words") > BLOCK_SHINGLES)).select("cell"), "large")
-    small = verified_links(dealt(rows.join(many, "cell", "left_anti").select("cell", F.lit(0).alias("part"), "node", "shingles")))
-    if many.isEmpty():
-        return connected_components(small)
-    rows = rows.join(many, "cell", "left_semi")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES)).cast("int")
+    large = written(known.groupBy("cell").agg(blocks.alias("many")).where("many > 1"), "large")
+    own = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     first = F.slice(F.array_sort(F.collect_list("node")), 1, HUBS)
-    some = rows.groupBy("cell", F.pmod(F.col("node"), F.lit(64)).alias("p")).agg(first.alias("some"))
+    some = known.join(large, "cell").groupBy("cell", F.pmod(F.col("node"), F.lit(64)).alias("p")).agg(first.alias("some"))
     hubs = some.groupBy("cell").agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, HUBS).alias("hubs"))
-    hubs = hubs.select("cell", F.explode("hubs").alias("node")).join(rows.select("node", "n", "shingles"), "node")
-    hubs = hubs.select("cell", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("shingles").alias("hub_set"))
-    pairs = rows.join(hubs, "cell").where("node <> hub and 9 * least(n, hub_n) >= 4 * (n + hub_n)")
-    met = pairs.where("9 * size(array_intersect(shingles, hub_set)) >= 4 * (n + hub_n)").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    met = written(met.unionByName(small), "met")
+    hubs = hubs.select(F.explode("hubs").alias("node"), F.lit(True).alias("hub"))
+    every = F.sequence(F.lit(0), F.col("many") - 1)
+    parts = F.when(F.col("many").isNull(), F.array(F.lit(0))).when(F.col("hub"), every).otherwise(F.array(own("many")))
+    placed = known.join(large, "cell", "left").join(hubs, "node", "left").withColumn("parts", parts).drop("many", "hub")
+    met = written(verified_links(docs, placed), "met")
     one = connected_components(met)
-    large = rows.join(one, "node", "left").withColumn("apart", F.coalesce("component", "node") != F.col("cell"))
-    sums = large.groupBy("cell").agg(
-        F.count("*").alias("rows"), F.sum(F.col("n").cast("long")).alias("words"), F.sum(F.col("apart").cast("long")).alias("rows_a"), F.sum(F.when(F.col("apart"), F.col("n").cast("long")).otherwise(0)).alias("words_a")
-    )
-    blocks = lambda r, w: F.greatest(F.ceil(F.col(r) / BLOCK_ROWS), F.ceil(F.col(w) / BLOCK_SHINGLES)).cast("int")
-    sums = written(sums.where("rows_a > 0").select("cell", blocks("rows", "words").alias("many"), blocks("rows_a", "words_a").alias("few")), "apart")
-    if sums.isEmpty():
+    if large.isEmpty():
+        return one
+    left = known.join(large, "cell").join(one, "node", "left").withColumn("apart", F.coalesce("component", "node") != F.col("cell")).drop("component")
+    cut = lambda rows, words: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(words / BLOCK_SHINGLES)).cast("int")
+    words = F.when(F.col("apart"), F.col("n").cast("long")).otherwise(0)
+    few = left.groupBy("cell").agg(cut(F.sum(F.col("apart").cast("long")), F.sum(words)).alias("few")).where("few > 0")
+    few = written(few, "apart")
+    if few.isEmpty():
         return one
-    large = large.drop("component").join(sums, "cell")
-    own = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     in_many = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda i: own("many") * F.col("few") + i)
-    in_few = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda j: j * F.col("few") + own("few"))
-    parts = F.when(F.col("apart"), F.array_union(in_many, in_few)).otherwise(in_many)
-    left = large.select("cell", F.explode(parts).alias("part"), "node", "shingles")
-    return connected_components(met.unionByName(verified_links(dealt(left))))
+    in_few = F.transform(every, lambda j: j * F.col("few") + own("few"))
+    again = left.join(few, "cell").withColumn("parts", F.when(F.col("apart"), F.array_union(in_many, in_few)).otherwise(in_many)).drop("many", "few", "apart")
+    return connected_components(met.unionByName(verified_links(docs, again)))
+
 
+def near_copies(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """``(row, doc_id, fingerprint, component_id, kept)``: classes joined by a similarity of 0.8 and more of distinct five-word shingles.
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)``: classes joined by a similarity of 0.8 and more of distinct five-word shingles.
+    Pairs are proposed by the grid of :func:`near_duplicate_classes` and, for
+    edits that change more bits, by bands of least shingle hashes; the bound on
+    both fingerprints prunes, and only the exact similarity links. Equal sets
+    are merged first, so copies cost one row; null and empty texts are one set.
 
-    Two sets that alike share one of the first ``n - ceil(0.8 n) + 1`` of their
-    ordered shingles, whatever the edit; these prefixes and two fingerprints
-    propose, and only the exact similarity links. Equal sets are merged first.
-    ``component_id`` is the smallest doc_id of a class; rows with a null doc_id
-    get the class of their set.
+    ``component_id`` is the smallest doc_id of a class, null if it has none.
+    ``kept`` is true for one row of each class, of the smallest doc_id and row, a
+    null doc_id last; so of rows that repeat one stays. ``row`` names a unique
+    long column of ``docs``, which then has to be a table; without it rows are
+    numbered in a table of their own. Other columns are ignored; an empty
+    table gives an empty result.
     """
-    same = ["digest", "n", "fp", "alt"]
-    prefix = F.slice("shingles", F.lit(1), F.col("n") - F.ceil(F.col("n") * 4 / F.lit(5)).cast("int") + 1)
-    prints = written(shingle_sets(docs).select("doc_id", *same, prefix.alias("prefix")).withColumn("row", F.monotonically_increasing_id()), "prefixes")
-    groups = written(prints.where("doc_id is not null").groupBy(same).agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "sets")
-    # rows that repeat a set are few, so the prefixes need not move to leave them out
-    again = written(prints.select("row", *same).join(groups, same, "left").where("node is null or row <> node").select("row"), "again")
-    cells = prints.join(again, "row", "left_anti").select(F.explode("prefix").alias("cell"), "fp", "alt", F.col("row").alias("node"))
+    if row is None:
+        docs = written(docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    else:
+        docs = docs.select(F.col("doc_id").cast("long"), "text", F.col(row).alias("row"))
+    prints = written(copy_prints(docs), "prints")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    groups = written(prints.groupBy(_SAME).agg(F.min("row").alias("node"), best.alias("best"), F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "sets")
+    at = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(_cell_masks(RADIUS))])
+    grid = F.transform(at, lambda x: F.xxhash64(x["pair"], embedding().bitwiseAND(x["mask"])))
+    cells = groups.where("n > 0").select(F.explode(F.concat("bands", grid)).alias("cell"), "fp", "alt", "node")
     cells = _in_parts(cells).repartition(partitions(docs.sparkSession), "cell", "part").sortWithinPartitions("cell", "part")
     candidates = connected_components(links(cells, COPY_RADIUS, COPY_RADIUS))
-    # only the texts of candidates are hashed again for their whole sets
-    known = written(groups.join(candidates, "node").select(F.col("first_id").alias("doc_id"), *same, "node", F.col("component").alias("cell")), "candidates")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(known.select("doc_id").distinct(), "doc_id", "left_semi")
-    members = shingle_sets(texts).dropDuplicates(["doc_id", *same]).join(known, ["doc_id", *same]).select("cell", "node", "n", "shingles")
-    component = _copy_components(written(members, "members"))
-    named = groups.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(smallest, "component").select(*same, "component_id")
-    return prints.select("doc_id", *same).join(classes, same, "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    known = written(groups.select("node", "n").join(candidates, "node").withColumnRenamed("component", "cell"), "candidates")
+    component = _copy_components(docs, known)
+    named = groups.drop("bands").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("best").alias("first"))
+    classes = named.join(smallest, "component").select(*_SAME, "component_id", F.col("first.row").alias("first"))
+    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    return prints.select("row", "doc_id", *_SAME).join(classes, _SAME, "left").select("row", "doc_id", fingerprint, "component_id", (F.col("row") == F.col("first")).alias("kept"))

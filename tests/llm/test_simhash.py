@@ -171,3 +171,16 @@ def test_groups_beyond_their_hubs(spark, monkeypatch):
         monkeypatch.setattr(simhash, name, value)
     got = {x.doc_id: x.component_id for x in simhash.near_copies(frame(spark, rows)).collect()}
     assert got == _copies(rows)
+
+
+def test_one_row_of_repeats_and_null_ids_is_kept(spark):
+    """Rows that repeat an id, a text or both, and copies without an id: one row of each class stays."""
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    alone = " ".join(f"u{i}" for i in range(60))
+    rows = [(7, text), (7, text), (None, text), (3, text + " end"), (7, other), (None, other + " end"), (None, alone), (None, alone), (4, None), (5, ""), (None, " ")]
+    frame_ = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, row string, bands int")
+    got = simhash.near_copies(frame_).collect()
+    assert sorted((x.doc_id, x.component_id) for x in got if x.kept and x.component_id is not None) == [(3, 3), (4, 4), (7, 7)]
+    assert sum(x.kept for x in got) == 4 and len(got) == len(rows)
+    assert [x.component_id for x in got if x.doc_id == 7] != [7, 7, 7]  # the id's other text has a class of its own
