@@ -33,7 +33,7 @@ from .stages import bucketed, partitions
 from .words import row_chunks
 
 #: Text bytes of a block; a longer text is a block of its own.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Longer pieces are cut where no token can cross, and all pairs of the lowest rank are joined in one step.
 LONG_PIECE = 64
 #: Pieces whose ids are gathered at a time.
@@ -207,7 +207,8 @@ class _Block:
         code[often] = np.arange(len(often), dtype=np.int32)  # common pieces have small codes, which pack well
         pieces = [p.encode() for p in self.numbers]
         bucket = np.fromiter((zlib.crc32(p) % buckets for p in pieces), dtype=np.int64, count=len(pieces))
-        order = np.array(sorted(range(len(pieces)), key=lambda i: (bucket[i], pieces[i])), dtype=np.int64)
+        order = np.array(sorted(range(len(pieces)), key=pieces.__getitem__), dtype=np.int64)
+        order = order[np.argsort(bucket[order], kind="stable")]
         yield -1, 0, self.ids, self.counts, _press(code[codes]), _press(code[order])
         edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(order) else np.zeros(0, dtype=int)
         coder = zstandard.ZstdCompressor(level=3)
@@ -245,56 +246,41 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
 
 
 def _asked(blocks: DataFrame, buckets: int, held: np.ndarray) -> DataFrame:
-    """One row for each bucket: its distinct pieces in hex, long ones in segments, and which of them each block asked for."""
+    """One row for each bucket: its distinct pieces in hex, long ones in segments, and which of them each block asks for."""
+    refs = pa.list_(pa.struct([("task", pa.int32()), ("block", pa.int32()), ("first", pa.int32()), ("at", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers: defaultdict[bytes, int] = defaultdict()
         numbers.default_factory = numbers.__len__
         opener = zstandard.ZstdDecompressor()
-        task, block, first, refs = [], [], [], []
+        asks = []
         for batch in batches:
-            task += batch.column("task").to_pylist()
-            block += batch.column("block").to_pylist()
-            first += batch.column("first").to_pylist()
-            for body in batch.column("body").to_pylist():
+            for task, block, first, body in zip(*(batch.column(c).to_pylist() for c in ("task", "block", "first", "body")), strict=True):
                 pieces = opener.decompress(body).split(b"\xff")
-                refs.append(np.fromiter(map(numbers.__getitem__, pieces), dtype=np.int32, count=len(pieces)))
-        if not block:
-            return
-        cut = [[p] if len(p) <= LONG_PIECE else segments(p, held) for p in numbers]
-        cols = [
-            pa.array([[x.hex() for one in cut for x in one]], pa.list_(pa.string())), pa.array([_press(np.array([len(one) for one in cut]))], pa.binary()),
-            pa.array([task], pa.list_(pa.int32())), pa.array([block], pa.list_(pa.int32())), pa.array([first], pa.list_(pa.int32())), pa.array([[len(x) for x in refs]], pa.list_(pa.int32())), pa.array([_press(np.concatenate(refs))], pa.binary()),
-        ]
-        yield pa.RecordBatch.from_arrays(cols, names=["segments", "parts", "task", "block", "first", "counts", "refs"])
+                asks.append({"task": task, "block": block, "first": first, "at": np.fromiter(map(numbers.__getitem__, pieces), dtype=np.int32, count=len(pieces))})
+        if asks:
+            spelt = [p.hex() if len(p) <= LONG_PIECE else "|".join(x.hex() for x in segments(p, held)) for p in numbers]
+            yield pa.RecordBatch.from_arrays([pa.array([spelt], pa.list_(pa.string())), pa.array([asks], refs)], names=["pieces", "asks"])
 
     pieces = blocks.where("bucket >= 0").select("task", "block", "bucket", "first", "body").repartitionById(buckets, "bucket")
-    return pieces.mapInArrow(run, "segments array<string>, parts binary, task array<int>, block array<int>, first array<int>, counts array<int>, refs binary")
+    return pieces.mapInArrow(run, "pieces array<string>, asks array<struct<task:int,block:int,first:int,at:array<int>>>")
 
 
-def _answered(encoded: DataFrame) -> DataFrame:
-    """``(task, block, first, body)``: how many ids each piece of a block's bucket has, and the ids."""
+def _answered(asked: DataFrame, table: Column) -> DataFrame:
+    """``(task, block, first, ids)``: the ids of each piece that a block asks of a bucket; a bucket's pieces are encoded once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                tokens = row.column("tokens").flatten()
-                flat = tokens.flatten().to_numpy(zero_copy_only=False)
-                edges = np.concatenate(([0], np.cumsum(np.diff(tokens.offsets.to_numpy()), dtype=np.int64)))
-                stop = np.cumsum(_opened(row.column("parts")[0].as_py()), dtype=np.int64)
-                start = edges[np.concatenate(([0], stop[:-1]))]
-                length = edges[stop] - start
-                refs = _opened(row.column("refs")[0].as_py())
-                ends = np.cumsum(row.column("counts").flatten().to_numpy())
-                bodies = []
-                for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    ids, _ = _gathered(flat, start, length, refs[a:b])
-                    bodies.append(_press(np.concatenate((np.array([b - a]), length[refs[a:b]], ids))))
-                where = [row.column(c).flatten() for c in ("task", "block", "first")]
-                yield pa.RecordBatch.from_arrays([*where, pa.array(bodies, pa.binary())], names=["task", "block", "first", "body"])
-
-    return encoded.mapInArrow(run, "task int, block int, first int, body binary")
+    def one(piece: Column, ranks: Column) -> Column:
+        return F.when(F.length(piece) <= 2 * LONG_PIECE, encode_piece(piece, ranks)).otherwise(encode_long(piece, ranks))
+
+    def encoded(piece: Column, ranks: Column) -> Column:
+        whole = F.flatten(F.transform(F.split(piece, r"\|"), lambda x: one(x, ranks)))
+        return F.when(F.length(piece) <= 2 * LONG_PIECE, encode_piece(piece, ranks)).otherwise(whole)
+
+    def told(ids: Column) -> Column:
+        return F.transform("asks", lambda a: F.struct(a["task"].alias("task"), a["block"].alias("block"), a["first"].alias("first"), F.transform(a["at"], lambda i: F.get(ids, i)).alias("ids")))
+
+    answers = with_ranks(table, lambda ranks: F.get(F.transform(F.array(F.transform("pieces", lambda p: encoded(p, ranks))), told), F.lit(0)))
+    return asked.select(F.explode(answers).alias("a")).select("a.*")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decoded: bool = False) -> DataFrame:
@@ -316,9 +302,8 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decod
     # in buckets by the task that read the texts: the answers go there, the texts do not move
     blocks = bucketed(_blocks(docs, pattern, buckets), "blocks", "task", partitions(spark))
     table = rank_literal(ranks)
-    tokens = with_ranks(table, lambda t: F.transform("segments", lambda p: F.when(F.length(p) <= 2 * LONG_PIECE, encode_piece(p, t)).otherwise(encode_long(p, t))))
-    encoded = _asked(blocks, buckets, joins_of(ranks)).select(tokens.alias("tokens"), "parts", "task", "block", "first", "counts", "refs")
-    answers = _answered(encoded).groupBy("task").agg(F.collect_list(F.struct("block", "first", "body")).alias("answers"))
+    answers = _answered(_asked(blocks, buckets, joins_of(ranks)), table)
+    answers = answers.groupBy("task").agg(F.collect_list(F.struct("block", "first", "ids")).alias("answers"))
     texts = blocks.where("bucket < 0").select("task", "block", "ids", "counts", "body", "order")
     shared = spark.sparkContext.broadcast({rank: token for token, rank in ranks.items()} if decoded else {})  # one vocabulary, of a fixed size
 
@@ -336,12 +321,11 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decod
 def _texts(row: pa.RecordBatch, packed: bool, token_of) -> Iterator[pa.RecordBatch]:
     """Ids of each text of a block."""
     order = _opened(row.column("order")[0].as_py())
-    bodies = [_opened(x["body"]) for x in row.column("answers")[0].as_py() or []]
-    length, start = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
-    if bodies:
-        sizes = np.concatenate([x[1 : 1 + x[0]] for x in bodies]).astype(np.int64)
-        length[order], start[order] = sizes, np.cumsum(sizes) - sizes
-    flat = np.concatenate([x[1 + x[0] :] for x in bodies]) if bodies else np.zeros(0, dtype=np.int32)
+    pieces = row.column("answers").flatten().field("ids").flatten()  # in the order of bucket and piece
+    sizes = np.asarray(pieces.value_lengths()).astype(np.int64)
+    length, start = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
+    length[order], start[order] = sizes, np.cumsum(sizes) - sizes
+    flat = np.asarray(pieces.flatten())
     codes = _opened(row.column("body")[0].as_py())
     ids = row.column("ids").flatten()
     stops = np.cumsum(row.column("counts").flatten().to_numpy(), dtype=np.int64)
