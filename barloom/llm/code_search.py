@@ -1,21 +1,22 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A 64-bit code is cut into segments. Two codes within ``m * (r + 1) - 1`` bits
-agree in some of the ``m`` segments up to ``r`` bits, so after probing every
-segment at radii ``0 .. r`` all such codes have been seen. The radius grows for
-the queries whose k-th distance is not covered yet; when another ring would
-cost more than looking at every code, the rest are compared with all codes in
-blocks.
+A 64-bit code is cut into ``m`` segments and listed under the value of each. Two
+codes within ``m * (r + 1) - 1`` bits agree in some segment up to ``r`` bits, so
+after probing every segment at radii ``0 .. r`` all such codes have been seen
+and verified. The radius grows for the queries whose k-th distance is not
+covered yet, until all are; there is no other way out.
+
+A ring of probes is a join on (segment, value). Of the rings in which a pair
+could meet only the first counts, and only pairs within the k-th distance so far
+leave the join, so what moves afterwards is a few rows for each query.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterator
 from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,6 @@ from .vectors import distinct_groups, nearest_ids, usable
 
 K = 10
 BITS = 64
-#: Queries that a block compares with all codes.
-BLOCK = 2_000
-#: Comparisons of two codes that one probe of the index is worth.
-PROBE_COST = 16
 
 
 def sign_code(vector: Column) -> Column:
@@ -43,121 +40,75 @@ def segments(n: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _flipped(own: Column, masks: Column, segment: int) -> Column:
-    return F.transform(masks, lambda m: F.struct(F.lit(segment).alias("segment"), own.bitwiseXOR(m).alias("value")))
+def _part(code: Column, shift: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _segment_keys(code: str, parts: list[tuple[int, int]], radius: int) -> Column:
+def _ring(code: str, parts: list[tuple[int, int]], radius: int) -> Column:
     """``array<struct<segment, value>>``: every segment's values at exactly ``radius`` bits from the code's."""
-    out = []
-    for s, (shift, width) in enumerate(parts):
-        own = F.shiftrightunsigned(F.col(code), shift).bitwiseAND(F.lit((1 << width) - 1))
-        masks = F.array(F.lit(0).cast("long")) if radius == 0 else F.expr(f"array({','.join(f'{sum(1 << b for b in bits)}L' for bits in combinations(range(width), radius))})")
-        out.append(_flipped(own, masks, s))
-    return F.flatten(F.array(*out)) if len(out) > 1 else out[0]
+
+    def values(segment: int, shift: int, width: int) -> Column:
+        flips = json.dumps([sum(1 << b for b in bits) for bits in combinations(range(width), radius)])
+        own = _part(F.col(code), shift, width)
+        return F.transform(F.from_json(F.lit(flips), "array<bigint>"), lambda m: F.struct(F.lit(segment).alias("segment"), own.bitwiseXOR(m).alias("value")))
+
+    return F.concat(*[values(s, *part) for s, part in enumerate(parts)])
+
+
+def _met_first(parts: list[tuple[int, int]], radius: int) -> Column:
+    """Whether ``query`` and ``code`` meet in this ring and ``segment`` and in none before."""
+    gap = F.col("query").bitwiseXOR(F.col("code"))
+    gaps = F.array(*[F.bit_count(_part(gap, shift, width)).cast("int") for shift, width in parts])
+    return (F.array_min(gaps) == radius) & (F.array_position(gaps, F.lit(radius)) - 1 == F.col("segment"))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The ``k + 1`` nearest codes of each query code, and how far its (k + 1)-th id is."""
-    one = found.groupBy("query", "code").agg(F.min("score").alias("score"), F.first("ids").alias("ids"))
     order = Window.partitionBy("query").orderBy("score", F.get("ids", F.lit(0)))
-    top = one.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    top = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     upto = F.sum(F.size("ids")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     far = F.min(F.when(F.col("upto") > k, F.col("score"))).over(Window.partitionBy("query"))
     return top.withColumn("upto", upto).select("query", "code", "score", "ids", F.coalesce(far, F.lit(BITS + 1)).alias("far"))
 
 
-def _least(d: np.ndarray, n: int) -> np.ndarray:
-    """Places of the ``n`` least entries, in order, ties by place."""
-    if len(d) <= n:
-        return np.argsort(d, kind="stable")
-    near = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
-    return near[np.argsort(d[near], kind="stable")[:n]]
-
-
-def _all_codes(groups: DataFrame, left: list[int], k: int) -> DataFrame:
-    """The given queries against every code, block by block; each task keeps its ``k + 1`` best for a query."""
-    blocks = [np.array(left[i : i + BLOCK], dtype=np.int64).view(np.uint64) for i in range(0, len(left), BLOCK)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = batch.column("code").to_numpy().view(np.uint64)
-            ids = batch.column("node").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            for block in blocks:
-                for q in block:
-                    pick = order[_least(np.bitwise_count(codes[order] ^ q), k + 1)]
-                    score = pa.array(np.bitwise_count(codes[pick] ^ q).astype(np.int32))
-                    query = pa.array(np.full(len(pick), q, dtype=np.uint64).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([query, batch.column("code").take(pa.array(pick)), score, batch.column("ids").take(pa.array(pick))], names=["query", "code", "score", "ids"])
-
-    return groups.mapInArrow(run, "query long, code long, score int, ids array<long>")
-
-
 def top_codes(codes: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` rows nearest by Hamming distance, exactly.
 
     ``codes(vec_id, code)``; queries are the rows whose id ``every`` divides, and
-    every other row is a candidate. Ties go to the smaller id. Null ids and codes
-    take no part. Equal codes are one entry with the ``k + 1`` smallest ids,
-    which loses no answer.
+    every other row is a candidate, all of them if there are fewer than ``k``.
+    Ties go to the smaller id. Null ids and codes take no part; rows that repeat
+    an id count as one row if their codes are equal and else as two candidates
+    of that id, which are no candidates of its own queries. Equal codes are one
+    entry with the ``k + 1`` smallest ids, which loses no answer.
     """
     spark = codes.sparkSession
-    rows = codes.where("vec_id is not null and code is not null").select(F.col("vec_id").cast("long"), F.col("code").cast("long"))
+    rows = codes.where("vec_id is not null and code is not null").select(F.col("vec_id").cast("long"), F.col("code").cast("long")).distinct()
     groups = written(distinct_groups(rows, "code", k + 1), "codes")
-    n = groups.count()
-    parts = segments(n)
+    parts = segments(groups.count())
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("code").alias("query"), F.col("vec_id").alias("query_id"))
-    open_queries = written(asked.select("query").distinct().withColumn("far", F.lit(BITS + 1)), "queries")
-    index = written(groups.withColumn("at", F.explode(_segment_keys("code", parts, 0))).select("at.segment", "at.value", "code", "ids"), "segments")
-    none = spark.createDataFrame([], "query long, code long, score int, ids array<long>, far int")
-    best, done = none, []
+    # the distance up to which a code can still enter a query's answer
+    left = written(asked.select("query").distinct().withColumn("far", F.lit(BITS + 1)), "queries")
+    index = written(groups.withColumn("at", F.explode(_ring("code", parts, 0))).select("at.segment", "at.value", "code", "ids"), "segments")
+    best = spark.createDataFrame([], "query long, code long, score int, ids array<long>")
+    done = best.select("query", "score", "ids")
     for radius in range(max(w for _, w in parts) + 1):
-        left = open_queries.count()
-        if not left:
-            break
-        ring = sum(math.comb(w, radius) for _, w in parts)
-        if ring * PROBE_COST > n:
-            scan = _all_codes(groups, [r["query"] for r in open_queries.select("query").collect()], k) if left <= BLOCK else _scan_in_blocks(groups, open_queries, k)
-            done.append(_best(scan, k))
+        if left.isEmpty():
             break
-        probes = open_queries.select("query", "far", F.explode(_segment_keys("query", parts, radius)).alias("at")).select("query", "far", "at.segment", "at.value")
+        spread = left.repartition(partitions(spark), "query")  # few queries, many probes for each
+        probes = spread.select("query", "far", F.explode(_ring("query", parts, radius)).alias("at")).select("query", "far", "at.segment", "at.value")
         gap = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")
-        hits = probes.join(index, ["segment", "value"]).where(gap <= F.col("far")).select("query", "code", gap.alias("score"), "ids")
-        grown = written(_best(hits.unionByName(best.select("query", "code", "score", "ids")), k), "best")
-        covered = len(parts) * (radius + 1) - 1
-        done.append(grown.where(F.col("far") <= covered))
-        best = grown.where(F.col("far") > covered)
-        known = best.select("query", "far").distinct()
-        settled = done[-1].select("query").distinct()
-        after = written(open_queries.select("query").join(settled, "query", "left_anti").join(known, "query", "left").select("query", F.coalesce("far", F.lit(BITS + 1)).alias("far")), "queries")
-        forget(open_queries)
-        open_queries = after
-    found = none.select("query", "score", "ids")
-    for part in done:
-        found = found.unionByName(part.select("query", "score", "ids"))
-    return nearest_ids(found, asked, k)
-
-
-def _scan_in_blocks(groups: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Many open queries against every code: blocks of queries meet blocks of codes, each pair a group of its own."""
-    spark = groups.sparkSession
-    q_blocks, c_blocks = max(1, math.ceil(queries.count() / BLOCK)), partitions(spark)
-    q = queries.select("query", F.pmod(F.xxhash64("query"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
-    c = groups.select("code", "ids", "node", F.pmod(F.xxhash64("code"), F.lit(c_blocks)).cast("int").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-
-    def run(left, right):
-        import pandas as pd
-
-        codes, out = right["code"].to_numpy().view(np.uint64), []
-        order = np.argsort(right["node"].to_numpy(), kind="stable")
-        for x in left["query"].to_numpy():
-            pick = order[_least(np.bitwise_count(codes[order] ^ np.int64(x).view(np.uint64)), k + 1)]
-            out.append(pd.DataFrame({"query": x, "code": right["code"].to_numpy()[pick], "score": np.bitwise_count(codes[pick] ^ np.int64(x).view(np.uint64)).astype(np.int32), "ids": right["ids"].iloc[pick].to_list()}))
-        none = pd.DataFrame({"query": pd.Series(dtype="int64"), "code": pd.Series(dtype="int64"), "score": pd.Series(dtype="int32"), "ids": pd.Series(dtype=object)})
-        return pd.concat(out) if out else none
-
-    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(run, "query long, code long, score int, ids array<long>")
+        hits = probes.join(index, ["segment", "value"]).where((gap <= F.col("far")) & _met_first(parts, radius))
+        grown = written(_best(hits.select("query", "code", gap.alias("score"), "ids").unionByName(best), k), "best")
+        covered = F.col("far") <= len(parts) * (radius + 1) - 1
+        done = done.unionByName(grown.where(covered).select("query", "score", "ids"))
+        best = grown.where(~covered).select("query", "code", "score", "ids")
+        far = grown.select("query", "far").distinct()
+        after = left.select("query").join(far, "query", "left").select("query", F.coalesce("far", F.lit(BITS + 1)).alias("far")).where(~covered)
+        after = written(after, "queries")
+        forget(left)
+        left = after
+    # what the last ring leaves has fewer candidates than asked for, all of which it has met
+    return nearest_ids(done.unionByName(best.select("query", "score", "ids")), asked, k)
 
 
 def nearest_signs(embeddings: DataFrame, every: int = 50, k: int = K) -> DataFrame:

@@ -72,27 +72,31 @@ def test_walk_goes_by_summed_distance():
     assert sums == sorted(sums) and len(set(order)) == 30
 
 
-@pytest.mark.parametrize("cost", [0, 16, 10**9])
-def test_code_search_is_exact(spark, monkeypatch, cost):
-    """With probes only, mixed, and by comparison with every code only."""
-    monkeypatch.setattr(code_search, "PROBE_COST", cost)
+@pytest.mark.parametrize(("cuts", "every"), [(None, 50), (4, 50), (7, 10)])
+def test_code_search_is_exact(spark, monkeypatch, cuts, every):
+    """Whatever the number of segments, so that answers come from rings 0 to 5."""
+    if cuts:
+        edges = [round(i * 64 / cuts) for i in range(cuts + 1)]
+        monkeypatch.setattr(code_search, "segments", lambda n: [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)])
     rows = vectors(n=150, dims=16)
     vecs = {i: v > 0 for i, v in good(rows).items()}
-    want = brute(vecs, 50, lambda a, b: int((a != b).sum()))
+    want = brute(vecs, every, lambda a, b: int((a != b).sum()))
     got = {}
-    for r in sorted(code_search.nearest_signs(spark.createDataFrame(rows, SCHEMA)).collect(), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(code_search.nearest_signs(spark.createDataFrame(rows, SCHEMA), every=every).collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append((r.score, r.vec_id))
     assert got == want
 
 
-def test_many_open_queries_meet_codes_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(code_search, "BLOCK", 2)
-    monkeypatch.setattr(code_search, "PROBE_COST", 10**9)
-    rows = vectors(n=150, dims=16)
-    want = brute({i: v > 0 for i, v in good(rows).items()}, 10, lambda a, b: int((a != b).sum()))
+def test_codes_without_structure_are_searched_by_rings(spark):
+    """Random codes, whose k-th distance lies far out, a pair in reach of several rings, and repeated rows."""
+    r = random.Random(3)
+    codes = [(i, r.getrandbits(64) - (1 << 63)) for i in range(1500)]
+    codes += [(2000, codes[0][1]), (2000, codes[0][1]), (2001, codes[0][1] ^ 0x1111), (None, 5), (3, None)]
     got = {}
-    for r in sorted(code_search.nearest_signs(spark.createDataFrame(rows, SCHEMA), every=10).collect(), key=lambda r: (r.query_id, r.rank)):
-        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    for x in sorted(code_search.top_codes(spark.createDataFrame(codes, "vec_id long, code long"), every=100).collect(), key=lambda x: (x.query_id, x.rank)):
+        got.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    known = {(i, c) for i, c in codes if i is not None and c is not None}
+    want = {q: sorted((((a ^ b) & (1 << 64) - 1).bit_count(), i) for i, b in known if i != q)[:10] for q, a in known if q % 100 == 0}
     assert got == want
 
 
