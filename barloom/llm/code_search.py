@@ -77,15 +77,15 @@ def top_codes(codes: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     ``codes(vec_id, code)``; queries are the rows whose id ``every`` divides, and
     every other row is a candidate, all of them if there are fewer than ``k``.
     Ties go to the smaller id. Null ids and codes take no part; rows that repeat
-    an id count as one row if their codes are equal and else as two candidates
-    of that id, which are no candidates of its own queries. Equal codes are one
-    entry with the ``k + 1`` smallest ids, which loses no answer.
+    an id and a code count once, and other rows of a query's id are none of its
+    candidates. Equal codes are one entry
+    with the ``k + 1`` smallest ids, which loses no answer.
     """
     spark = codes.sparkSession
-    rows = codes.where("vec_id is not null and code is not null").select(F.col("vec_id").cast("long"), F.col("code").cast("long")).distinct()
+    rows = codes.where("vec_id is not null and code is not null").select(F.col("vec_id").cast("long"), F.col("code").cast("long"))
     groups = written(distinct_groups(rows, "code", k + 1), "codes")
     parts = segments(groups.count())
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("code").alias("query"), F.col("vec_id").alias("query_id"))
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("code").alias("query"), F.col("vec_id").alias("query_id")).distinct()
     # the distance up to which a code can still enter a query's answer
     left = written(asked.select("query").distinct().withColumn("far", F.lit(BITS + 1)), "queries")
     index = written(groups.withColumn("at", F.explode(_ring("code", parts, 0))).select("at.segment", "at.value", "code", "ids"), "segments")

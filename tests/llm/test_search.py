@@ -48,7 +48,7 @@ def test_all_candidates_are_exact_and_few_keep_recall(spark):
     for q, near in want.items():
         assert [i for _, i in got[q]] == [i for _, i in near]
         assert np.allclose([s for s, _ in got[q]], [s for s, _ in near], rtol=1e-12)
-    some = {(r.query_id, r.vec_id) for r in multi_index.nearest(df, every=20, candidates=100, share=0.1).collect()}
+    some = {(r.query_id, r.vec_id) for r in multi_index.nearest(df, every=20, candidates=100).collect()}
     hits = sum((q, i) in some for q, near in want.items() for _, i in near)
     assert hits >= 0.9 * sum(map(len, want.values()))
 
@@ -67,9 +67,31 @@ def test_default_share_keeps_recall_without_structure(spark):
 def test_walk_goes_by_summed_distance():
     r = random.Random(1)
     left, right = np.array([r.random() for _ in range(5)]), np.array([r.random() for _ in range(6)])
-    order = multi_index.walk(left, right, {c: 1 for c in range(30)}, 30)
+    cells = np.array(sorted(r.sample(range(30), 22)))
+    order = [int(cells[x]) for x in multi_index.walk(left, right, multi_index.split_cells(cells, 6), np.ones(22, dtype=int), 22)]
     sums = [left[c // 6] + right[c % 6] for c in order]
-    assert sums == sorted(sums) and len(set(order)) == 30
+    assert sums == sorted(sums) and sorted(order) == cells.tolist()
+    assert len(multi_index.walk(left, right, multi_index.split_cells(cells, 6), np.full(22, 4), 9)) == 3
+
+
+def test_structure_lets_a_walk_stop_early():
+    """Clustered vectors need a small share, random directions a large one; both reach the recall they are asked for."""
+    r = np.random.default_rng(7)
+    centres = r.normal(size=(300, 32))
+    shares = []
+    for m in (np.repeat(centres, 30, axis=0) + 0.2 * r.normal(size=(9000, 32)), r.normal(size=(9000, 32))):
+        m = r.permutation(m).astype(np.float32)
+        books = [multi_index.codebook(m[:7500, :16], 512), multi_index.codebook(m[:7500, 16:], 512)]
+        shares.append(multi_index.share_needed(m[7500:], books, 16, 9000, 10))
+    assert shares[0] < 0.05 < shares[1] < 0.6
+
+
+def test_repeated_ids_of_vectors(spark):
+    """Rows that repeat an id and a vector count once; a query is answered for each of its vectors."""
+    rows = [(0, [0.5, 1.0]), (0, [0.5, 1.0]), (100, [0.5, 2.0]), (100, [4.0, 2.0]), (7, [0.5, 1.5]), (7, [0.5, 1.5]), (8, [0.5, 1.5])]
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in multi_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert [g for g in got if g[0] == 0] == [(0, 1, 7, 0.5), (0, 2, 8, 0.5), (0, 3, 100, 1.0), (0, 4, 100, math.hypot(3.5, 1.0))]
+    assert len([g for g in got if g[0] == 100]) == 6
 
 
 @pytest.mark.parametrize(("cuts", "every"), [(None, 50), (4, 50), (7, 10)])
