@@ -35,39 +35,31 @@ HOT_CELL = 50_000
 _LOW_BITS = np.uint64(0x5555555555555555)
 
 
-def _fold(block: WordBlock, size: int, distinct: bool = False) -> np.ndarray:
-    """Fingerprints of the texts of a block; ``distinct`` counts each shingle of a text once."""
+def _shingles(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the word shingles of each text, one text after the other, and how many each has."""
+    block = WordBlock([t.lower() for t in texts])
     words = np.diff(block.first)
-    shingles = np.where(words == 0, 0, np.maximum(words - size + 1, 1))
-    total = int(shingles.sum())
-    prints = np.zeros(len(words), dtype=np.uint64)
-    if not total:
-        return prints
-    owner = np.repeat(np.arange(len(words)), shingles)
-    offset = np.arange(total) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-    head = block.first[:-1][owner] + offset
+    count = np.where(words == 0, 0, np.maximum(words - size + 1, 1))
+    owner = np.repeat(np.arange(len(words)), count)
+    head = block.first[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     tail = np.minimum(head + size - 1, block.first[1:][owner] - 1)
     data, digest = block.data, xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(data[a:b], SEED) for a, b in zip(block.start[head].tolist(), block.end[tail].tolist(), strict=True)), dtype=np.uint64, count=total
-    )
-    if distinct:
-        order = np.lexsort((hashes, owner))
-        hashes, owner = hashes[order], owner[order]
-        new = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))
-        hashes, shingles = hashes[new], np.bincount(owner[new], minlength=len(words))
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    full = np.flatnonzero(shingles)
-    counts = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[full], axis=0, dtype=np.int32)
-    majority = counts * 2 > shingles[full][:, None]
-    prints[full] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
-    return prints
+    spans = zip(block.start[head].tolist(), block.end[tail].tolist(), strict=True)
+    return np.fromiter((digest(data[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(owner)), count
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, distinct: bool = False, second: int = 0) -> DataFrame:
-    """``(doc_id, fp, alt)``: the SimHash of each text's word shingles as a signed long.
+def _fold(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text: the bits set in over half its hashes."""
+    prints, full = np.zeros(len(count), dtype=np.uint64), np.flatnonzero(count)
+    if len(full):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        majority = np.add.reduceat(bits, (np.cumsum(count) - count)[full], axis=0, dtype=np.int32) * 2 > count[full][:, None]
+        prints[full] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
+    return prints
+
 
-    ``alt`` is another one over shingles of ``second`` words, or 0.
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``(doc_id, fp)``: the SimHash of each text's word shingles as a signed long.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; shingles keep
     their repeats; a text with fewer words is one shingle, and a null or empty
@@ -76,12 +68,10 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, distinct: bool = False, s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in row_chunks(batches):
-            block = WordBlock([t.lower() for t in as_bytes(rows.column("text"))])
-            fp = _fold(block, size, distinct)
-            alt = _fold(block, second) if second else np.zeros_like(fp)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(alt.view(np.int64))], names=["doc_id", "fp", "alt"])
+            fp = _fold(*_shingles(as_bytes(rows.column("text")), size))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, alt long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def embedding(fp: str = "fp") -> F.Column:
@@ -103,31 +93,42 @@ def _cell_masks(radius: int) -> list[int]:
 
 
 def _counts(fp: np.ndarray) -> np.ndarray:
-    """Bit counts of neighbouring segments added up, so each of eight bytes holds one count of eight bits."""
+    """Bit counts of neighbouring segments added up, so each of eight bytes of a word holds one count of eight bits."""
     four, byte = np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
     x = fp - ((fp >> np.uint64(1)) & _LOW_BITS)
     x = (x & four) + ((x >> np.uint64(2)) & four)
-    return ((x + (x >> np.uint64(4))) & byte).view(np.int8).reshape(-1, 8)
+    return np.ascontiguousarray((x + (x >> np.uint64(4))) & byte).view(np.int8).reshape(len(fp), -1)
 
 
-def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
-    """Which pairs are within ``radius`` bits: the Manhattan bound first, the exact count on what is left."""
-    hit = np.flatnonzero(np.abs(_counts(a) - _counts(b)).sum(axis=1) <= radius)
-    return hit[np.bitwise_count(a[hit] ^ b[hit]) <= radius]
+class _Prints:
+    """Fingerprints of some rows, and the sizes of their sets where these count."""
 
+    def __init__(self, words: np.ndarray, radius: int, n: np.ndarray | None = None) -> None:
+        self.words, self.radius, self.n, self.counts = words, radius, n, _counts(words)
 
-def _grow(fp: np.ndarray, alt: np.ndarray, node: np.ndarray, radius: int, confirm: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def near(self, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        """Which rows of ``a`` are near their partner in ``b``: sizes first, then the Manhattan bound, then the exact count of bits."""
+        b = np.broadcast_to(b, a.shape)
+        ok, radius = np.arange(len(a)), np.full(len(a), self.radius)
+        if self.n is not None:
+            low, high = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
+            ok = np.flatnonzero(5 * low >= 4 * high)
+            radius = np.where(low[ok] < SMALL_SET, SMALL_RADIUS, self.radius)
+        keep = np.abs(self.counts[a[ok]] - self.counts[b[ok]]).sum(axis=1, dtype=np.int32) <= radius
+        ok, radius = ok[keep], radius[keep]
+        ok = ok[np.bitwise_count(self.words[a[ok]] ^ self.words[b[ok]]).sum(axis=1, dtype=np.int32) <= radius]
+        out = np.zeros(len(a), dtype=bool)
+        out[ok] = True
+        return out
+
+
+def _grow(prints: _Prints, rest: np.ndarray, node: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """A star of edges for each component of one large cell; a row leaves the comparison once it has joined."""
     left, right = [], []
-    rest, counts = np.arange(len(fp)), _counts(fp)
     while len(rest) > 1:
         members, queue, rest = [rest[:1]], [int(rest[0])], rest[1:]
         while queue and len(rest):
-            at = queue.pop()
-            hit = np.abs(counts[rest] - counts[at]).sum(axis=1) <= radius
-            hit[hit] = np.bitwise_count(fp[rest[hit]] ^ fp[at]) <= radius
-            if confirm < 64:
-                hit[hit] = np.bitwise_count(alt[rest[hit]] ^ alt[at]) <= confirm
+            hit = prints.near(rest, queue.pop())
             if hit.any():
                 got, rest = rest[hit], rest[~hit]
                 members.append(got)
@@ -139,45 +140,44 @@ def _grow(fp: np.ndarray, alt: np.ndarray, node: np.ndarray, radius: int, confir
     return left, right
 
 
-def links(cells: DataFrame, radius: int = RADIUS, confirm: int = 64) -> DataFrame:
-    """``(u, v)`` edges that connect exactly what Hamming distance ``<= radius`` connects.
+def links(cells: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(u, v)`` edges that connect exactly what Hamming distance ``<= radius`` connects within each (cell, part).
 
-    A link also needs the second fingerprints within ``confirm`` bits.
-    ``cells(cell, part, fp, alt, node)``: rows of one (cell, part) are compared. Small
-    cells give every link; of a large cell each component gives one star, so the
-    edges stay in proportion to the rows.
+    ``cells(cell, part, node, n, fp...)``, sorted by cell and part; all further long
+    columns are words of the fingerprint. Where ``n`` is not 0 it is the size of a
+    set, and sizes of less than 4 to 5 part two rows as well. Small cells give
+    every link; of a large cell each component gives one star, so the edges
+    stay in proportion to the rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            table = pa.table(batch) if not isinstance(batch, pa.Table) else batch
-            now = [table.column(c).to_numpy() for c in ("cell", "part", "fp", "alt", "node")]
-            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            now = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+            held = now if held is None else np.concatenate([held, now], axis=1)
             change = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0))
             if len(change):  # the last cell may go on in the next batch
                 cut = int(change[-1]) + 1
-                yield from compare([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
+                yield from compare(held[:, :cut])
+                held = held[:, cut:]
         if held is not None:
             yield from compare(held)
 
-    def compare(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        cell, part, fp, alt, node = cols
-        fp, alt = (np.ascontiguousarray(x).view(np.uint64) for x in (fp, alt))
+    def compare(held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        (cell, part, node, n), words = held[:4], np.ascontiguousarray(held[4:].T).view(np.uint64)
+        prints = _Prints(words, radius, n if n.any() else None)
         starts = np.concatenate(([0], np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0)) + 1))
         sizes = np.diff(np.append(starts, len(cell)))
         left, right = [], []
-        for s, n in zip(starts[sizes > SMALL_CELL].tolist(), sizes[sizes > SMALL_CELL].tolist(), strict=True):
-            a, b = _grow(fp[s : s + n], alt[s : s + n], node[s : s + n], radius, confirm)
+        for s, m in zip(starts[sizes > SMALL_CELL].tolist(), sizes[sizes > SMALL_CELL].tolist(), strict=True):
+            a, b = _grow(prints, np.arange(s, s + m), node)
             left += a
             right += b
         ends = np.repeat(starts + sizes, sizes)
         small = np.flatnonzero(np.repeat((sizes <= SMALL_CELL) & (sizes > 1), sizes))
         step = 1
         while len(small := small[small + step < ends[small]]):
-            hit = small[_near(fp[small], fp[small + step], radius)]
-            hit = hit[np.bitwise_count(alt[hit] ^ alt[hit + step]) <= confirm]
+            hit = small[prints.near(small, small + step)]
             left.append(node[hit])
             right.append(node[hit + step])
             step += 1
@@ -189,48 +189,45 @@ def links(cells: DataFrame, radius: int = RADIUS, confirm: int = 64) -> DataFram
     return cells.mapInArrow(run, "u long, v long")
 
 
-def grid_cells(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Each fingerprint once for every pair of segment groups, with hot cells cut into pairs of blocks."""
+def _grid(radius: int, fp: str = "fp") -> F.Column:
+    """The cells of a fingerprint, one for every pair of segment groups."""
     masks = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(_cell_masks(radius))])
-    rows = (
-        distinct.withColumn("at", F.explode(masks))
-        .withColumn("cell", F.xxhash64(F.col("at.pair"), embedding().bitwiseAND(F.col("at.mask"))))
-        .select("cell", "fp", "alt", "node")
-    )
-    return _in_parts(rows)
+    return F.transform(masks, lambda x: F.xxhash64(x["pair"], embedding(fp).bitwiseAND(x["mask"])))
+
+
+def grid_cells(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Each fingerprint of ``distinct(fp, node)`` once for every pair of segment groups, hot cells cut into pairs of blocks, ready for :func:`links`."""
+    return _in_parts(distinct.select(F.explode(_grid(radius)).alias("cell"), "node", F.lit(0).cast("long").alias("n"), "fp"))
 
 
 def _in_parts(rows: DataFrame) -> DataFrame:
-    """``rows(cell, fp, alt, node)`` with a ``part``: hot cells are cut into pairs of blocks."""
+    """``rows(cell, node, n, words...)`` with a ``part``, dealt and sorted by both; hot cells are cut into pairs of blocks."""
     # written first, as its size then is known: it is small, and rows need no shuffle to meet it
     hot = written(rows.groupBy("cell").count().where(F.col("count") > HOT_CELL), "hot")
     blocks = F.ceil(F.col("count") / HOT_CELL).cast("int")
-    own = F.pmod(F.xxhash64("fp", "alt"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pair = lambda i: F.least(i, own) * F.lit(1 << 20) + F.greatest(i, own)
     parts = F.when(F.col("count").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), blocks - 1), pair))
-    return rows.join(hot, "cell", "left").select("cell", F.explode(parts).alias("part"), "fp", "alt", "node")
+    cut = rows.join(hot, "cell", "left").select("cell", F.explode(parts).alias("part"), *rows.columns[1:])
+    return cut.repartition(partitions(rows.sparkSession), "cell", "part").sortWithinPartitions("cell", "part")
 
 
-def near_duplicate_classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, distinct: bool = False, confirm: tuple[int, int] = (0, 64)) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs(doc_id, text)``.
 
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is
-    the smallest doc_id reachable, itself included. With ``confirm`` a link also
-    needs the fingerprints of shingles of that many words within that many bits.
-    Equal fingerprints are merged first, so groups of copies cost one row. Extra
-    columns are ignored; an empty table gives an empty result; rows with a null
-    doc_id form no class of their own and get the class of their fingerprint.
+    the smallest doc_id reachable, itself included. Equal fingerprints are
+    merged first, so groups of copies cost one row. Extra columns are ignored;
+    an empty table gives an empty result; rows that repeat give repeats; rows
+    with a null doc_id form no class of their own and get the class of their
+    fingerprint.
     """
-    prints = written(fingerprints(docs, size, distinct, confirm[0]), "simhash")
-    groups = prints.groupBy("fp", "alt").agg(F.min("doc_id").alias("node"))
-    n = partitions(docs.sparkSession)
-    cells = grid_cells(groups.where("node is not null"), radius).repartition(n, "cell", "part").sortWithinPartitions("cell", "part")
-    component = connected_components(links(cells, radius, confirm[1]))
+    prints = written(fingerprints(docs, size), "simhash")
+    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    component = connected_components(links(grid_cells(groups.where("node is not null"), radius), radius))
     # the component table holds linked fingerprints only; others are their own class
-    classes = groups.join(component, "node", "left").select("fp", "alt", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(classes, ["fp", "alt"], "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    classes = groups.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return prints.join(classes, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Near copies share at least 4 of 5 of all their distinct five-word shingles.
@@ -238,15 +235,18 @@ COPY_WORDS = 5
 #: Bands of a set's least shingle hashes and hashes in a band: two sets at similarity 0.8 share
 #: none of them with a probability of (1 - 0.8**4)**20, 2 in 10**8 at 0.9 and 2 in 10**5 at 0.8.
 BANDS, BAND_HASHES = 20, 4
-#: Candidates have both fingerprints within this many bits; at similarity 0.8 a fingerprint
-#: differs in about 9.7 of 64 (binomial; 3 in 10**6 exceed 24).
-COPY_RADIUS = 24
+#: Words of a set's fingerprint, and the bits of all of them that candidates differ in at most. At similarity
+#: 0.8 they differ in about 39 of 256 (binomial; 2 in 10**5 exceed 62), at 0.5 in 69, at 0.3 in 89.
+PRINTS, COPY_RADIUS = 4, 62
+#: Sets with fewer shingles than this have ties in their bits, which asks for more room.
+SMALL_SET, SMALL_RADIUS = 10, 96
 #: Members of a large candidate group that all others are compared with first.
 HUBS = 8
 #: Most rows and shingles of a group compared whole, and of a block of a larger one.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 1_000_000
 
-_SAME = ["digest", "n", "fp", "alt"]
+_WORDS = [f"f{i}" for i in range(PRINTS)]
+_SAME = ["digest", "n", "f0"]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -256,36 +256,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _shingle_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+def _sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text in order, one text after the other, and how many each has."""
-    block = WordBlock([t.lower() for t in texts])
-    words = np.diff(block.first)
-    count = np.where(words == 0, 0, np.maximum(words - size + 1, 1))
-    owner = np.repeat(np.arange(len(words)), count)
-    head = block.first[:-1][owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    tail = np.minimum(head + size - 1, block.first[1:][owner] - 1)
-    data, digest = block.data, xxhash.xxh64_intdigest
-    spans = zip(block.start[head].tolist(), block.end[tail].tolist(), strict=True)
-    hashes = np.fromiter((digest(data[a:b], SEED) for a, b in spans), dtype=np.uint64, count=len(owner))
+    hashes, count = _shingles(texts, size)
+    owner = np.repeat(np.arange(len(count)), count)
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
     new = np.ones(len(owner), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[new], np.bincount(owner[new], minlength=len(words))
+    return hashes[new], np.bincount(owner[new], minlength=len(count))
 
 
-def _keys(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two fingerprints and a digest of each set; zeros for an empty one."""
-    full, first = np.flatnonzero(n), (np.cumsum(n) - n)[n > 0]
-    prints, whole = np.zeros((2, len(n)), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
+def _keys(hashes: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The words of the fingerprint of each set and a digest of it; zeros for an empty one."""
+    out = []
+    for _ in range(PRINTS):
+        out.append(_fold(hashes, n))
+        hashes = _mixed(hashes + np.uint64(1))
+    digest, full = np.zeros(len(n), dtype=np.uint64), np.flatnonzero(n)
     if len(full):
-        second = _mixed(hashes)
-        for k, h in enumerate((hashes, second)):
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            majority = np.add.reduceat(bits, first, axis=0, dtype=np.int32) * 2 > n[full][:, None]
-            prints[k, full] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
-        whole[full] = np.add.reduceat(_mixed(second), first)
-    return prints[0], prints[1], whole
+        digest[full] = np.add.reduceat(hashes, (np.cumsum(n) - n)[full])
+    return [*out, digest]
 
 
 def _bands(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -304,23 +295,23 @@ def _bands(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def copy_prints(docs: DataFrame, size: int = COPY_WORDS) -> DataFrame:
-    """``(row, doc_id, fp, alt, digest, n, bands)``: two fingerprints, a digest, the size and the band keys of each set of distinct shingles.
+    """``(row, doc_id, f0..., digest, n, bands)``: fingerprint, digest, size and band keys of each set of distinct shingles.
 
     A text with fewer words is one shingle; a null or empty text has none, and no bands.
     """
+    names = ["row", "doc_id", *_WORDS, "digest", "n", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in row_chunks(batches):
-            hashes, n = _shingle_hashes(as_bytes(rows.column("text")), size)
+            hashes, n = _sets(as_bytes(rows.column("text")), size)
             bands = _bands(hashes, n) if len(hashes) else np.zeros(0, dtype=np.uint64)
             ends = pa.array(np.concatenate(([0], np.cumsum((n > 0) * BANDS))), pa.int32())
             longs = [pa.array(x.view(np.int64)) for x in _keys(hashes, n)]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("row"), rows.column("doc_id"), *longs, pa.array(n, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(bands.ravel().view(np.int64)))],
-                names=["row", "doc_id", "fp", "alt", "digest", "n", "bands"],
-            )
+            lists = pa.ListArray.from_arrays(ends, pa.array(bands.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column("row"), rows.column("doc_id"), *longs, pa.array(n.astype(np.int64)), lists], names=names)
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, fp long, alt long, digest long, n int, bands array<long>")
+    schema = f"row long, doc_id long, {', '.join(f'{w} long' for w in _WORDS)}, digest long, n long, bands array<long>"
+    return docs.select("row", "doc_id", "text").mapInArrow(run, schema)
 
 
 def _alike(rows: list[np.ndarray], node: np.ndarray) -> tuple[list[int], list[int]]:
@@ -359,7 +350,7 @@ def verified_links(docs: DataFrame, placed: DataFrame, size: int = COPY_WORDS) -
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in row_chunks(batches):
-            hashes, n = _shingle_hashes(as_bytes(rows.column("text")), size)
+            hashes, n = _sets(as_bytes(rows.column("text")), size)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([rows.column("cell"), rows.column("parts"), rows.column("node"), lists], names=["cell", "parts", "node", "shingles"])
 
@@ -382,7 +373,9 @@ def verified_links(docs: DataFrame, placed: DataFrame, size: int = COPY_WORDS) -
                 held.append(flat[cuts[i] : cuts[i + 1]].copy())
         yield from edges()
 
-    texts = docs.select(F.col("row").alias("node"), "text").join(placed.select("node", "cell", "parts"), "node")
+    # written first, as its size then is known: texts move to meet it only where it is too large to broadcast
+    placed = written(placed.select("node", "cell", "parts"), "placed")
+    texts = docs.select(F.col("row").alias("node"), "text").join(placed, "node")
     rows = texts.mapInArrow(sets, "cell long, parts array<int>, node long, shingles array<long>").withColumn("part", F.explode("parts"))
     blocks = rows.select("cell", "part", "node", "shingles").repartition(partitions(docs.sparkSession), "cell", "part").sortWithinPartitions("cell", "part")
     return blocks.mapInArrow(run, "u long, v long")
@@ -396,7 +389,7 @@ def _copy_components(docs: DataFrame, known: DataFrame) -> DataFrame:
     ``HUBS``; where some are left apart from its first, each of them meets all
     others, block by block.
     """
-    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.col("n").cast("long")) / BLOCK_SHINGLES)).cast("int")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     large = written(known.groupBy("cell").agg(blocks.alias("many")).where("many > 1"), "large")
     own = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     first = F.slice(F.array_sort(F.collect_list("node")), 1, HUBS)
@@ -412,7 +405,7 @@ def _copy_components(docs: DataFrame, known: DataFrame) -> DataFrame:
         return one
     left = known.join(large, "cell").join(one, "node", "left").withColumn("apart", F.coalesce("component", "node") != F.col("cell")).drop("component")
     cut = lambda rows, words: F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(words / BLOCK_SHINGLES)).cast("int")
-    words = F.when(F.col("apart"), F.col("n").cast("long")).otherwise(0)
+    words = F.when(F.col("apart"), F.col("n")).otherwise(0)
     few = left.groupBy("cell").agg(cut(F.sum(F.col("apart").cast("long")), F.sum(words)).alias("few")).where("few > 0")
     few = written(few, "apart")
     if few.isEmpty():
@@ -444,16 +437,14 @@ def near_copies(docs: DataFrame, row: str | None = None) -> DataFrame:
         docs = docs.select(F.col("doc_id").cast("long"), "text", F.col(row).alias("row"))
     prints = written(copy_prints(docs), "prints")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
-    groups = written(prints.groupBy(_SAME).agg(F.min("row").alias("node"), best.alias("best"), F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands")), "sets")
-    at = F.array(*[F.struct(F.lit(i).alias("pair"), F.lit(m).cast("long").alias("mask")) for i, m in enumerate(_cell_masks(RADIUS))])
-    grid = F.transform(at, lambda x: F.xxhash64(x["pair"], embedding().bitwiseAND(x["mask"])))
-    cells = groups.where("n > 0").select(F.explode(F.concat("bands", grid)).alias("cell"), "fp", "alt", "node")
-    cells = _in_parts(cells).repartition(partitions(docs.sparkSession), "cell", "part").sortWithinPartitions("cell", "part")
-    candidates = connected_components(links(cells, COPY_RADIUS, COPY_RADIUS))
+    rest = [F.any_value(c).alias(c) for c in (*_WORDS[1:], "bands")]
+    groups = written(prints.groupBy(_SAME).agg(F.min("row").alias("node"), best.alias("best"), F.min("doc_id").alias("doc_id"), *rest), "sets")
+    cells = groups.where("n > 0").select(F.explode(F.concat("bands", _grid(RADIUS, "f0"))).alias("cell"), "node", "n", *_WORDS)
+    candidates = connected_components(links(_in_parts(cells), COPY_RADIUS))
     known = written(groups.select("node", "n").join(candidates, "node").withColumnRenamed("component", "cell"), "candidates")
     component = _copy_components(docs, known)
-    named = groups.drop("bands").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = groups.select(*_SAME, "node", "best", "doc_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("best").alias("first"))
     classes = named.join(smallest, "component").select(*_SAME, "component_id", F.col("first.row").alias("first"))
-    fingerprint = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+    fingerprint = F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint")
     return prints.select("row", "doc_id", *_SAME).join(classes, _SAME, "left").select("row", "doc_id", fingerprint, "component_id", (F.col("row") == F.col("first")).alias("kept"))

@@ -52,9 +52,8 @@ def test_cells_lose_no_link(spark):
     prints += [centre ^ (1 << a) ^ (1 << b) for a in range(0, 64, 3) for b in range(a)]
     prints = sorted(set(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
-    table = spark.createDataFrame([(p, 0, i) for i, p in enumerate(signed)], "fp long, alt long, node long")
-    cells = simhash.grid_cells(table).repartition(4, "cell", "part").sortWithinPartitions("cell", "part")
-    got = {r.node: r.component for r in connected_components(simhash.links(cells)).collect()}
+    table = spark.createDataFrame([(p, i) for i, p in enumerate(signed)], "fp long, node long")
+    got = {r.node: r.component for r in connected_components(simhash.links(simhash.grid_cells(table))).collect()}
     parent = list(range(len(prints)))
 
     def root(x):
