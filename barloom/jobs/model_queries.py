@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbering import number_rows
+from ..functions.tables import written
 from ..functions.win import KEY, TIME, presented
 from ..operators import draws, hmm, models, regimes, rolling, spectral, targets
 from ..operators.calendar import CLOCK, SESSION, session_stats, time_features, window_columns, window_features
@@ -15,6 +16,7 @@ from .feature_queries import hourly, with_technicals
 from .registry import query
 
 _HMM = ["log_return", "vi_diff", "z_close_20"]
+# The features of the regime mixture.
 _MIXED = ["return_60", "return_480", "roll_vol_60", "body_vs_range", "wick_polarity", "z_close_20", "rsi_14", "pos_in_roll"]
 
 
@@ -49,11 +51,16 @@ def all_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 @query()
 def forecast_and_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features, a forest's forecast of the next close, mixture regimes, their readings, and signals."""
+    """Features, a forest's forecast of the next close, mixture regimes, their readings, and signals.
+
+    The features are some eighty window columns; they are written once, and both
+    models read that table.
+    """
     df, names = all_features(hourly(spark, sf_dir))
-    df = targets.fill_policy(targets.next_close(targets.require_min_rows(targets.chrono_split(df), 100)), names).persist()
-    forecast, _ = models.rf_forecast(df, names, "close_next", trees=20, depth=6)
-    mixed = models.gmm_regimes(df, _MIXED, "return_60")
+    df = targets.fill_policy(targets.next_close(targets.require_min_rows(targets.chrono_split(df), 100)), names)
+    df = written(df.select(KEY, TIME, "close", "close_next", "is_train", *names), "features")
+    forecast, _ = models.rf_forecast(df, names, "close_next")
+    mixed = written(models.gmm_regimes(df.select(KEY, TIME, *dict.fromkeys([*_MIXED, *regimes.PROFILE])), _MIXED, "return_60"), "regimes")
     readings = regimes.profile(mixed, "regime")
     signals = models.regime_signal(mixed, readings).select(KEY, TIME, "regime", "regime_signal", "signal_confidence", "simple_signal")
     return presented(forecast.select(KEY, TIME, "close", "close_next", "forecast").join(signals, [KEY, TIME]), ["close", "close_next", "forecast", "regime", "regime_signal", "signal_confidence", "simple_signal"])
@@ -83,23 +90,17 @@ def hmm_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def best_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Momentum and trend look-backs and a volatility feature, searched over sets of shared columns."""
-    df = rolling.true_range(rolling.returns(hourly(spark, sf_dir)))
-    for k in (3, 5, 8):
-        df = rolling.momentum(df, k)
-    for n in (5, 10):
-        df = rolling.trend_strength(df, n)
-    df = targets.forward_return(rolling.vortex(df), 3)
-    sets = [(m, t) for m in (3, 5, 8) for t in (5, 10)]
-    grid = spark.createDataFrame([(i, [f"momentum_{m}", f"trend_strength_{t}", "vi_diff"]) for i, (m, t) in enumerate(sets)], "config int, columns array<string>")
-    return models.config_search(df, grid).select(KEY, "config", F.array_join("columns", ",").alias("columns"), "score")
+    """All nine parameters searched one at a time from their first values; the full product is :func:`models.parameter_grid` without ``star``."""
+    df = event_bars(spark, sf_dir)
+    rows = df.groupBy(KEY).count().agg(F.min("count")).first()[0] or 0  # one number: ranges fit the shortest series
+    return models.config_search(df, models.parameter_grid(rows, star=True)).withColumn("score", F.round("score", 6))
 
 
 @query()
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = number_rows(_hmm_input(spark, sf_dir))
     counts = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    return presented(models.walk_forward(df.join(counts, KEY), _HMM, stride=50, most=400), ["prediction", "label"])
+    return presented(models.walk_forward(written(df.join(counts, KEY), "numbered"), _HMM), ["prediction", "label"])
 
 
 @query()
@@ -111,7 +112,13 @@ def direction_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def draw_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Emission probabilities of a hidden model over drawn numbers, grouped by ten."""
-    rows = draws.line_draws(spark, sf_dir).select(F.col("series").cast("string").alias(KEY), F.lit(0).cast("long").alias("part"), F.xxhash64("order").alias(TIME), F.floor(F.col("n1") / 10).cast("int").alias("x"))
-    model = hmm.fit_categorical(rows, "x", 6, k=2, iterations=3)
-    return spark.createDataFrame([(k, s, float(p)) for k, row in enumerate(model.emit) for s, p in enumerate(row)], "state int, number_group int, p double")
+    """Emission probabilities of a hidden model with ten states over all drawn numbers in flattened order.
+
+    A supplier's draws are one series, cut into parts by stretches of the order
+    key, so that no series is one group.
+    """
+    numbers = F.posexplode(F.array("n1", "n2", "n3")).alias("place", "number")
+    rows = draws.line_draws(spark, sf_dir).select("series", "order", numbers)
+    rows = rows.select(F.col("series").cast("string").alias(KEY), F.floor(F.col("order.l_orderkey") / 20_000).alias("part"), F.struct("order", "place").alias(TIME), (F.col("number") - 1).alias("x"))
+    model = hmm.fit_categorical(rows, "x", 59)
+    return spark.createDataFrame([(k, s + 1, round(float(p), 9)) for k, row in enumerate(model.emit) for s, p in enumerate(row)], "state int, number int, p double")

@@ -121,7 +121,7 @@ _PATH = [
     {"plr": "(0.4 * momentum + 0.4 * sign(net) * efficiency - 0.2 * resistance) / volatility"},
     {"zm": f"avg(plr) {sql.ALL}", "zs": f"stddev_pop(plr) {sql.ALL}"},
     {"z": "(plr - zm) / CASE WHEN zs > 1e-12 THEN zs ELSE 1.0 END"},
-    {"signal": "CASE WHEN z > 1.5 THEN 'LONG' WHEN z < -1.5 THEN 'SHORT' ELSE 'NEUTRAL' END", "strength": "least(abs(z) / 3 * 100, 100.0)"},
+    {"signal": "CASE WHEN z > 1.5 THEN 'LONG' WHEN z < -1.5 THEN 'SHORT' ELSE 'NEUTRAL' END", "strength": "CASE WHEN z IS NOT NULL THEN least(abs(z) / 3 * 100, 100.0) END"},
 ]
 _PATH_SHOWN = ["momentum", "efficiency", "resistance", "volatility", "plr", "z", "strength"]
 
@@ -170,19 +170,28 @@ def path_best_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(KEY, F.col("accuracy").alias("best"))
 
 
-@query()
-def path_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights found on the grid, scores by them, and the latest record with its confidence."""
+def path_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by the weights found on the grid, with signals and each row's confidence."""
     df = hourly(spark, sf_dir)
     regime = path_score.regimes(df)
     parts = path_score.components(df)
     best = path_score.optimise(parts, regime, 6).select(KEY, "alpha", "beta", "gamma", "accuracy")
     scored = parts.join(best, KEY).withColumn("plr", path_score.score(F.col("alpha"), F.col("beta"), F.col("gamma")))
-    limits = regime.join(path_score.regime_params(spark), "regime").select(KEY, "threshold")
-    scored = path_score.signals(scored.join(limits, KEY), threshold="threshold")
-    trust = path_score.confidence(scored, regime)
-    last = regimes.latest(scored, ["close", "plr", "z", "signal", "strength", "accuracy"])
-    return presented(last.join(regime, KEY).join(trust, KEY), ["close", "plr", "z", "signal", "strength", "accuracy", "regime", "confidence"])
+    limits = regime.join(path_score.regime_params(spark), "regime").select(KEY, "regime", "threshold")
+    return path_score.confidence(path_score.signals(scored.join(limits, KEY), threshold="threshold"), regime)
+
+
+@query()
+def path_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest record of each symbol with its confidence."""
+    names = ["close", "plr", "z", "signal", "strength", "accuracy", "regime", "confidence"]
+    return presented(regimes.latest(path_scores(spark, sf_dir), names), names)
+
+
+@query()
+def path_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confidence of every row."""
+    return presented(path_scores(spark, sf_dir), ["plr", "z", "signal", "strength", "confidence"])
 
 
 # --- regimes
@@ -257,7 +266,7 @@ _HOURLY_WINDOWS = [{"bkt60": "ts // 3600", "bkt480": "ts // 28800"}, {"return_60
 
 
 @query(
-    sql.staged(sql.RETURNS | sql.TR | sql.SHAPE, sql.SHAPE2, sql.BASIC, *sql.TECHNICALS, *_HOURLY_WINDOWS, _STATE)
+    sql.staged(sql.RETURNS | sql.TR | sql.SHAPE, sql.SHAPE2, sql.BASIC, *sql.TECHNICALS, *sql.RISK, *_HOURLY_WINDOWS, _STATE)
     + ", pop AS (SELECT quantile_cont(roll_vol_60, 0.5) AS med, quantile_cont(roll_vol_60, 0.7) AS q70 FROM final), g AS (SELECT state, count(*) AS n, "
     + ", ".join(f"avg({c}) AS mean_{c}" for c in regimes.PROFILE)
     + " FROM final GROUP BY state) SELECT state, CAST(n AS BIGINT) AS n, "
@@ -268,7 +277,7 @@ _HOURLY_WINDOWS = [{"bkt60": "ts // 3600", "bkt480": "ts // 28800"}, {"return_60
 def regime_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.calendar import window_features
 
-    df = window_features(window_features(with_technicals(hourly(spark, sf_dir)), 60), 480)
+    df = window_features(window_features(rolling.risk(with_technicals(hourly(spark, sf_dir))), 60), 480)
     z = F.col("z_close_20")
     df = df.withColumn("state", F.when(z < -0.5, 0).when(z > 0.5, 2).when(z.isNotNull(), 1))
     out = regimes.profile(df, "state")

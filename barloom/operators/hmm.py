@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from ..functions.win import KEY, TIME
 
 FLOOR = 1e-6
@@ -140,29 +141,79 @@ def fit(df: DataFrame, features: list[str], k: int = 3, cov: str = "diag", itera
     return model
 
 
-def fit_categorical(df: DataFrame, x: str, symbols: int, k: int = 3, iterations: int = 15) -> Model:
-    """A model of ``df(symbol, part, ts, x)`` with values ``0 .. symbols - 1``."""
-    rng = np.random.default_rng(42)
-    emit = rng.dirichlet(np.full(symbols, 20.0), k)
+def _count_batch(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
+    """Expected counts of a categorical model over many sequences at a time: log likelihood, starts, moves, emissions."""
+    k, symbols = model.emit.shape
+    size = np.array([len(x) for x in sequences])
+    x = np.zeros((len(sequences), size.max()), dtype=np.int64)
+    for row, one in zip(x, sequences, strict=True):
+        row[: len(one)] = one
+    alpha, scale = np.zeros((x.shape[1], len(x), k)), np.ones((x.shape[1], len(x)))
+    for t in range(x.shape[1]):
+        on = size > t
+        a = (model.start if t == 0 else alpha[t - 1, on] @ model.move) * model.emit[:, x[on, t]].T
+        scale[t, on] = a.sum(axis=1)
+        alpha[t, on] = a / scale[t, on, None]
+    beta, moves, seen = np.ones((len(x), k)), np.zeros((k, k)), np.zeros((symbols, k))
+    for t in range(x.shape[1] - 1, -1, -1):
+        on = size > t
+        gamma = alpha[t, on] * beta[on]
+        gamma /= gamma.sum(axis=1, keepdims=True)
+        np.add.at(seen, x[on, t], gamma)
+        if t:
+            ahead = model.emit[:, x[on, t]].T * beta[on] / scale[t, on, None]
+            moves += alpha[t - 1, on].T @ ahead * model.move
+            beta[on] = ahead @ model.move.T
+    return np.concatenate([[np.log(scale).sum()], gamma.sum(axis=0), moves.ravel(), seen.T.ravel()])
+
+
+def fit_categorical(df: DataFrame, x: str, symbols: int, k: int = 10, iterations: int = 100, tolerance: float = 1e-4) -> Model:
+    """A model of ``df(symbol, part, ts, x)`` with values ``0 .. symbols - 1``.
+
+    Sequences are one (symbol, part) each, ordered by ``ts``, and share one
+    model; rows with a NULL value are left out. Each is one row of a written
+    table, and a pass returns sums of expected counts only. Passes end when the
+    log likelihood gains less than ``tolerance`` of itself.
+    """
+    emit = np.random.default_rng(42).dirichlet(np.full(symbols, 20.0), k)
     model = Model(np.full(k, 1 / k), np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)), emit=emit)
-    rows = df.select(KEY, "part", TIME, x).dropna().persist()
+    items = F.array_sort(F.collect_list(F.struct(TIME, F.col(x).cast("int").alias("x"))))
+    parts = written(df.where(F.col(x).isNotNull()).groupBy(KEY, "part").agg(F.transform(items, lambda r: r["x"]).alias("xs")).select("xs"), "sequences")
+
+    def counted(held: Model) -> np.ndarray:
+        def run(batches):
+            for batch in batches:
+                flat = _count_batch(held, list(batch["xs"]))
+                yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
 
-    def counts(pdf: pd.DataFrame, held: Model) -> list[np.ndarray]:
-        v = pdf[x].to_numpy().reshape(-1, 1)
-        gamma, moves, log = posteriors(held, v)
-        seen = np.zeros((k, symbols))
-        np.add.at(seen.T, v[:, 0].astype(int), gamma)
-        return [np.array([log]), gamma[0], moves.ravel(), seen.ravel()]
+        return parts.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
 
     for _ in range(iterations):
-        sums = _summed(rows, model, counts)
+        sums = counted(model)
+        if not len(sums):
+            raise ValueError("no values for a model")
         log, first, moves, seen = np.split(sums, np.cumsum([1, k, k * k]))
         moves, seen = moves.reshape(k, k) + 1e-6, seen.reshape(k, symbols) + 1e-6
+        done = model.log_likelihood > -np.inf and log[0] - model.log_likelihood < tolerance * abs(model.log_likelihood)
         model = Model(first / first.sum(), moves / moves.sum(axis=1, keepdims=True), emit=seen / seen.sum(axis=1, keepdims=True), log_likelihood=float(log[0]))
-    rows.unpersist()
+        if done:
+            break
     return model
 
 
+def filtered(model: Model, x: np.ndarray) -> np.ndarray:
+    """The most likely state of each row by the rows up to it alone."""
+    log_b = model.log_emission(x)
+    b = np.exp(log_b - log_b.max(axis=1, keepdims=True)) + 1e-300
+    out, a = np.empty(len(x), dtype=int), model.start * b[0]
+    for t in range(len(x)):
+        if t:
+            a = (a @ model.move) * b[t]
+        a = a / a.sum()
+        out[t] = a.argmax()
+    return out
+
+
 def decode(df: DataFrame, model: Model, features: list[str]) -> DataFrame:
     """``(symbol, part, ts, state, probs)``: the most likely path and each row's posterior."""
     rows = df.select(KEY, "part", TIME, *[F.col(f).cast("double") for f in features]).dropna()
@@ -175,16 +226,23 @@ def decode(df: DataFrame, model: Model, features: list[str]) -> DataFrame:
     return rows.groupBy(KEY, "part").applyInPandas(run, f"{KEY} string, part long, {TIME} timestamp, state int, probs array<double>")
 
 
-def fit_local(x: np.ndarray, k: int, iterations: int = 15) -> Model:
-    """The same fit of one short sequence inside a task, for searches over many of them."""
+def fit_local(x: np.ndarray, k: int, iterations: int = 100, tolerance: float = 1e-4, cov: str = "full") -> Model:
+    """The same fit of one sequence inside a task, for searches over many of them; passes end as in :func:`fit`."""
     model, d = _start_model(x, k), x.shape[1]
     for _ in range(iterations):
         gamma, moves, log = posteriors(model, x)
         count = np.maximum(gamma.sum(axis=0), 1e-6)
         mean = gamma.T @ x / count[:, None]
-        spread = np.stack([np.diag((gamma[:, i] @ (x - mean[i]) ** 2) / count[i]) for i in range(k)]) + FLOOR * np.eye(d)
+        gap = x[None] - mean[:, None]
+        if cov == "full":
+            spread = np.einsum("tk,kti,ktj->kij", gamma, gap, gap) / count[:, None, None]
+        else:
+            spread = np.stack([np.diag(gamma[:, i] @ gap[i] ** 2 / count[i]) for i in range(k)])
+        done = model.log_likelihood > -np.inf and log - model.log_likelihood < tolerance * abs(model.log_likelihood)
         moves = moves + 1e-6
-        model = Model(gamma[0], moves / moves.sum(axis=1, keepdims=True), mean, spread, log_likelihood=log)
+        model = Model(gamma[0], moves / moves.sum(axis=1, keepdims=True), mean, spread + FLOOR * np.eye(d), log_likelihood=log)
+        if done:
+            break
     return model
 
 

@@ -106,7 +106,7 @@ def signals(df: DataFrame, x: str = "plr", threshold: str | float = 1.5) -> Data
     edge = F.col(threshold) if isinstance(threshold, str) else F.lit(threshold)
     df = df.join(stats, KEY).withColumn("z", (F.col(x) - F.col("_m")) / F.when(F.col("_s") > 1e-12, F.col("_s")).otherwise(1.0))
     side = F.when(F.col("z") > edge, "LONG").when(F.col("z") < -edge, "SHORT").otherwise("NEUTRAL")
-    return df.withColumns({"signal": side, "strength": F.least(F.abs("z") / 3 * 100, F.lit(100.0))}).drop("_m", "_s")
+    return df.withColumns({"signal": side, "strength": F.when(F.col("z").isNotNull(), F.least(F.abs("z") / 3 * 100, F.lit(100.0)))}).drop("_m", "_s")
 
 
 def t_tail(t: float, df: int) -> float:
@@ -136,24 +136,28 @@ def t_tail(t: float, df: int) -> float:
 
 
 def confidence(df: DataFrame, regime: DataFrame, x: str = "plr") -> DataFrame:
-    """``(symbol, confidence)``: 0 to 100 from significance, strength, regime and consistency of the last scores.
+    """``df`` with ``confidence``, 0 to 100, from significance, strength, regime and consistency of each row's score.
 
-    ``df`` has ``plr``, ``z`` and ``strength``. Significance is a one-sample
-    t-test of the scores against zero, on one aggregated row for each symbol.
+    ``df`` has ``plr``, ``z``, ``signal`` and ``strength``. Significance is a one-sample
+    t-test of a symbol's scores against zero, on one aggregated row for each
+    symbol. A regime adds trust to a trade along a trend, or against the score
+    in a reversal; a score is consistent when its sign is that of the row before.
+    Rows without a score have none.
     """
-    last3 = F.slice(F.reverse(F.sort_array(F.collect_list(F.when(F.col("_n") <= 3, F.struct(F.col("_n"), F.signum(x).alias("s")))))), 1, 3)
-    ranked = df.where(F.col(x).isNotNull()).withColumn("_n", F.row_number().over(ordered().orderBy(F.desc(TIME))))
-    stats = ranked.groupBy(KEY).agg(F.count(x).alias("n"), F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.max_by("strength", TIME).alias("strength"), last3.alias("last"))
 
     @F.pandas_udf("double")
     def p_value(n: pd.Series, m: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series([0.5 if k < 5 or not sd or sd != sd else t_tail(mean / (sd / math.sqrt(k)), k - 1) for k, mean, sd in zip(n, m, s, strict=True)], dtype=float)
 
-    steady = F.size(F.array_distinct(F.transform("last", lambda r: r["s"]))) == 1
-    consistency = F.when(F.size("last") < 3, 0.5).when(steady, 0.7).otherwise(0.3)
-    joined = stats.join(regime, KEY).withColumn("p", p_value("n", "m", "s"))
-    trust = F.when(F.col("regime") == "trending", 0.8).otherwise(0.5)
-    return joined.select(KEY, (100 * (0.3 * (1 - F.col("p")) + 0.4 * F.col("strength") / 100 + 0.2 * trust + 0.1 * consistency)).alias("confidence"))
+    stats = df.groupBy(KEY).agg(F.count(x).alias("_n"), F.avg(x).alias("_m"), F.stddev_samp(x).alias("_s"))
+    stats = stats.join(regime.select(KEY, F.col("regime").alias("_regime")), KEY).select(KEY, "_regime", p_value("_n", "_m", "_s").alias("_p"))
+    rows = df.withColumn("_before", F.signum(lag(x))).join(stats, KEY)
+    along = ((F.col("signal") == "LONG") & (F.col("z") > 0)) | ((F.col("signal") == "SHORT") & (F.col("z") < 0))
+    against = ((F.col("signal") == "LONG") & (F.col("z") < 0)) | ((F.col("signal") == "SHORT") & (F.col("z") > 0))
+    trust = F.when(((F.col("_regime") == "trending") & along) | ((F.col("_regime") == "reversal") & against), 0.8).otherwise(0.5)
+    steady = F.when(F.col("_before").isNull(), 0.5).when(F.col("_before") == F.signum(x), 0.7).otherwise(0.3)
+    points = 100 * (0.3 * (1 - F.col("_p")) + 0.4 * F.col("strength") / 100 + 0.2 * trust + 0.1 * steady)
+    return rows.withColumn("confidence", F.when(F.col(x).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), points)))).drop("_before", "_regime", "_p")
 
 
 def signal_entries(df: DataFrame, signal: str = "signal") -> DataFrame:

@@ -75,6 +75,7 @@ def top_rows(df: DataFrame, by: str, k: int) -> DataFrame:
 
 def interpretation() -> Column:
     """First match of five readings of a regime's means against the population's volatility."""
+    # fixed values: the limits of the readings
     ret, rsi = F.col("mean_return_60"), F.col("mean_rsi_14")
     return (
         F.when((ret > 0.001) & (rsi < 70), "BUY")
@@ -85,7 +86,8 @@ def interpretation() -> Column:
     )
 
 
-PROFILE = ("return_60", "return_480", "roll_vol_60", "body_vs_range", "z_close_20", "rsi_14", "pos_in_roll")
+# The features whose means a profile reports.
+PROFILE = ("return_60", "return_480", "roll_vol_60", "rsi_14", "rolling_sharpe", "body_vs_range", "wick_polarity")
 
 
 def profile(df: DataFrame, regime: str, approx: bool = False) -> DataFrame:
