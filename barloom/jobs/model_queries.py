@@ -32,7 +32,7 @@ def hurst_rescaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _THEIL = """WITH bars AS (SELECT event_type AS symbol, (epoch_us(ts) // 3600000000) * 3600 AS ts, arg_max(value, (ts, event_id)) AS close FROM events GROUP BY ALL),
 p AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM bars)
-SELECT a.symbol, round(median((b.close - a.close) / (a.n - b.n)), 6) + 0.0 AS slope FROM p a JOIN p b ON a.symbol = b.symbol AND a.n > b.n AND a.n <= 200 GROUP BY a.symbol"""
+SELECT a.symbol, round(median((b.close - a.close) / (a.n - b.n)), 6) + 0.0 AS slope FROM p a JOIN p b ON a.symbol = b.symbol AND a.n > b.n GROUP BY a.symbol"""
 
 
 @query(_THEIL)

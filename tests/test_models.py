@@ -59,6 +59,20 @@ def test_theil_sen_is_robust(spark):
     assert abs(spectral.theil_sen(series(spark, a=y)).first().slope - 2) < 1e-9
 
 
+def test_theil_sen_is_the_median_of_all_slopes(spark, monkeypatch):
+    """In small blocks with few values reported, with many equal slopes, and for series of one and two rows."""
+    monkeypatch.setattr(spectral, "BLOCK", 40)
+    monkeypatch.setattr(spectral, "REPORTED", 8)
+    r = np.random.default_rng(3)
+    named = {"noise": r.normal(size=230), "ties": r.integers(0, 3, 150), "flat": np.ones(90), "line": np.arange(101) * 3.0, "two": [1.0, 5.0], "one": [7.0], "heavy": np.where(np.arange(160) % 4, 0.0, r.normal(size=160))}
+    got = {x.symbol: x.slope for x in spectral.theil_sen(series(spark, **named)).collect()}
+    assert got.keys() == named.keys() and got["one"] is None
+    for s, y in named.items():
+        i, j = np.triu_indices(len(y), 1)
+        if len(i):
+            assert got[s] == pytest.approx(np.median((np.asarray(y, float)[j] - np.asarray(y, float)[i]) / (j - i)), abs=1e-12)
+
+
 def test_t_tail_against_known_values():
     for t, df, p in ((2.228, 10, 0.05), (1.96, 10_000, 0.05), (0.0, 5, 1.0), (12.706, 1, 0.05)):
         assert abs(path_score.t_tail(t, df) - p) < 2e-4
@@ -101,7 +115,7 @@ def bars(spark, n=140, symbols=("a", "b"), seed=5):
         close = 100 + np.cumsum(r.normal(size=n))
         for i, c in enumerate(close):
             o = c + r.normal() / 2
-            rows.append((s, START + timedelta(hours=i), o, max(o, c) + r.random(), min(o, c) - r.random(), c))
+            rows.append((s, START + timedelta(hours=i), *map(float, (o, max(o, c) + r.random(), min(o, c) - r.random(), c))))
     return spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double")
 
 
