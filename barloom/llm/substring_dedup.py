@@ -10,12 +10,12 @@ removed when some window over it is not a leader.
 Shuffles carry one compressed block per (map chunk, bucket), copies inside a
 chunk are merged before they travel, and a minimiser that is common in the
 whole table is split by the hash of the single window, which equal windows also
-share, so no bucket depends on one passage.
+share, so no bucket depends on one passage. A bucket is sorted by Spark into
+slices of a bounded size, and its task holds one slice at a time.
 """
 
 from __future__ import annotations
 
-import tempfile
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,15 +33,13 @@ WINDOW = 20
 MER = 4
 #: Text bytes whose super-k-mers are merged and packed together.
 FLUSH_BYTES = 16 << 20
-#: A minimiser is hot from this share of all super-k-mers on (so there are at most 1 / HOT_SHARE).
-HOT_SHARE = 1 / 2000
-#: Smallest count in one flush that is reported as a candidate for a hot minimiser.
-LOCAL_COUNT = 32
-#: Unpacked bytes that a bucket task handles at a time.
-PASS_BYTES = 48 << 20
-
-_VALUE_BITS = np.uint64(40)
-_POSITION = np.uint64((1 << 24) - 1)
+#: A minimiser is hot from a share of all super-k-mers of 1 / HOT, or of one in this many times the partitions.
+HOT, HOT_PER_PARTITION = 2000, 4
+#: Unpacked bytes of a bucket's slice on average, and most unpacked bytes of one minimiser that are taken apart at a time.
+SLICE_BYTES = 32 << 20
+
+_VALUE_BITS = np.uint64(32)
+_POSITION = np.uint64((1 << 32) - 1)
 _ODD = 0x9E3779B97F4A7C15
 _WRAP = 1 << 64
 
@@ -88,7 +86,7 @@ def super_kmers(block: WordBlock, powers: _Powers, window: int, mer: int) -> tup
     g = np.zeros(mers, dtype=np.uint64)
     for j in range(mer):
         g += h[j : j + mers] * np.uint64(pow(_ODD, j + 1, _WRAP))
-    g = _mix(g) >> (np.uint64(64) - _VALUE_BITS) << np.uint64(24) | np.arange(mers, dtype=np.uint64)
+    g = _mix(g) >> (np.uint64(64) - _VALUE_BITS) << np.uint64(32) | np.arange(mers, dtype=np.uint64)
     span, low = window - mer + 1, g
     width = 1
     while width * 2 <= span:
@@ -134,7 +132,7 @@ def _scan(batches: Iterator[pa.RecordBatch], window: int, mer: int) -> Iterator[
         starts = block.start[begin].tolist()
         ends = block.end[begin + count + window - 2].tolist() if len(begin) else []
         docs, local = ids[text].tolist(), (begin - block.first[text]).tolist()
-        value = (low >> np.uint64(24)).astype(np.int64).tolist()
+        value = (low >> np.uint64(32)).astype(np.int64).tolist()
         offset = ((low & _POSITION).astype(np.int64) - begin).tolist()
         for a, b, v, d, s, n, o in zip(starts, ends, value, docs, local, count.tolist(), offset, strict=True):
             packed = data[a:b]
@@ -149,36 +147,48 @@ def _scan(batches: Iterator[pa.RecordBatch], window: int, mer: int) -> Iterator[
         yield [(*k, p) for p, k in seen.items()]
 
 
-def hot_minimisers(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> list[int]:
-    """Minimisers with at least ``HOT_SHARE`` of all super-k-mers; at most ``1 / HOT_SHARE`` of them."""
+def hot_minimisers(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> tuple[list[int], int]:
+    """Minimisers with a large share of all super-k-mers, and the bytes of all of these, copies in a flush merged.
+
+    The share is 1 / ``most``, with ``most`` the larger of ``HOT`` and
+    ``HOT_PER_PARTITION`` for each partition. A flush leaves out those below half
+    of it, so a minimiser of that share is reported with at least half its
+    count; at most ``2 * most`` can be.
+    """
+    most = max(HOT, HOT_PER_PARTITION * partitions(docs.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _scan(batches, window, mer):
             value, count = np.unique(np.array([r[0] for r in rows], dtype=np.int64), return_counts=True)
-            keep = count >= LOCAL_COUNT
-            value, count = np.append(value[keep], -1), np.append(count[keep], len(rows))
+            keep = count >= max(2, len(rows) / (2 * most))
+            value = np.append(value[keep], [-1, -2])
+            count = np.append(count[keep], [len(rows), sum(len(r[5]) + 40 for r in rows)])
             yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(count.astype(np.int64))], names=["minimiser", "n"])
 
     counts = docs.mapInArrow(run, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n")).limit(int(1 / HOT_SHARE) + 1).collect()  # the total, and at most 1 / HOT_SHARE hot ones
-    total = max((r.n for r in top if r.minimiser == -1), default=0)
-    return [r.minimiser for r in top if r.minimiser >= 0 and r.n >= max(5000, total * HOT_SHARE)]
+    own = {r.minimiser: r.n for r in counts.where("minimiser < 0").collect()}  # two numbers
+    least = max(2500, own.get(-1, 0) / (2 * most))
+    hot = counts.where((F.col("minimiser") >= 0) & (F.col("n") >= least)).select("minimiser").collect()  # at most 2 * most
+    return [r.minimiser for r in hot], own.get(-2, 0)
 
 
 def _leaders_of(members: list[tuple], window: int) -> Iterator[tuple[int, int]]:
-    """First ``(doc_id, start)`` of each distinct window of one minimiser."""
-    rows = []
-    for doc, start, count, offset, packed in members:
-        cut = [0]
-        for w in packed.split(b" "):
-            cut.append(cut[-1] + len(w) + 1)
-        rows += [(packed[cut[i] : cut[i + window] - 1], doc, start + i) for i in range(count)]
-    rows.sort()
-    last = None
-    for text, doc, start in rows:
-        if text != last:
-            last = text
-            yield doc, start
+    """First ``(doc_id, start)`` of each distinct window of one minimiser; many are taken in parts by the window's hash."""
+    parts = 1 + sum(m[2] * window * 8 for m in members) // SLICE_BYTES
+    for part in range(parts):
+        rows = []
+        for doc, start, count, _, packed in members:
+            cut = [0]
+            for w in packed.split(b" "):
+                cut.append(cut[-1] + len(w) + 1)
+            windows = ((packed[cut[i] : cut[i + window] - 1], doc, start + i) for i in range(count))
+            rows += windows if parts == 1 else (w for w in windows if zlib.crc32(w[0]) % parts == part)
+        rows.sort()
+        last = None
+        for text, doc, start in rows:
+            if text != last:
+                last = text
+                yield doc, start
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
@@ -196,7 +206,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, mer: int = MER) ->
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     known = docs.where("doc_id is not null")
-    hot = set(hot_minimisers(known, window, mer))
+    some, size = hot_minimisers(known, window, mer)
+    hot, slices = set(some), 1 + size // (n * SLICE_BYTES)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=3)
@@ -208,48 +219,45 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, mer: int = MER) ->
                     words = packed.split(b" ")
                     for i in range(count):
                         one = b" ".join(words[i : i + window])
-                        buckets[zlib.crc32(one) % n].append((v, doc, start + i, 1, offset - i, one))
+                        h = zlib.crc32(one)
+                        buckets[h % n, h // n % slices].append((v, doc, start + i, 1, offset - i, one))
                 else:
-                    buckets[row[0] % n].append(row)
-            for b, some in buckets.items():
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_pack(some, coder)], pa.binary())], names=["bucket", "blob"])
+                    buckets[row[0] % n, row[0] // n % slices].append(row)
+            for (b, part), some in buckets.items():
+                cols = [pa.array([b], pa.int32()), pa.array([part], pa.int32()), pa.array([_pack(some, coder)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["bucket", "slice", "blob"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=3)
-        with tempfile.SpooledTemporaryFile(max_size=64 << 20) as store:
-            lengths, total = [], 0
-            for batch in batches:
-                for blob in batch.column("blob").to_pylist():
-                    store.write(blob)
-                    lengths.append(len(blob))
-                    total += zstandard.frame_content_size(blob)
-            passes = 1 + total // PASS_BYTES
-            for turn in range(passes):
-                groups = defaultdict(list)
-                store.seek(0)
-                for size in lengths:
-                    cols, packed = _unpack(store.read(size))
-                    for v, d, s, c, o, p in zip(*cols.tolist(), packed, strict=True):
-                        # the windows of a hot minimiser have been dealt by themselves
-                        if (zlib.crc32(p) if v in hot else v // n) % passes == turn:
-                            groups[v].append((d, s, c, o, p))
-                out = defaultdict(lambda: ([], [], []))
-                for members in groups.values():
-                    if len(members) == 1:
-                        firsts = [(members[0][0], members[0][1], members[0][2])]
-                    else:
-                        firsts = [(d, s, 1) for d, s in _leaders_of(members, window)]
-                    for d, s, c in firsts:
-                        to = out[zlib.crc32(d.to_bytes(8, "little", signed=True)) % n]
-                        to[0].append(d)
-                        to[1].append(s)
-                        to[2].append(c)
-                del groups
-                for b, cols in out.items():
-                    blob = coder.compress(np.array(cols, dtype=np.int64).tobytes())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([b], pa.int32()), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "kind", "doc_id", "blob"]
-                    )
+        groups: dict[int, list[tuple]] = defaultdict(list)
+        now = None
+
+        def leaders() -> Iterator[pa.RecordBatch]:
+            out = defaultdict(lambda: ([], [], []))
+            for members in groups.values():
+                if len(members) == 1:
+                    firsts = [(members[0][0], members[0][1], members[0][2])]
+                else:
+                    firsts = [(d, s, 1) for d, s in _leaders_of(members, window)]
+                for d, s, c in firsts:
+                    to = out[zlib.crc32(d.to_bytes(8, "little", signed=True)) % n]
+                    to[0].append(d)
+                    to[1].append(s)
+                    to[2].append(c)
+            for b, cols in out.items():
+                blob = coder.compress(np.array(cols, dtype=np.int64).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "kind", "doc_id", "blob"])
+
+        for batch in batches:
+            for part, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if part != now:
+                    yield from leaders()
+                    groups.clear()
+                    now = part
+                cols, packed = _unpack(blob)
+                for v, d, s, c, o, p in zip(*cols.tolist(), packed, strict=True):
+                    groups[v].append((d, s, c, o, p))
+        yield from leaders()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=3)
@@ -298,7 +306,8 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, mer: int = MER) ->
             if rows["doc_id"]:
                 yield pa.RecordBatch.from_pydict(rows, schema=_CUT_SCHEMA)
 
-    leaders = known.mapInArrow(pack, "bucket int, blob binary").repartitionById(n, "bucket").mapInArrow(settle, "bucket int, kind int, doc_id long, blob binary")
+    dealt = known.mapInArrow(pack, "bucket int, slice int, blob binary").repartitionById(n, "bucket").sortWithinPartitions("slice")
+    leaders = dealt.mapInArrow(settle, "bucket int, kind int, doc_id long, blob binary")
     both = leaders.unionByName(docs.mapInArrow(texts, "bucket int, kind int, doc_id long, blob binary"))
     return (
         both.repartitionById(n, "bucket")

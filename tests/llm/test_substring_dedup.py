@@ -35,15 +35,39 @@ def test_equals_brute_force(spark):
     assert sum(r[2] for r in out) > 300
 
 
-def test_hot_minimisers_and_passes_change_nothing(spark, monkeypatch):
+def test_hot_minimisers_and_slices_change_nothing(spark, monkeypatch):
     rows = awkward(11)
-    monkeypatch.setattr(substring_dedup, "PASS_BYTES", 2000)
-    real = substring_dedup.hot_minimisers
+    monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 2000)
     block = substring_dedup.WordBlock([(t or "").encode() for _, t, *_ in rows])
-    low = substring_dedup.super_kmers(block, substring_dedup._Powers(), 20, 4)[3] >> 24
-    monkeypatch.setattr(substring_dedup, "hot_minimisers", lambda *a: [int(v) for v in set(low.tolist())][::2])
+    low = substring_dedup.super_kmers(block, substring_dedup._Powers(), 20, 4)[3] >> 32
+    monkeypatch.setattr(substring_dedup, "hot_minimisers", lambda *a: ([int(v) for v in set(low.tolist())][::2], 50_000))
     assert set(digest(substring_dedup.repeated_passages(frame(spark, rows)))) == brute(rows)
-    monkeypatch.setattr(substring_dedup, "hot_minimisers", real)
+
+
+def test_common_minimisers_are_found_in_every_flush(spark, monkeypatch):
+    """A passage that many texts share is hot; its windows have the same leaders in one part and in many."""
+    shared = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"a{i} {shared} b{i}") for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    hot, size = substring_dedup.hot_minimisers(df)
+    assert hot and size > 8000 * 40
+    members = [(i, 0, 21, 0, " ".join(t.split()[1:41]).encode()) for i, t in rows[:300]]
+    one = sorted(substring_dedup._leaders_of(members, 20))
+    monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 20_000)
+    assert sorted(substring_dedup._leaders_of(members, 20)) == one and {d for d, _ in one} == {0}
+
+
+def test_long_text_and_repeated_ids(spark):
+    """Rows that repeat an id count as the same document; a long text is cut as whole."""
+    import random
+
+    r = random.Random(2)
+    vocab = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    long = [r.choice(vocab) for _ in range(120_000)]
+    text = " ".join(long[:60_000] + long[20_000:20_050] + long[60_000:])
+    rows = [(1, text), (2, " ".join(long[100:160])), (3, "x " * 30), (3, "x " * 30)]
+    out = digest(substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert sorted(set(out)) == sorted(brute(rows)) and len(out) == 4
 
 
 def test_null_id_is_kept_whole_and_empty_table_is_empty(spark):
