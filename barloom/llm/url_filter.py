@@ -6,13 +6,16 @@ second lets through, and so on until nothing is left: over the complete key
 universe of the corpus the alternation of answers is exact membership, so pages
 are judged in one pass without a join.
 
-Listed keys are the rules (host and path prefix) and the blocked hosts. A url
-asks for every key it could match, longest first.
+Listed keys are the rules (host and path prefix) and the listed hosts. A url
+asks for every key it could match, longest first. A list too long for one
+broadcast is cut by the hash of the key, and each slice has a cascade and a pass
+over the pages of its own.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +33,7 @@ RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 BLOCKED_HOST = r"(^|[.-])(ads?|adserver|banner|click|track(er|ing)?|popup)([.-]|$)"
 #: False-positive rates of the first level and of all others.
 FIRST_RATE, RATE = 0.02, 0.3
-#: Bits that all levels may take together, 32 MB; a longer list is met by a join.
+#: Bits that the levels of a slice take together at most, by their expected number: 32 MB.
 MOST_BITS = 1 << 28
 
 
@@ -111,21 +114,23 @@ def _level(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
     return Level(bits, size, hashes, seed)
 
 
-def build_cascade(universe: DataFrame, most_bits: int = MOST_BITS) -> list[Level] | None:
-    """Levels for ``universe(key, listed)``, distinct keys; None when they would pass ``most_bits``."""
+def expected_bits(listed: int) -> float:
+    """Bits of a cascade of that many listed keys, whatever the others, as long as these are not 50 times as many."""
+    one = lambda count, rate: -count * math.log(rate) / math.log(2) ** 2
+    return one(listed, FIRST_RATE) + one(listed, RATE) * 2 / (1 - RATE)
+
+
+def build_cascade(universe: DataFrame) -> list[Level]:
+    """Levels for ``universe(key, listed)``, distinct keys, which are exact for each of them."""
     spark = universe.sparkSession
     levels: list[Level] = []
-    wrong, before, spent = universe.where("listed"), None, 0
+    wrong, before = universe.where("listed"), None
     while True:
         count = wrong.count()
         if not count and levels:
             return levels
-        rate = RATE if levels else FIRST_RATE
-        spent += math.ceil(-count * math.log(rate) / math.log(2) ** 2)
-        if spent > most_bits:
-            return None
-        levels.append(_level(wrong.select("key"), count, rate, len(levels)))
-        shared = spark.sparkContext.broadcast(levels[-1])  # at most ``most_bits``
+        levels.append(_level(wrong.select("key"), count, RATE if levels else FIRST_RATE, len(levels)))
+        shared = spark.sparkContext.broadcast(levels[-1])  # a slice has MOST_BITS in all
         # keys of the other side that the new level lets through are what the next level encodes;
         # they have passed every earlier level by construction
         other = before if len(levels) > 1 else universe.where("not listed")
@@ -141,25 +146,16 @@ def _passing(keys: DataFrame, level) -> DataFrame:
     return keys.select("key", "listed").mapInArrow(run, "key string, listed boolean")
 
 
-def judged(pages: DataFrame, rules: tuple = RULES, blocked_host: str = BLOCKED_HOST, most_bits: int = MOST_BITS) -> DataFrame:
-    """``(page_id, host, path, rule, verdict)`` for every row of ``pages(page_id, url)``.
+def members(rows: DataFrame, universe: DataFrame, slices: int) -> DataFrame:
+    """``rows`` with ``hits``: which of the keys in ``asked`` are listed, by one cascade and one pass for each slice of the keys."""
+    rows = rows.withColumn("hits", F.array().cast("array<string>"))
+    for part in range(slices):
+        levels = build_cascade(universe.where(F.crc32(F.col("key").cast("binary")) % slices == part))
+        rows = _met(rows if part == 0 else written(rows, "hits"), rows.sparkSession.sparkContext.broadcast(levels), slices, part)
+    return rows
 
-    The longest rule that fits decides (host plus path; ties go to the smaller
-    key); other pages are blocked when their host is a listed host and allowed
-    otherwise. A null url, or one without ``://``, has an empty host and path,
-    no rule and verdict allow. Extra columns are ignored; repeats stay.
-    """
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), rules))
-    verdict_of = {h + p: v for h, p, v in rules}
-    listed = F.when(F.col("kind") == "rule", F.col("name").isin(*verdict_of)).otherwise(F.col("name").rlike(blocked_host))
-    names = rows.select(F.lit("rule").alias("kind"), F.explode("keys").alias("name")).unionByName(rows.where("host <> ''").select(F.lit("host").alias("kind"), F.col("host").alias("name")))
-    universe = written(names.distinct().select(F.concat_ws(" ", "kind", "name").alias("key"), listed.alias("listed")), "universe")
-    levels = build_cascade(universe, most_bits)
-    if levels is None:
-        return _joined(rows, universe, verdict_of)
-    shared = pages.sparkSession.sparkContext.broadcast(levels)
 
+def _met(rows: DataFrame, shared, slices: int, part: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
 
@@ -167,31 +163,48 @@ def judged(pages: DataFrame, rules: tuple = RULES, blocked_host: str = BLOCKED_H
             if len(known) > 200_000:
                 known.clear()
             if key not in known:
-                known[key] = member(shared.value, key.encode())
+                name = key.encode()
+                known[key] = (slices == 1 or zlib.crc32(name) % slices == part) and member(shared.value, name)
             return known[key]
 
         for batch in batches:
-            rule, verdict = [], []
-            for host, keys in zip(batch.column("host").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-                fit = next((k for k in keys if has("rule " + k)), None)
-                rule.append(fit)
-                verdict.append(verdict_of[fit] if fit is not None else "block" if host and has("host " + host) else "allow")
-            cols = [batch.column(c) for c in ("page_id", "host", "path")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
-
-    kind = dict(rows.dtypes)["page_id"]
-    return rows.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string")
-
-
-def _joined(rows: DataFrame, universe: DataFrame, verdict_of: dict[str, str]) -> DataFrame:
-    """The same verdicts by a semi-join, for lists too long to broadcast as filters."""
-    hosts = universe.where("listed and key like 'host %'").select(F.expr("substring(key, 6)").alias("host"), F.lit(True).alias("bad"))
-    rule = F.get(F.filter("keys", lambda k: k.isin(*verdict_of)), F.lit(0))
+            hits = [old + [k for k in keys if has(k)] for old, keys in zip(batch.column("hits").to_pylist(), batch.column("asked").to_pylist(), strict=True)]
+            at = batch.schema.get_field_index("hits")
+            yield batch.set_column(at, "hits", pa.array(hits, pa.list_(pa.string())))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def judged(pages: DataFrame, rules: tuple = RULES, listed: DataFrame | None = None, most_bits: int = MOST_BITS) -> DataFrame:
+    """``(page_id, host, path, rule, verdict)`` for every row of ``pages(page_id, url)``.
+
+    The longest rule that fits decides (host plus path; ties go to the smaller
+    key); other pages are blocked when their host is a listed host and allowed
+    otherwise. ``listed(host)`` is the list; without one it has the hosts of
+    ``pages`` with an advertising or tracking label. A null url, or one without
+    ``://``, has an empty host and path, no rule and verdict allow. Extra columns
+    are ignored; repeats stay; an empty table gives an empty result.
+    """
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = rows.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), rules))
+    own = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("host "), F.col("host"))))
+    rows = rows.withColumn("asked", F.concat(F.transform("keys", lambda k: F.concat(F.lit("rule "), k)), own))
+    names = rows.select(F.explode("asked").alias("key")).distinct()
+    fits = F.col("key").isin(*[f"rule {h}{p}" for h, p, _ in rules])
+    if listed is None:
+        names = names.withColumn("listed", fits | (F.col("key").startswith("host ") & F.substring("key", 6, 1 << 30).rlike(BLOCKED_HOST)))
+    else:
+        bad = listed.where("host is not null").select(F.concat(F.lit("host "), ascii_lower(F.col("host"))).alias("key")).distinct()
+        names = names.join(bad.withColumn("bad", F.lit(True)), "key", "left").select("key", (fits | F.coalesce("bad", F.lit(False))).alias("listed"))
+    universe = written(names, "universe")
+    slices = max(1, math.ceil(expected_bits(universe.where("listed").count()) / most_bits))
+    found = members(rows, universe, slices)
+    rule = F.get(F.filter("keys", lambda k: F.array_contains("hits", F.concat(F.lit("rule "), k))), F.lit(0))
     decided = F.lit(None).cast("string")
-    for key, verdict in verdict_of.items():
-        decided = F.when(F.col("rule") == key, F.lit(verdict)).otherwise(decided)
-    out = rows.withColumn("rule", rule).join(hosts, "host", "left")
-    return out.select("page_id", "host", "path", "rule", F.coalesce(decided, F.when(F.col("bad"), "block").otherwise("allow")).alias("verdict"))
+    for host, path, verdict in rules:
+        decided = F.when(F.col("rule") == host + path, F.lit(verdict)).otherwise(decided)
+    alone = F.when(F.array_contains("hits", F.concat(F.lit("host "), F.col("host"))), "block").otherwise("allow")
+    return found.withColumn("rule", rule).select("page_id", "host", "path", "rule", F.coalesce(decided, alone).alias("verdict"))
 
 
 _HOST = r"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
