@@ -4,7 +4,8 @@ Every source is one stream of words: its documents in a seeded shuffle, cut
 into blocks of equal size. Slot ``i`` of the mix belongs to the source whose
 share of ``[0, 1)`` holds the golden-ratio point ``frac((i + 1) / phi)``, so any
 stretch of slots is close to the target weights. The ``r``-th slot of a source
-takes its block ``r mod blocks``; a second pass over the source is the limit.
+takes its block ``r mod blocks``, up to the number of slots its target wants; a
+second pass over the source is the limit.
 
 Running positions use bucket sums plus a window inside each bucket, and slot
 ranks use chunk counts plus a window inside each chunk, so a source that holds
@@ -25,6 +26,10 @@ SHARE = 1.5
 MOST_PASSES = 2
 #: Blocks the whole corpus is cut into, within the bounds of a block's size in words.
 BLOCKS, LEAST_BLOCK, MOST_BLOCK = 200_000, 16, 65_536
+#: Blocks a source has at least, or one for each of its words: so that whole blocks come near any target.
+SOURCE_BLOCKS = 1000
+#: Slots made beyond the number wanted, as a share and as a number; a source stops at the slots it wants.
+MORE_SLOTS, MORE = 0.1, 64
 #: Slots whose ranks are counted together.
 CHUNK = 4096
 #: Cells of [0, 1) by which slots meet the shares of sources.
@@ -131,17 +136,17 @@ def _row_mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE
     block = min(MOST_BLOCK, max(LEAST_BLOCK, words // BLOCKS))
     digits = max(2, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16)) if rows > BUCKET_ROWS else 2)
     targets = source_targets(sizes, weights, share, most)
-    blocks = F.greatest(F.ceil(F.col("source_size") / block), F.lit(1))
+    blocks = F.greatest(F.ceil(F.col("source_size") / block), F.least(F.col("source_size"), F.lit(SOURCE_BLOCKS)), F.lit(1))
     wanted = F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0)
     upto = Window.orderBy(F.asc_nulls_last("source")).rowsBetween(Window.unboundedPreceding, 0)
     plan = targets.withColumn("blocks", blocks).withColumn("wanted", wanted).withColumn("sum", F.sum("wanted").over(upto))
     plan = written(plan.withColumn("all", F.max("sum").over(Window.partitionBy())), "targets")  # one row for each source
-    n_slots = round((plan.agg(F.max("all")).first()[0] or 0.0))
-    shares = plan.where("all > 0").select("source", "blocks", ((F.col("sum") - F.col("wanted")) / F.col("all")).alias("low"), (F.col("sum") / F.col("all")).alias("high"))
+    n_slots = math.ceil((plan.agg(F.max("all")).first()[0] or 0.0) * (1 + MORE_SLOTS)) + MORE
+    shares = plan.where("all > 0").select("source", "blocks", "wanted", ((F.col("sum") - F.col("wanted")) / F.col("all")).alias("low"), (F.col("sum") / F.col("all")).alias("high"))
     slots = schedule(shares.select("source", "low", "high"), n_slots)
     number = slots.join(shares.withColumnRenamed("source", "s"), slots["source"].eqNullSafe(F.col("s")))
     taken = (
-        number.where(F.col("rank") < most * F.col("blocks"))
+        number.where(F.col("rank") < F.round("wanted"))
         .select("source", (F.col("rank") % F.col("blocks")).alias("block"), F.floor(F.col("rank") / F.col("blocks")).alias("pass"))
         .groupBy("source", "block")
         .agg(F.collect_set("pass").alias("passes"))
@@ -205,15 +210,15 @@ total AS (SELECT least({MOST_BLOCK}, greatest({LEAST_BLOCK}, CAST(sum(size) AS B
 plan AS (
   SELECT *, sum(wanted) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM (
     SELECT *, CASE WHEN source_size > 0 THEN target * blocks / source_size ELSE 0 END AS wanted FROM (
-      SELECT *, greatest(CAST(ceil(source_size / block) AS BIGINT), 1) AS blocks FROM tar, total))),
+      SELECT *, greatest(CAST(ceil(source_size / block) AS BIGINT), least(source_size, {SOURCE_BLOCKS}), 1) AS blocks FROM tar, total))),
 whole AS (SELECT max(upto) AS all_slots FROM plan),
 slots AS (
   SELECT i, (i + 1)::DOUBLE * {_GOLDEN}::DOUBLE - floor((i + 1)::DOUBLE * {_GOLDEN}::DOUBLE) AS point
-  FROM (SELECT unnest(range(CAST(round_even(all_slots, 0) AS BIGINT))) AS i FROM whole)),
+  FROM (SELECT unnest(range(CAST(ceil(all_slots * {1 + MORE_SLOTS}::DOUBLE) AS BIGINT) + {MORE})) AS i FROM whole)),
 ranked AS (
-  SELECT source, blocks, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS r
+  SELECT source, blocks, wanted, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS r
   FROM slots, plan, whole WHERE point >= (upto - wanted) / all_slots AND point < upto / all_slots),
-taken AS (SELECT source, r % blocks AS block, count(*) AS n FROM ranked WHERE r < 2 * blocks GROUP BY ALL),
+taken AS (SELECT source, r % blocks AS block, count(*) AS n FROM ranked WHERE r < round(wanted) GROUP BY ALL),
 pos AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS first_word,
          row_number() OVER () AS row_id FROM sizes),
