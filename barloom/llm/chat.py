@@ -102,7 +102,8 @@ def formatted_log(log: DataFrame) -> DataFrame:
     ``seq`` orders the events of a conversation (any type that sorts) and
     ``message`` (long) names the message an event belongs to. ``loss`` has the
     code-point spans of the assistant texts. A task streams its sorted events
-    and holds one conversation at a time.
+    and holds one conversation at a time. Without a conv_id the events of each
+    message are a conversation of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,12 +117,12 @@ def formatted_log(log: DataFrame) -> DataFrame:
             out["loss"].append([{"start": a, "stop": b} for a, b in loss])
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("conv_id", "message", "kind", "role", "text")]
-            for conv, key, kind, role, text in zip(*cols, strict=True):
-                if now != (conv,):
+            cols = [batch.column(c).to_pylist() for c in ("conv_id", "alone", "message", "kind", "role", "text")]
+            for conv, alone, key, kind, role, text in zip(*cols, strict=True):
+                if now != (conv, alone):
                     if now is not None:
                         close()
-                    held, now = [], (conv,)
+                    held, now = [], (conv, alone)
                 held.append((key, kind, role, text))
             if len(out["conv_id"]) >= 200:
                 yield pa.RecordBatch.from_pydict(out, schema=_FORMATTED)
@@ -131,14 +132,16 @@ def formatted_log(log: DataFrame) -> DataFrame:
         if out["conv_id"]:
             yield pa.RecordBatch.from_pydict(out, schema=_FORMATTED)
 
-    ordered = log.repartition(partitions(log.sparkSession), "conv_id").sortWithinPartitions("conv_id", "seq")
-    return ordered.select("conv_id", "message", "kind", "role", "text").mapInArrow(run, "conv_id long, formatted string, loss array<struct<start:long,stop:long>>")
+    log = log.withColumn("alone", F.when(F.col("conv_id").isNull(), F.col("message")))
+    ordered = log.repartition(partitions(log.sparkSession), "conv_id", "alone").sortWithinPartitions("conv_id", "alone", "seq")
+    return ordered.select("conv_id", "alone", "message", "kind", "role", "text").mapInArrow(run, "conv_id long, formatted string, loss array<struct<start:long,stop:long>>")
 
 
 def formatted(conversations: DataFrame) -> DataFrame:
     """``(conv_id, formatted, loss)`` of ``conversations(conv_id, turn, role, text)``.
 
-    Rows with a null conv_id form one conversation; extra columns are ignored;
-    an empty table gives an empty result.
+    A row with a null conv_id is a conversation of its own, so that such rows do
+    not meet in one task; rows that repeat are turns each; extra columns are
+    ignored; an empty table gives an empty result.
     """
     return formatted_log(as_log(conversations))

@@ -44,8 +44,8 @@ def features(word: str) -> list[str]:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    """Whether crc32 of the id as text leaves 2 modulo 4; such rows never train."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    """Whether crc32 of the id as text leaves 2 modulo 4; such rows never train. Without an id a row has no label and is not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 @dataclass
@@ -85,11 +85,12 @@ class Model:
 
 
 def _training_rows(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """``(text, toxic)`` of at most ``most`` labelled documents outside the held-out part."""
+    """``(text, toxic)`` of at most ``most`` labelled documents outside the held-out part; an id that repeats trains once, by its smallest text."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic is not null")
     one = known.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    known = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id")  # at most ``most`` rows are sent
+    return known.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def choose_features(rows: DataFrame, most: int = FEATURES) -> list[str]:
@@ -152,28 +153,45 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
     return Model({f: float(w) for f, w in zip(chosen, weights, strict=True) if abs(w) > 1e-6}, bias)
 
 
+@dataclass
+class Bags:
+    """Documents as bags of sentences: labels, sentences without a feature, and the features of the others, one after the other."""
+
+    toxic: np.ndarray
+    quiet: np.ndarray
+    doc: np.ndarray
+    sentence: np.ndarray
+    codes: np.ndarray
+
+    def gradient(self, theta: np.ndarray) -> np.ndarray:
+        """Of the mean negative log likelihood of the labels under noisy-or; the last entry is the bias of every sentence."""
+        n, docs, sentences = len(theta) - 1, len(self.toxic), len(self.doc)
+        z = np.clip(theta[n] + np.bincount(self.sentence, theta[self.codes], sentences), -50, 50)
+        p, soft = 1 / (1 + np.exp(-z)), np.logaddexp(0, z)
+        p0, soft0 = 1 / (1 + np.exp(-theta[n])), np.logaddexp(0, theta[n])
+        log_clean = -(np.bincount(self.doc, soft, docs) + self.quiet * soft0)
+        # d loss / d log_clean: -1 for clean documents, e^s / (1 - e^s) for toxic ones
+        pull = np.where(self.toxic > 0, -np.exp(log_clean) / np.maximum(-np.expm1(log_clean), 1e-9), 1.0)
+        dz = pull[self.doc] * p
+        return np.append(np.bincount(self.codes, dz[self.sentence], n), dz.sum() + (pull * self.quiet).sum() * p0) / docs
+
+
+def _bags(table: pa.Table) -> Bags:
+    sizes = table.column("sizes").combine_chunks()
+    words = sizes.flatten().to_numpy()
+    codes = table.column("codes").combine_chunks().flatten().to_numpy()
+    doc = np.repeat(np.arange(table.num_rows, dtype=np.int32), np.diff(sizes.offsets.to_numpy()))
+    return Bags(table.column("toxic").to_numpy(), table.column("quiet").to_numpy().astype(float), doc, np.repeat(np.arange(len(words), dtype=np.int32), words), codes)
+
+
 def _descend(table: pa.Table, n: int) -> tuple[np.ndarray, float]:
     """Adam on the noisy-or likelihood of all bags."""
-    toxic = table.column("toxic").to_numpy()
-    quiet = table.column("quiet").to_numpy().astype(float)
-    sizes = table.column("sizes").combine_chunks()
-    per_doc = np.diff(sizes.offsets.to_numpy())
-    words = sizes.flatten().to_numpy().astype(np.int64)
-    codes = table.column("codes").combine_chunks().flatten().to_numpy().astype(np.int64)
-    doc = np.repeat(np.arange(len(toxic)), per_doc)
-    sentence = np.repeat(np.arange(len(words)), words)
+    bags = _bags(table)
     theta = np.zeros(n + 1)
     theta[n] = -4.0
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, STEPS + 1):
-        z = np.clip(theta[n] + np.bincount(sentence, theta[codes], len(words)), -50, 50)
-        p, soft = 1 / (1 + np.exp(-z)), np.logaddexp(0, z)
-        p0, soft0 = 1 / (1 + np.exp(-theta[n])), np.logaddexp(0, theta[n])
-        log_clean = -(np.bincount(doc, soft, len(toxic)) + quiet * soft0)
-        # d loss / d log_clean: -1 for clean documents, e^s / (1 - e^s) for toxic ones
-        pull = np.where(toxic > 0, -np.exp(log_clean) / np.maximum(-np.expm1(log_clean), 1e-9), 1.0)
-        dz = pull[doc] * p
-        grad = np.append(np.bincount(codes, dz[sentence], n), dz.sum() + (pull * quiet).sum() * p0) / len(toxic)
+        grad = bags.gradient(theta)
         grad[:n] += L2 * theta[:n]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

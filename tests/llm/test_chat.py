@@ -37,3 +37,9 @@ def test_events_fold_into_final_messages(spark):
     row = chat.formatted_log(df).first()
     assert chat.parse(row.formatted) == [("user", "Hi!"), ("assistant", "Good day")]
     assert [row.formatted[s.start : s.stop] for s in row.loss] == ["Good day"]
+
+
+def test_rows_without_a_conversation_stay_alone(spark):
+    rows = [(None, i, "assistant", f"t{i % 3}") for i in range(9)] + [(4, 0, "user", "q")]
+    out = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted(chat.parse(r.formatted) for r in out if r.conv_id is None) == sorted([("assistant", f"t{i % 3}")] for i in range(9)) and len(out) == 10

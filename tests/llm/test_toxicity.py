@@ -1,6 +1,11 @@
+import math
 import random
+import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
+
 from barloom.llm import toxicity
 
 from .corpus import frame
@@ -53,3 +58,49 @@ def test_without_labels_nothing_is_toxic(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.fit(frame(spark, rows), none)
     assert all(r.score < 1e-6 for r in toxicity.scored(frame(spark, rows), model).collect())
+
+
+def test_scores_are_the_noisy_or_of_sentences(spark):
+    """The scorer against the definition, sentence by sentence and word by word."""
+    r = random.Random(4)
+    vocab = ["alpha", "beta", "betamax", "gam", "delta9", "Über", "epsilon"]
+    weights = {"alpha": 1.5, "beta*": 2.0, "betamax": -0.7, "gam": 3.1, "über": 0.4, "epsi*": -2.0, "delt*": 0.2}
+    model = toxicity.Model(weights, -3.0)
+    texts = ["".join(r.choice(vocab) + r.choice([" ", ". ", "!", "\n", ", "]) for _ in range(r.randint(0, 40))) for _ in range(120)] + [None, "", "...", "gam " * 5000]
+    docs = spark.createDataFrame([(i, t, "old") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    for row in toxicity.scored(docs, model).collect():
+        clean = 0.0
+        for sentence in re.findall(r"[^.!?\n]+", texts[row.doc_id] or ""):
+            words = re.findall(r"\w+", sentence.lower())
+            z = sum(weights.get(f, 0.0) for w in words for f in (w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)))
+            clean -= math.log1p(math.exp(min(50.0, max(-50.0, z - 3.0))))
+        assert row.score == 1 - math.exp(clean) or abs(row.score - (1 - math.exp(clean))) < 1e-9
+
+
+def test_gradient_equals_differences_of_the_likelihood():
+    r = np.random.default_rng(5)
+    docs = [(int(r.random() < 0.4), int(r.integers(0, 3)), [r.integers(0, 6, r.integers(1, 4)).tolist() for _ in range(r.integers(0, 4))]) for _ in range(30)]
+
+    def loss(theta):
+        total = 0.0
+        for toxic, quiet, sentences in docs:
+            clean = -quiet * math.log1p(math.exp(theta[6])) - sum(math.log1p(math.exp(theta[6] + sum(theta[c] for c in s))) for s in sentences)
+            total -= math.log(max(1 - math.exp(clean), 1e-300)) if toxic else clean
+        return total / len(docs)
+
+    kept = [d for d in docs if not d[0] or d[1] or d[2]]  # a toxic document needs a sentence
+    docs = kept
+    table = pa.table({"toxic": [d[0] for d in docs], "quiet": [d[1] for d in docs], "sizes": pa.array([[len(s) for s in d[2]] for d in docs], pa.list_(pa.int32())), "codes": pa.array([[c for s in d[2] for c in s] for d in docs], pa.list_(pa.int32()))})
+    theta = r.normal(size=7) * 0.7
+    got = toxicity._bags(table).gradient(theta)
+    for k in range(7):
+        step = np.zeros(7)
+        step[k] = 1e-5
+        assert abs(got[k] - (loss(theta + step) - loss(theta - step)) / 2e-5) < 1e-6
+
+
+def test_an_id_that_repeats_trains_once(spark):
+    rows = [(1, "b zorg"), (1, "a zorg"), (2, "x"), (None, "zorg")]
+    labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, 0, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    got = toxicity._training_rows(spark.createDataFrame(rows, "doc_id long, text string"), labels, 10).collect()
+    assert sorted(map(tuple, got)) == [("a zorg", 1), ("x", 0)]
