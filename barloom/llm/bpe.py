@@ -53,15 +53,21 @@ def pattern_of(pattern: str) -> str:
     return pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """``array<map<string, int>>``: hex of a token to its rank, in the bucket of the hex string's crc32."""
+def rank_literal(ranks: dict[bytes, int], beside: Column) -> Column:
+    """``array<map<string, int>>``: hex of a token to its rank, in the bucket of the hex string's crc32.
+
+    The plan holds the ranks as one string, which is read once for each row.
+    ``beside`` is any text of the row: joined to it without a character, the
+    string is not folded into the plan as 65,536 maps, which every task and
+    every report of the plan would carry.
+    """
     place = sorted((zlib.crc32(key.encode()) % BUCKETS, key, rank) for key, rank in ((token.hex(), rank) for token, rank in ranks.items()))
     parts, now = [], 0
     for bucket, key, rank in place:
         parts.append("{" * (not parts) + "},{" * (bucket - now) + "," * (bool(parts) and bucket == now) + f'"{key}":{rank}')
         now = bucket
     text = "[" + ("".join(parts) or "{") + "},{" * (BUCKETS - 1 - now) + "}]"
-    return F.from_json(F.lit(text), "array<map<string,int>>")
+    return F.from_json(F.concat(F.lit(text), F.substring(F.coalesce(beside, F.lit("")), 1, 0)), "array<map<string,int>>")
 
 
 def _rank(table: Column, key: Column) -> Column:
@@ -301,7 +307,7 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decod
     buckets = max(partitions(spark), docs.rdd.getNumPartitions())
     # in buckets by the task that read the texts: the answers go there, the texts do not move
     blocks = bucketed(_blocks(docs, pattern, buckets), "blocks", "task", partitions(spark))
-    table = rank_literal(ranks)
+    table = rank_literal(ranks, F.get("pieces", F.lit(0)))
     answers = _answered(_asked(blocks, buckets, joins_of(ranks)), table)
     answers = answers.groupBy("task").agg(F.collect_list(F.struct("block", "first", "ids")).alias("answers"))
     texts = blocks.where("bucket < 0").select("task", "block", "ids", "counts", "body", "order")

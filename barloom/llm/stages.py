@@ -54,10 +54,15 @@ def partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> SparkSession:
-    """Hands texts to Python workers at most ``rows`` or about ``size`` at a time, so that a batch stays a few megabytes."""
+    """Hands texts to Python workers at most ``rows`` or about ``size`` at a time, so that a batch stays a few megabytes.
+
+    Plans are reported in short: the driver keeps the text of each, and literals
+    and patterns make some of them long.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     if now <= 0 or now > rows:
         spark.conf.set(name, str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000")
     return spark

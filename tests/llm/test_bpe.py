@@ -49,7 +49,7 @@ def test_long_pieces_equal_the_library(spark):
 def test_every_join_in_one_step_equals_one_at_a_time(spark):
     r = random.Random(8)
     words = ["".join(r.choice(["t", "h", "e", "th", "aa", "a", "an", "d", " the"]) for _ in range(r.randint(2, 30))) for _ in range(150)]
-    table = bpe.rank_literal(bpe.load_ranks(PATH))
+    table = bpe.rank_literal(bpe.load_ranks(PATH), F.col("hex"))
     rows = spark.createDataFrame([(w, w.encode().hex()) for w in words], "word string, hex string")
     for w in rows.select("word", bpe.with_ranks(table, lambda t: bpe.encode_long(F.col("hex"), t)).alias("ids")).collect():
         assert w.ids == LIBRARY._encode_single_piece(w.word.encode())
