@@ -6,7 +6,7 @@ after probing every segment at radii ``0 .. r`` all such codes have been seen
 and verified. The radius grows for the queries whose k-th distance is not
 covered yet, until all are; there is no other way out.
 
-A ring of probes is a join on (segment, value). Of the rings in which a pair
+A ring of probes is a join on the segment and its value. Of the rings in which a pair
 could meet only the first counts, and only pairs within the k-th distance so far
 leave the join, so what moves afterwards is a few rows for each query.
 """
@@ -44,22 +44,27 @@ def _part(code: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _key(segment: int, value: Column) -> Column:
+    """A segment (at most 16) and its value in one long."""
+    return F.shiftleft(value, 4).bitwiseOR(F.lit(segment).cast("long"))
+
+
 def _ring(code: str, parts: list[tuple[int, int]], radius: int) -> Column:
-    """``array<struct<segment, value>>``: every segment's values at exactly ``radius`` bits from the code's."""
+    """``array<long>``: every segment's values at exactly ``radius`` bits from the code's, as :func:`_key`."""
 
     def values(segment: int, shift: int, width: int) -> Column:
         flips = json.dumps([sum(1 << b for b in bits) for bits in combinations(range(width), radius)])
         own = _part(F.col(code), shift, width)
-        return F.transform(F.from_json(F.lit(flips), "array<bigint>"), lambda m: F.struct(F.lit(segment).alias("segment"), own.bitwiseXOR(m).alias("value")))
+        return F.transform(F.from_json(F.lit(flips), "array<bigint>"), lambda m: _key(segment, own.bitwiseXOR(m)))
 
     return F.concat(*[values(s, *part) for s, part in enumerate(parts)])
 
 
 def _met_first(parts: list[tuple[int, int]], radius: int) -> Column:
-    """Whether ``query`` and ``code`` meet in this ring and ``segment`` and in none before."""
+    """Whether ``query`` and ``code`` meet in this ring and the segment of ``key`` and in none before."""
     gap = F.col("query").bitwiseXOR(F.col("code"))
     gaps = F.array(*[F.bit_count(_part(gap, shift, width)).cast("int") for shift, width in parts])
-    return (F.array_min(gaps) == radius) & (F.array_position(gaps, F.lit(radius)) - 1 == F.col("segment"))
+    return (F.array_min(gaps) == radius) & (F.array_position(gaps, F.lit(radius)) - 1 == F.col("key").bitwiseAND(F.lit(15)))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -88,16 +93,17 @@ def top_codes(codes: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     asked = rows.where(F.col("vec_id") % every == 0).select(F.col("code").alias("query"), F.col("vec_id").alias("query_id")).distinct()
     # the distance up to which a code can still enter a query's answer
     left = written(asked.select("query").distinct().withColumn("far", F.lit(BITS + 1)), "queries")
-    index = written(groups.withColumn("at", F.explode(_ring("code", parts, 0))).select("at.segment", "at.value", "code", "ids"), "segments")
+    index = written(groups.select(F.explode(_ring("code", parts, 0)).alias("key"), "code", "ids"), "segments")
     best = spark.createDataFrame([], "query long, code long, score int, ids array<long>")
     done = best.select("query", "score", "ids")
     for radius in range(max(w for _, w in parts) + 1):
         if left.isEmpty():
             break
         spread = left.repartition(partitions(spark), "query")  # few queries, many probes for each
-        probes = spread.select("query", "far", F.explode(_ring("query", parts, radius)).alias("at")).select("query", "far", "at.segment", "at.value")
+        probes = spread.select("query", "far", F.explode(_ring("query", parts, radius)).alias("key"))
         gap = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")
-        hits = probes.join(index, ["segment", "value"]).where((gap <= F.col("far")) & _met_first(parts, radius))
+        # merged, as a planner that sees the size of the queries would broadcast their many probes
+        hits = probes.hint("merge").join(index, "key").where((gap <= F.col("far")) & _met_first(parts, radius))
         grown = written(_best(hits.select("query", "code", gap.alias("score"), "ids").unionByName(best), k), "best")
         covered = F.col("far") <= len(parts) * (radius + 1) - 1
         done = done.unionByName(grown.where(covered).select("query", "score", "ids"))
