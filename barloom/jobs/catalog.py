@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feature_queries, model_queries, signal_queries  # noqa: F401 - they register their queries
+from . import feature_queries, model_queries, signal_queries, source_queries  # noqa: F401 - they register their queries
 from .registry import ORACLES, QUERIES
 
 
