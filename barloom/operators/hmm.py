@@ -111,10 +111,9 @@ def fit(df: DataFrame, features: list[str], k: int = 3, cov: str = "diag", itera
     log likelihood never falls; passes end when it gains less than
     ``tolerance`` of itself. Rows with a NULL feature are left out.
     """
-    rows = df.select(KEY, "part", TIME, *[F.col(f).cast("double") for f in features]).dropna().persist()
+    rows = written(df.select(KEY, "part", TIME, *[F.col(f).cast("double") for f in features]).dropna(), "rows")
     start = rows.orderBy(F.xxhash64(KEY, TIME)).limit(sample).select(*features).toPandas().to_numpy(float)
     if len(start) < 10 * k:
-        rows.unpersist()
         raise ValueError("too few rows for a model")
     model, d = _start_model(start, k), len(features)
 
@@ -137,7 +136,6 @@ def fit(df: DataFrame, features: list[str], k: int = 3, cov: str = "diag", itera
         model = Model(first / first.sum(), moves / moves.sum(axis=1, keepdims=True), mean, spread, log_likelihood=float(log[0]))
         if done:
             break
-    rows.unpersist()
     return model
 
 
