@@ -34,8 +34,8 @@ def sign_code(vector: Column) -> Column:
 
 
 def segments(n: int) -> list[tuple[int, int]]:
-    """``(shift, width)`` of each segment; a width near ``log2(n)`` keeps buckets near one code."""
-    m = min(16, max(2, round(BITS / max(4.0, math.log2(max(n, 2))))))
+    """``(shift, width)`` of each segment, of ``log2(n)`` bits or a little less: buckets hold a few codes, and a ring few probes."""
+    m = min(16, max(2, math.ceil(BITS / max(4.0, math.log2(max(n, 2))))))
     edges = [round(i * BITS / m) for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
