@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, code_search, mixing, multi_index, secrets, simhash, substring_dedup, toxicity, url_filter
+from . import bpe, chat, code_search, mixing, multi_index, periodic_runs, secrets, simhash, substring_dedup, toxicity, url_filter
 from .stages import small_batches
 
 
@@ -94,8 +94,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(_table(spark, sf_dir, "pages"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.looped(_table(spark, sf_dir, "documents"))
+    return periodic_runs.run_digests(periodic_runs.collapsed_runs(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_multi_index, op3_mixing, op4_chat, op5_bpe, op6_toxicity, op7_secrets, op8_simhash, op9_code_search, op10_url_filter)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_multi_index, op3_mixing, op4_chat, op5_bpe, op6_toxicity, op7_secrets, op8_simhash, op9_code_search, op10_url_filter, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
