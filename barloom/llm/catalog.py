@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, code_search, mixing, multi_index, periodic_runs, phrases, secrets, simhash, substring_dedup, toxicity, url_filter
+from . import bpe, chat, code_search, mixing, multi_index, periodic_runs, phrases, secrets, simhash, substring_dedup, toxicity, url_filter, warc
 from .stages import small_batches
 
 
@@ -94,6 +94,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(_table(spark, sf_dir, "pages"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(_table(spark, sf_dir, "pages"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
@@ -104,8 +108,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_multi_index, op3_mixing, op4_chat, op5_bpe, op6_toxicity, op7_secrets, op8_simhash, op9_code_search, op10_url_filter, op12_phrases, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_multi_index, op3_mixing, op4_chat, op5_bpe, op6_toxicity, op7_secrets, op8_simhash, op9_code_search, op10_url_filter, op11_warc, op12_phrases, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op9_code_search": code_search.ORACLE, "op10_url_filter": url_filter.ORACLE, "op12_phrases": phrases.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op9_code_search": code_search.ORACLE, "op10_url_filter": url_filter.ORACLE, "op11_warc": warc.ORACLE, "op12_phrases": phrases.ORACLE}
