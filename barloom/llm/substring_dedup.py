@@ -5,7 +5,8 @@ its ``mer``-word sub-sequences. Consecutive windows with the same minimiser
 position form a super-k-mer and travel to the minimiser's bucket as one packed
 string. Equal windows have equal minimisers, so a bucket sees every copy of its
 windows; sorting them finds the first occurrence (*leader*) of each. A word is
-removed when some window over it is not a leader.
+removed when some window over it is not a leader. A document is a doc_id with
+the hash of a text, so rows that share an id alone are told apart.
 
 Shuffles carry one compressed block per (map chunk, bucket), copies inside a
 chunk are merged before they travel, and a minimiser that is common in the
@@ -16,8 +17,10 @@ slices of a bounded size, and its task holds one slice at a time.
 
 from __future__ import annotations
 
+import hashlib
+import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,6 @@ HOT, HOT_PER_PARTITION = 2000, 4
 SLICE_BYTES = 32 << 20
 
 _VALUE_BITS = np.uint64(32)
-_POSITION = np.uint64((1 << 32) - 1)
 _ODD = 0x9E3779B97F4A7C15
 _WRAP = 1 << 64
 
@@ -107,7 +109,7 @@ def super_kmers(block: WordBlock, powers: _Powers, window: int, mer: int) -> tup
 
 
 def _pack(rows: list[tuple], coder: zstandard.ZstdCompressor) -> bytes:
-    """Columns of ``(minimiser, doc_id, start, windows, offset)`` and the strings, compressed."""
+    """Columns of ``(minimiser, doc_id, text hash, start, windows)`` and the strings, compressed."""
     keys = np.array([r[:5] for r in rows], dtype=np.int64)
     return coder.compress(np.int64(len(rows)).tobytes() + np.ascontiguousarray(keys.T).tobytes() + b"\n".join(r[5] for r in rows))
 
@@ -119,26 +121,36 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     return cols, raw[8 + 40 * n :].split(b"\n")
 
 
+def _text_hash(text: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def _dealt(doc: int, text: int, n: int) -> int:
+    """The bucket of a document."""
+    return zlib.crc32(struct.pack("<qq", doc, text)) % n
+
+
 def _scan(batches: Iterator[pa.RecordBatch], window: int, mer: int) -> Iterator[list[tuple]]:
-    """Super-k-mers of the rows, ``(minimiser, doc_id, start, windows, offset, packed)``, copies merged per flush."""
+    """Super-k-mers of the rows, ``(minimiser, doc_id, text hash, start, windows, packed)``, copies merged per flush."""
     powers = _Powers()
     seen: dict[bytes, tuple] = {}
     size = 0
     for rows in row_chunks(batches):
         ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
-        block = WordBlock(as_bytes(rows.column("text")))
+        texts = as_bytes(rows.column("text"))
+        hashes = np.array([_text_hash(t) for t in texts], dtype=np.int64)
+        block = WordBlock(texts)
         text, begin, count, low = super_kmers(block, powers, window, mer)
         data = block.data
         starts = block.start[begin].tolist()
         ends = block.end[begin + count + window - 2].tolist() if len(begin) else []
         docs, local = ids[text].tolist(), (begin - block.first[text]).tolist()
         value = (low >> np.uint64(32)).astype(np.int64).tolist()
-        offset = ((low & _POSITION).astype(np.int64) - begin).tolist()
-        for a, b, v, d, s, n, o in zip(starts, ends, value, docs, local, count.tolist(), offset, strict=True):
+        for a, b, v, d, h, s, n in zip(starts, ends, value, docs, hashes[text].tolist(), local, count.tolist(), strict=True):
             packed = data[a:b]
             old = seen.get(packed)
-            if old is None or (d, s) < (old[1], old[2]):
-                seen[packed] = (v, d, s, n, o)
+            if old is None or (d, h, s) < old[1:4]:
+                seen[packed] = (v, d, h, s, n)
         size += len(data)
         if size >= FLUSH_BYTES:
             yield [(*k, p) for p, k in seen.items()]
@@ -172,23 +184,23 @@ def hot_minimisers(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> tup
     return [r.minimiser for r in hot], own.get(-2, 0)
 
 
-def _leaders_of(members: list[tuple], window: int) -> Iterator[tuple[int, int]]:
-    """First ``(doc_id, start)`` of each distinct window of one minimiser; many are taken in parts by the window's hash."""
-    parts = 1 + sum(m[2] * window * 8 for m in members) // SLICE_BYTES
+def _leaders_of(members: dict[bytes, tuple], window: int) -> Iterator[tuple[int, int, int]]:
+    """First ``(doc_id, text hash, start)`` of each distinct window of one minimiser; many are taken in parts by the window's hash."""
+    parts = 1 + sum(m[3] * window * 8 for m in members.values()) // SLICE_BYTES
     for part in range(parts):
         rows = []
-        for doc, start, count, _, packed in members:
+        for packed, (doc, text, start, count) in members.items():
             cut = [0]
             for w in packed.split(b" "):
                 cut.append(cut[-1] + len(w) + 1)
-            windows = ((packed[cut[i] : cut[i + window] - 1], doc, start + i) for i in range(count))
+            windows = ((packed[cut[i] : cut[i + window] - 1], doc, text, start + i) for i in range(count))
             rows += windows if parts == 1 else (w for w in windows if zlib.crc32(w[0]) % parts == part)
         rows.sort()
         last = None
-        for text, doc, start in rows:
-            if text != last:
-                last = text
-                yield doc, start
+        for words, *place in rows:
+            if words != last:
+                last = words
+                yield tuple(place)
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, mer: int = MER) -> DataFrame:
@@ -197,11 +209,11 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, mer: int = MER) ->
     A word goes when a window over it has a word sequence that also starts
     earlier (smaller doc_id, or same document, earlier start). Windows are
     judged on the input. Null and empty texts have no words; a row with a null
-    doc_id takes no part and is kept whole. doc_id identifies a document: rows
-    that repeat one count as the same document. Extra columns are ignored.
+    doc_id takes no part and is kept whole. Rows with the same doc_id and text
+    count as the same document; rows with the same doc_id and other texts are
+    documents of their own, in the order of the hash of their texts. Extra
+    columns are ignored. A very long text is taken whole.
     """
-    import hashlib
-
     spark = docs.sparkSession
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -215,12 +227,12 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, mer: int = MER) ->
             buckets = defaultdict(list)
             for row in rows:
                 if row[0] in hot:  # one string for each window, dealt by the window itself
-                    v, doc, start, count, offset, packed = row
+                    v, doc, text, start, count, packed = row
                     words = packed.split(b" ")
                     for i in range(count):
                         one = b" ".join(words[i : i + window])
                         h = zlib.crc32(one)
-                        buckets[h % n, h // n % slices].append((v, doc, start + i, 1, offset - i, one))
+                        buckets[h % n, h // n % slices].append((v, doc, text, start + i, 1, one))
                 else:
                     buckets[row[0] % n, row[0] // n % slices].append(row)
             for (b, part), some in buckets.items():
@@ -229,24 +241,19 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, mer: int = MER) ->
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=3)
-        groups: dict[int, list[tuple]] = defaultdict(list)
+        groups: dict[int, dict[bytes, tuple]] = defaultdict(dict)
         now = None
 
         def leaders() -> Iterator[pa.RecordBatch]:
-            out = defaultdict(lambda: ([], [], []))
+            out = defaultdict(lambda: ([], [], [], []))
             for members in groups.values():
-                if len(members) == 1:
-                    firsts = [(members[0][0], members[0][1], members[0][2])]
-                else:
-                    firsts = [(d, s, 1) for d, s in _leaders_of(members, window)]
-                for d, s, c in firsts:
-                    to = out[zlib.crc32(d.to_bytes(8, "little", signed=True)) % n]
-                    to[0].append(d)
-                    to[1].append(s)
-                    to[2].append(c)
+                firsts = members.values() if len(members) == 1 else [(*first, 1) for first in _leaders_of(members, window)]
+                for one in firsts:
+                    for column, x in zip(out[_dealt(one[0], one[1], n)], one, strict=True):
+                        column.append(x)
             for b, cols in out.items():
                 blob = coder.compress(np.array(cols, dtype=np.int64).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([0], pa.int32()), pa.nulls(1, pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "kind", "doc_id", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([0]), pa.nulls(1, pa.int64()), pa.array([0]), pa.array([blob], pa.binary())], names=_MOVED)
 
         for batch in batches:
             for part, blob in zip(batch.column("slice").to_pylist(), batch.column("blob").to_pylist(), strict=True):
@@ -255,65 +262,68 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, mer: int = MER) ->
                     groups.clear()
                     now = part
                 cols, packed = _unpack(blob)
-                for v, d, s, c, o, p in zip(*cols.tolist(), packed, strict=True):
-                    groups[v].append((d, s, c, o, p))
+                for v, d, h, s, c, p in zip(*cols.tolist(), packed, strict=True):
+                    old = groups[v].get(p)
+                    if old is None or (d, h, s) < old[:3]:  # copies of a string are one member, however many flushes send it
+                        groups[v][p] = (d, h, s, c)
         yield from leaders()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = zstandard.ZstdCompressor(level=3)
         for rows in row_chunks(batches):
-            ids = rows.column("doc_id").to_pylist()
-            to = [zlib.crc32((0 if d is None else d).to_bytes(8, "little", signed=True)) % n for d in ids]
-            blobs = [coder.compress(t) for t in as_bytes(rows.column("text"))]
-            kind = pa.array(np.ones(len(ids), dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), kind, rows.column("doc_id"), pa.array(blobs, pa.binary())], names=["bucket", "kind", "doc_id", "blob"])
+            same = Counter(zip(rows.column("doc_id").to_pylist(), as_bytes(rows.column("text")), strict=True))  # rows that repeat a document move once a chunk
+            hashes = [_text_hash(t) for _, t in same]
+            to = [h % n if d is None else _dealt(d, h, n) for (d, _), h in zip(same, hashes, strict=True)]
+            columns = [pa.array(to, pa.int32()), pa.array(list(same.values()), pa.int64()), pa.array([d for d, _ in same], pa.int64()), pa.array(hashes, pa.int64()), pa.array([coder.compress(t) for _, t in same], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=_MOVED)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opener = zstandard.ZstdDecompressor()
         parts, lead = [], None
         for batch in batches:
             rows = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept", "kept_sha256")}
-            for kind, doc, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "doc_id", "blob")), strict=True):
-                if kind == 0:
-                    parts.append(np.frombuffer(opener.decompress(blob), dtype=np.int64).reshape(3, -1))
+            for times, doc, text, blob in zip(*(batch.column(c).to_pylist() for c in _MOVED[1:]), strict=True):
+                if times == 0:
+                    parts.append(np.frombuffer(opener.decompress(blob), dtype=np.int64).reshape(4, -1))
                     continue
                 if lead is None:
-                    lead = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), dtype=np.int64)
-                    lead = lead[:, np.argsort(lead[0], kind="stable")]
+                    lead = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), dtype=np.int64)
+                    lead = lead[:, np.lexsort((lead[1], lead[0]))]
                     parts = []
                 block = WordBlock([opener.decompress(blob)])
                 words = len(block)
                 gone = np.zeros(words, dtype=bool)
                 if doc is not None and words >= window:
-                    lo, hi = np.searchsorted(lead[0], [doc, doc + 1])
+                    lo, hi = np.searchsorted(lead[0], doc, "left"), np.searchsorted(lead[0], doc, "right")
+                    lo, hi = lo + np.searchsorted(lead[1, lo:hi], text, "left"), lo + np.searchsorted(lead[1, lo:hi], text, "right")
                     firsts = np.zeros(words - window + 2, dtype=np.int64)
-                    np.add.at(firsts, lead[1, lo:hi], 1)
-                    np.add.at(firsts, lead[1, lo:hi] + lead[2, lo:hi], -1)
+                    np.add.at(firsts, lead[2, lo:hi], 1)
+                    np.add.at(firsts, lead[2, lo:hi] + lead[3, lo:hi], -1)
                     repeat = np.cumsum(firsts[:-1]) <= 0
                     cover = np.zeros(words + 1, dtype=np.int64)
                     cover[: len(repeat)] += repeat
                     cover[window : window + len(repeat)] -= repeat
                     gone = np.cumsum(cover[:-1]) > 0
                 kept = block.array[np.repeat(~gone, block.end - block.start + 1)].tobytes()[:-1]
-                rows["doc_id"].append(doc)
-                rows["n_words"].append(words)
-                rows["n_removed"].append(int(gone.sum()))
-                rows["kept"].append(kept.decode())
-                rows["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                if len(rows["doc_id"]) >= 500:
-                    yield pa.RecordBatch.from_pydict(rows, schema=_CUT_SCHEMA)
-                    rows = {k: [] for k in rows}
+                row = (doc, words, int(gone.sum()), kept.decode(), hashlib.sha256(kept).hexdigest())
+                for _ in range(times):
+                    for column, x in zip(rows.values(), row, strict=True):
+                        column.append(x)
+                    if len(rows["doc_id"]) >= 500:
+                        yield pa.RecordBatch.from_pydict(rows, schema=_CUT_SCHEMA)
+                        rows = {k: [] for k in rows}
             if rows["doc_id"]:
                 yield pa.RecordBatch.from_pydict(rows, schema=_CUT_SCHEMA)
 
     dealt = known.mapInArrow(pack, "bucket int, slice int, blob binary").repartitionById(n, "bucket").sortWithinPartitions("slice")
-    leaders = dealt.mapInArrow(settle, "bucket int, kind int, doc_id long, blob binary")
-    both = leaders.unionByName(docs.mapInArrow(texts, "bucket int, kind int, doc_id long, blob binary"))
+    moved = "bucket int, times long, doc_id long, hash long, blob binary"  # times 0: leaders
+    both = dealt.mapInArrow(settle, moved).unionByName(docs.mapInArrow(texts, moved))
     return (
         both.repartitionById(n, "bucket")
-        .sortWithinPartitions("kind")
+        .sortWithinPartitions(F.col("times") > 0)
         .mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
     )
 
 
+_MOVED = ["bucket", "times", "doc_id", "hash", "blob"]
 _CUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string())])
