@@ -119,17 +119,20 @@ def mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, mos
     the document or of its rest. Null texts have size 0; a null source is a
     source of its own, after all others. Reruns give the same mix. Rows that
     repeat a doc_id are separate documents; extra columns are ignored; an empty
-    table gives an empty result.
+    table gives an empty result. A source's documents are shuffled by a hash of
+    doc_id and text, so only rows that agree in both are tied, and which of
+    these gives more words is not defined. Texts are counted, never moved.
+    Positions of whole sources and the plan, one row for each source, are summed
+    in one task.
     """
     return _row_mixture(docs.withColumn(ROW, F.monotonically_increasing_id()), weights, share, most).drop("row")
 
 
 def _row_mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = MOST_PASSES) -> DataFrame:
     """:func:`mixture` of rows that carry their own key in ``ROW``; the result has it as ``row``."""
-    spark = docs.sparkSession
+    key = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     sizes = written(
-        docs.select(F.col("doc_id").cast("long"), "source", words_in().alias("size"), F.col(ROW).alias("row"))
-        .withColumn("key", F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))),
+        docs.select(F.col("doc_id").cast("long"), "source", words_in().alias("size"), F.col(ROW).alias("row"), key.alias("key")),
         "sizes",
     )
     rows, words = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -178,24 +181,25 @@ def _row_mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, once for each pass that takes words, with the words taken as text.
 
-    Columns stay; ``n_chars`` follows the text. Rows are told apart by a key of
+    Columns stay, whatever their names; ``n_chars`` follows the text. Rows are told apart by a key of
     their own in a written table, so null and repeated doc_ids count as rows.
     Documents of sources above their target that no slot reaches do not appear.
     """
-    columns = docs.columns
-    docs = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    mix = _row_mixture(docs, **options).select(F.col("row").alias(ROW), "size", F.posexplode("taken_by_pass").alias("pass", "take")).where("take > 0")
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("take") == F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("take").cast("int")), " "))
-    joined = docs.join(mix, ROW).withColumn("text", text)
-    return joined.select(*[F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
+    held = written(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias(ROW)), "rows")
+    mix = _row_mixture(held.select("_doc.doc_id", "_doc.source", "_doc.text", ROW), **options)
+    mix = mix.select(F.col("row").alias(ROW), "size", F.posexplode("taken_by_pass").alias("pass", "take")).where("take > 0")
+    words = F.regexp_extract_all("_doc.text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("take") == F.col("size"), F.col("_doc.text")).otherwise(F.array_join(F.slice(words, 1, F.col("take").cast("int")), " "))
+    joined = held.join(mix, ROW).select("_doc", text.alias("_text"))
+    new = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
+    return joined.select(*[new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns])
 
 
 #: The query's rows in DuckDB SQL, with the same arithmetic.
 ORACLE = f"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-         md5(concat('{SEED}', coalesce(CAST(doc_id AS VARCHAR), ''))) AS key FROM documents),
+         md5(concat('{SEED}', coalesce(CAST(doc_id AS VARCHAR), ''), ':', md5(coalesce(text, '')))) AS key FROM documents),
 per AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
   FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source)),

@@ -58,3 +58,22 @@ def test_stages_in_order(spark, tmp_path):
     want = sorted((x.doc_id, len(library.encode_ordinary(x.text))) for x in before.collect())
     assert sorted((x.doc_id, x.n_tokens) for x in seen["bpe"]) == want
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(want)
+
+
+def test_stages_leave_columns_of_any_name(spark, tmp_path):
+    """Columns named as those that stages use inside come through each stage as they were."""
+    rows, labels = corpus()
+    names = ["size", "take", "pass", "_mix_row", "row", "score", "_doc", "_text", "key", "kept", "label", "spans", "_rest", "ids", "words"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    rows = [(*r, *[f"{n}{i}" for n in names]) for i, r in enumerate(rows[:60] + rows[-3:])]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, schema)
+    own = {r[5 + names.index("size")][4:] for r in rows}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+        for r in docs.collect():
+            assert r["size"][4:] in own and all(r[n] == n + r["size"][4:] for n in names)
+    assert 30 < docs.select("_mix_row").distinct().count() <= 63
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count()
