@@ -33,12 +33,12 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows are told apart by a key of their own, so of rows that repeat an id and
     a text one stays, and a null doc_id gives way to any other. Null and empty
-    texts are one class. Other columns do not matter.
+    texts are one class. Other columns do not matter, whatever their names.
     """
     small_batches(spark)
-    keyed = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    others = simhash.near_copies(keyed, row=ROW).where("not kept").select(F.col("row").alias(ROW))
-    return keyed.join(others, ROW, "left_anti").select(*docs.columns)
+    held = written(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias(ROW)), "rows")
+    others = simhash.near_copies(held.select("_doc.doc_id", "_doc.text", ROW), row=ROW).where("not kept").select(F.col("row").alias(ROW))
+    return held.join(others, ROW, "left_anti").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
