@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .win import KEY, TIME
 
 
-def number_rows(df: DataFrame, name: str = "idx", seconds: int = 30 * 86_400) -> DataFrame:
+def number_rows(df: DataFrame, name: str = "idx", seconds: int = 30 * 86_400, stretch: Column | None = None) -> DataFrame:
     """Adds the 0-based position of each row in its symbol.
 
     Rows are counted per (symbol, stretch of time); stretch counts are summed
     up, and rows are numbered inside a stretch, so a long series is spread over
-    as many tasks as it has stretches.
+    as many tasks as it has stretches. ``stretch`` cuts by another column, which
+    must not fall in the order of ``ts``.
     """
-    cut = df.withColumn("_stretch", F.floor(F.unix_seconds(TIME) / seconds))
+    cut = df.withColumn("_stretch", F.floor(F.unix_seconds(TIME) / seconds) if stretch is None else stretch)
     counts = cut.groupBy(KEY, "_stretch").count()
     before = Window.partitionBy(KEY).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(KEY, "_stretch", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.numbering import number_rows
 from ..functions.tables import written
 from ..functions.win import KEY, TIME, presented
-from ..operators import draws, hmm, models, regimes, rolling, spectral, targets
+from ..operators import config_search, draws, hmm, models, regimes, rolling, spectral, targets
 from ..operators.calendar import CLOCK, SESSION, session_stats, time_features, window_columns, window_features
 from ..operators.candles import PATTERNS, SHAPE, candle_patterns
+from ..operators.walk_forward import walk_forward as walked
 from ..sources.bars import event_bars
 from .feature_queries import hourly, with_technicals
 from .registry import query
@@ -74,15 +75,14 @@ def projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hmm_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = rolling.vortex(rolling.true_range(rolling.returns(hourly(spark, sf_dir)))).withColumn("z_close_20", rolling.zscore("close"))
-    df = targets.forward_return(df, 3).withColumn("part", F.floor(F.unix_seconds(TIME) / (10 * 86_400)))
-    return models.standardise(df, _HMM)
+    return models.standardise(targets.forward_return(df, 3), _HMM)
 
 
 @query()
 def hmm_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One model over all sequences; each symbol's sides by mean forward return, and its latest signal."""
-    df = _hmm_input(spark, sf_dir)
-    decoded = hmm.decode(df, hmm.fit(df, _HMM, iterations=8), _HMM)
+    """One model over all series; each symbol's sides by mean forward return, and its latest signal."""
+    df = written(_hmm_input(spark, sf_dir).select(KEY, TIME, "fwd", *_HMM), "features")
+    decoded = hmm.decode(df, hmm.fit(df, _HMM), _HMM)
     joined = targets.align(decoded, df, ["fwd"])
     sides = regimes.best_worst(regimes.state_returns(joined, "state"), "state")
     return hmm.posterior_signal(decoded, sides)
@@ -90,17 +90,17 @@ def hmm_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def best_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All nine parameters searched one at a time from their first values; the full product is :func:`models.parameter_grid` without ``star``."""
+    """All nine parameters searched one at a time from their first values; the full product is :func:`config_search.parameter_grid` without ``star``."""
     df = event_bars(spark, sf_dir)
     rows = df.groupBy(KEY).count().agg(F.min("count")).first()[0] or 0  # one number: ranges fit the shortest series
-    return models.config_search(df, models.parameter_grid(rows, star=True)).withColumn("score", F.round("score", 6))
+    return config_search.config_search(df, config_search.parameter_grid(rows, star=True)).withColumn("score", F.round("score", 6))
 
 
 @query()
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = number_rows(_hmm_input(spark, sf_dir))
     counts = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    return presented(models.walk_forward(written(df.join(counts, KEY), "numbered"), _HMM), ["prediction", "label"])
+    return presented(walked(written(df.join(counts, KEY), "numbered"), _HMM), ["prediction", "label"])
 
 
 @query()
@@ -114,11 +114,10 @@ def direction_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def draw_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emission probabilities of a hidden model with ten states over all drawn numbers in flattened order.
 
-    A supplier's draws are one series, cut into parts by stretches of the order
-    key, so that no series is one group.
+    A supplier's draws are one series, however long.
     """
     numbers = F.posexplode(F.array("n1", "n2", "n3")).alias("place", "number")
     rows = draws.line_draws(spark, sf_dir).select("series", "order", numbers)
-    rows = rows.select(F.col("series").cast("string").alias(KEY), F.floor(F.col("order.l_orderkey") / 20_000).alias("part"), F.struct("order", "place").alias(TIME), (F.col("number") - 1).alias("x"))
-    model = hmm.fit_categorical(rows, "x", 59)
+    rows = rows.select(F.col("series").cast("string").alias(KEY), F.struct("order", "place").alias(TIME), (F.col("number") - 1).alias("x"))
+    model = hmm.fit_categorical(rows, "x", 59, stretch=F.floor(F.col(f"{TIME}.order.l_orderkey") / 20_000))
     return spark.createDataFrame([(k, s + 1, round(float(p), 9)) for k, row in enumerate(model.emit) for s, p in enumerate(row)], "state int, number int, p double")

@@ -1,23 +1,37 @@
-"""Hidden Markov models over many sequences, fitted by distributed expectation-maximisation.
-
-A sequence is one (symbol, part). Each pass runs the scaled forward-backward
-recursion per sequence in Arrow groups and returns only sufficient statistics,
-which Spark sums; the driver holds the model, a few numbers for each state.
+"""Hidden Markov models over series of any length, fitted by expectation-maximisation in Spark.
+
+A series is cut into stretches of ``BLOCK`` rows, each one row of a table that is
+bucketed once and never moves again. A pass multiplies the steps of each stretch
+(:mod:`.chains`), carries the states before and behind the stretches along their
+series, takes expected counts of every stretch, and sums them up by model. Models
+are rows of a table too, so any number of them is fitted at a time: one for all
+series, or one for each. A model whose data are one stretch is fitted where that
+lies, with the same steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import written
+from ..functions.numbering import number_rows
+from ..functions.tables import arrow_batches, bucketed, written
 from ..functions.win import KEY, TIME
+from .chains import best_path, best_transfer, carries, smoothed, transfer
 
 FLOOR = 1e-6
+#: Rows of a stretch.
+BLOCK = 2048
+#: Stretches in a batch that a Python worker is handed.
+BATCH = 64
+
+_UNIT = ["model", KEY, "unit"]
 
 
 @dataclass
@@ -41,207 +55,289 @@ class Model:
             out[:, k] = -0.5 * ((z**2).sum(axis=0) + x.shape[1] * np.log(2 * np.pi)) - np.log(np.diag(low)).sum()
         return out
 
+    def flat(self) -> np.ndarray:
+        rest = [self.emit] if self.emit is not None else [self.mean, self.cov]
+        return np.concatenate([[self.log_likelihood], self.start, *(np.ravel(p) for p in (self.move, *rest))])
+
+
+@dataclass
+class Shape:
+    """What the numbers of a model and of its expected counts mean: ``k`` states over ``d`` features, or over ``symbols``."""
+
+    k: int
+    d: int = 1
+    cov: str = "diag"
+    symbols: int = 0
+
+    def model(self, flat: np.ndarray) -> Model:
+        k, d = self.k, self.d
+        log, start, move, rest = np.split(np.asarray(flat, float), np.cumsum([1, k, k * k]))
+        if self.symbols:
+            return Model(start, move.reshape(k, k), emit=rest.reshape(k, self.symbols), log_likelihood=float(log[0]))
+        return Model(start, move.reshape(k, k), rest[: k * d].reshape(k, d), rest[k * d :].reshape(k, d, d), log_likelihood=float(log[0]))
+
+    def counts(self, model: Model, x: np.ndarray, head: bool, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Log likelihood, start, moves, and counts with their sums of a stretch, expected under a model."""
+        b, top = emissions(model, x)
+        _, gamma, moves, log = smoothed(model.move, b, head, before, after)
+        first = gamma[0] if head else np.zeros(self.k)
+        if self.symbols:
+            seen = np.zeros((self.symbols, self.k))
+            np.add.at(seen, x[:, 0].astype(int), gamma)
+            rest = [seen.T.ravel()]
+        else:
+            rest = [gamma.sum(axis=0), (gamma.T @ x).ravel(), np.einsum("tk,ti,tj->kij", gamma, x, x).ravel()]
+        return np.concatenate([[log + top], first, moves.ravel(), *rest])
+
+    def maximised(self, model: Model, sums: np.ndarray, tolerance: float) -> tuple[Model, bool]:
+        """The model that fits expected counts best, and whether the log likelihood gained less than ``tolerance`` of itself."""
+        k, d = self.k, self.d
+        log, first, moves, rest = np.split(sums, np.cumsum([1, k, k * k]))
+        moves, first = moves.reshape(k, k) + 1e-6, first + 1e-12
+        done = model.log_likelihood > -np.inf and log[0] - model.log_likelihood < tolerance * abs(model.log_likelihood)
+        known = dict(start=first / first.sum(), move=moves / moves.sum(axis=1, keepdims=True), log_likelihood=float(log[0]))
+        if self.symbols:
+            seen = rest.reshape(k, self.symbols) + 1e-6
+            return Model(emit=seen / seen.sum(axis=1, keepdims=True), **known), done
+        count, total, second = np.split(rest, np.cumsum([k, k * d]))
+        count, total = np.maximum(count, 1e-6), total.reshape(k, d)
+        mean = total / count[:, None]
+        spread = second.reshape(k, d, d) / count[:, None, None] - mean[:, :, None] * mean[:, None, :]
+        if self.cov == "diag":
+            spread = np.stack([np.diag(np.maximum(np.diag(s), 0)) for s in spread])
+        return Model(mean=mean, cov=spread + FLOOR * np.eye(d), **known), done
+
+
+def emissions(model: Model, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Probabilities of rows by state, the largest of a row being 1, and the logarithm of what that leaves out."""
+    log = model.log_emission(x)
+    top = log.max(axis=1)
+    return np.exp(log - top[:, None]) + 1e-300, float(top.sum())
+
+
+def series_blocks(df: DataFrame, names: list[str], model: Column | None = None, stretch: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``blocks(model, symbol, unit, units, ts, x)`` of ``df(symbol, ts, names)``, and ``units(model, symbol, unit, units, alone)``.
+
+    Rows with a NULL value are left out. ``model`` names the model of a symbol,
+    one for all by default; ``alone`` tells whether its data are this stretch.
+    """
+    rows = df.select((F.lit("") if model is None else model).alias("model"), KEY, TIME, *[F.col(c).cast("double").alias(c) for c in names], *([] if stretch is None else [stretch.alias("_time")]))
+    rows = number_rows(rows.dropna(subset=names), stretch=None if stretch is None else F.col("_time"))
+    cut = rows.withColumn("unit", F.floor(F.col("idx") / BLOCK))
+    kept = F.array_sort(F.collect_list(F.struct("idx", TIME, F.array(*names).alias("x"))))
+    made = cut.groupBy(*_UNIT).agg(kept.alias("r")).select(*_UNIT, F.col(f"r.{TIME}").alias(TIME), F.flatten("r.x").alias("x"))
+    blocks = bucketed(made, "blocks", _UNIT)
+    each = blocks.groupBy("model", KEY).agg(F.count(F.lit(1)).alias("units"))
+    of_model = each.groupBy("model").agg((F.sum("units") == 1).alias("alone"))
+    return blocks, written(blocks.select(*_UNIT).join(each, ["model", KEY]).join(of_model, "model"), "units")
+
+
+def _arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
+    at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)  # null as NaN
+    return (values[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+
+
+def _rows_of(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """The named columns row by row; lists of numbers as arrays, null as None."""
+    columns = []
+    for name in names:
+        column = batch.column(name)
+        columns.append(list(_arrays(column)) if pa.types.is_list(column.type) and not column.null_count and name != TIME else column.to_pylist())
+    return zip(*columns, strict=True)
+
+
+def _ends(units: DataFrame, models: DataFrame, k: int, best: bool = False) -> DataFrame:
+    """What is known ahead of each series and behind it."""
+    start = F.slice("params", 2, k)
+    before = F.transform(start, lambda p: F.ln(p + 1e-300)) if best else start
+    after = F.array(*[F.lit(-1.0 if best else 1.0)] * (1 if best else k))
+    return units.select("model", KEY).distinct().join(models, "model").select("model", KEY, before.alias("before"), after.alias("after"))
+
+
+def _carried(blocks: DataFrame, units: DataFrame, models: DataFrame, shape: Shape, best: bool = False, chained: bool | None = None) -> DataFrame:
+    """``units`` with the parameters of their models, and with ``before`` and ``after`` of every stretch; ``chained`` if a series is known to have several."""
+    long = units.where("units > 1")
+    ends = _ends(units, models, shape.k, best)
+    short = units.where("units = 1").join(ends, ["model", KEY])
+    if not chained and (chained is False or long.isEmpty()):
+        return short.join(models, "model")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for flat, unit, x in _rows_of(batch, "params", "unit", "x"):
+                model = shape.model(flat)
+                x = x.reshape(-1, shape.d)
+                try:
+                    if best:
+                        matrix = best_transfer(np.log(model.move + 1e-300), model.log_emission(x), unit == 0)
+                    else:
+                        matrix = transfer(model.move, emissions(model, x)[0], unit == 0)
+                except np.linalg.LinAlgError:
+                    matrix = np.full(shape.k**2, np.nan)
+                out.append(matrix.ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("model"), batch.column(KEY), batch.column("unit"), pa.array(out, pa.list_(pa.float64()))], names=[*_UNIT, "matrix"])
+
+    asked = blocks.join(long.join(models, "model").select(*_UNIT, "params"), _UNIT)
+    matrices = written(asked.mapInArrow(run, f"model string, {KEY} string, unit long, matrix array<double>"), "matrices")
+    known = units.join(carries(matrices, ends, shape.k, best), _UNIT)
+    return short.unionByName(known.select(short.columns)).join(models, "model")
+
+
+def expected_counts(blocks: DataFrame, units: DataFrame, models: DataFrame, shape: Shape, chained: bool | None = None) -> DataFrame:
+    """``(model, sums)``: counts of all rows of a model, expected under its parameters; summed by Spark."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for flat, unit, x, before, after in _rows_of(batch, "params", "unit", "x", "before", "after"):
+                try:
+                    out.append(shape.counts(shape.model(flat), x.reshape(-1, shape.d), unit == 0, before, after).tolist())
+                except np.linalg.LinAlgError:
+                    out.append([float("nan")])  # makes every sum of the model unknown
+            yield pa.RecordBatch.from_arrays([batch.column("model"), pa.array(out, pa.list_(pa.float64()))], names=["model", "sums"])
+
+    needs = _carried(blocks, units, models, shape, chained=chained)
+    sums = blocks.join(needs.select(*_UNIT, "params", "before", "after"), _UNIT).mapInArrow(counted, "model string, sums array<double>")
+    total = sums.select("model", F.posexplode("sums").alias("i", "v")).groupBy("model", "i").agg(F.sum("v").alias("v"))
+    return total.groupBy("model").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda r: r["v"]).alias("sums"))
+
+
+def em(blocks: DataFrame, units: DataFrame, models: DataFrame, shape: Shape, iterations: int = 200, tolerance: float = 1e-4) -> DataFrame:
+    """``(model, params)``: the models of ``models(model, params)`` after expectation-maximisation over their stretches.
+
+    Every pass uses all rows. The log likelihood never falls; passes of a model
+    end when it gains less than ``tolerance`` of itself. A model whose spread
+    degenerates is left out.
+    """
+    made = "model string, params array<double>, done boolean"
+
+    def here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for flat, x in _rows_of(batch, "params", "x"):
+                model, x = shape.model(flat), x.reshape(-1, shape.d)
+                try:
+                    for _ in range(iterations):
+                        model, done = shape.maximised(model, shape.counts(model, x, True, model.start, np.ones(shape.k)), tolerance)
+                        if done:
+                            break
+                    out.append(model.flat().tolist())
+                except np.linalg.LinAlgError:
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("model"), pa.array(out, pa.list_(pa.float64()))], names=["model", "params"])
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for flat, sums in _rows_of(batch, "params", "sums"):
+                model, done = (None, True) if np.isnan(sums[0]) else shape.maximised(shape.model(flat), sums, tolerance)
+                out.append((None if model is None else model.flat().tolist(), bool(done)))
+            yield pa.RecordBatch.from_arrays([batch.column("model"), pa.array([m for m, _ in out], pa.list_(pa.float64())), pa.array([d for _, d in out])], names=["model", "params", "done"])
+
+    with arrow_batches(blocks.sparkSession, BATCH):
+        alone, shared = units.where("alone"), units.where("not alone")
+        asked = blocks.join(alone.join(models, "model").select(*_UNIT, "params"), _UNIT)
+        finished = [written(asked.mapInArrow(here, "model string, params array<double>"), "models")]
+        now, chained = models.join(shared.select("model").distinct(), "model"), not shared.where("units > 1").isEmpty()
+        for _ in range(iterations):
+            total = expected_counts(blocks, shared.join(now.select("model"), "model"), now, shape, chained)
+            after = written(total.join(now, "model").mapInArrow(fitted, made), "models")
+            finished.append(after.where("done").drop("done"))
+            now = after.where("not done").drop("done")
+            if now.isEmpty():
+                break
+        else:
+            finished.append(now)
+        out = finished[0]
+        for part in finished[1:]:
+            out = out.unionByName(part)
+        return written(out.where("params is not null"), "models")
+
+
+def start_models(df: DataFrame, features: list[str], shape: Shape, model: Column | None = None, sample: int = 20_000, least: int = 10) -> DataFrame:
+    """``(model, params)``: states from slices of the first principal direction, so that a fit needs no random start.
 
-def posteriors(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """State probabilities of each row, summed transition counts, and the log likelihood."""
-    log_b = model.log_emission(x)
-    top = log_b.max(axis=1)
-    b = np.exp(log_b - top[:, None]) + 1e-300
-    n, k = b.shape
-    alpha, scale = np.empty((n, k)), np.empty(n)
-    a = model.start * b[0]
-    for t in range(n):
-        if t:
-            a = (alpha[t - 1] @ model.move) * b[t]
-        scale[t] = a.sum()
-        alpha[t] = a / scale[t]
-    beta, moves = np.ones(k), np.zeros((k, k))
-    gamma = np.empty((n, k))
-    gamma[n - 1] = alpha[n - 1]
-    for t in range(n - 2, -1, -1):
-        ahead = b[t + 1] * beta / scale[t + 1]
-        moves += alpha[t][:, None] * model.move * ahead
-        beta = model.move @ ahead
-        gamma[t] = alpha[t] * beta
-    return gamma / gamma.sum(axis=1, keepdims=True), moves, float(np.log(scale).sum() + top.sum())
-
-
-def viterbi(model: Model, x: np.ndarray) -> np.ndarray:
-    """The most likely state path."""
-    log_b, log_move = model.log_emission(x), np.log(model.move + 1e-300)
-    score = np.log(model.start + 1e-300) + log_b[0]
-    back = np.zeros(log_b.shape, dtype=int)
-    for t in range(1, len(x)):
-        step = score[:, None] + log_move
-        back[t] = step.argmax(axis=0)
-        score = step.max(axis=0) + log_b[t]
-    path = np.empty(len(x), dtype=int)
-    path[-1] = score.argmax()
-    for t in range(len(x) - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    Taken from at most ``sample`` rows of a model by hash; a model of fewer than
+    ``least`` rows for each state is left out.
+    """
+    from pyspark.sql import Window
+
+    named = df.select((F.lit("") if model is None else model).alias("model"), *[F.col(f).cast("double").alias(f) for f in features], F.xxhash64(KEY, TIME).alias("_h")).dropna()
+    some = named.withColumn("_n", F.row_number().over(Window.partitionBy("model").orderBy("_h", *features))).where(F.col("_n") <= sample)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values("_n")[features].to_numpy(float)
+        flat = [] if len(x) < least * shape.k else [_start_model(x, shape.k).flat()]
+        return pd.DataFrame({"model": pdf["model"].iloc[: len(flat)].to_numpy(), "params": pd.Series(flat, dtype=object)})
+
+    return written(some.groupBy("model").applyInPandas(run, "model string, params array<double>"), "starts")
 
 
 def _start_model(x: np.ndarray, k: int) -> Model:
-    """States from slices of the first principal direction, so that a fit needs no random start."""
     centre = x - x.mean(axis=0)
     order = np.argsort(centre @ np.linalg.svd(centre, full_matrices=False)[2][0], kind="stable")
     parts = np.array_split(order, k)
     spread = np.cov(x.T).reshape(x.shape[1], x.shape[1]) + FLOOR * np.eye(x.shape[1])
-    move = np.full((k, k), 0.2 / max(k - 1, 1))
-    np.fill_diagonal(move, 0.8 if k > 1 else 1.0)
-    return Model(np.full(k, 1 / k), move, np.array([x[p].mean(axis=0) for p in parts]), np.array([spread] * k))
+    return Model(np.full(k, 1 / k), _staying(k, 0.8), np.array([x[p].mean(axis=0) for p in parts]), np.array([spread] * k))
 
 
-def _summed(rows: DataFrame, model: Model, statistics) -> np.ndarray:
-    """One pass: the statistics of every sequence under ``model``, summed by Spark."""
+def _staying(k: int, p: float) -> np.ndarray:
+    out = np.full((k, k), (1 - p) / max(k - 1, 1))
+    np.fill_diagonal(out, p if k > 1 else 1.0)
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        flat = np.concatenate(statistics(pdf.sort_values(TIME), model))
-        return pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
 
-    parts = rows.groupBy(KEY, "part").applyInPandas(run, "i int, v double")
-    return parts.groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
+def fit(df: DataFrame, features: list[str], k: int = 3, cov: str = "diag", iterations: int = 200, tolerance: float = 1e-4, sample: int = 20_000) -> Model:
+    """A Gaussian model of ``df(symbol, ts, features)``, shared by all symbols, each of which is one series."""
+    shape = Shape(k, len(features), cov)
+    starts = start_models(df, features, shape, sample=sample)
+    if starts.isEmpty():
+        raise ValueError("too few rows for a model")
+    return shape.model(em(*series_blocks(df, features), starts, shape, iterations, tolerance).first().params)  # one model
 
 
-def fit(df: DataFrame, features: list[str], k: int = 3, cov: str = "diag", iterations: int = 25, tolerance: float = 1e-4, sample: int = 20_000) -> Model:
-    """A Gaussian model of ``df(symbol, part, ts, features)``, whose sequences share one model.
+def fit_categorical(df: DataFrame, x: str, symbols: int, k: int = 10, iterations: int = 100, tolerance: float = 1e-4, stretch: Column | None = None) -> Model:
+    """A model of ``df(symbol, ts, x)`` with values ``0 .. symbols - 1``, shared by all symbols; rows with a NULL value are left out.
 
-    Starts from at most ``sample`` rows by hash; every pass uses all rows. The
-    log likelihood never falls; passes end when it gains less than
-    ``tolerance`` of itself. Rows with a NULL feature are left out.
-    """
-    rows = written(df.select(KEY, "part", TIME, *[F.col(f).cast("double") for f in features]).dropna(), "rows")
-    start = rows.orderBy(F.xxhash64(KEY, TIME)).limit(sample).select(*features).toPandas().to_numpy(float)
-    if len(start) < 10 * k:
-        raise ValueError("too few rows for a model")
-    model, d = _start_model(start, k), len(features)
-
-    def moments(pdf: pd.DataFrame, held: Model) -> list[np.ndarray]:
-        x = pdf[features].to_numpy(float)
-        gamma, moves, log = posteriors(held, x)
-        second = np.einsum("tk,ti,tj->kij", gamma, x, x)
-        return [np.array([log]), gamma[0], moves.ravel(), gamma.sum(axis=0), (gamma.T @ x).ravel(), second.ravel()]
-
-    for _ in range(iterations):
-        sums = _summed(rows, model, moments)
-        log, first, moves, count, total, second = np.split(sums, np.cumsum([1, k, k * k, k, k * d]))
-        moves, count, total, second = moves.reshape(k, k) + 1e-6, np.maximum(count, 1e-6), total.reshape(k, d), second.reshape(k, d, d)
-        mean = total / count[:, None]
-        spread = second / count[:, None, None] - mean[:, :, None] * mean[:, None, :]
-        if cov == "diag":
-            spread = np.stack([np.diag(np.diag(s)) for s in spread])
-        spread = spread + FLOOR * np.eye(d)
-        done = model.log_likelihood > -np.inf and log[0] - model.log_likelihood < tolerance * abs(model.log_likelihood)
-        model = Model(first / first.sum(), moves / moves.sum(axis=1, keepdims=True), mean, spread, log_likelihood=float(log[0]))
-        if done:
-            break
-    return model
-
-
-def _count_batch(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """Expected counts of a categorical model over many sequences at a time: log likelihood, starts, moves, emissions."""
-    k, symbols = model.emit.shape
-    size = np.array([len(x) for x in sequences])
-    x = np.zeros((len(sequences), size.max()), dtype=np.int64)
-    for row, one in zip(x, sequences, strict=True):
-        row[: len(one)] = one
-    alpha, scale = np.zeros((x.shape[1], len(x), k)), np.ones((x.shape[1], len(x)))
-    for t in range(x.shape[1]):
-        on = size > t
-        a = (model.start if t == 0 else alpha[t - 1, on] @ model.move) * model.emit[:, x[on, t]].T
-        scale[t, on] = a.sum(axis=1)
-        alpha[t, on] = a / scale[t, on, None]
-    beta, moves, seen = np.ones((len(x), k)), np.zeros((k, k)), np.zeros((symbols, k))
-    for t in range(x.shape[1] - 1, -1, -1):
-        on = size > t
-        gamma = alpha[t, on] * beta[on]
-        gamma /= gamma.sum(axis=1, keepdims=True)
-        np.add.at(seen, x[on, t], gamma)
-        if t:
-            ahead = model.emit[:, x[on, t]].T * beta[on] / scale[t, on, None]
-            moves += alpha[t - 1, on].T @ ahead * model.move
-            beta[on] = ahead @ model.move.T
-    return np.concatenate([[np.log(scale).sum()], gamma.sum(axis=0), moves.ravel(), seen.T.ravel()])
-
-
-def fit_categorical(df: DataFrame, x: str, symbols: int, k: int = 10, iterations: int = 100, tolerance: float = 1e-4) -> Model:
-    """A model of ``df(symbol, part, ts, x)`` with values ``0 .. symbols - 1``.
-
-    Sequences are one (symbol, part) each, ordered by ``ts``, and share one
-    model; rows with a NULL value are left out. Each is one row of a written
-    table, and a pass returns sums of expected counts only. Passes end when the
-    log likelihood gains less than ``tolerance`` of itself.
+    ``stretch`` orders rows roughly in time where ``ts`` is no timestamp.
     """
+    shape = Shape(k, symbols=symbols)
     emit = np.random.default_rng(42).dirichlet(np.full(symbols, 20.0), k)
-    model = Model(np.full(k, 1 / k), np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)), emit=emit)
-    items = F.array_sort(F.collect_list(F.struct(TIME, F.col(x).cast("int").alias("x"))))
-    parts = written(df.where(F.col(x).isNotNull()).groupBy(KEY, "part").agg(F.transform(items, lambda r: r["x"]).alias("xs")).select("xs"), "sequences")
-
-    def counted(held: Model) -> np.ndarray:
-        def run(batches):
-            for batch in batches:
-                flat = _count_batch(held, list(batch["xs"]))
-                yield pd.DataFrame({"i": np.arange(len(flat)), "v": flat})
-
-        return parts.mapInPandas(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas().sort_values("i")["v"].to_numpy()
-
-    for _ in range(iterations):
-        sums = counted(model)
-        if not len(sums):
-            raise ValueError("no values for a model")
-        log, first, moves, seen = np.split(sums, np.cumsum([1, k, k * k]))
-        moves, seen = moves.reshape(k, k) + 1e-6, seen.reshape(k, symbols) + 1e-6
-        done = model.log_likelihood > -np.inf and log[0] - model.log_likelihood < tolerance * abs(model.log_likelihood)
-        model = Model(first / first.sum(), moves / moves.sum(axis=1, keepdims=True), emit=seen / seen.sum(axis=1, keepdims=True), log_likelihood=float(log[0]))
-        if done:
-            break
-    return model
-
-
-def filtered(model: Model, x: np.ndarray) -> np.ndarray:
-    """The most likely state of each row by the rows up to it alone."""
-    log_b = model.log_emission(x)
-    b = np.exp(log_b - log_b.max(axis=1, keepdims=True)) + 1e-300
-    out, a = np.empty(len(x), dtype=int), model.start * b[0]
-    for t in range(len(x)):
-        if t:
-            a = (a @ model.move) * b[t]
-        a = a / a.sum()
-        out[t] = a.argmax()
-    return out
+    flat = Model(np.full(k, 1 / k), _staying(k, 0.9), emit=emit).flat().tolist()
+    starts = df.sparkSession.createDataFrame([("", flat)], "model string, params array<double>")
+    blocks, units = series_blocks(df, [x], stretch=stretch)
+    if units.isEmpty():
+        raise ValueError("no values for a model")
+    return shape.model(em(blocks, units, starts, shape, iterations, tolerance).first().params)  # one model
+
+
+def states_of(blocks: DataFrame, units: DataFrame, models: DataFrame, shape: Shape, kind: str = "timestamp") -> DataFrame:
+    """``(model, symbol, ts, state, filtered, probs)``: the most likely path of each series, the state by the rows so far alone, and the posterior."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            times = batch.column(TIME)
+            names = ("model", KEY, "params", "unit", "x", "before", "after", "best_before", "best_after")
+            for i, (name, symbol, flat, unit, x, before, after, best, end) in enumerate(_rows_of(batch, *names)):
+                model, x = shape.model(flat), x.reshape(-1, shape.d)
+                path = best_path(np.log(model.move + 1e-300), model.log_emission(x), unit == 0, best, int(end[0]))
+                now, gamma, _, _ = smoothed(model.move, emissions(model, x)[0], unit == 0, before, after)
+                columns = [pa.array([name] * len(x)), pa.array([symbol] * len(x)), times[i].values, pa.array(path.astype(np.int32)), pa.array(now.argmax(axis=1).astype(np.int32)), pa.array(gamma.tolist(), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["model", KEY, TIME, "state", "filtered", "probs"])
+
+    with arrow_batches(blocks.sparkSession, BATCH):
+        soft = _carried(blocks, units, models, shape).select(*_UNIT, "params", "before", "after")
+        hard = _carried(blocks, units, models, shape, best=True).select(*_UNIT, F.col("before").alias("best_before"), F.col("after").alias("best_after"))
+        asked = blocks.join(soft.join(hard, _UNIT), _UNIT)
+        return written(asked.mapInArrow(run, f"model string, {KEY} string, {TIME} {kind}, state int, filtered int, probs array<double>"), "states")
 
 
 def decode(df: DataFrame, model: Model, features: list[str]) -> DataFrame:
-    """``(symbol, part, ts, state, probs)``: the most likely path and each row's posterior."""
-    rows = df.select(KEY, "part", TIME, *[F.col(f).cast("double") for f in features]).dropna()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(TIME)
-        x = pdf[features].to_numpy(float)
-        return pd.DataFrame({KEY: pdf[KEY], "part": pdf["part"], TIME: pdf[TIME], "state": viterbi(model, x).astype("int32"), "probs": list(posteriors(model, x)[0])})
-
-    return rows.groupBy(KEY, "part").applyInPandas(run, f"{KEY} string, part long, {TIME} timestamp, state int, probs array<double>")
-
-
-def fit_local(x: np.ndarray, k: int, iterations: int = 100, tolerance: float = 1e-4, cov: str = "full") -> Model:
-    """The same fit of one sequence inside a task, for searches over many of them; passes end as in :func:`fit`."""
-    model, d = _start_model(x, k), x.shape[1]
-    for _ in range(iterations):
-        gamma, moves, log = posteriors(model, x)
-        count = np.maximum(gamma.sum(axis=0), 1e-6)
-        mean = gamma.T @ x / count[:, None]
-        gap = x[None] - mean[:, None]
-        if cov == "full":
-            spread = np.einsum("tk,kti,ktj->kij", gamma, gap, gap) / count[:, None, None]
-        else:
-            spread = np.stack([np.diag(gamma[:, i] @ gap[i] ** 2 / count[i]) for i in range(k)])
-        done = model.log_likelihood > -np.inf and log - model.log_likelihood < tolerance * abs(model.log_likelihood)
-        moves = moves + 1e-6
-        model = Model(gamma[0], moves / moves.sum(axis=1, keepdims=True), mean, spread + FLOOR * np.eye(d), log_likelihood=log)
-        if done:
-            break
-    return model
+    """``(symbol, ts, state, probs)``: the most likely path and each row's posterior under one model for all symbols."""
+    models = df.sparkSession.createDataFrame([("", model.flat().tolist())], "model string, params array<double>")
+    shape = Shape(len(model.start), len(features))
+    return states_of(*series_blocks(df, features), models, shape).select(KEY, TIME, "state", "probs")
 
 
 def posterior_signal(decoded: DataFrame, sides: DataFrame, last: int = 20, threshold: float = 0.2) -> DataFrame:

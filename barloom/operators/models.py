@@ -1,12 +1,7 @@
-"""Models on Spark ML: standardising, mixtures, forests, projections and classifiers; searches and walk-forward."""
+"""Models on Spark ML: standardising, mixtures, forests, projections and classifiers."""
 
 from __future__ import annotations
 
-import itertools
-import json
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, VectorAssembler
@@ -16,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.win import KEY, TIME
-from . import hmm
 
 
 def standardise(df: DataFrame, names: list[str], train: str | None = None) -> DataFrame:
@@ -74,124 +68,3 @@ def direction_classifier(sequences: DataFrame, seed: int = 42) -> DataFrame:
     fitted = LogisticRegression(featuresCol="_v", labelCol="label", regParam=0.01, maxIter=30, standardization=True).fit(rows.where("is_train = 1"))
     out = fitted.transform(rows)
     return out.select(KEY, TIME, "label", F.col("prediction").cast("int").alias("prediction"), F.get(vector_to_array("probability"), F.lit(1)).alias("p_up"))
-
-
-def _sides(states: np.ndarray, fwd: np.ndarray, k: int) -> tuple[int, int]:
-    known = ~np.isnan(fwd)
-    means = [fwd[known & (states == s)].mean() if (known & (states == s)).any() else np.nan for s in range(k)]
-    return int(np.nanargmax(means)), int(np.nanargmin(means))
-
-
-#: The parameters of a configuration with their least value, bound and step; the bound is also kept below a third of the rows.
-RANGES = {
-    "macd_fast": (5, 12, 2), "macd_slow": (26, 50, 5), "macd_signal": (8, 12, 2), "momentum": (3, 20, 2), "trend": (5, 20, 5),
-    "vortex": (10, 18, 3), "cci": (10, 20, 5), "boll": (10, 20, 5), "atr": (5, 35, 5),
-}
-
-
-def parameter_grid(rows: int, star: bool = False) -> list[dict[str, int]]:
-    """All configurations of ``RANGES`` for a series of that many rows; ``star`` varies one parameter at a time from the first values."""
-    values = {k: list(range(lo, min(hi, rows // 3), step)) for k, (lo, hi, step) in RANGES.items()}
-    if not all(values.values()):
-        return []
-    if not star:
-        return [dict(zip(values, one, strict=True)) for one in itertools.product(*values.values())]
-    base = {k: v[0] for k, v in values.items()}
-    return [base] + [base | {k: x} for k, v in values.items() for x in v[1:]]
-
-
-def config_features(bars: pd.DataFrame, c: dict[str, int]) -> pd.DataFrame:
-    """The eight features of one configuration from ``open, high, low, close`` in time order; rows with a missing one are left out."""
-    high, low, close = bars["high"], bars["low"], bars["close"]
-    change, before = close.pct_change(), close.shift(1)
-    line = close.ewm(span=c["macd_fast"]).mean() - close.ewm(span=c["macd_slow"]).mean()
-    reach = np.fmax(high - low, np.fmax((high - before).abs(), (low - before).abs()))
-    up, down = (high - low.shift(1)).abs(), (low - high.shift(1)).abs()
-    typical = (high + low + close) / 3
-    over = lambda x, n: x.rolling(n)
-    out = {
-        "macd_hist": line - line.ewm(span=c["macd_signal"]).mean(),
-        "momentum": close - close.shift(c["momentum"]),
-        "log_return": np.log(close / before).fillna(0.0),
-        "trend_strength": over(change, c["trend"]).mean() / over(change, c["trend"]).std(),
-        "vi_diff": (over(up, c["vortex"]).sum() - over(down, c["vortex"]).sum()) / over(reach, c["vortex"]).sum(),
-        "cci": (typical - over(typical, c["cci"]).mean()) / (0.015 * over(typical, c["cci"]).std()),
-        "boll_z": (close - over(close, c["boll"]).mean()) / over(close, c["boll"]).std(),
-        "atr": reach.ewm(alpha=1 / c["atr"]).mean(),
-    }
-    return pd.DataFrame(out).replace([np.inf, -np.inf], np.nan).dropna()
-
-
-def config_score(bars: pd.DataFrame, c: dict[str, int], k: int = 3, min_rows: int = 30, ahead: int = 4) -> float:
-    """The summed return, ``ahead`` rows later, of the sides of a model's states; minus infinity where there are too few rows."""
-    features = config_features(bars, c)
-    if len(features) < min_rows:
-        return float("-inf")
-    x = features.to_numpy(float)
-    x = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-9)
-    states = hmm.viterbi(hmm.fit_local(x, k, tolerance=1e-3), x)
-    later = bars["close"].pct_change().shift(-ahead).loc[features.index].to_numpy(float)
-    buy, sell = _sides(states, later, k)
-    return float(np.nansum(((states == buy).astype(int) - (states == sell)) * later))
-
-
-def config_search(df: DataFrame, configs: list[dict[str, int]], min_rows: int = 30, chunk: int = 4) -> DataFrame:
-    """``(symbol, config, score, tried, failed)``: the best configuration of each symbol, as JSON, by :func:`config_score`.
-
-    A symbol's bars travel once for each ``chunk`` of configurations, and a task
-    fits these one by one; it holds one symbol's bars, as a model of one series
-    needs all of it. ``failed`` counts the configurations whose model could not
-    be fitted; ties go to the earlier configuration.
-    """
-    chunks = [configs[i : i + chunk] for i in range(0, len(configs), chunk)]
-    rows = df.select(KEY, TIME, "open", "high", "low", "close").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(len(chunks) - 1))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = int(pdf["_chunk"].iloc[0])
-        bars, out = pdf.sort_values(TIME).reset_index(drop=True), []
-        for i, c in enumerate(chunks[at], at * chunk):
-            try:
-                score, failed = config_score(bars, c, min_rows=min_rows), 0
-            except (np.linalg.LinAlgError, ValueError):
-                score, failed = float("-inf"), 1
-            out.append((bars[KEY].iloc[0], i, json.dumps(c), score, failed))
-        return pd.DataFrame(out, columns=[KEY, "i", "config", "score", "failed"])
-
-    tried = rows.repartition(KEY, "_chunk").groupBy(KEY, "_chunk").applyInPandas(run, f"{KEY} string, i int, config string, score double, failed int")
-    best = F.max_by(F.struct("config", "score"), F.struct("score", -F.col("i")))
-    return tried.groupBy(KEY).agg(best.alias("b"), F.count(F.lit(1)).alias("tried"), F.sum("failed").alias("failed")).select(KEY, "b.*", "tried", "failed")
-
-
-def walk_forward(df: DataFrame, names: list[str], frac: float = 0.7, stride: int = 20, k: int = 3, band: float = 0.002, horizon: int = 3) -> DataFrame:
-    """``(symbol, ts, prediction, label)`` of the rows after ``frac``: refitted every ``stride`` rows on all rows before.
-
-    Scaling and the map from states to sides come from training rows alone, of
-    which the last ``horizon`` have no known return yet; a test row's state
-    comes from the rows up to it. ``df`` has ``idx`` and ``n``. A fold gets its
-    rows by an equi-join on the fold, so a row travels to every later fold, and
-    a task holds one fold of one symbol.
-    """
-    first = F.floor(F.col("n") * frac)
-    rows = df.select(KEY, TIME, "idx", "n", "fwd", *names).dropna(subset=names)
-    last_fold = F.floor((F.col("n") - 1 - first) / stride)
-    own = F.floor((F.col("idx") - first) / stride)  # negative for rows that only train
-    folds = rows.withColumn("fold", F.explode(F.sequence(F.greatest(F.lit(0), own), last_fold))).withColumn("test", own == F.col("fold"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        mask = pdf["test"].to_numpy()
-        fwd, position = pdf["fwd"].to_numpy(float), np.zeros(int(mask.sum()), dtype="int32")
-        if (~mask).sum() >= 30 and mask.any():
-            x = pdf[names].to_numpy(float)
-            mean, sd = x[~mask].mean(axis=0), np.maximum(x[~mask].std(axis=0), 1e-9)
-            x = (x - mean) / sd
-            model = hmm.fit_local(x[~mask], k)
-            states, known = hmm.filtered(model, x), fwd[~mask].copy()
-            known[-horizon:] = np.nan
-            buy, sell = _sides(states[~mask], known, k)
-            position = ((states[mask] == buy).astype(int) - (states[mask] == sell)).astype("int32")
-        fwd = fwd[mask]
-        label = np.where(np.isnan(fwd), np.nan, np.where(fwd > band, 1.0, np.where(fwd < -band, -1.0, 0.0)))
-        return pd.DataFrame({KEY: pdf[KEY][mask], TIME: pdf[TIME][mask], "prediction": position, "label": pd.array(label, dtype="Int32")})
-
-    return folds.repartition(KEY, "fold").groupBy(KEY, "fold").applyInPandas(run, f"{KEY} string, {TIME} timestamp, prediction int, label int")

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from barloom.operators import hmm, models, path_score, scan, spectral, targets, weights
+from barloom.operators import models, path_score, scan, spectral, targets, weights
 from pyspark.sql import functions as F
 
 START = datetime(2025, 1, 1)
@@ -78,28 +78,6 @@ def test_t_tail_against_known_values():
         assert abs(path_score.t_tail(t, df) - p) < 2e-4
 
 
-def planted(spark, n=1500):
-    r = np.random.default_rng(3)
-    state, rows, truth = 0, [], []
-    for i in range(n):
-        if r.random() < 0.04:
-            state = (state + 1) % 3
-        truth.append(state)
-        rows.append((f"s{i // 500}", 0, START + timedelta(minutes=i), float(r.normal([-3, 0, 3][state], 0.5)), float(r.normal([1, 0, 1][state], 0.5))))
-    return spark.createDataFrame(rows, "symbol string, part long, ts timestamp, x double, y double"), np.array(truth)
-
-
-@pytest.mark.parametrize("cov", ["diag", "full"])
-def test_hidden_states_are_recovered_and_likelihood_never_falls(spark, cov):
-    df, truth = planted(spark)
-    logs = [hmm.fit(df, ["x", "y"], cov=cov, iterations=i, tolerance=0).log_likelihood for i in (1, 2, 3)]
-    assert logs[0] <= logs[1] + 1e-6 and logs[1] <= logs[2] + 1e-6
-    out = hmm.decode(df, hmm.fit(df, ["x", "y"], cov=cov, iterations=8), ["x", "y"]).toPandas().sort_values("ts")
-    assert np.allclose([sum(p) for p in out.probs], 1)
-    table = pd.crosstab(out.state.to_numpy(), truth).to_numpy()
-    assert table.max(axis=1).sum() >= 0.97 * len(truth)
-
-
 def test_splits_are_stable_and_sequences_have_their_rows(spark):
     df = series(spark, a=range(200))
     one, two = (targets.random_split(d).toPandas().set_index("ts").is_train for d in (df, df.repartition(7)))
@@ -108,17 +86,6 @@ def test_splits_are_stable_and_sequences_have_their_rows(spark):
     assert len(seq) == 195 and [x[0] for x in seq[0].seq] == [0, 1, 2, 3, 4] and seq[0].label == 5
 
 
-def bars(spark, n=140, symbols=("a", "b"), seed=5):
-    r = np.random.default_rng(seed)
-    rows = []
-    for s in symbols:
-        close = 100 + np.cumsum(r.normal(size=n))
-        for i, c in enumerate(close):
-            o = c + r.normal() / 2
-            rows.append((s, START + timedelta(hours=i), *map(float, (o, max(o, c) + r.random(), min(o, c) - r.random(), c))))
-    return spark.createDataFrame(rows, "symbol string, ts timestamp, open double, high double, low double, close double")
-
-
 def test_confidence_of_every_row_equals_a_loop(spark):
     r = np.random.default_rng(4)
     plr = {"t": r.normal(0.3, 1, 40), "r": r.normal(0, 1, 30), "n": r.normal(0, 1, 4)}
@@ -143,70 +110,6 @@ def test_confidence_of_every_row_equals_a_loop(spark):
         assert np.allclose(g.confidence.iloc[1:], [want[s, i] for i in range(len(plr[s]))])
 
 
-def test_categorical_counts_equal_the_plain_recursion():
-    r = np.random.default_rng(1)
-    model = hmm.Model(r.dirichlet(np.ones(3)), r.dirichlet(np.ones(3), 3), emit=r.dirichlet(np.ones(5), 3))
-    parts = [r.integers(0, 5, n) for n in (1, 2, 9, 30, 30, 4)]
-    log, first, moves, seen = 0.0, np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5))
-    for x in parts:
-        gamma, m, one = hmm.posteriors(model, x.reshape(-1, 1))
-        log, first, moves = log + one, first + gamma[0], moves + m
-        np.add.at(seen.T, x, gamma)
-    assert np.allclose(hmm._count_batch(model, parts), np.concatenate([[log], first, moves.ravel(), seen.ravel()]))
-
-
-def test_categorical_states_are_recovered(spark):
-    r = np.random.default_rng(2)
-    emit, state, rows = np.array([[0.9, 0.05, 0.05], [0.05, 0.9, 0.05], [0.05, 0.05, 0.9]]), 0, []
-    for i in range(3000):
-        state = (state + 1) % 3 if r.random() < 0.1 else state
-        rows.append((f"s{i // 1000}", i % 1000 // 100, i, int(r.choice(3, p=emit[state]))))
-    df = spark.createDataFrame([*rows, ("s0", 0, -1, None)], "symbol string, part long, ts long, x int")
-    logs = [hmm.fit_categorical(df, "x", 3, k=3, iterations=i, tolerance=0).log_likelihood for i in (2, 5)]
-    assert logs[0] <= logs[1]
-    got = hmm.fit_categorical(df, "x", 3, k=3).emit
-    assert np.allclose(got[np.argsort(got.argmax(axis=1))], emit, atol=0.08)
-
-
-def test_walk_forward_trains_on_all_rows_before_and_looks_no_further(spark):
-    df, _ = planted(spark, 300)
-    pdf = df.toPandas().sort_values("ts").reset_index(drop=True)
-    fwd = pdf.x.shift(-3) / 100
-    rows = [("a", t.to_pydatetime(), i, 300, None if np.isnan(f) else float(f), x, y) for i, (t, x, y, f) in enumerate(zip(pdf.ts, pdf.x, pdf.y, fwd, strict=True))]
-    schema = "symbol string, ts timestamp, idx long, n long, fwd double, x double, y double"
-    got = models.walk_forward(spark.createDataFrame(rows, schema), ["x", "y"], stride=25).toPandas().sort_values("ts")
-    want, m = [], pdf[["x", "y"]].to_numpy()
-    for start in range(210, 300, 25):
-        mean, sd = m[:start].mean(axis=0), m[:start].std(axis=0)
-        model = hmm.fit_local((m[:start] - mean) / sd, 3)
-        f = fwd.to_numpy()[:start].copy()
-        f[-3:] = np.nan
-        for i in range(start, min(start + 25, 300)):
-            states = hmm.filtered(model, (m[: i + 1] - mean) / sd)  # no row after i
-            means = [f[(states[:start] == s) & ~np.isnan(f)].mean() for s in range(3)]
-            want.append(int(states[i] == np.argmax(means)) - int(states[i] == np.argmin(means)))
-    assert got.prediction.tolist() == want and len(set(want)) > 1
-    assert got.label.isna().sum() == 3
-
-
-def test_configuration_grid_and_search(spark):
-    assert len(models.parameter_grid(677)) == 77_760 and len(models.parameter_grid(96)) == 31_104 and models.parameter_grid(12) == []
-    star = models.parameter_grid(140, star=True)
-    assert len(star) == 27 and all(sum(c[k] != star[0][k] for k in c) == 1 for c in star[1:])
-    df, some = bars(spark), star[::6]
-    pdf = df.toPandas().sort_values("ts")
-    got = {x.symbol: x for x in models.config_search(df, some, chunk=2).collect()}
-    for s, g in pdf.groupby("symbol"):
-        scores = [models.config_score(g.reset_index(drop=True), c) for c in some]
-        assert got[s].score == pytest.approx(max(scores)) and got[s].tried == len(some) and got[s].failed == 0
-    one = pdf[pdf.symbol == "a"].reset_index(drop=True)
-    f = models.config_features(one, star[0])
-    i, c = 100, one.close.to_numpy()
-    assert f.loc[i, "momentum"] == pytest.approx(c[i] - c[i - 3]) and f.loc[i, "boll_z"] == pytest.approx((c[i] - c[i - 9 : i + 1].mean()) / c[i - 9 : i + 1].std(ddof=1))
-    typical = (one.high + one.low + one.close).to_numpy()[i - 9 : i + 1] / 3
-    assert f.loc[i, "cci"] == pytest.approx((typical[-1] - typical.mean()) / (0.015 * typical.std(ddof=1)))
-
-
 def test_standardised_projected_and_mixed(spark):
     r = np.random.default_rng(6)
     x = np.vstack([r.normal(m, 1, (150, 3)) @ np.array([[1, 0.5, 0], [0, 1, 0.2], [0, 0, 1]]) for m in ([-6, 0, 0], [0, 6, 0], [6, 0, 6])])
