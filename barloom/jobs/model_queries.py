@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbering import number_rows
 from ..functions.tables import written
 from ..functions.win import KEY, TIME, presented
-from ..operators import config_search, draws, hmm, models, regimes, rolling, spectral, targets
+from ..operators import config_search, draws, hmm, models, regimes, rolling, slopes, spectral, targets
 from ..operators.calendar import CLOCK, SESSION, session_stats, time_features, window_columns, window_features
 from ..operators.candles import PATTERNS, SHAPE, candle_patterns
 from ..operators.walk_forward import walk_forward as walked
@@ -38,7 +38,7 @@ SELECT a.symbol, round(median((b.close - a.close) / (a.n - b.n)), 6) + 0.0 AS sl
 
 @query(_THEIL)
 def robust_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectral.theil_sen(event_bars(spark, sf_dir)).select(KEY, (F.round("slope", 6) + F.lit(0.0)).alias("slope"))
+    return slopes.theil_sen(event_bars(spark, sf_dir)).select(KEY, (F.round("slope", 6) + F.lit(0.0)).alias("slope"))
 
 
 def all_features(df: DataFrame) -> tuple[DataFrame, list[str]]:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stretches import with_previous
 from ..functions.win import KEY, TIME, div, full, lag, ordered
 
 # Fixed values: (alpha, beta, gamma, threshold) of each regime.
@@ -162,5 +163,5 @@ def confidence(df: DataFrame, regime: DataFrame, x: str = "plr") -> DataFrame:
 
 def signal_entries(df: DataFrame, signal: str = "signal") -> DataFrame:
     """Rows where a LONG or SHORT begins."""
-    before = F.lag(signal).over(ordered())
-    return df.withColumn("_before", before).where(F.col(signal).isin("LONG", "SHORT") & (F.col("_before").isNull() | (F.col("_before") != F.col(signal)))).drop("_before")
+    rows = with_previous(df, {"_prior": signal})
+    return rows.where(F.col(signal).isin("LONG", "SHORT") & (F.col("_prior").isNull() | (F.col("_prior") != F.col(signal)))).drop("_prior", "_first")

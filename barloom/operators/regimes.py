@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.selection import quantiles
+from ..functions.stretches import SECONDS, stretch, with_previous
 from ..functions.win import KEY, TIME, flag, ordered
 
 
-def islands(df: DataFrame, label: str) -> DataFrame:
-    """``(symbol, label, start, stop, n)``: runs of equal label."""
-    change = flag(~F.col(label).eqNullSafe(F.lag(label).over(ordered())) | F.lag(F.lit(1)).over(ordered()).isNull())
-    runs = df.withColumn("_c", change).withColumn("_run", F.sum("_c").over(ordered()))
-    return runs.groupBy(KEY, "_run", label).agg(F.min(TIME).alias("start"), F.max(TIME).alias("stop"), F.count(F.lit(1)).alias("n")).drop("_run")
+def islands(df: DataFrame, label: str, seconds: int = SECONDS) -> DataFrame:
+    """``(symbol, label, start, stop, n)``: runs of equal label.
 
-
-def transition_counts(df: DataFrame, x: str, by: str = KEY) -> DataFrame:
-    """``(by, before, after, n, share)``: how often each value follows each other, also as a share of its row."""
-    from pyspark.sql import Window
-
-    pairs = df.withColumn("before", F.lag(x).over(Window.partitionBy(by).orderBy(TIME))).where("before is not null").select(by, "before", F.col(x).alias("after"))
+    Runs are found inside stretches of time. Only the first and the last run of
+    a stretch can go on in a neighbour, so these alone are merged along a symbol.
+    """
+    inside = Window.partitionBy(KEY, "_stretch").orderBy(TIME)
+    cut = df.select(KEY, TIME, label, stretch(seconds).alias("_stretch"))
+    change = flag(~F.col(label).eqNullSafe(F.lag(label).over(inside)) | F.lag(F.lit(1)).over(inside).isNull())
+    runs = cut.withColumn("_c", change).withColumn("_run", F.sum("_c").over(inside))
+    runs = runs.groupBy(KEY, "_stretch", "_run", label).agg(F.min(TIME).alias("start"), F.max(TIME).alias("stop"), F.count(F.lit(1)).alias("n"))
+    runs = runs.withColumn("_runs", F.max("_run").over(Window.partitionBy(KEY, "_stretch")))
+    edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_runs"))
+    along = Window.partitionBy(KEY).orderBy("start")  # two rows of a stretch at most
+    goes_on = F.col(label).eqNullSafe(F.lag(label).over(along)) & (F.col("_stretch") != F.lag("_stretch").over(along))
+    joined = runs.where(edge).withColumn("_new", 1 - flag(goes_on)).withColumn("_group", F.sum("_new").over(along))
+    merged = joined.groupBy(KEY, "_group", label).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n").alias("n"))
+    names = [KEY, label, "start", "stop", "n"]
+    return runs.where(~edge).select(names).unionByName(merged.select(names))
+
+
+def transition_counts(df: DataFrame, x: str, by: str = KEY, seconds: int = SECONDS) -> DataFrame:
+    """``(by, before, after, n, share)``: how often each value follows each other in a symbol, also as a share of its row."""
+    pairs = with_previous(df, {"before": x}, seconds).where("before is not null").select(by, "before", F.col(x).alias("after"))
     counts = pairs.groupBy(by, "before", "after").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(by, "before")))
 
@@ -94,10 +108,14 @@ def profile(df: DataFrame, regime: str, approx: bool = False) -> DataFrame:
     """Per regime: count, means, direction, volatility level and interpretation.
 
     The population's median and 0.7-quantile of volatility are one row, joined to
-    a few groups; ``approx`` takes sketches instead of exact quantiles.
+    a few groups. They are found by counting, so no task holds all values;
+    ``approx`` takes sketches instead.
     """
-    quantile = (lambda q: F.percentile_approx("roll_vol_60", q, 10_000)) if approx else (lambda q: F.percentile("roll_vol_60", q))
-    population = df.agg(quantile(0.5).alias("vol_median"), quantile(0.7).alias("vol_q70"))
+    shares = {"vol_median": 0.5, "vol_q70": 0.7}
+    if approx:
+        population = df.agg(*[F.percentile_approx("roll_vol_60", q, 10_000).alias(n) for n, q in shares.items()])
+    else:
+        population = quantiles(df, [], "roll_vol_60", shares).agg(*[F.max(n).alias(n) for n in shares])  # a row of NULLs without values
     groups = df.groupBy(regime).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in PROFILE])
     out = groups.crossJoin(F.broadcast(population))
     out = out.withColumns(

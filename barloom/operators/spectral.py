@@ -1,39 +1,23 @@
-"""Features that need a whole window of values at once: dominant frequency, rescaled-range Hurst, robust trend."""
+"""Features that need a whole window of values at once: dominant frequency and rescaled-range Hurst."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.numbering import number_rows
-from ..functions.tables import written
-from ..functions.win import KEY, TIME, last_rows, ordered
-
-
-def _matrix(windows: pd.Series, n: int) -> tuple[np.ndarray, np.ndarray]:
-    ok = windows.map(lambda w: w is not None and len(w) == n).to_numpy(dtype=bool)
-    return ok, np.stack(windows[ok].to_list()) if ok.any() else np.zeros((0, n))
+from ..functions.stretches import over_windows
 
 
 def dominant_frequency(df: DataFrame, n: int = 50) -> DataFrame:
     """``fft_dominant_freq``: the strongest bin of 1 to ``n / 2 - 1`` over the last ``n`` closes, divided by ``n``."""
 
-    @F.pandas_udf("double")
-    def strongest(windows: pd.Series) -> pd.Series:
-        ok, m = _matrix(windows, n)
-        out = np.full(len(windows), np.nan)
-        if ok.any():
-            size = np.abs(np.fft.rfft(m - m.mean(axis=1, keepdims=True), axis=1))
-            out[ok] = (size[:, 1 : n // 2].argmax(axis=1) + 1) / n
-        return pd.Series(out)
+    def strongest(m: np.ndarray) -> np.ndarray:
+        size = np.abs(np.fft.rfft(m - m.mean(axis=1, keepdims=True), axis=1))
+        return (size[:, 1 : n // 2].argmax(axis=1) + 1) / n
 
-    w = F.collect_list("close").over(last_rows(n))
-    narrow = df.select(KEY, TIME, F.when(F.count("close").over(last_rows(n)) == n, w).alias("_w"))
-    return narrow.select(KEY, TIME, F.nanvl(strongest("_w"), F.lit(None).cast("double")).alias("fft_dominant_freq"))
+    return over_windows(df, "close", n, strongest, "fft_dominant_freq")
 
 
 def chunk_sizes(n: int, least: int = 5) -> list[int]:
@@ -70,83 +54,4 @@ def rescaled_range(series: np.ndarray, sizes: list[int]) -> np.ndarray:
 def hurst_rs(df: DataFrame, n: int = 100) -> DataFrame:
     """``hurst_rs`` from the ``n`` closes before each row; NULL where one is missing."""
     sizes = chunk_sizes(n)
-
-    @F.pandas_udf("double")
-    def slope(windows: pd.Series) -> pd.Series:
-        ok, m = _matrix(windows, n)
-        out = np.full(len(windows), np.nan)
-        if ok.any():
-            out[ok] = rescaled_range(m, sizes)
-        return pd.Series(out)
-
-    before = ordered().rowsBetween(-n, -1)
-    narrow = df.select(KEY, TIME, F.when(F.count("close").over(before) == n, F.collect_list("close").over(before)).alias("_w"))
-    return narrow.select(KEY, TIME, F.nanvl(slope("_w"), F.lit(None).cast("double")).alias("hurst_rs"))
-
-
-#: Rows of a block whose slopes with another block one task holds, and values of them that it reports.
-BLOCK, REPORTED = 2_000, 512
-
-
-def _reported(pdf: pd.DataFrame, most: int) -> pd.DataFrame:
-    """Slopes between two blocks of one symbol: how many lie below the bounds, and the distinct ones inside, thinned out to ``most``."""
-    left, right = pdf["own"] == pdf["low"], pdf["own"] == pdf["high"]
-    a, b = pdf[left], pdf[right]
-    gap = b["idx"].to_numpy()[None, :] - a["idx"].to_numpy()[:, None]
-    rise = b["y"].to_numpy()[None, :] - a["y"].to_numpy()[:, None]
-    slopes = rise[gap > 0] / gap[gap > 0]
-    lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-    value, count = np.unique(slopes[(slopes >= lo) & (slopes <= hi)], return_counts=True)
-    upto, last = np.cumsum(count), np.arange(len(value))
-    if len(value) > most:  # evenly by value and by number, so that a value of many is always reported
-        full = np.flatnonzero(np.diff(upto // -(-2 * upto[-1] // most), prepend=0))
-        last = np.unique(np.concatenate([last[:: -(-2 * len(value) // most)], full, last[-1:]]))
-    weight = np.diff(upto[last], prepend=0)
-    slack = int((weight - count[last]).max(initial=0))  # slopes between two reported ones
-    out = pd.DataFrame({KEY: pdf[KEY].iloc[0], "value": value[last], "weight": weight, "same": count[last], "below": 0, "slack": 0})
-    return pd.concat([out, pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "value": [np.nan], "weight": [0], "same": [0], "below": [int((slopes < lo).sum())], "slack": [slack]})])
-
-
-def theil_sen(df: DataFrame, x: str = "close", rounds: int = 20) -> DataFrame:
-    """``(symbol, slope)``: the median slope over all pairs of each symbol's rows, exactly.
-
-    Rows are cut into blocks, and each pair of blocks is a group of its own that
-    reports some of its slopes in order with their counts. The reports bound the
-    median, and slopes inside the bounds are asked for again, until all of them
-    have been reported; each round leaves a small part. Rows with a NULL value
-    are left out; a symbol of one row has a NULL slope.
-    """
-    rows = number_rows(df.where(F.col(x).isNotNull())).select(KEY, "idx", F.col(x).cast("double").alias("y"), F.floor(F.col("idx") / BLOCK).alias("own"))
-    rows = written(rows, "numbered")
-    sizes = rows.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    pairs = F.expr("n * (n - 1) div 2")
-    bounds = sizes.select(KEY, pairs.alias("pairs"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.floor((F.col("n") - 1) / BLOCK).alias("last"), F.lit(None).cast("double").alias("slope"))
-    open_ones = written(bounds.where("pairs > 0"), "bounds")
-    found, most = [], REPORTED
-    for _ in range(rounds):
-        if open_ones.isEmpty():
-            break
-        asked = rows.join(open_ones.select(KEY, "lo", "hi", "last"), KEY).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
-        asked = asked.select(KEY, "idx", "y", "own", "lo", "hi", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-        told = written(asked.groupBy(KEY, "low", "high").applyInPandas(lambda pdf: _reported(pdf, most), f"{KEY} string, value double, weight long, same long, below long, slack long"), "slopes")
-        sums = told.groupBy(KEY).agg(F.sum("below").alias("below"), F.sum("slack").alias("slack"))
-        values = told.where("weight > 0").groupBy(KEY, "value").agg(F.sum("weight").alias("weight"), F.sum("same").alias("same"))
-        upto = F.sum("weight").over(Window.partitionBy(KEY).orderBy("value"))
-        ranked = values.select(KEY, "value", "same", upto.alias("upto")).join(sums, KEY).join(open_ones, KEY)
-        # the two middle places among the slopes inside, and what is known to lie before or not before them
-        first, second = F.expr("(pairs + 1) div 2 - below"), F.expr("pairs div 2 + 1 - below")
-        beyond = F.when(F.col("upto") >= second, F.struct("value", (F.col("upto") + F.col("slack") - F.col("same")).alias("before")))
-        after = ranked.groupBy(KEY, "pairs", "last", "slack", "below").agg(
-            F.greatest(F.max(F.when(F.col("upto") + F.col("slack") < first, F.col("value"))), F.max("lo")).alias("lo"),
-            F.min(F.when(F.col("upto") >= first, F.col("value"))).alias("a"), F.min(beyond).alias("end"),
-        )
-        after = written(after.select(KEY, "pairs", "last", "slack", "lo", "a", F.col("end.value").alias("hi"), (first > F.col("end.before")).alias("same")), "bounds")
-        settled = (F.col("slack") == 0) | (F.col("lo") == F.col("hi")) | (F.col("same") & (F.col("a") == F.col("hi")))
-        found.append(after.where(settled).select(KEY, ((F.col("a") + F.col("hi")) / 2).alias("slope")))
-        open_ones = written(after.where(~settled).select(KEY, "pairs", "lo", "hi", "last"), "bounds")
-    else:
-        raise RuntimeError(f"slopes were not settled in {rounds} rounds")
-    out = bounds.where("pairs = 0").select(KEY, "slope")
-    for part in found:
-        out = out.unionByName(part)
-    return out
+    return over_windows(df, "close", n, lambda m: rescaled_range(m, sizes), "hurst_rs", before=1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import number_rows
+from ..functions.selection import quantiles
 from ..functions.win import KEY, TIME, correlation, lag, ordered
 
 TINY = 1e-10
@@ -31,8 +32,9 @@ def return_weights(df: DataFrame, power: float = 1.5) -> DataFrame:
 def series_stats(df: DataFrame) -> DataFrame:
     """One row for each symbol: autocorrelation, volatility clustering, robust deviation, outliers, Hurst exponent.
 
-    ``df`` comes from :func:`with_returns`. The deviation is MAD / 0.6745 in two
-    passes. Degenerate series: correlations 0, no outliers, Hurst 0.5.
+    ``df`` comes from :func:`with_returns`. The deviation is MAD / 0.6745, of
+    medians found by counting. Degenerate series: correlations 0, no outliers,
+    Hurst 0.5.
     """
     known = df.where("idx > 0")
     pair = df.withColumns({"_prev": lag("close"), "_pa": F.when(F.col("idx") > 1, F.abs(lag("w_ret")))})
@@ -41,8 +43,8 @@ def series_stats(df: DataFrame) -> DataFrame:
         F.coalesce(correlation(F.col("close"), F.col("_prev")), F.lit(0.0)).alias("autocorr"),
         F.coalesce(correlation(F.abs("w_ret"), F.col("_pa")), F.lit(0.0)).alias("vol_cluster"),
     )
-    median = known.groupBy(KEY).agg(F.median("w_ret").alias("_med"))
-    mad = known.join(median, KEY).groupBy(KEY).agg((F.median(F.abs(F.col("w_ret") - F.col("_med"))) / 0.6745).alias("robust"))
+    median = quantiles(known, [KEY], "w_ret", {"_med": 0.5})
+    mad = quantiles(known.join(median, KEY), [KEY], F.abs(F.col("w_ret") - F.col("_med")), {"robust": 0.5}).withColumn("robust", F.col("robust") / 0.6745)
     outliers = known.join(mad, KEY).groupBy(KEY).agg(F.sum(((F.col("robust") > 0) & (F.abs("w_ret") > 3 * F.col("robust"))).cast("long")).alias("outliers"))
     return base.join(mad, KEY, "left").join(outliers, KEY, "left").join(series_hurst(df), KEY, "left")
 

@@ -5,7 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from barloom.operators import models, path_score, scan, spectral, targets, weights
+from barloom.operators import models, path_score, scan, slopes, spectral, targets, weights
 from pyspark.sql import functions as F
 
 START = datetime(2025, 1, 1)
@@ -56,16 +56,15 @@ def test_rescaled_range_tells_trend_from_noise(spark):
 def test_theil_sen_is_robust(spark):
     y = 2.0 * np.arange(60)
     y[10] = 1e6
-    assert abs(spectral.theil_sen(series(spark, a=y)).first().slope - 2) < 1e-9
+    assert abs(slopes.theil_sen(series(spark, a=y)).first().slope - 2) < 1e-9
 
 
 def test_theil_sen_is_the_median_of_all_slopes(spark, monkeypatch):
-    """In small blocks with few values reported, with many equal slopes, and for series of one and two rows."""
-    monkeypatch.setattr(spectral, "BLOCK", 40)
-    monkeypatch.setattr(spectral, "REPORTED", 8)
+    """In small blocks, with many equal slopes, and for series of one and two rows."""
+    monkeypatch.setattr(slopes, "BLOCK", 40)
     r = np.random.default_rng(3)
     named = {"noise": r.normal(size=230), "ties": r.integers(0, 3, 150), "flat": np.ones(90), "line": np.arange(101) * 3.0, "two": [1.0, 5.0], "one": [7.0], "heavy": np.where(np.arange(160) % 4, 0.0, r.normal(size=160))}
-    got = {x.symbol: x.slope for x in spectral.theil_sen(series(spark, **named)).collect()}
+    got = {x.symbol: x.slope for x in slopes.theil_sen(series(spark, **named)).collect()}
     assert got.keys() == named.keys() and got["one"] is None
     for s, y in named.items():
         i, j = np.triu_indices(len(y), 1)
@@ -73,6 +72,15 @@ def test_theil_sen_is_the_median_of_all_slopes(spark, monkeypatch):
             assert got[s] == pytest.approx(np.median((np.asarray(y, float)[j] - np.asarray(y, float)[i]) / (j - i)), abs=1e-12)
 
 
+def test_weighted_inversions_equal_all_pairs():
+    r = np.random.default_rng(8)
+    for n, units, values in ((0, 1, 1), (1, 1, 1), (40, 40, 5), (300, 7, 20), (257, 300, 1000)):
+        unit, z, w = np.sort(r.integers(0, units, n)), r.integers(0, values, n).astype(float), r.integers(1, 5, n)
+        for strict in (False, True):
+            pairs = (unit[:, None] < unit) & (z < z[:, None] if strict else z <= z[:, None])
+            assert slopes.inversions(unit, z, w, strict) == int((pairs * w[:, None] * w).sum())
+
+
 def test_t_tail_against_known_values():
     for t, df, p in ((2.228, 10, 0.05), (1.96, 10_000, 0.05), (0.0, 5, 1.0), (12.706, 1, 0.05)):
         assert abs(path_score.t_tail(t, df) - p) < 2e-4
