@@ -10,7 +10,7 @@ from ..functions.win import KEY, TIME, presented
 from ..operators import candles, draws, path_score, regimes, rolling, scan, targets, weights
 from ..sources.bars import event_bars, latest_report_json
 from . import sql
-from .feature_queries import hourly, ou_frame, with_technicals
+from .feature_queries import blocked, hourly, ou_frame, with_technicals
 from .registry import query
 
 # --- exponential means
@@ -126,19 +126,19 @@ _PATH = [
 _PATH_SHOWN = ["momentum", "efficiency", "resistance", "volatility", "plr", "z", "strength"]
 
 
-def path_frame(df: DataFrame) -> DataFrame:
-    df = path_score.components(df)
+def path_frame(bars: DataFrame) -> DataFrame:
+    df = blocked(bars, path_score.components)
     return path_score.signals(df.withColumn("plr", path_score.score(F.lit(0.4), F.lit(0.4), F.lit(0.2))))
 
 
 @query(sql.staged(*_PATH) + " SELECT symbol, ts, " + ", ".join(f"round({c}, 7) + 0.0 AS {c}" for c in _PATH_SHOWN) + ", signal FROM final")
 def path_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(path_frame(hourly(spark, sf_dir)), [*_PATH_SHOWN, "signal"], 7)
+    return presented(path_frame(event_bars(spark, sf_dir)), [*_PATH_SHOWN, "signal"], 7)
 
 
 @query(sql.staged(*_PATH, {"bef": f"lag(signal) {sql.O}"}) + " SELECT symbol, ts, signal FROM final WHERE signal IN ('LONG', 'SHORT') AND signal IS DISTINCT FROM bef")
 def path_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(path_score.signal_entries(path_frame(hourly(spark, sf_dir))), ["signal"])
+    return presented(path_score.signal_entries(path_frame(event_bars(spark, sf_dir))), ["signal"])
 
 
 _REGIME = (
