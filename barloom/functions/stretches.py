@@ -23,18 +23,19 @@ def stretch(seconds: int = SECONDS) -> Column:
     return F.floor(F.unix_seconds(TIME) / seconds)
 
 
-def with_previous(df: DataFrame, columns: dict[str, str], seconds: int = SECONDS) -> DataFrame:
-    """Adds ``name: x``, the value of ``x`` one row before, and ``_first``, true for the first row of a symbol.
+def with_previous(df: DataFrame, columns: dict[str, str], seconds: int = SECONDS, after: bool = False) -> DataFrame:
+    """Adds ``name: x``, the value of ``x`` one row before, and ``_first``, true for the first row of a symbol; ``after`` looks the other way.
 
     Rows look back inside their stretch of time; its first row gets the last
     values of the stretch before, of which there is one row each.
     """
+    beside, nearest = (F.lead, F.min_by) if after else (F.lag, F.max_by)
     inside = Window.partitionBy(KEY, "_stretch").orderBy(TIME)
     now = F.struct(*[F.col(x).alias(n) for n, x in columns.items()])
     cut = df.withColumn("_stretch", stretch(seconds)).withColumn("_now", now)
-    cut = cut.withColumn("_before", F.lag("_now").over(inside))
-    lasts = cut.groupBy(KEY, "_stretch").agg(F.max_by("_now", TIME).alias("_last"))
-    carried = lasts.select(KEY, "_stretch", F.lag("_last").over(Window.partitionBy(KEY).orderBy("_stretch")).alias("_carried"))
+    cut = cut.withColumn("_before", beside("_now").over(inside))
+    lasts = cut.groupBy(KEY, "_stretch").agg(nearest("_now", TIME).alias("_last"))
+    carried = lasts.select(KEY, "_stretch", beside("_last").over(Window.partitionBy(KEY).orderBy("_stretch")).alias("_carried"))
     joined = cut.join(carried, [KEY, "_stretch"]).withColumn("_before", F.coalesce("_before", "_carried"))
     return joined.withColumns({n: F.col(f"_before.{n}") for n in columns} | {"_first": F.col("_before").isNull()}).drop("_stretch", "_now", "_before", "_carried")
 

@@ -53,6 +53,28 @@ def affine_scan(df: DataFrame, columns: dict[str, tuple[str, float]], index: str
     return joined.drop("_block", "_at", *[f"_l_{n}" for n in columns], *[f"_c_{n}" for n in columns])
 
 
+def varying_scan(df: DataFrame, x: str, factor: str, name: str, most: float, least: float, index: str = "idx") -> DataFrame:
+    """Adds ``name``: ``n[t] = factor[t] * n[t-1] + x[t]``, with a factor of its own for each row, ``0 < least <= factor <= most < 1``.
+
+    As :func:`affine_scan`: inside a block the recursion is a running sum scaled
+    by running products of factors, and a block's carry is the sum of the last
+    values of the blocks before it, each times the product of the factors since.
+    """
+    size = block_rows(least)
+    reach = math.ceil(math.log(_NOTHING) / (size * math.log(most)))
+    if reach > _MOST_BLOCKS:
+        raise ValueError("the factors are too near to 1 for a carry over blocks")
+    run = Window.partitionBy(KEY, "_block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_block", F.floor(F.col(index) / size)).withColumn("_log", F.sum(F.ln(factor)).over(run))
+    rows = rows.withColumn("_own", F.exp("_log") * F.sum(F.col(x) * F.exp(-F.col("_log"))).over(run))
+    lasts = rows.groupBy(KEY, "_block").agg(F.struct(F.max_by("_own", index).alias("own"), F.exp(F.max_by("_log", index)).alias("product")).alias("_last"))
+    back = F.collect_list("_last").over(Window.partitionBy(KEY).orderBy("_block").rowsBetween(-(reach - 1), 0))
+    carry = F.aggregate(back, F.lit(0.0), lambda acc, last: acc * last["product"] + last["own"])
+    carried = lasts.select(KEY, (F.col("_block") + 1).alias("_block"), carry.alias("_carry"))
+    out = F.col("_own") + F.exp("_log") * F.coalesce("_carry", F.lit(0.0))
+    return rows.join(carried, [KEY, "_block"], "left").withColumn(name, out).drop("_block", "_log", "_own", "_carry")
+
+
 def decay_of(alpha: float | None = None, span: float | None = None) -> float:
     return 1 - (alpha if alpha is not None else 2 / (span + 1))
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbering import number_rows
+from ..functions.numbering import in_blocks, number_rows
 from ..functions.selection import quantiles
-from ..functions.win import KEY, TIME, correlation, lag, ordered
+from ..functions.stretches import with_previous
+from ..functions.tables import written
+from ..functions.win import KEY, TIME, correlation, lag, last_rows
+from .scan import varying_scan
+from .spectrum import spectrum
 
 TINY = 1e-10
 
@@ -18,7 +21,8 @@ def with_returns(df: DataFrame) -> DataFrame:
     """``w_ret``: change over the close before plus 1e-10, 0 on the first row; ``idx`` and ``n`` of the series."""
     df = number_rows(df) if "idx" not in df.columns else df
     counts = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    return df.join(counts, KEY).withColumn("w_ret", F.coalesce((F.col("close") - lag("close")) / (lag("close") + TINY), F.lit(0.0)))
+    rows = with_previous(df.join(counts, KEY), {"_was": "close"})
+    return rows.withColumn("w_ret", F.coalesce((F.col("close") - F.col("_was")) / (F.col("_was") + TINY), F.lit(0.0))).drop("_was", "_first")
 
 
 def return_weights(df: DataFrame, power: float = 1.5) -> DataFrame:
@@ -37,7 +41,7 @@ def series_stats(df: DataFrame) -> DataFrame:
     Hurst 0.5.
     """
     known = df.where("idx > 0")
-    pair = df.withColumns({"_prev": lag("close"), "_pa": F.when(F.col("idx") > 1, F.abs(lag("w_ret")))})
+    pair = with_previous(df, {"_prev": "close", "_pr": "w_ret"}).withColumn("_pa", F.when(F.col("idx") > 1, F.abs("_pr")))
     base = pair.groupBy(KEY).agg(
         F.max("n").alias("n"),
         F.coalesce(correlation(F.col("close"), F.col("_prev")), F.lit(0.0)).alias("autocorr"),
@@ -52,7 +56,8 @@ def series_stats(df: DataFrame) -> DataFrame:
 def series_hurst(df: DataFrame, scale: float = 0.5) -> DataFrame:
     """``(symbol, hurst)``: slope of ``ln sqrt(s_k)`` on ``ln k`` over lags 2 to ``min(11, n / 2) - 1``, times ``scale``; 0.5 where undefined."""
     lags = range(2, 11)
-    wide = df.withColumns({f"_d{k}": F.col("close") - lag("close", k) for k in lags})
+    gaps = lambda d: d.withColumns({f"_d{k}": F.col("close") - lag("close", k) for k in lags})
+    wide = in_blocks(df.select(KEY, TIME, "close", "n"), gaps, look_back=max(lags))
     s = wide.groupBy(KEY).agg(F.max("n").alias("n"), *[F.stddev_pop(f"_d{k}").alias(f"_s{k}") for k in lags])
     points = F.array(*[F.struct(F.lit(float(np.log(k))).alias("x"), F.when(F.col(f"_s{k}") > 1e-12, F.ln(f"_s{k}") / 2).alias("y")) for k in lags])
     used = F.slice(points, F.lit(1), F.greatest(F.least(F.lit(11), F.floor(F.col("n") / 2).cast("int")) - 2, F.lit(0)))
@@ -66,26 +71,32 @@ def series_hurst(df: DataFrame, scale: float = 0.5) -> DataFrame:
 def dominant_cycle(df: DataFrame) -> DataFrame:
     """``(symbol, cycle, cyclicality)`` from the spectrum of returns: the strongest bin past 0, and the largest share.
 
-    A Fourier transform needs a whole series: one Arrow group for each symbol,
-    with two columns. Series under 8 rows have cycle 1 and cyclicality 0.
+    The transform is taken in groups of a part of a series (:mod:`.spectrum`).
+    Series under 8 rows have cycle 1 and cyclicality 0.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.sort_values("idx")["w_ret"].to_numpy()[1:]
-        cycle, strength = 1, 0.0
-        if len(r) + 1 >= 8:
-            size = np.abs(np.fft.rfft(r))
-            cycle = int(np.argmax(size[1:])) + 1 if len(size) > 1 else 1
-            strength = float(size.max() / (size.sum() + TINY))
-        return pd.DataFrame({KEY: [pdf[KEY].iloc[0]], "cycle": [cycle], "cyclicality": [strength]})
-
-    return df.select(KEY, "idx", "w_ret").groupBy(KEY).applyInPandas(run, f"{KEY} string, cycle int, cyclicality double")
+    every = df.select(KEY).distinct()
+    known = df.where("idx > 0 and n >= 8").select(KEY, (F.col("n") - 1).alias("n"), (F.col("idx") - 1).alias("at"), F.col("w_ret").alias("x"))
+    size = F.col("size")
+    best = F.max_by("bin", F.when(F.col("bin") > 0, F.struct("size", -F.col("bin"))))
+    found = spectrum(known).groupBy(KEY).agg(best.alias("cycle"), (F.max(size) / (F.sum(size) + TINY)).alias("cyclicality"))
+    return every.join(found, KEY, "left").select(KEY, F.coalesce("cycle", F.lit(1)).cast("int").alias("cycle"), F.coalesce("cyclicality", F.lit(0.0)).alias("cyclicality"))
 
 
 def clip(x, lo: float, hi: float):
     return F.greatest(F.least(x, F.lit(hi)), F.lit(lo))
 
 
+def local_deviation(df: DataFrame) -> DataFrame:
+    """``_sd``: population deviation of the returns there are among the last ``min(5, n / 4) + 1`` rows, the first row of a series left out; 0 where there is none."""
+    w = F.least(F.lit(5), F.floor(F.col("n") / 4).cast("int"))
+    recent = F.collect_list(F.when(F.col("at") > 0, F.struct("at", "w_ret"))).over(last_rows(6))
+    total = lambda f: F.aggregate("_near", F.lit(0.0), lambda a, r: a + f(r))
+    df = df.withColumn("_near", F.filter(recent, lambda r: r["at"] >= F.col("at") - w)).withColumn("_count", F.size("_near").cast("double"))
+    df = df.withColumn("_mean", F.try_divide(total(lambda r: r["w_ret"]), F.col("_count")))
+    var = F.try_divide(total(lambda r: F.pow(r["w_ret"] - F.col("_mean"), F.lit(2.0))), F.col("_count"))
+    return df.withColumn("_sd", F.sqrt(F.coalesce(var, F.lit(0.0))))
+
+
 def adaptive_weights(df: DataFrame, power: float = 1.5) -> DataFrame:
     """``adaptive_weight`` of every row of ``df(symbol, ts, close)``; positive, sums to 1 per symbol.
 
@@ -94,7 +105,7 @@ def adaptive_weights(df: DataFrame, power: float = 1.5) -> DataFrame:
     use the rows there are (0 where there is none); a series without spread, or
     of three rows and fewer, is weighted evenly.
     """
-    rows = with_returns(df)
+    rows = written(with_returns(df), "returns")
     stats = series_stats(rows).drop("n").join(dominant_cycle(rows), KEY)
     rows = rows.join(stats, KEY)
     memory = 2 * (F.col("hurst") - 0.5)
@@ -102,21 +113,20 @@ def adaptive_weights(df: DataFrame, power: float = 1.5) -> DataFrame:
     phase = (F.col("idx") % F.col("cycle")) / F.col("cycle")
     wave = clip(decay + 0.05 * F.sin(phase * (2 * np.pi)), 0.8, 0.99)
     cyclic = (F.col("cyclicality") > 0.3) & (F.col("cycle") > 1)
-    # the reverse running product runs from the newest row, whose own factor counts; a plain decay starts at 1
-    newest = Window.partitionBy(KEY).orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, 0)
-    time = F.when(cyclic, F.exp(F.sum(F.ln(wave)).over(newest))).otherwise(F.pow(decay, F.col("n") - 1 - F.col("idx")))
+    # the running product runs from the newest row, whose own factor counts; a plain decay starts at 1
+    age = F.col("n") - 1 - F.col("idx")
+    rows = rows.withColumns({"_age": age, "_wave": wave, "_start": F.when(age == 0, wave).otherwise(0.0)})
+    rows = varying_scan(rows, "_start", "_wave", "_product", most=0.99, least=0.8, index="_age")
+    time = F.when(cyclic, F.col("_product")).otherwise(F.pow(decay, age))
     size = F.abs("w_ret")
     u = size / (4.685 * F.col("robust"))
     biweight = F.when(size <= 4.685 * F.col("robust"), F.pow(1 - u * u, F.lit(2.0))).otherwise(0.0)
     magnitude = F.pow(size, F.lit(power)) * F.when((F.col("outliers") > 0) & (F.col("robust") > 0), biweight).otherwise(1.0)
-    w = F.least(F.lit(5), F.floor(F.col("n") / 4).cast("int"))
-    back = ordered().rowsBetween(-5, 0)
-    recent = F.collect_list(F.when(F.col("idx") > 0, F.struct("idx", "w_ret"))).over(back)
-    near = F.filter(recent, lambda r: r["idx"] >= F.col("idx") - w)
-    mean = F.try_divide(F.aggregate("_near", F.lit(0.0), lambda a, r: a + r["w_ret"]), F.size("_near").cast("double"))
-    var = F.try_divide(F.aggregate("_near", F.lit(0.0), lambda a, r: a + F.pow(r["w_ret"] - F.col("_mean"), F.lit(2.0))), F.size("_near").cast("double"))
-    rows = rows.withColumns({"_time": time, "_mag": magnitude, "_near": near}).withColumn("_mean", mean).withColumn("_sd", F.sqrt(F.coalesce(var, F.lit(0.0))))
-    before, after = lag("_sd"), F.lead("_sd").over(ordered())
+    rows = rows.withColumns({"_time": time, "_mag": magnitude}).drop("_age", "_wave", "_start", "_product")
+    near = in_blocks(rows.select(KEY, TIME, F.col("idx").alias("at"), "n", "w_ret"), local_deviation, look_back=5).select(KEY, TIME, "_sd")
+    near = with_previous(with_previous(near, {"_sd_before": "_sd"}).drop("_first"), {"_sd_after": "_sd"}, after=True).drop("_first")
+    rows = rows.join(near, [KEY, TIME])
+    before, after = F.col("_sd_before"), F.col("_sd_after")
     slope = F.when(before.isNull(), after - F.col("_sd")).when(after.isNull(), F.col("_sd") - before).otherwise((after - before) / 2)
     rows = rows.withColumn("_g", F.abs(slope))
     flat = rows.groupBy(KEY).agg(F.avg("_g").alias("_gm"), F.max(F.abs("w_ret")).alias("_most"))
@@ -127,7 +137,7 @@ def adaptive_weights(df: DataFrame, power: float = 1.5) -> DataFrame:
     rows = rows.withColumn("_raw", F.when((F.col("n") <= 3) | (F.col("_most") == 0), F.lit(1.0)).otherwise(raw))
     total = rows.groupBy(KEY).agg(F.sum("_raw").alias("_total"))
     out = rows.join(total, KEY).withColumn("adaptive_weight", F.col("_raw") / F.col("_total"))
-    return out.drop("_time", "_mag", "_near", "_mean", "_sd", "_g", "_gm", "_most", "_raw", "_total")
+    return out.drop("_time", "_mag", "_sd", "_sd_before", "_sd_after", "_g", "_gm", "_most", "_raw", "_total")
 
 
 def weight_summary(df: DataFrame, schemes: list[str]) -> DataFrame:
