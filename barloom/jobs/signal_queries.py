@@ -336,15 +336,49 @@ def return_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presented(weights.return_weights(weights.with_returns(event_bars(spark, sf_dir))), ["return_weight"], 9)
 
 
-@query()
+# for series of 20 rows and more; the transform is summed up bin by bin
+_WEIGHTED = (
+    sql.staged(sql.NUMBERED, sql.WRET, {"pa": f"CASE WHEN idx > 1 THEN abs({sql.lag('w_ret')}) END"} | {f"d{k}": f"close - {sql.lag('close', k)}" for k in range(2, 11)})
+    + """, med AS (SELECT symbol, median(w_ret) AS m FROM final WHERE idx > 0 GROUP BY symbol), mad AS (SELECT symbol, median(abs(w_ret - m)) / 0.6745 AS robust FROM final JOIN med USING (symbol) WHERE idx > 0 GROUP BY symbol),
+p AS ("""
+    + " UNION ALL ".join(f"SELECT symbol, ln({k}) AS x, ln(stddev_pop(d{k})) / 2 AS y FROM final GROUP BY symbol" for k in range(2, 11))
+    + """), hurst AS (SELECT symbol, regr_slope(y, x) / 2 AS hurst FROM p GROUP BY symbol),
+r AS (SELECT symbol, idx - 1 AS t, n - 1 AS len, w_ret AS x FROM final WHERE idx > 0),
+f AS (SELECT symbol, k, sqrt(pow(sum(x * cos(2 * pi() * (k * t % len) / len)), 2) + pow(sum(x * sin(2 * pi() * (k * t % len) / len)), 2)) AS size FROM (SELECT *, unnest(range(0, len // 2 + 1)) AS k FROM r) GROUP BY symbol, k),
+cyc AS (SELECT symbol, arg_max(k, size) FILTER (WHERE k > 0) AS cycle, max(size) / (sum(size) + 1e-10) AS cyclicality FROM f GROUP BY symbol),
+st AS (SELECT symbol, any_value(robust) AS robust, any_value(hurst) AS hurst, any_value(cycle) AS cycle, any_value(cyclicality) AS cyclicality,
+  coalesce(corr(CASE WHEN pa IS NOT NULL THEN abs(w_ret) END, pa), 0) AS vol_cluster, sum(CASE WHEN idx > 0 AND robust > 0 AND abs(w_ret) > 3 * robust THEN 1 ELSE 0 END) AS outliers
+  FROM final JOIN mad USING (symbol) JOIN hurst USING (symbol) JOIN cyc USING (symbol) GROUP BY symbol),
+a AS (SELECT final.symbol, ts, idx, n, w_ret, st.* EXCLUDE (symbol), least(greatest(0.95 + 0.2 * (hurst - 0.5), 0.8), 0.99) AS decay,
+  coalesce(stddev_pop(CASE WHEN idx > 0 THEN w_ret END) OVER (PARTITION BY final.symbol ORDER BY idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 0) AS sd FROM final JOIN st USING (symbol)),
+b AS (SELECT *, least(greatest(decay + 0.05 * sin(2 * pi() * (idx % cycle) / cycle), 0.8), 0.99) AS wave, lag(sd) OVER (PARTITION BY symbol ORDER BY idx) AS s0, lead(sd) OVER (PARTITION BY symbol ORDER BY idx) AS s1 FROM a),
+c AS (SELECT *, CASE WHEN cyclicality > 0.3 AND cycle > 1 THEN exp(sum(ln(wave)) OVER (PARTITION BY symbol ORDER BY idx DESC)) ELSE pow(decay, n - 1 - idx) END AS time,
+  pow(abs(w_ret), 1.5) * CASE WHEN NOT (outliers > 0 AND robust > 0) THEN 1 WHEN abs(w_ret) <= 4.685 * robust THEN pow(1 - pow(w_ret / (4.685 * robust), 2), 2) ELSE 0 END AS mag,
+  abs(CASE WHEN s0 IS NULL THEN s1 - sd WHEN s1 IS NULL THEN sd - s0 ELSE (s1 - s0) / 2 END) AS g,
+  least(greatest(0.5 + 0.4 * (hurst - 0.5) + CASE WHEN cyclicality > 0.3 THEN 0.1 * cyclicality ELSE 0 END + 0.1 * vol_cluster, 0.3), 0.7) AS share FROM b),
+d AS (SELECT *, greatest(((1 - share) * mag + share * time) * (1 + tanh(g / (avg(g) OVER (PARTITION BY symbol) + 1e-10))), 1e-10) AS raw FROM c),
+weighted AS (SELECT symbol, ts, idx, n, raw / sum(raw) OVER (PARTITION BY symbol) AS adaptive_weight, pow(abs(w_ret), 1.5) / sum(pow(abs(w_ret), 1.5)) OVER (PARTITION BY symbol) AS return_weight,
+  pow(0.95, n - 1 - idx) / sum(pow(0.95, n - 1 - idx)) OVER (PARTITION BY symbol) AS decay_weight FROM d)"""
+)
+
+
+@query(_WEIGHTED + " SELECT symbol, ts, round(adaptive_weight, 9) + 0.0 AS adaptive_weight FROM weighted")
 def adaptive_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return presented(weights.adaptive_weights(event_bars(spark, sf_dir)), ["adaptive_weight"], 12)
+    return presented(weights.adaptive_weights(event_bars(spark, sf_dir)), ["adaptive_weight"], 9)
 
 
-@query()
+_SCHEMES = ["adaptive_weight", "return_weight", "decay_weight"]
+_SUMMARY = " UNION ALL ".join(
+    f"SELECT symbol, '{c}' AS scheme, round(1 / sum({c} * {c}), 6) + 0.0 AS effective_n, round(sum(CASE WHEN idx >= n - 10 THEN {c} ELSE 0 END), 9) + 0.0 AS last10, round(max({c}), 9) + 0.0 AS largest, round(avg({c}), 9) + 0.0 AS mean FROM weighted GROUP BY symbol"
+    for c in _SCHEMES
+)
+
+
+@query(f"{_WEIGHTED} {_SUMMARY}")
 def weight_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = weights.return_weights(weights.adaptive_weights(event_bars(spark, sf_dir)))
-    return weights.weight_summary(scan.time_decay_weights(df), ["adaptive_weight", "return_weight", "decay_weight"])
+    out = weights.weight_summary(scan.time_decay_weights(df), _SCHEMES)
+    return out.select(KEY, "scheme", *[(F.round(c, d) + F.lit(0.0)).alias(c) for c, d in (("effective_n", 6), ("last10", 9), ("largest", 9), ("mean", 9))])
 
 
 # --- draws

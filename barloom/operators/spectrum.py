@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 
 from ..functions.win import KEY
 
-#: Values of a column at least; shorter convolutions are one column.
-COLUMN = 4096
+#: Values that a task takes in hand at least: short columns go together.
+TILE = 4096
 
 
-def _factors(n: int, column: int) -> tuple[int, int]:
+def _factors(n: int) -> tuple[int, int]:
     """Powers of two whose product is at least ``2 n``: the length of columns and their number."""
     bits = max(1, (2 * n - 1).bit_length())
-    rows = 1 << max((bits + 1) // 2, min(bits, column.bit_length() - 1))
+    rows = 1 << (bits + 1) // 2
     return rows, (1 << bits) // rows
 
 
-def _turn(a: np.ndarray, b: int, n: int) -> np.ndarray:
+def _turn(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     """``exp(-2 pi i a b / n)``, with the product taken modulo ``n`` first."""
     return np.exp(-2j * np.pi * (a * b % n) / n)
 
@@ -35,14 +35,19 @@ def _chirp(t: np.ndarray, n: int) -> np.ndarray:
     return np.exp(-1j * np.pi * (t * t % (2 * n)) / n)
 
 
-def _pairs(values: np.ndarray, name: str = "") -> dict[str, np.ndarray]:
-    return {f"{name}re": values.real, f"{name}im": values.imag}
+def _matrix(pdf: pd.DataFrame, first: int, parts: int, size: int, name: str = "") -> np.ndarray:
+    """Values of a tile by part and place; what is missing is 0."""
+    out = np.zeros((parts, size), dtype=complex)
+    out[pdf["part"].to_numpy(np.int64) - first, pdf["at"].to_numpy(np.int64)] = pdf[f"{name}re"].to_numpy() + 1j * pdf[f"{name}im"].to_numpy()
+    return out
 
 
-def _ordered(pdf: pd.DataFrame, size: int, name: str = "") -> np.ndarray:
-    out = np.zeros(size, dtype=complex)
-    out[pdf["at"].to_numpy(np.int64)] = pdf[f"{name}re"].to_numpy() + 1j * pdf[f"{name}im"].to_numpy()
-    return out
+def _turned(pdf: pd.DataFrame, part: np.ndarray, size: int, **values: np.ndarray) -> pd.DataFrame:
+    """Values of a tile as rows, parts and places changed over for the next step."""
+    out = {KEY: pdf[KEY].iloc[0], "n": pdf["n"].iloc[0], "part": np.tile(np.arange(size), len(part)), "at": np.repeat(part, size)}
+    for name, v in values.items():
+        out |= {f"{name.strip('_')}re": v.real.ravel(), f"{name.strip('_')}im": v.imag.ravel()}
+    return pd.DataFrame(out)
 
 
 def spectrum(df: DataFrame) -> DataFrame:
@@ -50,44 +55,53 @@ def spectrum(df: DataFrame) -> DataFrame:
 
     ``at`` counts the ``n`` rows of a symbol from 0 without gaps; NULL counts as 0.
     """
-    column = COLUMN
+    tile = TILE
     schema = f"{KEY} string, n long, part long, at long, re double, im double"
 
+    def parts_of(pdf: pd.DataFrame, size: int, many: int) -> np.ndarray:
+        step = max(1, tile // size)
+        first = int(pdf["tile"].iloc[0]) * step
+        return np.arange(first, min(first + step, many), dtype=np.int64)
+
     def columns(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
-        rows, width = _factors(n, column)
-        at, x = pdf["at"].to_numpy(np.int64), np.nan_to_num(pdf["x"].to_numpy(float))
-        a = np.zeros(rows, dtype=complex)
-        a[at // width] = x * _chirp(at, n)
+        n = int(pdf["n"].iloc[0])
+        rows, width = _factors(n)
+        part = parts_of(pdf, rows, width)
+        known = pdf[pdf["at"] >= 0]
+        at = known["at"].to_numpy(np.int64)
+        a = np.zeros((len(part), rows), dtype=complex)
+        a[at % width - part[0], at // width] = np.nan_to_num(known["x"].to_numpy(float)) * _chirp(at, n)
         k = np.arange(rows, dtype=np.int64)
-        far = np.minimum(k * width + part, rows * width - k * width - part)  # the other side of the convolution goes both ways
+        place = k * width + part[:, None]
+        far = np.minimum(place, rows * width - place)  # the other side of the convolution goes both ways
         b = np.where(far < n, np.conj(_chirp(far, n)), 0)
-        turn = _turn(k, part, rows * width)
-        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "n": n, "part": k, "at": part, **_pairs(np.fft.fft(a) * turn), **_pairs(np.fft.fft(b) * turn, "b")})
+        turn = _turn(k, part[:, None], rows * width)
+        return _turned(pdf, part, rows, _=np.fft.fft(a) * turn, b=np.fft.fft(b) * turn)
 
     def rows_and_back(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
-        rows, width = _factors(n, column)
-        a, b = _ordered(pdf, width), _ordered(pdf, width, "b")
-        k = np.arange(width, dtype=np.int64)
-        out = np.fft.ifft(np.fft.fft(a) * np.fft.fft(b)) * np.conj(_turn(k, part, rows * width))
-        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "n": n, "part": k, "at": part, **_pairs(out)})
+        rows, width = _factors(int(pdf["n"].iloc[0]))
+        part = parts_of(pdf, width, rows)
+        a, b = (_matrix(pdf, part[0], len(part), width, name) for name in ("", "b"))
+        turn = np.conj(_turn(np.arange(width, dtype=np.int64), part[:, None], rows * width))
+        return _turned(pdf, part, width, _=np.fft.ifft(np.fft.fft(a) * np.fft.fft(b)) * turn)
 
     def bins(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, part = int(pdf["n"].iloc[0]), int(pdf["part"].iloc[0])
-        rows, width = _factors(n, column)
-        y = _ordered(pdf, rows)
-        at = part + width * np.arange(rows, dtype=np.int64)
-        size = np.abs(np.fft.ifft(y))[at <= n // 2]  # the last chirp turns, and does not stretch
-        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "n": n, "bin": at[at <= n // 2], "size": size})
+        n = int(pdf["n"].iloc[0])
+        rows, width = _factors(n)
+        part = parts_of(pdf, rows, width)
+        size = np.abs(np.fft.ifft(_matrix(pdf, part[0], len(part), rows)))  # the last chirp turns, and does not stretch
+        at = part[:, None] + width * np.arange(rows, dtype=np.int64)
+        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "n": n, "bin": at[at <= n // 2], "size": size[at <= n // 2]})
 
     bits = F.length(F.bin(2 * F.col("n") - 1))  # as in _factors
-    most = F.greatest(F.floor((bits + 1) / 2), F.least(bits, F.lit(column.bit_length() - 1)))
-    sizes = df.select(KEY, "n").distinct().select(KEY, "n", F.pow(F.lit(2.0), bits - most).cast("long").alias("width"))
-    # every column is there, also those without a row of the series
-    places = sizes.select(KEY, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)).alias("part"))
-    filled = places.where(F.col("part") >= F.col("n")).select(KEY, "n", "part", F.lit(0).cast("long").alias("at"), F.lit(0.0).alias("x"))
-    data = df.join(sizes, [KEY, "n"]).select(KEY, "n", (F.col("at") % F.col("width")).alias("part"), F.col("at").cast("long").alias("at"), "x")
-    forth = data.unionByName(filled).groupBy(KEY, "n", "part").applyInPandas(columns, schema + ", bre double, bim double")
-    back = forth.groupBy(KEY, "n", "part").applyInPandas(rows_and_back, schema)
-    return back.groupBy(KEY, "n", "part").applyInPandas(bins, f"{KEY} string, n long, bin long, size double")
+    shift = lambda c: F.pow(F.lit(2.0), c).cast("long")
+    sizes = df.select(KEY, "n").distinct().withColumns({"_rows": shift(F.floor((bits + 1) / 2)), "_width": shift(bits - F.floor((bits + 1) / 2))})
+    in_tile = lambda size: F.floor(F.col("part") / F.greatest(F.floor(F.lit(tile) / F.col(size)), F.lit(1)))
+    keys = [KEY, "n", "tile"]
+    # every tile is there, also those without a row of the series
+    every = sizes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_width") - 1))).select(KEY, "n", in_tile("_rows").alias("tile"), F.lit(-1).cast("long").alias("at"), F.lit(0.0).alias("x")).distinct()
+    data = df.join(sizes, [KEY, "n"]).withColumn("part", F.col("at") % F.col("_width")).select(KEY, "n", in_tile("_rows").alias("tile"), F.col("at").cast("long").alias("at"), "x")
+    forth = data.unionByName(every).groupBy(*keys).applyInPandas(columns, schema + ", bre double, bim double")
+    back = forth.join(sizes, [KEY, "n"]).withColumn("tile", in_tile("_width")).drop("_rows", "_width").groupBy(*keys).applyInPandas(rows_and_back, schema)
+    last = back.join(sizes, [KEY, "n"]).withColumn("tile", in_tile("_rows")).drop("_rows", "_width")
+    return last.groupBy(*keys).applyInPandas(bins, f"{KEY} string, n long, bin long, size double")

@@ -106,7 +106,7 @@ def adaptive_weights(df: DataFrame, power: float = 1.5) -> DataFrame:
     of three rows and fewer, is weighted evenly.
     """
     rows = written(with_returns(df), "returns")
-    stats = series_stats(rows).drop("n").join(dominant_cycle(rows), KEY)
+    stats = written(series_stats(rows).drop("n").join(dominant_cycle(rows), KEY), "stats")
     rows = rows.join(stats, KEY)
     memory = 2 * (F.col("hurst") - 0.5)
     decay = clip(0.95 + 0.1 * memory, 0.8, 0.99)
@@ -128,7 +128,7 @@ def adaptive_weights(df: DataFrame, power: float = 1.5) -> DataFrame:
     rows = rows.join(near, [KEY, TIME])
     before, after = F.col("_sd_before"), F.col("_sd_after")
     slope = F.when(before.isNull(), after - F.col("_sd")).when(after.isNull(), F.col("_sd") - before).otherwise((after - before) / 2)
-    rows = rows.withColumn("_g", F.abs(slope))
+    rows = written(rows.withColumn("_g", F.abs(slope)), "parts")
     flat = rows.groupBy(KEY).agg(F.avg("_g").alias("_gm"), F.max(F.abs("w_ret")).alias("_most"))
     rows = rows.join(flat, KEY)
     change = F.when(F.col("n") >= 10, 1 + F.tanh(F.col("_g") / (F.col("_gm") + TINY))).otherwise(1.0)

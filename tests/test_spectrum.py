@@ -9,9 +9,9 @@ from barloom.operators import scan, spectrum, weights
 START = datetime(2025, 1, 1)
 
 
-@pytest.mark.parametrize("column", [4, 4096])
-def test_spectrum_equals_numpy(spark, monkeypatch, column):
-    monkeypatch.setattr(spectrum, "COLUMN", column)
+@pytest.mark.parametrize("tile", [8, 4096])
+def test_spectrum_equals_numpy(spark, monkeypatch, tile):
+    monkeypatch.setattr(spectrum, "TILE", tile)
     r = np.random.default_rng(1)
     series = {f"s{n}": r.normal(size=n) for n in (1, 2, 3, 7, 8, 50, 97, 256, 1001)}
     rows = [(s, len(x), i, float(v)) for s, x in series.items() for i, v in enumerate(x)]
