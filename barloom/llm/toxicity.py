@@ -150,6 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
 
     table = rows.mapInArrow(bags, "toxic int, quiet int, sizes array<int>, codes array<int>").toArrow()  # bounded by ``most``
     weights, bias = _descend(table, len(chosen))
+    del table
+    pa.default_memory_pool().release_unused()  # later stages run in this process too
     return Model({f: float(w) for f, w in zip(chosen, weights, strict=True) if abs(w) > 1e-6}, bias)
 
 
