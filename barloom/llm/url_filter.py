@@ -83,11 +83,12 @@ def path_of(url: Column) -> Column:
 def candidate_keys(host: Column, path: Column, rules: tuple = RULES) -> Column:
     """Every rule key a url could match, longest first, as ``array<string>``.
 
-    The host and its parent domains meet the path's beginnings of the lengths
-    that rules have; a key is host and path joined, as rules are written.
+    The ends of the host with as many labels as rules have meet the path's
+    beginnings of the lengths that rules have; a key is host and path joined, as
+    rules are written. So the keys of a url are as many as the rules allow,
+    however long it is.
     """
-    labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    parents = F.array(*[F.substring_index(host, ".", -n) for n in sorted({h.count(".") + 1 for h, _, _ in rules})])
     lengths = sorted({len(p) for _, p, _ in rules}, reverse=True)
     one = lambda h, n: F.when(F.char_length(path) >= n, F.concat(h, F.substr(path, F.lit(1), F.lit(n))))
     keys = F.flatten(F.transform(parents, lambda h: F.array(*[one(h, n) for n in lengths])))

@@ -60,3 +60,10 @@ def test_empty_tables(spark):
     assert url_filter.judged(df.limit(0)).collect() == []
     only = url_filter.judged(spark.createDataFrame([(1, None)], "page_id long, url string")).first()
     assert (only.host, only.path, only.rule, only.verdict) == ("", "", None, "allow")
+
+
+def test_very_long_urls_take_no_longer_than_their_length(spark):
+    """Hosts of 100,000 labels and a path of a million characters."""
+    rows = [(0, "http://" + "a." * 100_000 + "example.org/es/x"), (1, "http://" + "b." * 100_000 + "net/"), (2, "http://example.org/en/1" + "z" * 1_000_000)]
+    out = {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert out == {i: brute(u)[2:] for i, u in rows} and out[0] == ("example.org/es/", "block")
