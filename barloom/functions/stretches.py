@@ -71,3 +71,34 @@ def over_windows(df: DataFrame, x: str, n: int, f: Callable[[np.ndarray], np.nda
                 yield pa.RecordBatch.from_arrays([pa.array([symbol] * len(result)), times[i].values[halo:], result], names=[KEY, TIME, name])
 
     return arrays.mapInArrow(run, f"{KEY} string, {TIME} timestamp, {name} double")
+
+
+def window_vectors(df: DataFrame, names: list[str], label: str, n: int, stride: int = 1, block: int = 4096) -> DataFrame:
+    """``(symbol, ts, label, x)``: the named values of the ``n`` rows before each ``stride``-th row, oldest first, as one array.
+
+    Rows without ``n`` rows before them are left out. A symbol is cut into blocks
+    with the rows before them, each one array, from which a window is written
+    when it is asked for: an array takes ``8 n len(names)`` bytes.
+    """
+    size = -(-max(block, n) // stride) * stride
+    values = F.array(*[F.col(c).cast("double") for c in names])
+    rows = halo_blocks(df.select(KEY, TIME, F.col(label).alias("label"), values.alias("_v")), n, size)
+    items = F.array_sort(F.collect_list(F.struct(TIME, "_halo", "_v", "label")))
+    arrays = rows.groupBy(KEY, "_block").agg(items.alias("r")).select(KEY, F.col(f"r.{TIME}").alias(TIME), F.size(F.filter("r", lambda r: r["_halo"])).alias("halo"), F.flatten("r._v").alias("v"), F.col("r.label").alias("label"))
+    kind = arrays.schema["label"].dataType.elementType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            times, values, labels = (batch.column(c) for c in (TIME, "v", "label"))
+            for i, (symbol, halo) in enumerate(zip(batch.column(KEY).to_pylist(), batch.column("halo").to_pylist(), strict=True)):
+                v = values[i].values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(names))
+                at = np.arange(halo, len(v), stride)
+                at = at[at >= n]
+                for lo in range(0, len(at), 256):
+                    some = at[lo : lo + 256]
+                    x = np.stack([v[t - n : t].ravel() for t in some])
+                    offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * x.shape[1])
+                    pick = pa.array(some)
+                    yield pa.RecordBatch.from_arrays([pa.array([symbol] * len(some)), times[i].values.take(pick), labels[i].values.take(pick), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=[KEY, TIME, "label", "x"])
+
+    return arrays.mapInArrow(run, f"{KEY} string, {TIME} timestamp, label {kind.simpleString()}, x array<double>")

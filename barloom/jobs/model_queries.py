@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbering import number_rows
+from ..functions.stretches import window_vectors
 from ..functions.tables import written
-from ..functions.win import KEY, TIME, presented
+from ..functions.win import KEY, TIME, col, lead, presented
 from ..operators import config_search, draws, hmm, models, regimes, rolling, slopes, spectral, targets
 from ..operators.calendar import CLOCK, SESSION, session_stats, time_features, window_columns, window_features
-from ..operators.candles import PATTERNS, SHAPE, candle_patterns
+from ..operators.candles import PATTERNS, SHAPE, candle_patterns, candle_shape
 from ..operators.walk_forward import walk_forward as walked
 from ..sources.bars import event_bars
 from .feature_queries import hourly, with_technicals
@@ -21,6 +22,10 @@ _HMM = ["log_return", "vi_diff", "z_close_20"]
 _MIXED = ["return_60", "return_480", "roll_vol_60", "body_vs_range", "wick_polarity", "z_close_20", "rsi_14", "pos_in_roll"]
 
 
+#: Rows that a sequence looks back, and that its direction looks ahead.
+_WINDOW, _AHEAD = 96, 24
+
+
 @query()
 def dominant_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presented(spectral.dominant_frequency(hourly(spark, sf_dir)), ["fft_dominant_freq"])
@@ -105,9 +110,13 @@ def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def direction_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = targets.forward_return(rolling.returns(hourly(spark, sf_dir)), 1).fillna(0.0, ["ret"]).withColumn("direction", targets.direction_label())
-    seq = targets.to_sequences(df, ["ret", "log_return"], "direction", 12)
-    return presented(models.direction_classifier(targets.random_split(seq)), ["label", "prediction", "p_up"])
+    """Direction of the close 24 rows on, from eleven candle features of the 96 rows before."""
+    df = candle_shape(hourly(spark, sf_dir), _WINDOW)
+    ahead = lead("close", _AHEAD) / col("close") - 1
+    df = targets.random_split(df.withColumn("direction", F.when(ahead.isNotNull(), F.when(ahead > 0, 1).otherwise(0)))).dropna(subset=SHAPE)
+    scaled = models.standardise(df, SHAPE, "is_train")
+    seq = written(targets.random_split(window_vectors(scaled, SHAPE, "direction", _WINDOW)), "sequences")
+    return presented(models.direction_classifier(seq), ["label", "prediction", "p_up"])
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -62,9 +62,16 @@ def pca_project(df: DataFrame, names: list[str], k: int = 2) -> DataFrame:
     return out.select(KEY, TIME, *[F.get("_a", F.lit(i)).alias(f"pc{i + 1}") for i in range(k)])
 
 
-def direction_classifier(sequences: DataFrame, seed: int = 42) -> DataFrame:
-    """``(symbol, ts, label, prediction, p_up)`` from flattened sequences; fitted on the rows with ``is_train`` 1."""
-    rows = sequences.where("label is not null").withColumn("_v", array_to_vector(F.flatten("seq")))
-    fitted = LogisticRegression(featuresCol="_v", labelCol="label", regParam=0.01, maxIter=30, standardization=True).fit(rows.where("is_train = 1"))
-    out = fitted.transform(rows)
+def direction_classifier(sequences: DataFrame, hidden: int = 16, iterations: int = 60, seed: int = 42) -> DataFrame:
+    """``(symbol, ts, label, prediction, p_up)`` by a network with one hidden layer over ``x`` of ``sequences(symbol, ts, label, x, is_train)``.
+
+    Fitted on the rows with ``is_train`` 1; rows without a label are left out.
+    A row takes 8 bytes for each value of ``x``, of which a batch of 128 is held.
+    """
+    rows = sequences.where("label is not null").withColumn("_v", array_to_vector("x"))
+    width = rows.select(F.size("x")).first()
+    if width is None:
+        return sequences.sparkSession.createDataFrame([], f"{KEY} string, {TIME} timestamp, label int, prediction int, p_up double")
+    network = MultilayerPerceptronClassifier(featuresCol="_v", labelCol="label", layers=[width[0], hidden, 2], maxIter=iterations, blockSize=128, seed=seed)
+    out = network.fit(rows.where("is_train = 1")).transform(rows)
     return out.select(KEY, TIME, "label", F.col("prediction").cast("int").alias("prediction"), F.get(vector_to_array("probability"), F.lit(1)).alias("p_up"))

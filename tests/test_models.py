@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from barloom.functions.stretches import window_vectors
 from barloom.operators import models, path_score, scan, slopes, spectral, targets, weights
 from pyspark.sql import functions as F
 
@@ -135,11 +136,22 @@ def test_standardised_projected_and_mixed(spark):
 
 
 def test_direction_classifier_learns_what_is_there(spark):
+    """Sequences of 96 rows and 11 features, whose class is the side that most of a feature's last rows lie on."""
     r = np.random.default_rng(9)
-    rows = []
-    for i in range(600):
-        v = r.normal(size=4)
-        rows.append(("a", START + timedelta(minutes=i), [[float(a)] for a in v], int(v[-1] > 0), int(i % 5 > 0)))
-    df = spark.createDataFrame(rows, "symbol string, ts timestamp, seq array<array<double>>, label int, is_train int")
-    out = models.direction_classifier(df).join(df.select("ts", "is_train"), "ts").where("is_train = 0").toPandas()
-    assert (out.label == out.prediction).mean() > 0.9 and ((out.p_up > 0.5).astype(int) == out.prediction).all()
+    v = r.normal(size=(2000, 11)) * np.where(np.arange(11) == 3, 3.0, 1.0)
+    label = [int(v[max(i - 10, 0) : i, 3].sum() > 0) for i in range(2000)]
+    rows = [("a", START + timedelta(minutes=i), label[i], *map(float, v[i])) for i in range(2000)]
+    names = [f"f{i}" for i in range(11)]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp, y int, " + ", ".join(f"{n} double" for n in names))
+    seq = targets.random_split(window_vectors(df, names, "y", 96))
+    out = models.direction_classifier(seq, hidden=8).join(seq.select("ts", "is_train"), "ts").where("is_train = 0").toPandas()
+    assert len(out) > 100 and (out.label == out.prediction).mean() > 0.7 and ((out.p_up > 0.5).astype(int) == out.prediction).all()
+    assert models.direction_classifier(seq.where("label > 5")).count() == 0
+
+
+@pytest.mark.parametrize(("stride", "block"), [(1, 10), (3, 7), (4, 4096)])
+def test_window_vectors_equal_sequences(spark, stride, block):
+    df = series(spark, a=range(50), b=range(100, 106), c=range(5)).withColumn("low", -F.col("close"))
+    want = {(x.symbol, x.ts): [v for row in x.seq for v in row] for x in targets.to_sequences(df, ["close", "low"], "close", 5, stride).collect()}
+    got = {(x.symbol, x.ts): x.x for x in window_vectors(df, ["close", "low"], "close", 5, stride, block).collect()}
+    assert got == want and len(got) > 10
