@@ -11,6 +11,7 @@ from ..functions.tables import shared_dir
 from ..functions.win import presented
 from ..operators import draws
 from ..sources import bars
+from ..streaming.bars import corrected_bars, latest_bars
 from . import sql
 from .registry import query
 
@@ -74,3 +75,17 @@ def draws_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     made.select(*[known.get(c, F.lit(None)).cast("string").alias(c) for c in draws.COLUMNS]).write.option("header", True).csv(path)
     read = draws.read_draws(spark, path)
     return read.groupBy(F.year("date").alias("year"), "week", F.col("N1").alias("low")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_TICKS = sql.EVENT_BARS.replace(" AS close FROM", " AS close, CAST(count(*) AS BIGINT) AS ticks FROM")
+
+
+@query(sql.staged(base=_TICKS) + sql.show(_PRICES, ["ticks"]))
+def bars_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of the events as a stream of four files out of order, each of which corrects bars of those before."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value")
+    path = _folder(spark, "ticks")
+    events.repartition(4).write.parquet(path)
+    ticks = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    shown = corrected_bars(ticks, F.col("event_type"), F.col("ts"), F.col("value"), F.col("event_id"), 3600)
+    return presented(latest_bars(shown, _folder(spark, "bars")), [*_PRICES, "ticks"])

@@ -162,3 +162,20 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = {tuple(r) for r in src.bars_from_ticks(ticks, F.col("s"), F.col("t"), F.col("p"), [F.col("id")], 3600).collect()}
     got = {tuple(r) for r in spark.sql("select * from bars_out").collect()}
     assert got <= batch and len(batch) - len(got) <= 4  # the last windows stay open
+
+
+def test_late_ticks_correct_bars(spark, tmp_path):
+    """Ticks in three batches out of order: the last versions equal the batch bars, and late ticks are counted."""
+    from barloom.streaming.bars import corrected_bars, latest_bars
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(3)
+    rows = [(i, f"s{i % 2}", datetime(2025, 1, 1) + timedelta(minutes=int(r.integers(0, 600))), float(r.normal())) for i in range(300)]
+    ticks = spark.createDataFrame([*rows, (999, "s0", None, 1.0), (998, "s0", datetime(2025, 1, 1), None)], "id long, s string, t timestamp, p double")
+    for i in range(3):
+        ticks.where(f"id % 3 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = latest_bars(corrected_bars(stream, F.col("s"), F.col("t"), F.col("p"), F.col("id"), 3600), f"file://{tmp_path}/bars").toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    want = src.bars_from_ticks(ticks.where("t is not null and p is not null"), F.col("s"), F.col("t"), F.col("p"), [F.col("id")], 3600).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True)
+    assert got[["symbol", "ts", "open", "high", "low", "close"]].equals(want[["symbol", "ts", "open", "high", "low", "close"]])
+    assert got.ticks.sum() == 300 and 0 < got.late.sum() < 300
