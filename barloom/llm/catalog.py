@@ -18,15 +18,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 20 words that start earlier too, over all documents; see :func:`substring_dedup.repeated_passages` for nulls, repeats and long texts."""
     docs = _table(spark, sf_dir, "documents")
     return substring_dedup.repeated_passages(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest vectors of each hundredth vector; vectors without a direction take no part, see :func:`multi_index.nearest`."""
     return multi_index.nearest(_table(spark, sf_dir, "embeddings"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document; null texts have none and a null source is one of its own, see :func:`mixing.mixture`."""
     return mixing.mixture(_table(spark, sf_dir, "documents")).drop("taken_by_pass")
 
 
@@ -49,6 +52,7 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted conversations, read back; null texts are empty and rows without a conversation stay alone, see :func:`chat.formatted`."""
     table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], table.schema)
@@ -66,10 +70,12 @@ def token_digests(docs: DataFrame) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded bytes of every whole text; null texts are empty, see :func:`bpe.encode`."""
     return token_digests(_table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every whole text by a model of the labelled rows; null and empty texts score 0, see :func:`toxicity.scored`."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     predicted = F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0)
@@ -77,32 +83,39 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every whole text; null texts have none, see :func:`secrets.secret_spans`."""
     found = secrets.secret_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.array_remove(F.transform("base", lambda s: s["kind"] == kind), False)).cast("long").alias(f"n_{kind}") for kind, *_ in secrets.KINDS]
     return found.select("doc_id", *counts, F.sha2(secrets.spelled(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and linked classes of all documents; texts without words have fingerprint 0, see :func:`simhash.near_duplicate_classes`."""
     return simhash.near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
 def op9_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest sign codes of each fiftieth vector, exactly; see :func:`code_search.nearest_signs`."""
     return code_search.nearest_signs(_table(spark, sf_dir, "embeddings"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; null urls have empty hosts, see :func:`url_filter.judged`."""
     return url_filter.judged(_table(spark, sf_dir, "pages"))
 
 
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as archives in the shared folder, read back; null html is empty, see :func:`warc.page_records` for null and repeated ids."""
     return warc.archived_pages(_table(spark, sf_dir, "pages"))
 
 
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language; null languages are ``und``, see :func:`phrases.collocations`."""
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal periodic runs of all documents, each tenth of which is looped first; see :func:`periodic_runs.collapsed_runs`."""
     docs = periodic_runs.looped(_table(spark, sf_dir, "documents"))
     return periodic_runs.run_digests(periodic_runs.collapsed_runs(docs))
 
