@@ -7,13 +7,14 @@ lineage without keeping blocks on any executor.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.tables import shared_dir, written
 
-__all__ = ["bucketed", "forget", "partitions", "shared_dir", "small_batches", "written"]
+__all__ = ["bucketed", "forget", "partitions", "released", "shared_dir", "small_batches", "written"]
 
 
 def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
@@ -35,6 +36,17 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def released(spark: SparkSession) -> SparkSession:
+    """Collects what is left of plans that are no longer used, in both processes of the driver.
+
+    Spark drops their shuffles and broadcasts when their handles are collected,
+    which a driver with room to spare puts off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
