@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import catalog, mixing, secrets, simhash, toxicity
 from barloom.llm.mixing import ROW
-from barloom.llm.stages import small_batches, written
+from barloom.llm.stages import released, small_batches, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Without labels, or with one kind only, all documents stay. Columns of the
     scorer's names come back as they were.
     """
-    model = toxicity.fit(docs, small_batches(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+    model = toxicity.fit(docs, small_batches(released(spark)).read.parquet(f"{sf_dir}/labels.parquet"))
     rest = F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != "text"]).alias("_rest")
     kept = toxicity.scored(docs.select(rest, "text"), model).where(F.col("score") < toxicity.THRESHOLD)
     return kept.select(*["text" if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns])
@@ -35,7 +35,7 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     a text one stays, and a null doc_id gives way to any other. Null and empty
     texts are one class. Other columns do not matter, whatever their names.
     """
-    small_batches(spark)
+    small_batches(released(spark))
     held = written(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias(ROW)), "rows")
     others = simhash.near_copies(held.select("_doc.doc_id", "_doc.text", ROW), row=ROW).where("not kept").select(F.col("row").alias(ROW))
     return held.join(others, ROW, "left_anti").select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
@@ -43,6 +43,7 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secret spans replaced; null texts stay null, ``n_chars`` follows the text, repeats stay."""
+    released(spark)
     return secrets.redacted(docs)
 
 
@@ -52,12 +53,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are the unit, so null and repeated ids count; a null source is one of
     its own. Documents without words give nothing to take and do not appear.
     """
+    released(spark)
     return mixing.mixed_documents(docs)
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every text of the mix, row by row; null texts have no tokens."""
-    small_batches(spark)
+    small_batches(released(spark))
     return catalog.token_digests(docs)
 
 
