@@ -151,7 +151,7 @@ def _ends(units: DataFrame, models: DataFrame, k: int, best: bool = False) -> Da
     start = F.slice("params", 2, k)
     before = F.transform(start, lambda p: F.ln(p + 1e-300)) if best else start
     after = F.array(*[F.lit(-1.0 if best else 1.0)] * (1 if best else k))
-    return units.select("model", KEY).distinct().join(models, "model").select("model", KEY, before.alias("before"), after.alias("after"))
+    return units.where("unit = 0").select("model", KEY).join(models, "model").select("model", KEY, before.alias("before"), after.alias("after"))
 
 
 def _carried(blocks: DataFrame, units: DataFrame, models: DataFrame, shape: Shape, best: bool = False, chained: bool | None = None) -> DataFrame:
