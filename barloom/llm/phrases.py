@@ -395,7 +395,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     return phrases, every.where("slot < 0").select("key", "n"), reduce(DataFrame.unionByName, cuts)
 
 
-_COLUMNS = "lang string, rank int, phrase string, a long, l long, r long, n long, score long"
+_COLUMNS = "lang string, rank long, phrase string, a long, l long, r long, n long, score long"
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, absorbed: int = ABSORBED) -> DataFrame:
@@ -435,7 +435,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     )
     kept = scored.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * absorbed))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return kept.withColumn("rank", rank).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 _UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -452,4 +452,4 @@ b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER
 d AS (SELECT DISTINCT q.lang, array_to_string(string_split(q.phrase, ' ')[o : o + j - 1], ' ') AS phrase, q.a FROM q, range(2, 5) t(j), range(1, 5) u(o) WHERE j < k AND o + j - 1 <= k),
 e AS (SELECT lang, phrase, max(a) AS longer FROM d GROUP BY ALL),
 z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN e USING (lang, phrase) WHERE longer IS NULL OR longer < a)
-SELECT lang, rank::INTEGER AS rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000"""
+SELECT lang, rank, phrase, a, l, r, n, score FROM z WHERE rank <= 2000"""
