@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .stages import bucketed, partitions
+from .stages import bucketed, partitions, released
 from .words import row_chunks
 
 #: Text bytes of a block; a longer text is a block of its own.
@@ -307,6 +307,7 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decod
     buckets = max(partitions(spark), docs.rdd.getNumPartitions())
     # in buckets by the task that read the texts: the answers go there, the texts do not move
     blocks = bucketed(_blocks(docs, pattern, buckets), "blocks", "task", partitions(spark))
+    released(spark)
     table = rank_literal(ranks, F.get("pieces", F.lit(0)))
     answers = _answered(_asked(blocks, buckets, joins_of(ranks)), table)
     answers = answers.groupBy("task").agg(F.collect_list(F.struct("block", "first", "ids")).alias("answers"))

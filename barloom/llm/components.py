@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stages import forget, written
+from .stages import forget, released, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Each round is two aggregations with map-side combine and two equi-joins;
     hub nodes are split by adaptive skew joins. Nodes without an edge are not
-    returned. Rounds end when the edge set repeats.
+    returned. Rounds end when the edge set repeats. Each round's plan is collected
+    in the driver, which else holds those of all rounds.
     """
     current = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
     mark = None
@@ -35,6 +36,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         forget(current)
         current = after
         seen = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        released(edges.sparkSession)
         if seen == mark or seen[0] == 0:
             break
         mark = seen

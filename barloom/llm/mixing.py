@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stages import partitions, written
+from .stages import partitions, released, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -145,6 +145,7 @@ def _row_mixture(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE
     plan = targets.withColumn("blocks", blocks).withColumn("wanted", wanted).withColumn("sum", F.sum("wanted").over(upto))
     plan = written(plan.withColumn("all", F.max("sum").over(Window.partitionBy())), "targets")  # one row for each source
     n_slots = math.ceil((plan.agg(F.max("all")).first()[0] or 0.0) * (1 + MORE_SLOTS)) + MORE
+    released(docs.sparkSession)
     shares = plan.where("all > 0").select("source", "blocks", "wanted", ((F.col("sum") - F.col("wanted")) / F.col("all")).alias("low"), (F.col("sum") / F.col("all")).alias("high"))
     slots = schedule(shares.select("source", "low", "high"), n_slots)
     number = slots.join(shares.withColumnRenamed("source", "s"), slots["source"].eqNullSafe(F.col("s")))

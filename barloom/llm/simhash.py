@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .stages import partitions, written
+from .stages import partitions, released, written
 from .words import WordBlock, as_bytes, row_chunks
 
 SEED = 42
@@ -439,10 +439,12 @@ def near_copies(docs: DataFrame, row: str | None = None) -> DataFrame:
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
     rest = [F.any_value(c).alias(c) for c in (*_WORDS[1:], "bands")]
     groups = written(prints.groupBy(_SAME).agg(F.min("row").alias("node"), best.alias("best"), F.min("doc_id").alias("doc_id"), *rest), "sets")
+    released(docs.sparkSession)
     cells = groups.where("n > 0").select(F.explode(F.concat("bands", _grid(RADIUS, "f0"))).alias("cell"), "node", "n", *_WORDS)
     candidates = connected_components(links(_in_parts(cells), COPY_RADIUS))
     known = written(groups.select("node", "n").join(candidates, "node").withColumnRenamed("component", "cell"), "candidates")
     component = _copy_components(docs, known)
+    released(docs.sparkSession)
     named = groups.select(*_SAME, "node", "best", "doc_id").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("best").alias("first"))
     classes = named.join(smallest, "component").select(*_SAME, "component_id", F.col("first.row").alias("first"))

@@ -23,6 +23,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     scorer's names come back as they were.
     """
     model = toxicity.fit(docs, small_batches(released(spark)).read.parquet(f"{sf_dir}/labels.parquet"))
+    released(spark)  # of the training
     rest = F.struct(F.lit(0).alias("_"), *[c for c in docs.columns if c != "text"]).alias("_rest")
     kept = toxicity.scored(docs.select(rest, "text"), model).where(F.col("score") < toxicity.THRESHOLD)
     return kept.select(*["text" if c == "text" else F.col("_rest")[c].alias(c) for c in docs.columns])
