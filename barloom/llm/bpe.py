@@ -5,7 +5,7 @@ some texts of one task, keeps the numbers of its pieces, and sends each of its
 distinct pieces once to the piece's bucket. A bucket holds every copy of its
 pieces, so each distinct piece of the table is encoded once, by a fold over its
 bytes that joins the adjacent pair of lowest rank until none is ranked, with the
-ranks as one literal in the plan. The ids go back to the blocks by their key,
+ranks as a literal row of the plan. The ids go back to the blocks by their key,
 where texts take them by number. Decoding concatenates the binary pieces of the
 ids.
 
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -53,21 +53,33 @@ def pattern_of(pattern: str) -> str:
     return pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
 
 
-def rank_literal(ranks: dict[bytes, int], beside: Column) -> Column:
-    """``array<map<string, int>>``: hex of a token to its rank, in the bucket of the hex string's crc32.
-
-    The plan holds the ranks as one string, which is read once for each row.
-    ``beside`` is any text of the row: joined to it without a character, the
-    string is not folded into the plan as 65,536 maps, which every task and
-    every report of the plan would carry.
-    """
+def rank_text(ranks: dict[bytes, int]) -> str:
+    """JSON of ``array<map<string, int>>``: hex of a token to its rank, in the bucket of the hex string's crc32."""
     place = sorted((zlib.crc32(key.encode()) % BUCKETS, key, rank) for key, rank in ((token.hex(), rank) for token, rank in ranks.items()))
     parts, now = [], 0
     for bucket, key, rank in place:
         parts.append("{" * (not parts) + "},{" * (bucket - now) + "," * (bool(parts) and bucket == now) + f'"{key}":{rank}')
         now = bucket
-    text = "[" + ("".join(parts) or "{") + "},{" * (BUCKETS - 1 - now) + "}]"
-    return F.from_json(F.concat(F.lit(text), F.substring(F.coalesce(beside, F.lit("")), 1, 0)), "array<map<string,int>>")
+    return "[" + ("".join(parts) or "{") + "},{" * (BUCKETS - 1 - now) + "}]"
+
+
+def rank_table(text: Column) -> Column:
+    """The maps that :func:`rank_text` spells, read once for each row."""
+    return F.from_json(text, "array<map<string,int>>")
+
+
+def rank_literal(ranks: dict[bytes, int], beside: Column) -> Column:
+    """:func:`rank_table` of a literal in the expression itself, for small plans: every report of the plan spells the whole text.
+
+    ``beside`` is any text of the row: joined to it without a character, the
+    string is not folded into the plan as 65,536 maps.
+    """
+    return rank_table(F.concat(F.lit(rank_text(ranks)), F.substring(F.coalesce(beside, F.lit("")), 1, 0)))
+
+
+def rank_row(spark: SparkSession, ranks: dict[bytes, int]) -> DataFrame:
+    """``ranks``: the literal as a local table of one row, which reports of the plan name without its text."""
+    return spark.createDataFrame(pa.table({"ranks": [rank_text(ranks)]}))
 
 
 def _rank(table: Column, key: Column) -> Column:
@@ -308,8 +320,8 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decod
     # in buckets by the task that read the texts: the answers go there, the texts do not move
     blocks = bucketed(_blocks(docs, pattern, buckets), "blocks", "task", partitions(spark))
     released(spark)
-    table = rank_literal(ranks, F.get("pieces", F.lit(0)))
-    answers = _answered(_asked(blocks, buckets, joins_of(ranks)), table)
+    asked = _asked(blocks, buckets, joins_of(ranks)).crossJoin(F.broadcast(rank_row(spark, ranks)))
+    answers = _answered(asked, rank_table(F.col("ranks")))
     answers = answers.groupBy("task").agg(F.collect_list(F.struct("block", "first", "ids")).alias("answers"))
     texts = blocks.where("bucket < 0").select("task", "block", "ids", "counts", "body", "order")
     shared = spark.sparkContext.broadcast({rank: token for token, rank in ranks.items()} if decoded else {})  # one vocabulary, of a fixed size

@@ -81,3 +81,15 @@ def test_digests_over_many_blocks(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert bpe.encode(frame(spark, []), PATH, public_tokenizers.PATTERN).collect() == []
+
+
+def test_reports_of_the_plan_leave_out_the_ranks(spark):
+    """Each report of a plan spells its expressions at every level, so a literal of a megabyte there fills the driver."""
+    df = spark.createDataFrame([(1, "some words of a text")], "doc_id long, text string")
+    plan = bpe.encode(df, PATH, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan()
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 30))
+    try:
+        assert len(plan.treeString()) < 100_000
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", before)
