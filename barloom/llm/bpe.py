@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -324,20 +325,20 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decod
     answers = _answered(asked, rank_table(F.col("ranks")))
     answers = answers.groupBy("task").agg(F.collect_list(F.struct("block", "first", "ids")).alias("answers"))
     texts = blocks.where("bucket < 0").select("task", "block", "ids", "counts", "body", "order")
-    shared = spark.sparkContext.broadcast({rank: token for token, rank in ranks.items()} if decoded else {})  # one vocabulary, of a fixed size
+    shared = spark.sparkContext.broadcast(_tokens(ranks) if decoded else None)  # one vocabulary, of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                yield from _texts(row, packed, shared.value.__getitem__ if decoded else None)
+                yield from _texts(row, packed, shared.value)
 
     schema = f"doc_id long, ids {'binary' if packed else 'array<int>'}{', bytes binary' if decoded else ''}"
     mine = F.array_sort(F.filter("answers", lambda a: a["block"] == F.col("block")))
     return texts.join(answers, "task", "left").select("ids", "counts", "body", "order", mine.alias("answers")).mapInArrow(run, schema)
 
 
-def _texts(row: pa.RecordBatch, packed: bool, token_of) -> Iterator[pa.RecordBatch]:
+def _texts(row: pa.RecordBatch, packed: bool, tokens: pa.Array | None) -> Iterator[pa.RecordBatch]:
     """Ids of each text of a block."""
     order = _opened(row.column("order")[0].as_py())
     pieces = row.column("answers").flatten().field("ids").flatten()  # in the order of bucket and piece
@@ -360,27 +361,40 @@ def _texts(row: pa.RecordBatch, packed: bool, token_of) -> Iterator[pa.RecordBat
         else:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))
         cols = [ids.slice(lo, hi - lo), lists]
-        if token_of:
-            cols.append(_joined(lists, token_of))
+        if tokens is not None:
+            cols.append(_joined(out, ends, tokens))
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "bytes"][: len(cols)])
         lo = hi
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``bytes``: the binary pieces of ``ids`` (an array, or packed), concatenated."""
-    shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in load_ranks(path).items()})
+    shared = encoded.sparkSession.sparkContext.broadcast(_tokens(load_ranks(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, _joined(batch.column("ids"), shared.value.__getitem__)], names=[*batch.schema.names, "bytes"])
+            ids = batch.column("ids")
+            if pa.types.is_binary(ids.type):
+                sizes = pc.fill_null(pc.binary_length(ids), 0).to_numpy() // 4
+                flat = np.frombuffer(b"".join(x for x in ids.to_pylist() if x), dtype="<u4")
+            else:
+                sizes, flat = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(), ids.flatten().to_numpy(zero_copy_only=False)
+            joined = _joined(flat, np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined], names=[*batch.schema.names, "bytes"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("bytes", BinaryType())]))
 
 
-def _joined(ids: pa.Array, token_of) -> pa.Array:
-    """The tokens of each row of ids, concatenated."""
-    if pa.types.is_binary(ids.type):
-        lists = ([] if x is None else np.frombuffer(x, dtype="<u4").tolist() for x in ids.to_pylist())
-    else:
-        lists = (x or [] for x in ids.to_pylist())
-    return pa.array([b"".join(map(token_of, x)) for x in lists], pa.binary())
+def _tokens(ranks: dict[bytes, int]) -> pa.Array:
+    """Tokens by rank; ranks without one are null."""
+    by_rank = {rank: token for token, rank in ranks.items()}
+    return pa.array([by_rank.get(i) for i in range(max(by_rank, default=-1) + 1)], pa.large_binary())
+
+
+def _joined(flat: np.ndarray, ends: np.ndarray, tokens: pa.Array) -> pa.Array:
+    """The tokens of each row of ids, concatenated; ``ends`` has where a row of ``flat`` ends, from 0 on."""
+    taken = tokens.take(pa.array(flat))
+    if taken.null_count:
+        raise KeyError("an id that no token has")
+    edges = np.frombuffer(taken.buffers()[1], dtype=np.int64, count=len(taken) + 1)[ends]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(edges.astype(np.int32)), taken.buffers()[2]])

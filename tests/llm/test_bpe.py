@@ -93,3 +93,16 @@ def test_reports_of_the_plan_leave_out_the_ranks(spark):
         assert len(plan.treeString()) < 100_000
     finally:
         spark.conf.set("spark.sql.maxPlanStringLength", before)
+
+
+def test_decoding_equals_tokens_joined(spark):
+    """Arrays and packed ids of empty, null and other rows, in slices, are the tokens one after the other."""
+    rows = [(0, None), (1, []), (2, [0, 1, 2]), (3, [50_000, 7]), (4, [])]
+    ranks = bpe.load_ranks(PATH)
+    token = {r: t for t, r in ranks.items()}
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>").coalesce(1)
+    for got in bpe.decode(df, PATH).collect():
+        assert bytes(got.bytes) == b"".join(token[i] for i in rows[got.doc_id][1] or [])
+    packed = spark.createDataFrame([(i, None if x is None else np.array(x, dtype="<u4").tobytes()) for i, x in rows], "doc_id long, ids binary")
+    for got in bpe.decode(packed, PATH).collect():
+        assert bytes(got.bytes) == b"".join(token[i] for i in rows[got.doc_id][1] or [])
