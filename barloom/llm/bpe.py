@@ -6,8 +6,9 @@ distinct pieces once to the piece's bucket. A bucket holds every copy of its
 pieces, so each distinct piece of the table is encoded once, by a fold over its
 bytes that joins the adjacent pair of lowest rank until none is ranked, with the
 ranks as a literal row of the plan. The ids go back to the blocks by their key,
-where texts take them by number. Decoding concatenates the binary pieces of the
-ids.
+as a row for each bucket; a task holds the answers of one block at a time, of
+which texts take theirs by number. Decoding concatenates the binary pieces of
+the ids.
 
 The blocks are written before they are used, so every later step sees the same
 numbers whatever is recomputed or in which order rows come.
@@ -286,7 +287,7 @@ def _asked(blocks: DataFrame, buckets: int, held: np.ndarray) -> DataFrame:
 
 
 def _answered(asked: DataFrame, table: Column) -> DataFrame:
-    """``(task, block, first, ids)``: the ids of each piece that a block asks of a bucket; a bucket's pieces are encoded once."""
+    """``(task, block, first, sizes, ids)``: the ids of the pieces that a block asks of a bucket, one piece after the other; a bucket's pieces are encoded once."""
 
     def one(piece: Column, ranks: Column) -> Column:
         return F.when(F.length(piece) <= 2 * LONG_PIECE, encode_piece(piece, ranks)).otherwise(encode_long(piece, ranks))
@@ -299,7 +300,9 @@ def _answered(asked: DataFrame, table: Column) -> DataFrame:
         return F.transform("asks", lambda a: F.struct(a["task"].alias("task"), a["block"].alias("block"), a["first"].alias("first"), F.transform(a["at"], lambda i: F.get(ids, i)).alias("ids")))
 
     answers = with_ranks(table, lambda ranks: F.get(F.transform(F.array(F.transform("pieces", lambda p: encoded(p, ranks))), told), F.lit(0)))
-    return asked.select(F.explode(answers).alias("a")).select("a.*")
+    # flat, one answer at a time: an array for each piece would take 24 bytes and more besides its ids
+    flat = [F.transform("a.ids", F.size).alias("sizes"), F.flatten("a.ids").alias("ids")]
+    return asked.select(F.explode(answers).alias("a")).select("a.task", "a.block", "a.first", *flat)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decoded: bool = False) -> DataFrame:
@@ -318,34 +321,30 @@ def encode(docs: DataFrame, path: str, pattern: str, packed: bool = False, decod
     ranks = load_ranks(path)
     # as many buckets as tasks read the texts, so a bucket holds about as many pieces as a task sends
     buckets = max(partitions(spark), docs.rdd.getNumPartitions())
-    # in buckets by the task that read the texts: the answers go there, the texts do not move
-    blocks = bucketed(_blocks(docs, pattern, buckets), "blocks", "task", partitions(spark))
+    # in buckets by block: the answers go there, the texts do not move
+    blocks = bucketed(_blocks(docs, pattern, buckets), "blocks", ["task", "block"], partitions(spark))
     released(spark)
     asked = _asked(blocks, buckets, joins_of(ranks)).crossJoin(F.broadcast(rank_row(spark, ranks)))
     answers = _answered(asked, rank_table(F.col("ranks")))
-    answers = answers.groupBy("task").agg(F.collect_list(F.struct("block", "first", "ids")).alias("answers"))
     texts = blocks.where("bucket < 0").select("task", "block", "ids", "counts", "body", "order")
     shared = spark.sparkContext.broadcast(_tokens(ranks) if decoded else None)  # one vocabulary, of a fixed size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                yield from _texts(row, packed, shared.value)
+    def run(block: pa.Table, told: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(_texts(block, told, packed, shared.value))
 
     schema = f"doc_id long, ids {'binary' if packed else 'array<int>'}{', bytes binary' if decoded else ''}"
-    mine = F.array_sort(F.filter("answers", lambda a: a["block"] == F.col("block")))
-    return texts.join(answers, "task", "left").select("ids", "counts", "body", "order", mine.alias("answers")).mapInArrow(run, schema)
+    return texts.groupBy("task", "block").cogroup(answers.groupBy("task", "block")).applyInArrow(run, schema)
 
 
-def _texts(row: pa.RecordBatch, packed: bool, tokens: pa.Array | None) -> Iterator[pa.RecordBatch]:
-    """Ids of each text of a block."""
+def _texts(block: pa.Table, told: pa.Table, packed: bool, tokens: pa.Array | None) -> Iterator[pa.RecordBatch]:
+    """Ids of each text of a block, by the answers of all its buckets in any order."""
+    row = block.combine_chunks().to_batches()[0]
     order = _opened(row.column("order")[0].as_py())
-    pieces = row.column("answers").flatten().field("ids").flatten()  # in the order of bucket and piece
-    sizes = np.asarray(pieces.value_lengths()).astype(np.int64)
+    told = told.take(np.argsort(told.column("first").to_numpy()))  # in the order of bucket and piece
+    sizes = pc.list_flatten(told.column("sizes")).to_numpy().astype(np.int64)
     length, start = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
     length[order], start[order] = sizes, np.cumsum(sizes) - sizes
-    flat = np.asarray(pieces.flatten())
+    flat = pc.list_flatten(told.column("ids")).to_numpy()
     codes = _opened(row.column("body")[0].as_py())
     ids = row.column("ids").flatten()
     stops = np.cumsum(row.column("counts").flatten().to_numpy(), dtype=np.int64)

@@ -17,11 +17,11 @@ from ..functions.tables import shared_dir, written
 __all__ = ["bucketed", "forget", "partitions", "released", "shared_dir", "small_batches", "written"]
 
 
-def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
-    """:func:`written`, with the rows in ``buckets`` by a column, so that joins on it need not move them."""
+def bucketed(df: DataFrame, name: str, columns: list[str], buckets: int) -> DataFrame:
+    """:func:`written`, with the rows in ``buckets`` by some columns, so that joins on them need not move them."""
     spark = df.sparkSession
     key = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{key}").saveAsTable(key)
+    df.write.bucketBy(buckets, columns).option("path", f"{shared_dir(spark)}/{key}").saveAsTable(key)
     table = spark.table(key)
     spark.sql(f"DROP TABLE {key}")  # of the catalog: the files stay, and the table read holds their places
     return table

@@ -106,3 +106,13 @@ def test_decoding_equals_tokens_joined(spark):
     packed = spark.createDataFrame([(i, None if x is None else np.array(x, dtype="<u4").tobytes()) for i, x in rows], "doc_id long, ids binary")
     for got in bpe.decode(packed, PATH).collect():
         assert bytes(got.bytes) == b"".join(token[i] for i in rows[got.doc_id][1] or [])
+
+
+def test_a_task_holds_the_answers_of_one_block_at_a_time(spark, monkeypatch):
+    """No row gathers what a task's blocks asked for, as such rows fill an executor with the blocks of a task and the tasks of a bucket."""
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 300)
+    rows = [(i, t) for i, t in enumerate(texts()) if t]
+    out = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH, public_tokenizers.PATTERN)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.doc_id: r.ids for r in out.collect()}
+    assert got == {i: LIBRARY.encode_ordinary(t) for i, t in rows}
