@@ -34,12 +34,12 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .stages import bucketed, partitions, released
 from .words import row_chunks
 
-#: Text bytes of a block; a longer text is a block of its own.
-BLOCK_BYTES = 16 << 20
+#: Characters of a block, whose ids and bytes a Python worker holds together; a longer text is a block of its own.
+BLOCK_BYTES = 8 << 20
 #: Longer pieces are cut where no token can cross, and all pairs of the lowest rank are joined in one step.
 LONG_PIECE = 64
 #: Pieces whose ids are gathered at a time.
-GATHER = 1 << 18
+GATHER = 1 << 16
 #: The rank map is a literal array of this many small maps, as a lookup in a Spark map scans its keys.
 BUCKETS = 1 << 16
 
@@ -249,8 +249,8 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
         task, key, block = TaskContext.get().partitionId(), 0, _Block()
 
         def done() -> Iterator[pa.RecordBatch]:
-            for row in block.rows(buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((task, key, *row), _BLOCKS.values(), strict=True)], names=list(_BLOCKS))
+            columns = zip(*((task, key, *row) for row in block.rows(buckets)), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _BLOCKS.values(), strict=True)], names=list(_BLOCKS))
 
         for rows in row_chunks(batches):
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):

@@ -1,8 +1,10 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from barloom.llm import bpe, catalog, words
 from pyspark.sql import functions as F
@@ -116,3 +118,26 @@ def test_a_task_holds_the_answers_of_one_block_at_a_time(spark, monkeypatch):
     assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
     got = {r.doc_id: r.ids for r in out.collect()}
     assert got == {i: LIBRARY.encode_ordinary(t) for i, t in rows}
+
+
+def test_ids_of_a_block_are_gathered_in_little_memory():
+    """Two million ids, 8 MB, cost a worker less than four times that beside what it gives."""
+    r = np.random.default_rng(3)
+    distinct, docs, each = 1000, 1024, 256
+    ids, codes = r.integers(0, 50_000, distinct * 8), r.integers(0, distinct, docs * each)
+    order, body = bpe._press(np.arange(distinct)), bpe._press(codes)
+    block = pa.table({"ids": [list(range(docs))], "counts": pa.array([[each] * docs], pa.list_(pa.int32())), "body": [body], "order": [order]})
+    halves = [(500, ids[4000:]), (0, ids[:4000])]  # of two buckets, in no order
+    told = pa.table({"first": [f for f, _ in halves], "sizes": pa.array([[8] * 500] * 2, pa.list_(pa.int32())), "ids": pa.array([x for _, x in halves], pa.list_(pa.int32()))})
+    want = ids.reshape(-1, 8)[codes].astype("<u4").tobytes()
+    tracemalloc.start()
+    try:
+        got = b""
+        for batch in bpe._texts(block, told, True, None):
+            peak = tracemalloc.get_traced_memory()[1] - len(got)
+            got += b"".join(batch.column("ids").to_pylist())
+            tracemalloc.reset_peak()
+            assert peak < 32 << 20
+    finally:
+        tracemalloc.stop()
+    assert got == want
