@@ -125,8 +125,7 @@ def draw_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A supplier's draws are one series, however long.
     """
-    numbers = F.posexplode(F.array("n1", "n2", "n3")).alias("place", "number")
-    rows = draws.line_draws(spark, sf_dir).select("series", "order", numbers)
-    rows = rows.select(F.col("series").cast("string").alias(KEY), F.struct("order", "place").alias(TIME), (F.col("number") - 1).alias("x"))
-    model = hmm.fit_categorical(rows, "x", 59, stretch=F.floor(F.col(f"{TIME}.order.l_orderkey") / 20_000))
+    numbers = F.array(*[F.col(f"n{i}") - 1 for i in (1, 2, 3)])
+    rows = draws.line_draws(spark, sf_dir).select(F.col("series").cast("string").alias(KEY), F.col("order").alias(TIME), numbers.alias("x"))
+    model = hmm.fit_categorical(rows, "x", 59, stretch=F.floor(F.col(f"{TIME}.l_orderkey") / 20_000))
     return spark.createDataFrame([(k, s + 1, round(float(p), 9)) for k, row in enumerate(model.emit) for s, p in enumerate(row)], "state int, number int, p double")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.numbering import number_rows
 from ..functions.tables import arrow_batches, bucketed, written
 from ..functions.win import KEY, TIME
+from . import categories
 from .chains import best_path, best_transfer, carries, smoothed, transfer
 
 FLOOR = 1e-6
@@ -77,17 +78,11 @@ class Shape:
         return Model(start, move.reshape(k, k), rest[: k * d].reshape(k, d), rest[k * d :].reshape(k, d, d), log_likelihood=float(log[0]))
 
     def counts(self, model: Model, x: np.ndarray, head: bool, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Log likelihood, start, moves, and counts with their sums of a stretch, expected under a model."""
+        """Log likelihood, start, moves, and counts with their sums of a stretch, expected under a Gaussian model; for symbols see :mod:`.categories`."""
         b, top = emissions(model, x)
         _, gamma, moves, log = smoothed(model.move, b, head, before, after)
         first = gamma[0] if head else np.zeros(self.k)
-        if self.symbols:
-            seen = np.zeros((self.symbols, self.k))
-            np.add.at(seen, x[:, 0].astype(int), gamma)
-            rest = [seen.T.ravel()]
-        else:
-            rest = [gamma.sum(axis=0), (gamma.T @ x).ravel(), np.einsum("tk,ti,tj->kij", gamma, x, x).ravel()]
-        return np.concatenate([[log + top], first, moves.ravel(), *rest])
+        return np.concatenate([[log + top], first, moves.ravel(), gamma.sum(axis=0), (gamma.T @ x).ravel(), np.einsum("tk,ti,tj->kij", gamma, x, x).ravel()])
 
     def maximised(self, model: Model, sums: np.ndarray, tolerance: float) -> tuple[Model, bool]:
         """The model that fits expected counts best, and whether the log likelihood gained less than ``tolerance`` of itself."""
@@ -298,18 +293,23 @@ def fit(df: DataFrame, features: list[str], k: int = 3, cov: str = "diag", itera
 
 
 def fit_categorical(df: DataFrame, x: str, symbols: int, k: int = 10, iterations: int = 100, tolerance: float = 1e-4, stretch: Column | None = None) -> Model:
-    """A model of ``df(symbol, ts, x)`` with values ``0 .. symbols - 1``, shared by all symbols; rows with a NULL value are left out.
+    """A model of ``df(symbol, ts, x)`` with values ``0 .. symbols - 1``, shared by all symbols; NULL values are left out.
 
-    ``stretch`` orders rows roughly in time where ``ts`` is no timestamp.
+    ``x`` may be an array of values that follow each other. ``stretch`` orders
+    rows roughly in time where ``ts`` is no timestamp.
     """
     shape = Shape(k, symbols=symbols)
     emit = np.random.default_rng(42).dirichlet(np.full(symbols, 20.0), k)
-    flat = Model(np.full(k, 1 / k), _staying(k, 0.9), emit=emit).flat().tolist()
-    starts = df.sparkSession.createDataFrame([("", flat)], "model string, params array<double>")
-    blocks, units = series_blocks(df, [x], stretch=stretch)
-    if units.isEmpty():
+    model = Model(np.full(k, 1 / k), _staying(k, 0.9), emit=emit)
+    blocks = categories.packed_blocks(df, x, symbols, BLOCK, stretch)
+    short, long = blocks.agg(F.bool_or(F.col("units") == 1), F.bool_or(F.col("units") > 1)).first()
+    if short is None:
         raise ValueError("no values for a model")
-    return shape.model(em(blocks, units, starts, shape, iterations, tolerance).first().params)  # one model
+    for _ in range(iterations):
+        model, done = shape.maximised(model, categories.expected_sums(blocks, model.start, model.move, model.emit, short, long), tolerance)
+        if done:
+            break
+    return model
 
 
 def states_of(blocks: DataFrame, units: DataFrame, models: DataFrame, shape: Shape, kind: str = "timestamp") -> DataFrame:
