@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.tables import arrow_batches, bucketed, written
 from ..functions.win import KEY, TIME
@@ -25,6 +26,8 @@ from .chains import carries
 WIDTH = 512
 #: Steps between two scalings; floors of the probabilities keep that many products above the least double.
 SCALED = 4
+#: Steps whose states are in memory at once, so that they stay in the processor's cache; a multiple of ``SCALED``.
+HELD = 32
 #: Steps after which a matrix is looked at for rows that have become one; a multiple of ``SCALED``.
 CHECKED = 64
 
@@ -46,9 +49,12 @@ def packed_blocks(df: DataFrame, x: str, symbols: int, block: int, stretch: Colu
     several = dict(df.dtypes)[x].startswith("array")
     values = F.col(x).cast("array<int>") if several else F.array(F.col(x).cast("int"))
     cut = F.floor(F.unix_seconds(TIME) / (30 * 86_400)) if stretch is None else stretch
-    rows = df.select(KEY, cut.cast("long").alias("stretch"), TIME, values.alias("x")).where(f"{KEY} is not null and stretch is not null")
+    kinds = df.schema[TIME].dataType
+    times = [F.col(TIME)[f] for f in kinds.names] if isinstance(kinds, StructType) else [F.col(TIME)]  # sorted faster than structs
+    order = [f"t{i}" for i in range(len(times))]
+    rows = df.select(KEY, cut.cast("long").alias("stretch"), *[c.alias(t) for c, t in zip(times, order, strict=True)], values.alias("x")).where(f"{KEY} is not null and stretch is not null")
     # one number tells most rows apart when they are sorted, and the rows of a stretch share it
-    rows = rows.withColumn("group", F.xxhash64(KEY, "stretch")).repartition("group").sortWithinPartitions("group", KEY, "stretch", TIME).select(KEY, "stretch", F.xxhash64(TIME).alias("h"), "x")
+    rows = rows.withColumn("group", F.xxhash64(KEY, "stretch")).repartition("group").sortWithinPartitions("group", KEY, "stretch", *order).select(KEY, "stretch", F.xxhash64(*order).alias("h"), "x")
 
     def changes(batch: pa.RecordBatch, *columns: str) -> np.ndarray:
         new = np.zeros(batch.num_rows, bool)
@@ -138,40 +144,57 @@ def expected(move: np.ndarray, emit: np.ndarray, series: list[np.ndarray], head:
     b, top = _scaled(emit)
     k, symbols = b.shape
     order, x, live = _aligned(series)
-    head, ahead, behind = head[order], before[order].T, after[order].T
-    ahead = ahead / ahead.sum(axis=0)
+    head, ahead, behind = head[order], before[order], after[order]
+    ahead = ahead / ahead.sum(axis=1, keepdims=True)
     steps, count = x.shape
-    alpha, scale = np.zeros((steps, k, count)), np.ones((steps, count))
-    turned, a = np.ascontiguousarray(move.T), ahead
-    for s in range(steps):
-        n = live[s]
-        a = turned @ a[:, :n] if s else np.where(head, ahead, turned @ ahead)
-        a *= b.take(x[s, :n], axis=1)
-        if s % SCALED == SCALED - 1:
-            scale[s, :n] = a.sum(axis=0)
-            a /= scale[s, :n]
-        alpha[s, :, :n] = a
-    sizes = (live[:, None] > np.arange(count)).sum(axis=0)
-    last = alpha[sizes - 1, :, np.arange(count)].T
-    z = behind / (last * behind).sum(axis=0)
-    moves = np.zeros((k, k))
-    for s in range(steps - 1, -1, -1):
+    b, turned, one = np.ascontiguousarray(b.T), np.ascontiguousarray(move.T), np.ones(k)
+    scale, last = np.ones((-(-steps // SCALED), count, 1)), np.empty((count, k))
+
+    def forward(a: np.ndarray, s: int, known: bool) -> np.ndarray:
+        """States after step ``s``, divided by their sum at every ``SCALED``-th step, which is kept at first."""
         n = live[s]
-        w = b.take(x[s, :n], axis=1)
-        w *= z[:, :n]
+        a = a[:n] @ move if s else np.where(head[:, None], ahead, ahead @ move)
+        a *= b.take(x[s, :n], axis=0)
         if s % SCALED == SCALED - 1:
-            w /= scale[s, :n]
-        alpha[s, :, :n] *= z[:, :n]  # from here on the posterior
-        if s:
-            moves += alpha[s - 1, :, :n] @ w.T
-            z[:, :n] = move @ w
-        else:
-            moves += ahead[:, ~head] @ w[:, ~head].T
-    flat = x.ravel()
-    seen = np.array([np.bincount(flat, alpha[:, i].ravel(), symbols) for i in range(k)])
-    # the rows that a value leaves out count with its logarithm; values behind the end of a series have no posterior
-    log = np.log(scale).sum() + np.log(last.sum(axis=0)).sum() + seen.sum(axis=0) @ top
-    return np.concatenate([[log], alpha[0][:, head].sum(axis=1), (moves * move).ravel(), seen.ravel()])
+            if not known:
+                scale[s // SCALED, :n, 0] = a @ one
+            a /= scale[s // SCALED, :n]
+        return a
+
+    a, held = ahead, []
+    for s in range(steps):
+        if s % HELD == 0:
+            held.append(a)
+        a = forward(a, s, False)
+        if (n := live[s + 1] if s + 1 < steps else 0) < len(a):  # these have ended
+            last[n : len(a)] = a[n:]
+    z = behind / (last * behind).sum(axis=1, keepdims=True)
+    moves, seen, first = np.zeros((k, k)), np.zeros(symbols * k), None
+    alpha, states = np.empty((HELD, count, k)), np.arange(k)
+    for c in range(len(held) - 1, -1, -1):  # states of a few steps at a time, from those held ahead of them
+        begin, end = c * HELD, min((c + 1) * HELD, steps)
+        a = held[c]
+        for s in range(begin, end):
+            alpha[s - begin, : live[s]] = a = forward(a, s, True)
+        for s in range(end - 1, begin - 1, -1):
+            n, now = live[s], alpha[s - begin]
+            w = b.take(x[s, :n], axis=0)
+            w *= z[:n]
+            if s % SCALED == SCALED - 1:
+                w /= scale[s // SCALED, :n]
+            now[:n] *= z[:n]  # from here on the posterior
+            now[n:] = 0.0
+            if s:
+                moves += (alpha[s - begin - 1] if s > begin else held[c])[:n].T @ w
+                z[:n] = w @ turned
+            else:
+                moves += ahead[~head].T @ w[~head]
+                first = now[head].sum(axis=0)
+        wide = live[begin]
+        seen += np.bincount((x[begin:end, :wide, None] * k + states).ravel(), alpha[: end - begin, :wide].ravel(), symbols * k)
+    seen = seen.reshape(symbols, k).T
+    log = np.log(scale).sum() + np.log(last.sum(axis=1)).sum() + seen.sum(axis=0) @ top
+    return np.concatenate([[log], first, (moves * move).ravel(), seen.ravel()])
 
 
 def transfers(move: np.ndarray, emit: np.ndarray, series: list[np.ndarray], head: np.ndarray) -> np.ndarray:
